@@ -80,7 +80,7 @@ def min_distance(candidates: DataFrame, originals: DataFrame, keys=(), cand_col:
 
 
 def min_distance_fewshot(candidates: DataFrame, picks: DataFrame, sizes, cand_col: str = "text",
-                         orig_col: str = "text", out: str = "dist") -> DataFrame:
+                         orig_col: str = "text", out: str = "dist", with_nearest: bool = False) -> DataFrame:
     """DST-2 specialised to nested few-shot splits (SET-5): the originals
     of split (n, run) are the picks of ``run`` with rank <= n. Distances to
     the largest split are computed once per (candidate, run); every split
@@ -88,22 +88,26 @@ def min_distance_fewshot(candidates: DataFrame, picks: DataFrame, sizes, cand_co
     split are left out of that split (SET-2).
 
     ``candidates``: intent, text, pos (+ ``cand_col``); ``picks``: run,
-    intent, rk and ``orig_col`` (only the largest split's rows are used).
-    Output: train_n, run, candidate columns, ``out``.
+    intent, rk, pos and ``orig_col`` (only the largest split's rows are
+    used). Output: train_n, run, candidate columns, ``out`` (and
+    ``origin_pos`` / ``origin_text`` of the nearest original, ties ->
+    smallest position, with ``with_nearest``).
     """
     top = max(sizes)
     p = picks.where(F.col("train_n") == top) if "train_n" in picks.columns else picks
     arr = (p.groupBy("run", "intent")
-           .agg(F.array_sort(F.collect_list(F.struct("rk", F.col("text").alias("o"),
+           .agg(F.array_sort(F.collect_list(F.struct("rk", F.col("text").alias("o"), F.col("pos").alias("p"),
                                                      F.col(orig_col).alias("t")))).alias("_origs")))
     arr = broadcast_if_small(arr)
     j = spread(candidates).join(arr, "intent", "left")
-    j = j.withColumn("_d", F.transform("_origs", lambda o: F.levenshtein(F.col(cand_col), o["t"])))
+    j = j.withColumn("_d", F.transform("_origs", lambda o: F.struct(
+        F.levenshtein(F.col(cand_col), o["t"]).alias("d"), o["p"].alias("p"), o["o"].alias("o"))))
     j = j.withColumn("train_n", F.explode(F.array(*[F.lit(int(n)) for n in sizes])))
     j = j.where(~F.coalesce(F.exists(F.slice("_origs", 1, F.col("train_n")),
                                      lambda o: o["o"] == F.col("text")), F.lit(False)))
-    j = j.withColumn(out, F.array_min(F.slice("_d", 1, F.col("train_n"))))
-    return j.select("train_n", "run", *candidates.columns, out)
+    j = j.withColumn("_b", F.array_min(F.slice("_d", 1, F.col("train_n")))).withColumn(out, F.col("_b.d"))
+    extra = [F.col("_b.p").alias("origin_pos"), F.col("_b.o").alias("origin_text")] if with_nearest else []
+    return j.select("train_n", "run", *candidates.columns, out, *extra)
 
 
 def farthest_per_intent(df: DataFrame, k: int = config.KEEP_BY_DISTANCE, keys=(),

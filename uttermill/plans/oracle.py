@@ -112,3 +112,191 @@ SELECT train_n, run, intent, pos, orig_pos, round(sim, 6) AS sim FROM (
          len(list_intersect(wa, wb)) / (len(wa) + len(wb) - len(list_intersect(wa, wb))) AS sim
   FROM W JOIN O ON O.train_n = W.train_n AND O.run = W.run AND O.intent = W.intent) x
 WHERE sim >= 0.25"""
+
+# --- predictions N (nearest centroid on embeddings) ---------------------------------
+
+E = """E AS (SELECT CAST(label AS VARCHAR) AS intent, CAST(vec_id AS VARCHAR) AS text, vec_id AS pos,
+  CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"""
+
+GRID1 = f"""GRID AS (SELECT CAST(s.train_n AS BIGINT) AS train_n, CAST(r.run AS BIGINT) AS run
+  FROM (SELECT unnest([{SIZES}]) AS train_n) s, (SELECT unnest(range(1, {RUNS + 2})) AS run) r)"""
+
+NCTE = [E, fewshot("E"), GRID, """CEN AS (SELECT train_n, run, intent, list(x ORDER BY i) AS c FROM (
+  SELECT FS.train_n, FS.run, FS.intent, u.i, avg(u.x) AS x
+  FROM FS JOIN (SELECT pos, unnest(vec) AS x, unnest(range(0, len(vec))) AS i FROM E) u ON u.pos = FS.pos
+  GROUP BY FS.train_n, FS.run, FS.intent, u.i) a GROUP BY train_n, run, intent)""",
+        """CE AS (SELECT g.train_n, g.run, E.intent, E.text, E.pos, E.vec FROM E, GRID g
+  WHERE NOT EXISTS (SELECT 1 FROM FS f WHERE f.train_n = g.train_n AND f.run = g.run
+                    AND f.intent = E.intent AND f.text = E.text))""",
+        """S AS (SELECT CE.train_n, CE.run, CE.text, CE.intent, CEN.intent AS cls,
+  list_dot_product(CE.vec, CEN.c) / (sqrt(list_dot_product(CE.vec, CE.vec)) * sqrt(list_dot_product(CEN.c, CEN.c))) AS s
+  FROM CE JOIN CEN ON CEN.train_n = CE.train_n AND CEN.run = CE.run)""",
+        """M AS (SELECT train_n, run, text, max(s) AS ms FROM S GROUP BY train_n, run, text)""",
+        """N AS (SELECT S.train_n, S.run, S.text, S.intent, min(CASE WHEN S.s = M.ms THEN S.cls END) AS pred,
+  1.0 / sum(exp((S.s - M.ms) * 20)) AS conf
+  FROM S JOIN M ON M.train_n = S.train_n AND M.run = S.run AND M.text = S.text
+  GROUP BY S.train_n, S.run, S.text, S.intent)"""]
+
+
+def report(src: str, keys: list[str], name: str = "RPT") -> str:
+    k = ", ".join(keys)
+    return f"""{name}_R AS (SELECT {k}, c AS intent, sum(t) AS support, sum(p) AS predicted, sum(tp) AS tp FROM (
+  SELECT {k}, intent AS c, 1 AS t, 0 AS p, CASE WHEN intent = pred THEN 1 ELSE 0 END AS tp
+    FROM (SELECT DISTINCT {k}, text, intent, pred FROM {src}) a
+  UNION ALL SELECT {k}, pred AS c, 0 AS t, 1 AS p, 0 AS tp
+    FROM (SELECT DISTINCT {k}, text, intent, pred FROM {src}) b) u GROUP BY {k}, c),
+{name}_P AS (SELECT {k}, intent, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+  CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall,
+  CAST(support AS BIGINT) AS support, CAST(tp AS BIGINT) AS tp FROM {name}_R),
+{name} AS (SELECT {k}, intent, precision, recall,
+  CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
+  support, tp FROM {name}_P)"""
+
+
+def totals(src: str, keys: list[str], name: str = "TOT") -> str:
+    k = ", ".join(keys)
+    wv = "CASE WHEN sum(support) > 0 THEN sum({c} * support) / sum(support) ELSE 0.0 END"
+    return f"""{name} AS (SELECT {k},
+  CASE WHEN sum(support) > 0 THEN sum(tp) / sum(support) ELSE 0.0 END AS accuracy,
+  avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1,
+  {wv.format(c='precision')} AS weighted_precision, {wv.format(c='recall')} AS weighted_recall,
+  {wv.format(c='f1')} AS weighted_f1, CAST(sum(support) AS BIGINT) AS support FROM {src} GROUP BY {k})"""
+
+
+def r6(cols: list[str]) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+
+
+KN = ["train_n", "run"]
+
+Q["centroid_predict"] = w(*NCTE) + f"SELECT train_n, run, text, intent, pred, {r6(['conf'])} FROM N"
+
+Q["uncertain"] = w(*NCTE) + f"""SELECT train_n, run, text, intent, pred, {r6(['conf'])}, pred <> intent AS is_error
+FROM N WHERE pred <> intent OR conf < {T}"""
+
+Q["class_report"] = w(*NCTE, report("N", KN)) + (
+    f"SELECT train_n, run, intent, {r6(['precision', 'recall', 'f1'])}, support, tp FROM RPT")
+
+Q["confused_top3"] = w(*NCTE) + """SELECT train_n, run, intent, confused, CAST(n AS BIGINT) AS n, CAST(rk AS BIGINT) AS rk FROM (
+  SELECT *, row_number() OVER (PARTITION BY train_n, run, intent ORDER BY n DESC, confused) AS rk FROM (
+    SELECT train_n, run, intent, pred AS confused, count(*) AS n
+    FROM (SELECT DISTINCT train_n, run, text, intent, pred FROM N) a WHERE pred <> intent
+    GROUP BY train_n, run, intent, pred) b) c WHERE rk <= 3"""
+
+TOT_COLS = ["accuracy", "macro_precision", "macro_recall", "macro_f1",
+            "weighted_precision", "weighted_recall", "weighted_f1"]
+
+Q["totals"] = w(*NCTE, report("N", KN), totals("RPT", KN)) + (
+    f"SELECT train_n, run, {r6(TOT_COLS)}, support FROM TOT")
+
+Q["run_listing"] = w(*NCTE, report("N", KN), totals("RPT", KN), GRID1.replace("GRID AS", "GRID2 AS")) + """
+SELECT g.train_n, g.run, round(t.weighted_precision, 6) AS precision, round(t.weighted_recall, 6) AS recall,
+  round(t.weighted_f1, 6) AS f1_score, t.support, round(t.macro_f1, 6) AS macro_f1
+FROM GRID2 g LEFT JOIN TOT t ON t.train_n = g.train_n AND t.run = g.run"""
+
+# --- evaluation log V ------------------------------------------------------------------
+
+V = """V AS (SELECT CAST([1, 3, 5][CAST(user_id % 3 AS INTEGER) + 1] AS BIGINT) AS train_n,
+  CAST(dayofmonth(ts) % 10 + 1 AS BIGINT) AS run, CAST(event_id % 3 + 1 AS BIGINT) AS loop,
+  CAST(event_id AS VARCHAR) AS text, event_type AS intent,
+  TY.types[CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % len(TY.types) AS INTEGER) + 1] AS pred,
+  value / (value + 10) AS conf
+  FROM events, (SELECT list_sort(list(DISTINCT event_type)) AS types FROM events) TY)"""
+
+KV = ["train_n", "run", "loop"]
+VREP = [V, report("V", KV, "VR")]
+
+Q["v_report"] = w(*VREP) + f"SELECT train_n, run, loop, intent, {r6(['precision', 'recall', 'f1'])}, support, tp FROM VR"
+
+RS = [*VREP, totals("VR", KV, "VT"), """RS0 AS (SELECT train_n, run, avg(weighted_precision) AS precision,
+  avg(weighted_recall) AS recall, avg(weighted_f1) AS f1_score, avg(support) AS support FROM VT GROUP BY train_n, run)""",
+      """CS AS (SELECT train_n, run, count(*) FILTER (WHERE pred = intent) AS n_successes,
+  count(*) FILTER (WHERE pred <> intent) AS n_errors FROM V GROUP BY train_n, run)""",
+      """RS AS (SELECT RS0.*, CAST(coalesce(CS.n_successes, 0) AS BIGINT) AS n_successes,
+  CAST(coalesce(CS.n_errors, 0) AS BIGINT) AS n_errors
+  FROM RS0 LEFT JOIN CS ON CS.train_n = RS0.train_n AND CS.run = RS0.run)"""]
+
+Q["run_summary"] = w(*RS) + f"SELECT train_n, run, {r6(['precision', 'recall', 'f1_score', 'support'])}, n_successes, n_errors FROM RS"
+
+Q["size_summary"] = w(*RS) + f"""SELECT train_n, {r6(['precision', 'recall', 'f1_score', 'support'])},
+  CAST(n_successes AS BIGINT) AS n_successes, CAST(n_errors AS BIGINT) AS n_errors FROM (
+  SELECT train_n, avg(precision) AS precision, avg(recall) AS recall, avg(f1_score) AS f1_score,
+    avg(support) AS support, sum(n_successes) AS n_successes, sum(n_errors) AS n_errors FROM RS GROUP BY train_n) a"""
+
+Q["confidence_lists"] = w(V) + """SELECT train_n, run, CASE WHEN pred = intent THEN 'success' ELSE 'error' END AS outcome,
+  round(conf, 6) AS conf FROM V"""
+
+ISUM = [*VREP, """ISUM AS (SELECT train_n, intent, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM (
+  SELECT train_n, run, intent, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1
+  FROM VR GROUP BY train_n, run, intent) a GROUP BY train_n, intent)"""]
+
+Q["intent_summary"] = w(*ISUM) + f"SELECT train_n, intent, {r6(['precision', 'recall', 'f1'])} FROM ISUM"
+
+Q["new_counts"] = w(*VREP) + f"""SELECT train_n, intent, round(avg(new_examples), 6) AS new_examples FROM (
+  SELECT i.train_n, i.run, i.intent, coalesce(c.n, 0) AS new_examples
+  FROM (SELECT DISTINCT train_n, run, intent FROM VR) i
+  LEFT JOIN (SELECT train_n, run, intent, count(*) AS n FROM V WHERE pred <> intent OR conf < {T}
+             GROUP BY train_n, run, intent) c
+    ON c.train_n = i.train_n AND c.run = i.run AND c.intent = i.intent) a GROUP BY train_n, intent"""
+
+Q["pivot_intents"] = w(*ISUM) + "SELECT * FROM (PIVOT (SELECT train_n, intent, round(f1, 6) AS f1 FROM ISUM) ON intent USING first(f1) GROUP BY train_n) p"
+
+# --- naive Bayes on L, triage ------------------------------------------------------------
+
+TOKS = "list_filter(regexp_split_to_array(lower({t}), '[^a-z0-9]+'), lambda x: x <> '')"
+
+NB = [L, fewshot(), GRID, CAND,
+      f"""TK AS (SELECT train_n, run, intent, unnest({TOKS.format(t='text')}) AS token FROM FS)""",
+      """CNT AS (SELECT train_n, run, intent, token, count(*) AS n FROM TK GROUP BY train_n, run, intent, token)""",
+      """VOC AS (SELECT train_n, run, count(DISTINCT token) AS v FROM CNT GROUP BY train_n, run)""",
+      """NC AS (SELECT train_n, run, intent, sum(n) AS nc FROM CNT GROUP BY train_n, run, intent)""",
+      """DC AS (SELECT train_n, run, intent, count(*) AS d FROM FS GROUP BY train_n, run, intent)""",
+      """CLS AS (SELECT DC.train_n, DC.run, DC.intent,
+  ln(DC.d / sum(DC.d) OVER (PARTITION BY DC.train_n, DC.run)) AS logprior,
+  ln(coalesce(NC.nc, 0) + coalesce(VOC.v, 0)) AS dlog
+  FROM DC LEFT JOIN NC ON NC.train_n = DC.train_n AND NC.run = DC.run AND NC.intent = DC.intent
+  LEFT JOIN VOC ON VOC.train_n = DC.train_n AND VOC.run = DC.run)""",
+      f"""CT AS (SELECT train_n, run, pos, unnest({TOKS.format(t='text')}) AS token FROM C)""",
+      """CTV AS (SELECT CT.* FROM CT WHERE EXISTS (SELECT 1 FROM CNT WHERE CNT.train_n = CT.train_n
+  AND CNT.run = CT.run AND CNT.token = CT.token))""",
+      """TT AS (SELECT train_n, run, pos, count(*) AS t FROM CTV GROUP BY train_n, run, pos)""",
+      """SS AS (SELECT CTV.train_n, CTV.run, CTV.pos, CNT.intent AS cls, sum(ln(CNT.n + 1)) AS s
+  FROM CTV JOIN CNT ON CNT.train_n = CTV.train_n AND CNT.run = CTV.run AND CNT.token = CTV.token
+  GROUP BY CTV.train_n, CTV.run, CTV.pos, CNT.intent)""",
+      """SC AS (SELECT C.train_n, C.run, C.intent, C.text, C.pos, CLS.intent AS cls,
+  CLS.logprior - coalesce(TT.t, 0) * CLS.dlog + coalesce(SS.s, 0) AS s
+  FROM C JOIN CLS ON CLS.train_n = C.train_n AND CLS.run = C.run
+  LEFT JOIN TT ON TT.train_n = C.train_n AND TT.run = C.run AND TT.pos = C.pos
+  LEFT JOIN SS ON SS.train_n = C.train_n AND SS.run = C.run AND SS.pos = C.pos AND SS.cls = CLS.intent)""",
+      """SM AS (SELECT train_n, run, pos, max(s) AS ms FROM SC GROUP BY train_n, run, pos)""",
+      """NBP AS (SELECT SC.train_n, SC.run, SC.intent, SC.text, SC.pos, min(CASE WHEN SC.s = SM.ms THEN SC.cls END) AS pred,
+  1.0 / sum(exp(SC.s - SM.ms)) AS conf
+  FROM SC JOIN SM ON SM.train_n = SC.train_n AND SM.run = SC.run AND SM.pos = SC.pos
+  GROUP BY SC.train_n, SC.run, SC.intent, SC.text, SC.pos)"""]
+
+Q["nb_predict"] = w(*NB) + f"SELECT train_n, run, intent, pos, pred, {r6(['conf'])} FROM NBP"
+
+TRI = [*NB, """NEAR AS (SELECT * FROM (SELECT C.train_n, C.run, C.pos, f.pos AS origin_pos, levenshtein(C.text, f.text) AS dist,
+    row_number() OVER (PARTITION BY C.train_n, C.run, C.pos ORDER BY levenshtein(C.text, f.text), f.pos) AS r
+  FROM C JOIN FS f ON f.train_n = C.train_n AND f.run = C.run AND f.intent = C.intent) a WHERE r = 1)""",
+       f"""TR AS (SELECT NBP.train_n, NBP.run, NBP.intent, NBP.text, NBP.pos, NEAR.origin_pos, NEAR.dist, NBP.pred, NBP.conf,
+  CASE WHEN NBP.pred <> NBP.intent THEN 'error' WHEN NBP.conf < {T} THEN 'low cs' ELSE 'success' END AS category
+  FROM NBP JOIN NEAR ON NEAR.train_n = NBP.train_n AND NEAR.run = NBP.run AND NEAR.pos = NBP.pos)"""]
+
+Q["triage"] = w(*TRI) + f"""SELECT train_n, run, intent, pos, origin_pos, CAST(dist AS BIGINT) AS dist, pred,
+  {r6(['conf'])}, category FROM TR"""
+
+Q["best_per_origin"] = w(*TRI) + """SELECT train_n, run, intent, text, pos, false AS picked FROM FS
+UNION ALL SELECT train_n, run, intent, text, pos, true AS picked FROM (
+  SELECT *, row_number() OVER (PARTITION BY train_n, run, origin_pos
+      ORDER BY (category = 'error') DESC, dist DESC NULLS LAST, pos) AS r
+  FROM TR WHERE category IN ('error', 'low cs')) a WHERE r = 1"""
+
+Q["avg_growth"] = w(L, fewshot(), GRID, CAND, DIST) + f"""
+, FAR AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY train_n, run, intent
+    ORDER BY dist DESC NULLS LAST, pos) AS rk FROM D) x WHERE rk <= {K})
+, GR AS (SELECT train_n, run, count(*) AS sz FROM (SELECT DISTINCT train_n, run, intent, text FROM (
+    SELECT train_n, run, intent, text FROM FS UNION ALL SELECT train_n, run, intent, text FROM FAR) u) x
+  GROUP BY train_n, run)
+SELECT train_n, round(avg(sz - train_n * (SELECT count(DISTINCT intent) FROM L)), 6) AS avg_new_examples
+FROM GR GROUP BY train_n"""

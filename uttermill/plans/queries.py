@@ -133,3 +133,179 @@ def q_jaccard(spark, d):
     c, fs = _candidates_l(spark, d)
     r = distance.jaccard_pairs(c, fs, keys=["train_n", "run"], min_sim=0.25)
     return std(r.select("train_n", "run", "intent", "pos", "orig_pos", "sim"))
+
+
+# --- predictions: nearest centroid on E (N) -------------------------------------
+
+KEYS = ["train_n", "run"]
+
+
+def predictions_n(spark, d):
+    """N: few-shot centroids per split, every other vector scored."""
+    from ..operators import triage
+    E = fx.vectors(spark, d)
+    fs = corpora.fewshot_splits(E.select("intent", "text", "pos"))
+    base = fs.join(E.select("pos", "vec"), "pos")
+    model = triage.centroid_model(base, keys=KEYS)
+    cands = corpora.subtract_corpus(fs, corpora.for_each_run(E), keys=KEYS)
+    return triage.score_centroid(model, cands, keys=KEYS, scale=20.0)
+
+
+@register("centroid_predict")
+def q_centroid_predict(spark, d):
+    return std(predictions_n(spark, d).select(*KEYS, "text", "intent", "pred", "conf"))
+
+
+@register("uncertain")
+def q_uncertain(spark, d):
+    from ..operators import triage
+    r = triage.uncertain(predictions_n(spark, d), config.THRESHOLD)
+    return std(r.select(*KEYS, "text", "intent", "pred", "conf", "is_error"))
+
+
+def _report_n(spark, d):
+    from ..operators import evaluate
+    return evaluate.class_report(predictions_n(spark, d), keys=KEYS)
+
+
+@register("class_report")
+def q_class_report(spark, d):
+    return std(_report_n(spark, d))
+
+
+@register("confused_top3")
+def q_confused(spark, d):
+    from ..operators import evaluate
+    r = evaluate.confused_with(predictions_n(spark, d), 3, keys=KEYS)
+    return std(r.select(*KEYS, "intent", "confused", "n", "rk"))
+
+
+@register("totals")
+def q_totals(spark, d):
+    from ..operators import evaluate
+    return std(evaluate.report_totals(_report_n(spark, d), keys=KEYS))
+
+
+@register("run_listing")
+def q_run_listing(spark, d):
+    from ..operators import evaluate
+    grid = corpora.experiment_grid(spark, config.TRAIN_SIZES, config.RUNS + 1)
+    tot = evaluate.report_totals(_report_n(spark, d), keys=KEYS)
+    return std(evaluate.run_listing(grid, tot, keys=KEYS))
+
+
+# --- evaluation log V -------------------------------------------------------------
+
+VKEYS = ["train_n", "run", "loop"]
+
+
+def _v_report(spark, d):
+    from ..operators import evaluate
+    return evaluate.class_report(fx.events_log(spark, d), keys=VKEYS)
+
+
+@register("v_report")
+def q_v_report(spark, d):
+    return std(_v_report(spark, d))
+
+
+def _run_summary(spark, d):
+    from ..operators import evaluate
+    tot = evaluate.report_totals(_v_report(spark, d), keys=VKEYS)
+    return evaluate.run_summary(tot, fx.events_log(spark, d), keys=KEYS)
+
+
+@register("run_summary")
+def q_run_summary(spark, d):
+    return std(_run_summary(spark, d))
+
+
+@register("size_summary")
+def q_size_summary(spark, d):
+    from ..operators import evaluate
+    return std(evaluate.size_summary(_run_summary(spark, d)))
+
+
+@register("confidence_lists")
+def q_confidence_lists(spark, d):
+    from ..operators import evaluate
+    return std(evaluate.confidences(fx.events_log(spark, d), keys=KEYS))
+
+
+def _intent_summary(spark, d):
+    from ..operators import evaluate
+    return evaluate.intent_summary(_v_report(spark, d))
+
+
+@register("intent_summary")
+def q_intent_summary(spark, d):
+    return std(_intent_summary(spark, d))
+
+
+@register("new_counts")
+def q_new_counts(spark, d):
+    from ..operators import evaluate, triage
+    log = fx.events_log(spark, d)
+    kept = triage.uncertain(log, config.THRESHOLD)
+    return std(evaluate.new_example_counts(kept, _v_report(spark, d)))
+
+
+@register("pivot_intents")
+def q_pivot_intents(spark, d):
+    from ..operators import evaluate
+    return std(evaluate.pivot_intents(_intent_summary(spark, d), "f1"))
+
+
+# --- naive Bayes on L, triage ----------------------------------------------------------
+
+def _nb_l(spark, d, with_nearest=False):
+    from ..operators import triage
+    L = fx.corpus_lines(spark, d)
+    fs = corpora.fewshot_splits(L)
+    model = triage.train_nb(fs, keys=KEYS)
+    cands = corpora.subtract_corpus(fs, corpora.for_each_run(L), keys=KEYS)
+    return triage.score_nb(model, cands), fs, L
+
+
+@register("nb_predict")
+def q_nb_predict(spark, d):
+    p, _, _ = _nb_l(spark, d)
+    return std(p.select(*KEYS, "intent", "pos", "pred", "conf"))
+
+
+def _triage_l(spark, d):
+    from ..operators import triage
+    L = fx.corpus_lines(spark, d)
+    fs = corpora.fewshot_splits(L)
+    model = triage.train_nb(fs, keys=KEYS)
+    near = distance.min_distance_fewshot(L, fs, config.TRAIN_SIZES, with_nearest=True)
+    scored = triage.score_nb(model, near)
+    return triage.triage_table(scored, config.THRESHOLD), fs
+
+
+@register("triage")
+def q_triage(spark, d):
+    t, _ = _triage_l(spark, d)
+    return std(t.select(*KEYS, "intent", "pos", "origin_pos", "dist", "pred", "conf", "category"))
+
+
+@register("best_per_origin")
+def q_best_per_origin(spark, d):
+    from ..operators import triage
+    t, fs = _triage_l(spark, d)
+    r = triage.best_per_origin(t, fs, keys=KEYS)
+    return std(r.select(*KEYS, "intent", "text", "pos", "picked"))
+
+
+@register("avg_growth")
+def q_avg_growth(spark, d):
+    from ..operators import evaluate
+    L = fx.corpus_lines(spark, d)
+    fs = corpora.fewshot_splits(L)
+    far = distance.farthest_per_intent(
+        distance.min_distance_fewshot(L, fs, config.TRAIN_SIZES), config.KEEP_BY_DISTANCE, keys=KEYS)
+    grown = corpora.merge_corpora(fs, far, keys=KEYS)
+    n_int = L.select(F.countDistinct("intent")).scalar()
+    base = (spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in config.TRAIN_SIZES])).alias("train_n"))
+            .withColumn("n", F.col("train_n") * n_int))
+    return std(evaluate.avg_growth(grown, base, keys=KEYS))
