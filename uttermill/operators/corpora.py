@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import md5_order
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialize
 
 
 def _k(keys) -> list[str]:
@@ -89,12 +89,15 @@ def one_per_intent(df: DataFrame, seed=config.SEED, keys=()) -> DataFrame:
 
 
 def fewshot_splits(corpus: DataFrame, sizes: Sequence[int] = config.TRAIN_SIZES,
-                   runs: int = config.RUNS, seed=config.SEED, keys=()) -> DataFrame:
+                   runs: int = config.RUNS, seed=config.SEED, keys=(),
+                   checkpoint: bool = True) -> DataFrame:
     """SET-5: for run r = 1..runs pick per intent the first max(sizes)
     texts in md5(seed|run|text) order; split train_n holds the first
     train_n of them (splits of one run are nested).
 
     Output: keys, train_n, run, intent, text, pos, rk (1-based pick rank).
+    The picks are few (intents x max(sizes) x runs) and feed several later
+    steps, so by default they are checkpointed once.
     """
     k = _k(keys)
     top = max(sizes)
@@ -104,5 +107,6 @@ def fewshot_splits(corpus: DataFrame, sizes: Sequence[int] = config.TRAIN_SIZES,
     w = Window.partitionBy(*k, "run", "intent").orderBy("_h", "text")
     x = x.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= top).drop("_h")
     x = x.withColumn("train_n", F.explode(F.array(*[F.lit(int(s)) for s in sizes])))
-    return x.where(F.col("rk") <= F.col("train_n")).select(
+    x = x.where(F.col("rk") <= F.col("train_n")).select(
         *k, "train_n", "run", "intent", "text", "pos", "rk")
+    return materialize(x) if checkpoint else x

@@ -7,10 +7,10 @@ candidates, all splits in one job. Two model kinds:
   smoothing, tokens outside the split's vocabulary ignored;
 - nearest centroid over vectors, confidence = softmax(scale x cosine).
 
-A trained model is small (few-shot base corpora), so it is joined to the
-candidates as one row per split and applied in-row with higher-order
-functions: the candidates are never shuffled. When a vocabulary is larger
-than the guard, naive Bayes falls back to token joins and aggregations.
+Naive Bayes scores candidates through a hash join of their tokens with the
+model's weight table and one aggregation per candidate. The centroid model
+is one small row per split (classes x dimension), joined to the candidates
+and applied in-row with higher-order functions.
 """
 
 from __future__ import annotations
@@ -22,20 +22,31 @@ from .. import config
 from ..functions import tokens_lower
 from ..session import broadcast_if_small
 
-NB_MAP_MAX_TOKENS = 1_000_000
-
-
 def _k(keys) -> list[str]:
     return list(keys or ())
 
 
 def _argmax_softmax(scores_col: str, scale: float = 1.0):
     """(pred, conf) from an array<struct<s: double, intent: string>>: the
-    best class (ties -> smallest class name) and its softmax probability."""
-    m = F.array_max(F.transform(scores_col, lambda x: x["s"]))
-    pred = F.array_min(F.transform(F.filter(scores_col, lambda x: x["s"] == m), lambda x: x["intent"]))
-    denom = F.aggregate(scores_col, F.lit(0.0), lambda acc, x: acc + F.exp((x["s"] - m) * scale))
-    return pred, F.lit(1.0) / denom
+    best class (ties -> smallest class name) and its softmax probability.
+
+    One pass over the array with a running maximum (online log-sum-exp),
+    so the result stays linear in the number of classes even where the
+    optimizer inlines the score array into several expressions."""
+    init = F.struct(F.lit(float("-inf")).alias("m"), F.lit(None).cast("string").alias("p"),
+                    F.lit(0.0).alias("z"))
+
+    def step(acc, x):
+        higher = F.struct(x["s"].alias("m"), x["intent"].alias("p"),
+                          (acc["z"] * F.exp((acc["m"] - x["s"]) * scale) + 1.0).alias("z"))
+        tie = F.struct(acc["m"].alias("m"), F.least(acc["p"], x["intent"]).alias("p"),
+                       (acc["z"] + 1.0).alias("z"))
+        lower = F.struct(acc["m"].alias("m"), acc["p"].alias("p"),
+                         (acc["z"] + F.exp((x["s"] - acc["m"]) * scale)).alias("z"))
+        return F.when(x["s"] > acc["m"], higher).when(x["s"] == acc["m"], tie).otherwise(lower)
+
+    r = F.aggregate(scores_col, init, step)
+    return r["p"], F.lit(1.0) / r["z"]
 
 
 # --- naive Bayes -------------------------------------------------------------
@@ -71,51 +82,41 @@ def _join_keys(a: DataFrame, b: DataFrame, k: list[str]) -> DataFrame:
     return a.select("*", *[b.select(F.first(c)).scalar().alias(c) for c in row_cols])
 
 
-def score_nb(model: dict, candidates: DataFrame, text: str = "text") -> DataFrame:
-    """TRI-1 (score): ``pred`` and ``conf`` for every candidate of the
-    split (candidates carry the run keys)."""
+def score_nb(model: dict, candidates: DataFrame, ids, text: str = "text") -> DataFrame:
+    """TRI-1 (score): ``pred`` and ``conf`` for every candidate of a split.
+
+    ``candidates`` carry the run keys and unique ``ids`` within a split.
+    The candidate tokens meet the model's weight table in a hash join (the
+    table is broadcast when its size allows), the weights of one candidate
+    are summed per class in one aggregation, and the scores are joined back
+    to the candidates; a candidate without known tokens scores its priors.
+    """
     k = model["keys"]
+    ids = list(ids)
     classes, weights = model["classes"], model["weights"]
-    n_tokens = weights.select(*k, "token").distinct().limit(NB_MAP_MAX_TOKENS + 1).count()
-    if n_tokens <= NB_MAP_MAX_TOKENS:
-        return _score_nb_maps(classes, weights, candidates, k, text)
-    return _score_nb_joins(classes, weights, candidates, k, text)
-
-
-def _score_nb_maps(classes, weights, candidates, k, text):
-    wmap = (weights.groupBy(*k, "token").agg(F.map_from_entries(F.collect_list(F.struct("intent", "w"))).alias("m"))
-            .groupBy(*k).agg(F.map_from_entries(F.collect_list(F.struct("token", "m"))).alias("_wmap")))
-    cls = classes.groupBy(*k).agg(F.collect_list(F.struct("intent", "logprior", "dlog")).alias("_cls"))
-    model = cls.join(wmap, k, "left") if k else cls.select("*", wmap.select("_wmap").scalar().alias("_wmap"))
-    model = broadcast_if_small(model)
-    c = candidates.join(model, k, "left") if k else candidates.select(
-        "*", *[model.select(F.first(x)).scalar().alias(x) for x in ("_cls", "_wmap")])
-    inv = F.filter(tokens_lower(F.col(text)), lambda t: F.coalesce(F.map_contains_key("_wmap", t), F.lit(False)))
-    c = c.withColumn("_t", inv)
+    # vocabulary marker rows (intent null, w 0) count the in-vocabulary tokens
+    vocab = weights.select(*k, "token").distinct().select(
+        *k, "token", F.lit(None).cast("string").alias("intent"), F.lit(0.0).alias("w"))
+    table = broadcast_if_small(weights.select(*k, "token", "intent", "w").unionByName(vocab))
+    toks = candidates.select(*k, *ids, F.explode(tokens_lower(F.col(text))).alias("token"))
+    per = (toks.join(table, k + ["token"])
+           .groupBy(*k, *ids, "intent")
+           .agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("n"))
+           .groupBy(*k, *ids)
+           .agg(F.collect_list(F.struct("intent", "s", "n")).alias("_parts")))
+    cls = broadcast_if_small(classes.groupBy(*k).agg(
+        F.collect_list(F.struct("intent", "logprior", "dlog")).alias("_cls")))
+    c = candidates.join(per, k + ids, "left").join(cls, k, "left")
+    n_in = F.coalesce(F.aggregate(F.filter("_parts", lambda p: p["intent"].isNull()), F.lit(0).cast("long"),
+                                  lambda acc, p: acc + p["n"]), F.lit(0).cast("long"))
     scores = F.transform("_cls", lambda cl: F.struct(
-        (cl["logprior"] - F.size("_t") * cl["dlog"]
-         + F.aggregate("_t", F.lit(0.0), lambda acc, t: acc + F.coalesce(
-             F.element_at(F.element_at("_wmap", t), cl["intent"]), F.lit(0.0)))).alias("s"),
+        (cl["logprior"] - n_in * cl["dlog"]
+         + F.coalesce(F.aggregate(F.filter("_parts", lambda p: p["intent"] == cl["intent"]),
+                                  F.lit(0.0), lambda acc, p: acc + p["s"]), F.lit(0.0))).alias("s"),
         cl["intent"].alias("intent")))
     c = c.withColumn("_s", scores)
     pred, conf = _argmax_softmax("_s")
-    return c.withColumn("pred", pred).withColumn("conf", conf).drop("_cls", "_wmap", "_t", "_s")
-
-
-def _score_nb_joins(classes, weights, candidates, k, text):
-    c = candidates.withColumn("_cid", F.monotonically_increasing_id())
-    toks = c.select("_cid", *k, F.explode(tokens_lower(F.col(text))).alias("token"))
-    s = (toks.join(weights, k + ["token"]).groupBy("_cid", "intent").agg(F.sum("w").alias("_S")))
-    t = (toks.join(weights.select(*k, "token").distinct(), k + ["token"], "left_semi")
-         .groupBy("_cid").agg(F.count(F.lit(1)).alias("_T")))
-    rows = (c.select("_cid", *k).join(broadcast_if_small(classes), k)
-            .join(s, ["_cid", "intent"], "left").join(t, "_cid", "left")
-            .withColumn("_sc", F.col("logprior") - F.coalesce("_T", F.lit(0)) * F.col("dlog")
-                        + F.coalesce("_S", F.lit(0.0))))
-    per = rows.groupBy("_cid").agg(F.collect_list(F.struct(F.col("_sc").alias("s"), "intent")).alias("_s"))
-    pred, conf = _argmax_softmax("_s")
-    per = per.select("_cid", pred.alias("pred"), conf.alias("conf"))
-    return c.join(per, "_cid").drop("_cid")
+    return c.withColumn("pred", pred).withColumn("conf", conf).drop("_parts", "_cls", "_s")
 
 
 # --- nearest centroid ---------------------------------------------------------

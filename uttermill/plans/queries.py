@@ -264,7 +264,7 @@ def _nb_l(spark, d, with_nearest=False):
     fs = corpora.fewshot_splits(L)
     model = triage.train_nb(fs, keys=KEYS)
     cands = corpora.subtract_corpus(fs, corpora.for_each_run(L), keys=KEYS)
-    return triage.score_nb(model, cands), fs, L
+    return triage.score_nb(model, cands, ids=["pos"]), fs, L
 
 
 @register("nb_predict")
@@ -279,7 +279,7 @@ def _triage_l(spark, d):
     fs = corpora.fewshot_splits(L)
     model = triage.train_nb(fs, keys=KEYS)
     near = distance.min_distance_fewshot(L, fs, config.TRAIN_SIZES, with_nearest=True)
-    scored = triage.score_nb(model, near)
+    scored = triage.score_nb(model, near, ids=["pos"])
     return triage.triage_table(scored, config.THRESHOLD), fs
 
 

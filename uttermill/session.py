@@ -83,3 +83,12 @@ def spread(df: DataFrame) -> DataFrame:
     n = max(2 * spark.sparkContext.defaultParallelism,
             int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     return df.repartition(n)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a small, reused intermediate result once to the shared
+    checkpoint folder (reliable checkpoint: survives lost executors and cuts
+    the lineage, so later size checks and joins read it instead of
+    recomputing its plan)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
