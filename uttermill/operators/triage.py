@@ -106,7 +106,7 @@ def score_nb(model: dict, candidates: DataFrame, ids, text: str = "text") -> Dat
            .agg(F.collect_list(F.struct("intent", "s", "n")).alias("_parts")))
     cls = broadcast_if_small(classes.groupBy(*k).agg(
         F.collect_list(F.struct("intent", "logprior", "dlog")).alias("_cls")))
-    c = candidates.join(per, k + ids, "left").join(cls, k, "left")
+    c = _join_keys(candidates.join(per, k + ids, "left"), cls, k)
     n_in = F.coalesce(F.aggregate(F.filter("_parts", lambda p: p["intent"].isNull()), F.lit(0).cast("long"),
                                   lambda acc, p: acc + p["n"]), F.lit(0).cast("long"))
     scores = F.transform("_cls", lambda cl: F.struct(
@@ -138,7 +138,7 @@ def score_centroid(model: DataFrame, candidates: DataFrame, keys=(), vec: str =
     from ..functions import cosine
     k = _k(keys)
     m = broadcast_if_small(model.groupBy(*k).agg(F.collect_list(F.struct("intent", "centroid")).alias("_cen")))
-    c = candidates.join(m, k, "left")
+    c = _join_keys(candidates, m, k)
     c = c.withColumn("_s", F.transform("_cen", lambda e: F.struct(
         cosine(F.col(vec), e["centroid"]).alias("s"), e["intent"].alias("intent"))))
     pred, conf = _argmax_softmax("_s", scale)
