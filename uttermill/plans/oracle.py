@@ -300,3 +300,22 @@ Q["avg_growth"] = w(L, fewshot(), GRID, CAND, DIST) + f"""
   GROUP BY train_n, run)
 SELECT train_n, round(avg(sz - train_n * (SELECT count(DISTINCT intent) FROM L)), 6) AS avg_new_examples
 FROM GR GROUP BY train_n"""
+
+# --- corpus files ------------------------------------------------------------------------
+
+Q["corpus_scan"] = w(L) + r"""SELECT intent, t AS text FROM (
+  SELECT intent, unnest(string_split(replace(replace(replace(regexp_replace(text, '\([^)]*\)', '', 'g'),
+         '[', ''), ']', ''), ' -', ' '), '- ')) AS t FROM L) x WHERE t <> ''"""
+
+Q["raw_scan"] = w(L) + """SELECT intent, t AS raw FROM (
+  SELECT intent, unnest(string_split(text, '- ')) AS t FROM L) x WHERE t <> ''"""
+
+ENT = r"'\[[^)]*\]\([^)]*\)'"
+Q["entity_extract"] = w(P) + f"""
+, PR AS (SELECT intent, pos, regexp_replace(text, ' (\\S+)$', ' [\\1](item)') AS raw FROM P)
+, M AS (SELECT intent, pos, unnest(regexp_extract_all(raw, {ENT})) AS entity,
+          unnest(range(0, len(regexp_extract_all(raw, {ENT})))) AS i FROM PR)
+, FI AS (SELECT intent, entity, min(pos * 100 + i) AS f FROM M GROUP BY intent, entity)
+SELECT intent, entity, replace(replace(regexp_replace(entity, '\\([^)]*\\)', '', 'g'), '[', ''), ']', '') AS surface,
+  regexp_replace(regexp_replace(entity, '\\[[^)]*\\]', '', 'g'), '^\\(|\\)$', '', 'g') AS etype,
+  CAST(row_number() OVER (PARTITION BY intent ORDER BY f) AS BIGINT) AS ord FROM FI"""

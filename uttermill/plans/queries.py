@@ -309,3 +309,40 @@ def q_avg_growth(spark, d):
     base = (spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in config.TRAIN_SIZES])).alias("train_n"))
             .withColumn("n", F.col("train_n") * n_int))
     return std(evaluate.avg_growth(grown, base, keys=KEYS))
+
+
+# --- corpus files: SNK-1 -> SRC-1/2/3 round trip ------------------------------------------
+
+def _roundtrip(spark, df, name, keys=()):
+    from ..session import scratch_path
+    from ..sinks.corpus import write_corpus
+    path = scratch_path(spark, name)
+    write_corpus(df, path, keys=keys)
+    return path
+
+
+@register("corpus_scan")
+def q_corpus_scan(spark, d):
+    """L written as a corpus document set, read back and cleaned (SRC-1)."""
+    from ..sources.corpus import read_corpus
+    path = _roundtrip(spark, fx.corpus_lines(spark, d), "corpus")
+    return std(read_corpus(spark, path).select("intent", "text"))
+
+
+@register("raw_scan")
+def q_raw_scan(spark, d):
+    from ..sources.corpus import read_raw
+    path = _roundtrip(spark, fx.corpus_lines(spark, d), "corpus-raw")
+    return std(read_raw(spark, path).select("intent", "raw"))
+
+
+def _annotated_parts(spark, d):
+    P = fx.corpus_parts(spark, d)
+    return P.withColumn("text", F.regexp_replace("text", r" (\S+)$", " [$1](item)"))
+
+
+@register("entity_extract")
+def q_entity_extract(spark, d):
+    from ..sources.corpus import extract_entities, read_raw
+    path = _roundtrip(spark, _annotated_parts(spark, d), "corpus-ent")
+    return std(extract_entities(read_raw(spark, path)).select("intent", "entity", "surface", "etype", "ord"))
