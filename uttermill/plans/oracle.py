@@ -319,3 +319,29 @@ Q["entity_extract"] = w(P) + f"""
 SELECT intent, entity, replace(replace(regexp_replace(entity, '\\([^)]*\\)', '', 'g'), '[', ''), ']', '') AS surface,
   regexp_replace(regexp_replace(entity, '\\[[^)]*\\]', '', 'g'), '^\\(|\\)$', '', 'g') AS etype,
   CAST(row_number() OVER (PARTITION BY intent ORDER BY f) AS BIGINT) AS ord FROM FI"""
+
+# --- evaluation outputs round trips -------------------------------------------------------
+
+Q["prediction_scan"] = w(*NCTE) + f"""SELECT train_n, run, text, intent, pred, {r6(['conf'])},
+  CASE WHEN pred <> intent THEN 'error' ELSE 'success' END AS outcome FROM N"""
+
+CONFUSED = """CF AS (SELECT train_n, run, intent, string_agg(confused, ',' ORDER BY confused) AS confused FROM (
+  SELECT *, row_number() OVER (PARTITION BY train_n, run, intent ORDER BY n DESC, confused) AS rk FROM (
+    SELECT train_n, run, intent, pred AS confused, count(*) AS n
+    FROM (SELECT DISTINCT train_n, run, text, intent, pred FROM N) a WHERE pred <> intent
+    GROUP BY train_n, run, intent, pred) b) c WHERE rk <= 3 GROUP BY train_n, run, intent)"""
+
+Q["report_scan"] = w(*NCTE, report("N", KN), CONFUSED) + f"""SELECT r.train_n, r.run, r.intent,
+  {', '.join(f'round(r.{c}, 6) AS {c}' for c in ['precision', 'recall', 'f1'])}, r.support, cf.confused
+FROM RPT r LEFT JOIN CF cf ON cf.train_n = r.train_n AND cf.run = r.run AND cf.intent = r.intent"""
+
+Q["report_totals_scan"] = w(*NCTE, report("N", KN), totals("RPT", KN)) + (
+    f"SELECT train_n, run, {r6(['accuracy', 'macro_f1', 'weighted_precision', 'weighted_recall', 'weighted_f1'])}, support FROM TOT")
+
+Q["filter_scan"] = w(*NCTE) + f"SELECT train_n, run, intent, text FROM N WHERE pred <> intent OR conf < {T}"
+
+Q["grid_scan"] = w(V) + """SELECT 'repository' AS dataset, 'augment_and_human' AS exp_type, train_n, run, loop,
+  CAST(count(*) AS BIGINT) AS n FROM V GROUP BY train_n, run, loop"""
+
+Q["results_csv"] = w(*NCTE, report("N", KN)) + (
+    f"SELECT train_n, run, intent, {r6(['precision', 'recall', 'f1'])}, support, tp FROM RPT")

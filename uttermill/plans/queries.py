@@ -346,3 +346,78 @@ def q_entity_extract(spark, d):
     from ..sources.corpus import extract_entities, read_raw
     path = _roundtrip(spark, _annotated_parts(spark, d), "corpus-ent")
     return std(extract_entities(read_raw(spark, path)).select("intent", "entity", "surface", "etype", "ord"))
+
+
+# --- evaluation outputs: SNK-2/3 and writers -> SRC-5..8 round trips ------------------------
+
+@register("prediction_scan")
+def q_prediction_scan(spark, d):
+    from ..session import scratch_path
+    from ..sinks.results import write_predictions
+    from ..sources.logs import read_predictions
+    root = scratch_path(spark, "predictions")
+    write_predictions(predictions_n(spark, d), root, keys=KEYS)
+    r = read_predictions(spark, root)
+    return std(r.select(*KEYS, "text", "intent", "pred", "conf", "outcome"))
+
+
+def _reports_roundtrip(spark, d):
+    from ..operators import evaluate
+    from ..session import scratch_path
+    from ..sinks.results import write_reports
+    from ..sources.logs import read_reports
+    pred = predictions_n(spark, d)
+    rep = evaluate.class_report(pred, keys=KEYS)
+    tot = evaluate.report_totals(rep, keys=KEYS)
+    conf = evaluate.confused_with(pred, 3, keys=KEYS)
+    root = scratch_path(spark, "reports")
+    write_reports(rep, tot, conf, root, keys=KEYS)
+    return read_reports(spark, root)
+
+
+@register("report_scan")
+def q_report_scan(spark, d):
+    per, _ = _reports_roundtrip(spark, d)
+    conf = F.when(F.size("confused_with") > 0, F.array_join(F.array_sort(F.map_keys("confused_with")), ","))
+    return std(per.select(*KEYS, "intent", "precision", "recall", "f1", "support", conf.alias("confused")))
+
+
+@register("report_totals_scan")
+def q_report_totals_scan(spark, d):
+    _, tot = _reports_roundtrip(spark, d)
+    return std(tot.select(*KEYS, "accuracy", "macro_f1", "weighted_precision", "weighted_recall",
+                          "weighted_f1", "support"))
+
+
+@register("filter_scan")
+def q_filter_scan(spark, d):
+    from ..operators import triage
+    from ..session import scratch_path
+    from ..sinks.results import write_filter_results
+    from ..sources.logs import read_filter_results
+    root = scratch_path(spark, "filters")
+    write_filter_results(triage.uncertain(predictions_n(spark, d)), root, keys=KEYS, chunk=100)
+    return std(read_filter_results(spark, root).select(*KEYS, "intent", "text"))
+
+
+@register("grid_scan")
+def q_grid_scan(spark, d):
+    """SRC-7 on reference-style result paths built from every row of V."""
+    from ..sources.logs import with_grid_keys
+    v = fx.events_log(spark, d)
+    path = F.concat(F.lit("/results/repository/augment_and_human_train_1-3-5_cs_threshold_0.7_2021-08-05_15-12"),
+                    F.lit("/train_"), F.col("train_n"), F.lit("/run_"), F.col("run"),
+                    F.lit("/results/loop_"), F.col("loop"), F.lit("/intent_report.json"))
+    g = with_grid_keys(v.select(path.alias("_file")))
+    return std(g.groupBy("dataset", "exp_type", *VKEYS).agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("results_csv")
+def q_results_csv(spark, d):
+    """SNK-3: the class report of N as CSV with header, read back."""
+    from ..session import scratch_path
+    from ..sinks.results import write_results
+    path = scratch_path(spark, "csv")
+    write_results(_report_n(spark, d), path)
+    schema = "train_n int, run int, intent string, precision double, recall double, f1 double, support long, tp long"
+    return std(spark.read.schema(schema).option("header", True).csv(path))
