@@ -66,3 +66,45 @@ def events_log(spark: SparkSession, d: str) -> DataFrame:
         F.element_at("types", (k % F.size("types") + 1).cast("int")).alias("pred"),
         (F.col("value") / (F.col("value") + 10)).alias("conf"),
     )
+
+
+# --- P as a tagged corpus (EXP tests) ------------------------------------------------------
+
+def part_tokens(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.lexical import tokenize
+    return tokenize(corpus_parts(spark, d), ["intent", "pos"])
+
+
+def part_lexicon(tokens: DataFrame) -> DataFrame:
+    """Lexicon from P: first words tagged VERB, second words NOUN (NOUN wins
+    for a word seen in both places); lemma by the rule lemmatiser."""
+    from ..functions import lemma_rule
+    tag = F.when(F.col("tok_pos") == 0, "VERB").otherwise("NOUN")
+    return (tokens.groupBy(F.col("token").alias("word")).agg(F.min(tag).alias("upos"))
+            .withColumn("lemma", lemma_rule("word")))
+
+
+def part_synonyms(tokens: DataFrame) -> DataFrame:
+    """Synonym table from P: words at the same position in names of the
+    same type are synonyms (rank 1; lists then sort by the synonym)."""
+    g = (tokens.select("intent", "tok_pos", "token").distinct()
+         .groupBy("intent", "tok_pos").agg(F.collect_set("token").alias("ws")))
+    return (g.select(F.explode("ws").alias("word"), "ws")
+            .select("word", F.explode("ws").alias("synonym"), F.lit(1).alias("rank")))
+
+
+def pair_sources(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Pair sources: conversation user turns -> the next assistant turn,
+    and P names -> the next name of the same type in md5 order."""
+    from ..functions import md5_order
+    from ..operators.pairs import select_pairs
+    from pyspark.sql import Window
+    cv = table(spark, d, "conversations")
+    u = cv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("a"))
+    a = cv.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
+                                                      F.col("text").alias("b"))
+    conv = select_pairs(u.join(a, ["conv_id", "turn"]), "a", "b", source="conversations")
+    P = corpus_parts(spark, d)
+    w = Window.partitionBy("intent").orderBy(md5_order(7, "text"), "text")
+    nxt = P.withColumn("b", F.lead("text").over(w)).where(F.col("b").isNotNull())
+    return [conv, select_pairs(nxt, "text", "b", source="part")]

@@ -345,3 +345,140 @@ Q["grid_scan"] = w(V) + """SELECT 'repository' AS dataset, 'augment_and_human' A
 
 Q["results_csv"] = w(*NCTE, report("N", KN)) + (
     f"SELECT train_n, run, intent, {r6(['precision', 'recall', 'f1'])}, support, tp FROM RPT")
+
+# --- EXP on P -------------------------------------------------------------------------------
+
+TOKP = """TOK AS (SELECT intent, pos, unnest(string_split(text, ' ')) AS token,
+  unnest(range(0, len(string_split(text, ' ')))) AS tok_pos FROM P)"""
+LEX = f"""LEX AS (SELECT token AS word, min(CASE WHEN tok_pos = 0 THEN 'VERB' ELSE 'NOUN' END) AS upos,
+  {lemma_sql('token')} AS lemma FROM TOK GROUP BY token)"""
+SYN = """SYN AS (SELECT DISTINCT a.token AS word, b.token AS synonym, 1 AS rank
+  FROM (SELECT DISTINCT intent, tok_pos, token FROM TOK) a
+  JOIN (SELECT DISTINCT intent, tok_pos, token FROM TOK) b ON a.intent = b.intent AND a.tok_pos = b.tok_pos)"""
+SL = """SL AS (SELECT word, synonym, row_number() OVER (PARTITION BY word ORDER BY synonym) - 1 AS r,
+  count(*) OVER (PARTITION BY word) AS sz FROM SYN)"""
+COMBO = """CB AS (SELECT t0.intent, t0.pos, CAST(a.r * b.sz + b.r AS BIGINT) AS idx, a.synonym || ' ' || b.synonym AS text
+  FROM TOK t0 JOIN TOK t1 ON t1.intent = t0.intent AND t1.pos = t0.pos AND t0.tok_pos = 0 AND t1.tok_pos = 1
+  JOIN SL a ON a.word = t0.token JOIN SL b ON b.word = t1.token)"""
+
+Q["token_tags"] = w(P, TOKP, LEX) + """SELECT t.intent, t.pos, CAST(t.tok_pos AS BIGINT) AS tok_pos, t.token, l.upos, l.lemma
+FROM TOK t LEFT JOIN LEX l ON l.word = t.token"""
+
+Q["replaceable"] = w(P, TOKP, LEX) + """SELECT m.mode, t.intent, t.pos, CAST(t.tok_pos AS BIGINT) AS tok_pos, t.token,
+  CASE m.mode WHEN 'verb' THEN l.upos = 'VERB' WHEN 'noun' THEN l.upos = 'NOUN'
+              ELSE l.upos IN ('VERB', 'NOUN') END AS replaceable
+FROM TOK t LEFT JOIN LEX l ON l.word = t.token, (SELECT unnest(['verb', 'noun', 'verb_and_noun']) AS mode) m"""
+
+Q["synonym_tables"] = w(P, TOKP, SYN) + "SELECT word, synonym, CAST(rank AS BIGINT) AS rank FROM SYN"
+
+Q["vector_table"] = w(E) + """SELECT text AS word, CAST(len(vec) AS BIGINT) AS dim,
+  round(vec[1] / sqrt(list_dot_product(vec, vec)), 6) AS v1, round(1.0, 6) AS norm2 FROM E"""
+
+Q["lexical_synonyms"] = w(P, TOKP, SYN) + """SELECT t.token, s.synonym, CAST(s.rank AS BIGINT) AS rank
+FROM (SELECT DISTINCT token FROM TOK) t LEFT JOIN SYN s ON s.word = t.token"""
+
+Q["synonym_guard"] = w(P, TOKP, SYN) + f"""SELECT token, CASE WHEN lower(token) IN ({', '.join(repr(x) for x in config.WH_WORDS)})
+  THEN token ELSE coalesce(syns, token) END AS syns FROM (
+  SELECT t.token, string_agg(s.synonym, ',' ORDER BY s.rank, s.synonym) AS syns
+  FROM (SELECT DISTINCT token FROM TOK) t LEFT JOIN SYN s ON s.word = t.token GROUP BY t.token) x"""
+
+Q["vector_synonyms"] = w(E) + """SELECT token, synonym, CAST(rank AS BIGINT) AS rank, round(sim, 6) AS sim FROM (
+  SELECT a.text AS token, b.text AS synonym,
+    list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))) AS sim,
+    row_number() OVER (PARTITION BY a.text ORDER BY list_dot_product(a.vec, b.vec)
+        / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))) DESC, b.text) AS rank
+  FROM E a JOIN E b ON a.text <> b.text) x WHERE rank <= 3"""
+
+Q["combinations"] = w(P, TOKP, SYN, SL, COMBO) + "SELECT intent, pos, idx, text FROM CB"
+
+Q["provenance"] = w(P, TOKP, SYN, SL, COMBO) + """SELECT intent, text, min(origin_pos) AS origin_pos FROM (
+  SELECT intent, text, pos AS origin_pos FROM P UNION ALL SELECT intent, text, pos FROM CB) u GROUP BY intent, text"""
+
+# --- pairs, paraphrases ------------------------------------------------------------------------
+
+PAIRS = """PR0 AS (
+  SELECT 'conversations' AS source, 'paraphrase' AS prefix, u.text AS input_text, a.text AS target_text
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant'
+  UNION ALL
+  SELECT 'part', 'paraphrase', text, b FROM (
+    SELECT text, lead(text) OVER (PARTITION BY intent ORDER BY md5(concat_ws('|', '7', text)), text) AS b FROM P) x
+  WHERE b IS NOT NULL),
+PR AS (SELECT * FROM PR0 WHERE input_text IS NOT NULL AND target_text IS NOT NULL)"""
+
+
+def detok(c: str) -> str:
+    out = c
+    for a, b in config.DETOKENISE:
+        out = f"replace({out}, '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')"
+    return out
+
+
+PRC = f"""PRC AS (SELECT source, prefix, {detok('input_text')} AS input_text, {detok('target_text')} AS target_text FROM PR)"""
+
+Q["pairs_build"] = w(P, PAIRS) + "SELECT source, prefix, input_text, target_text FROM PR"
+Q["pairs_clean"] = w(P, PAIRS, PRC) + "SELECT source, prefix, input_text, target_text FROM PRC"
+Q["pairs_split"] = w(P, PAIRS, PRC) + f"""SELECT source, input_text, target_text,
+  CASE WHEN CAST(('0x' || substr(md5(concat_ws('|', '{SEED}', input_text, target_text)), 1, 8)) AS BIGINT) / 4294967296.0 < 0.25
+       THEN 'test' ELSE 'train' END AS split FROM PRC"""
+
+PARA = f"""G AS (SELECT intent, pos, text, string_split(text, ' ') AS t FROM P),
+NG AS (SELECT intent, pos, t, s, n, array_to_string(t[s + 1:s + n], ' ') AS g FROM G,
+  (SELECT unnest(range(0, 4)) AS s) a, (SELECT unnest(range(1, 5)) AS n) b WHERE s + n <= len(t)),
+PM AS (SELECT NG.*, p.target_text, row_number() OVER (PARTITION BY intent, pos ORDER BY n DESC, s, p.target_text) AS k_i
+  FROM NG JOIN (SELECT DISTINCT input_text, target_text FROM PRC) p ON p.input_text = NG.g),
+PP AS (SELECT intent, pos, CAST(k_i AS BIGINT) AS k_i,
+  concat_ws(' ', CASE WHEN s > 0 THEN array_to_string(t[1:s], ' ') END, target_text,
+            CASE WHEN s + n < len(t) THEN array_to_string(t[s + n + 1:], ' ') END) AS pred
+  FROM PM WHERE k_i <= {config.PARAPHRASES_PER_INPUT})"""
+
+Q["paraphrase_pairs"] = w(P, PAIRS, PRC, PARA) + "SELECT intent, pos, k_i, pred FROM PP"
+
+Q["paraphrase_clean"] = r"""WITH U AS (SELECT u.conv_id, u.turn, u.text, a.text AS reply
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant'),
+X AS (SELECT conv_id, turn, text, unnest([reply, lower(replace(replace(replace(text, '?', ''), '.', ''), ',', '')), text]) AS pred,
+             unnest([1, 2, 3]) AS k_i FROM U),
+D AS (SELECT conv_id, turn, text, pred, min(k_i) AS k_i FROM X GROUP BY conv_id, turn, text, pred)
+SELECT conv_id, CAST(turn AS BIGINT) AS turn, CAST(k_i AS BIGINT) AS k_i,
+  trim(regexp_replace(pred, '[^\x01-\x7F]', '', 'g')) AS pred FROM D
+WHERE pred <> text AND lower(replace(replace(replace(pred, '?', ''), '.', ''), ',', ''))
+                    <> lower(replace(replace(replace(text, '?', ''), '.', ''), ',', ''))"""
+
+Q["assemble"] = w(P, PAIRS, PRC, PARA) + r"""SELECT intent, text, pos AS origin_pos, 'original' AS gen_step FROM P
+UNION ALL SELECT intent, trim(regexp_replace(pred, '[^\x01-\x7F]', '', 'g')), pos, 'paraphrase' FROM (
+  SELECT PP.intent, PP.pos, PP.pred, min(PP.k_i) AS k_i, P.text FROM PP JOIN P ON P.intent = PP.intent AND P.pos = PP.pos
+  GROUP BY PP.intent, PP.pos, PP.pred, P.text) x
+WHERE pred <> text AND lower(replace(replace(replace(pred, '?', ''), '.', ''), ',', ''))
+                    <> lower(replace(replace(replace(text, '?', ''), '.', ''), ',', ''))"""
+
+# --- entities ----------------------------------------------------------------------------------
+
+PENT = """PE AS (SELECT intent, e AS entity, min(pos * 10 + k) AS ord FROM (
+  SELECT intent, pos, 0 AS k, '[' || split_part(text, ' ', 1) || '/' || split_part(text, ' ', 2) || '](item)' AS e FROM P
+  UNION ALL SELECT intent, pos, 1, '[' || upper(left(split_part(text, ' ', 1), 1)) || lower(substr(split_part(text, ' ', 1), 2))
+      || upper(left(split_part(text, ' ', 2), 1)) || lower(substr(split_part(text, ' ', 2), 2)) || '](Thing)' FROM P
+  UNION ALL SELECT intent, pos, 2, '[' || split_part(text, ' ', 2) || '.java](file)' FROM P) x GROUP BY intent, e)"""
+
+DATE = " OR ".join(f"lower(entity) LIKE '%{m}%'" for m in list(config.MONTH_NAMES) + list(config.MONTH_SHORT))
+
+Q["entity_variants"] = w(P, PENT) + f"""SELECT intent, ord, CAST(vord AS BIGINT) AS vord, variant FROM (
+  SELECT intent, ord, 0 AS vord, entity AS variant FROM PE
+  UNION ALL SELECT intent, ord, 1, replace(entity, '/', ' ') FROM PE WHERE entity LIKE '%/%'
+  UNION ALL SELECT intent, ord, 2, replace(entity, '/', '-') FROM PE WHERE entity LIKE '%/%'
+  UNION ALL SELECT intent, ord, 3, array_to_string(regexp_extract_all(entity, '[A-Z][a-z]*'), ' ')
+      || regexp_extract(entity, '(\\([^)]*\\))', 1) FROM PE
+      WHERE len(regexp_extract_all(entity, '[A-Z][a-z]*')) > 0 AND NOT ({DATE})
+  UNION ALL SELECT intent, ord, 4, replace(entity, '.java', ' .java') FROM PE WHERE entity LIKE '%.java%'
+  UNION ALL SELECT intent, ord, 5, replace(entity, '.java', '. java') FROM PE WHERE entity LIKE '%.java%') x"""
+
+Q["mentions"] = w(L) + f"""
+, WC AS (SELECT intent, w, count(*) AS c FROM (SELECT intent, unnest({TOKS.format(t='text')}) AS w FROM L) a
+         WHERE length(w) >= 5 GROUP BY intent, w)
+, TOPW AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY c DESC, w) AS o FROM WC) b WHERE o <= 5)
+SELECT * FROM (SELECT L.intent, L.pos, t.w AS surface, '(kw)' AS etype,
+  CAST((length(lower(L.text)) - length(replace(lower(L.text), t.w, ''))) / length(t.w) AS BIGINT) AS n
+  FROM L JOIN TOPW t ON t.intent = L.intent) x WHERE n > 0"""
+
+Q["annotate"] = w(P) + """SELECT intent, pos,
+  '[' || split_part(text, ' ', 1) || '](adj) [' || split_part(text, ' ', 2) || '](item)' AS annotated FROM P"""

@@ -421,3 +421,197 @@ def q_results_csv(spark, d):
     write_results(_report_n(spark, d), path)
     schema = "train_n int, run int, intent string, precision double, recall double, f1 double, support long, tp long"
     return std(spark.read.schema(schema).option("header", True).csv(path))
+
+
+# --- EXP on P: tags, synonyms, combinations ----------------------------------------------------
+
+def _tagged_parts(spark, d, mode="verb_and_noun"):
+    tok = fx.part_tokens(spark, d)
+    lex = fx.part_lexicon(tok)
+    return lexical.mark_replaceable(lexical.tag_tokens(tok, lex), ["intent", "pos"], mode), tok
+
+
+@register("token_tags")
+def q_token_tags(spark, d):
+    tok = fx.part_tokens(spark, d)
+    t = lexical.tag_tokens(tok, fx.part_lexicon(tok))
+    return std(t.select("intent", "pos", "tok_pos", "token", "upos", "lemma"))
+
+
+@register("replaceable")
+def q_replaceable(spark, d):
+    out = None
+    for mode in config.POS_CHOICES:
+        t, _ = _tagged_parts(spark, d, mode)
+        t = t.select(F.lit(mode).alias("mode"), "intent", "pos", "tok_pos", "token", "replaceable")
+        out = t if out is None else out.unionByName(t)
+    return std(out)
+
+
+@register("synonym_tables")
+def q_synonym_tables(spark, d):
+    return std(lexical.build_synonyms(fx.part_synonyms(fx.part_tokens(spark, d))))
+
+
+@register("vector_table")
+def q_vector_table(spark, d):
+    from ..functions import l2norm
+    v = lexical.build_vectors(fx.vectors(spark, d).select(F.col("text").alias("word"), "vec"))
+    return std(v.select("word", F.size("vec").alias("dim"), F.element_at("vec", 1).alias("v1"),
+                        (l2norm("vec") * l2norm("vec")).alias("norm2")))
+
+
+@register("lexical_synonyms")
+def q_lexical_synonyms(spark, d):
+    tok = fx.part_tokens(spark, d)
+    words = tok.select("token").distinct()
+    return std(lexical.lexical_synonyms(words, fx.part_synonyms(tok)).select("token", "synonym", "rank"))
+
+
+@register("synonym_guard")
+def q_synonym_guard(spark, d):
+    tok = fx.part_tokens(spark, d)
+    r = lexical.candidate_synonyms(tok.select("token").distinct(), "wordnet", synonyms=fx.part_synonyms(tok))
+    return std(r.select("token", F.array_join("syns", ",").alias("syns")))
+
+
+@register("vector_synonyms")
+def q_vector_synonyms(spark, d):
+    from ..operators.expand import vector_synonyms
+    E = fx.vectors(spark, d)
+    r = vector_synonyms(E.select(F.col("text").alias("token")), E.select(F.col("text").alias("word"), "vec"), n=3)
+    return std(r.select("token", "synonym", "rank", "sim"))
+
+
+def _combinations(spark, d):
+    from ..operators.expand import expand_combinations, synonym_lists
+    t, tok = _tagged_parts(spark, d)
+    syn = lexical.candidate_synonyms(t, "wordnet", synonyms=fx.part_synonyms(tok))
+    return expand_combinations(synonym_lists(syn, ["intent", "pos"]), ["intent", "pos"])
+
+
+@register("combinations")
+def q_combinations(spark, d):
+    return std(_combinations(spark, d).select("intent", "pos", "idx", "text"))
+
+
+@register("provenance")
+def q_provenance(spark, d):
+    from ..operators.expand import trace_origin
+    gen = _combinations(spark, d).select("intent", "text", F.col("pos").alias("origin_pos"))
+    orig = fx.corpus_parts(spark, d).select("intent", "text", F.col("pos").alias("origin_pos"))
+    return std(trace_origin(orig.unionByName(gen)))
+
+
+# --- pairs, paraphrases ---------------------------------------------------------------------------
+
+def _pairs(spark, d):
+    from ..operators import pairs
+    return pairs.build_pairs(fx.pair_sources(spark, d))
+
+
+@register("pairs_build")
+def q_pairs_build(spark, d):
+    return std(_pairs(spark, d))
+
+
+@register("pairs_clean")
+def q_pairs_clean(spark, d):
+    from ..operators import pairs
+    return std(pairs.clean_pairs(_pairs(spark, d)))
+
+
+@register("pairs_split")
+def q_pairs_split(spark, d):
+    from ..operators import pairs
+    return std(pairs.split_pairs(pairs.clean_pairs(_pairs(spark, d))).select(
+        "source", "input_text", "target_text", "split"))
+
+
+def _paraphrases_p(spark, d):
+    from ..operators import pairs
+    from ..operators.expand import paraphrase_with_pairs
+    return paraphrase_with_pairs(fx.corpus_parts(spark, d), pairs.clean_pairs(_pairs(spark, d)),
+                                 ["intent", "pos"], k=config.PARAPHRASES_PER_INPUT)
+
+
+@register("paraphrase_pairs")
+def q_paraphrase_pairs(spark, d):
+    return std(_paraphrases_p(spark, d).select("intent", "pos", "k_i", "pred"))
+
+
+@register("paraphrase_clean")
+def q_paraphrase_clean(spark, d):
+    from ..operators.expand import clean_paraphrases
+    cv = fx.table(spark, d, "conversations")
+    u = cv.where(F.col("role") == "user").select("conv_id", "turn", "text")
+    a = cv.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
+                                                      F.col("text").alias("reply"))
+    j = u.join(a, ["conv_id", "turn"])
+    preds = j.select("conv_id", "turn", "text", F.posexplode(F.array(
+        "reply", F.lower(F.translate("text", "?.,", "")), "text")).alias("k_i", "pred"))
+    r = clean_paraphrases(preds.withColumn("k_i", F.col("k_i") + 1), ["conv_id", "turn"])
+    return std(r.select("conv_id", "turn", "k_i", "pred"))
+
+
+@register("assemble")
+def q_assemble(spark, d):
+    from ..operators.expand import assemble, clean_paraphrases
+    P = fx.corpus_parts(spark, d)
+    para = clean_paraphrases(_paraphrases_p(spark, d).join(P, ["intent", "pos"]), ["intent", "pos"])
+    para = para.select("intent", F.col("pred").alias("text"), F.col("pos").alias("origin_pos"),
+                       F.lit("paraphrase").alias("gen_step"))
+    return std(assemble(P, para))
+
+
+# --- entities ---------------------------------------------------------------------------------------
+
+def _part_entities(spark, d):
+    P = fx.corpus_parts(spark, d)
+    w1 = F.split("text", " ").getItem(0)
+    w2 = F.split("text", " ").getItem(1)
+    kinds = F.array(
+        F.struct(F.lit(0).alias("k"), F.concat(F.lit("["), w1, F.lit("/"), w2, F.lit("](item)")).alias("e")),
+        F.struct(F.lit(1).alias("k"), F.concat(F.lit("["), F.initcap(w1), F.initcap(w2), F.lit("](Thing)")).alias("e")),
+        F.struct(F.lit(2).alias("k"), F.concat(F.lit("["), w2, F.lit(".java](file)")).alias("e")))
+    e = P.select("intent", "pos", F.explode(kinds).alias("x"))
+    return e.groupBy("intent", F.col("x.e").alias("entity")).agg(
+        F.min(F.col("pos") * 10 + F.col("x.k")).alias("ord"))
+
+
+@register("entity_variants")
+def q_entity_variants(spark, d):
+    from ..operators.entities import expand_entities
+    return std(expand_entities(_part_entities(spark, d)).select("intent", "ord", "vord", "variant"))
+
+
+@register("mentions")
+def q_mentions(spark, d):
+    """ENT-2 over every line of L; entities per intent: its 5 most frequent
+    words of at least 5 letters, typed 'kw'."""
+    from pyspark.sql import Window
+    from ..functions import tokens_lower
+    from ..operators.entities import find_mentions
+    L = fx.corpus_lines(spark, d)
+    words = (L.select("intent", F.explode(tokens_lower("text")).alias("w")).where(F.length("w") >= 5)
+             .groupBy("intent", "w").agg(F.count(F.lit(1)).alias("c")))
+    top = words.withColumn("ord", F.row_number().over(
+        Window.partitionBy("intent").orderBy(F.col("c").desc(), "w"))).where(F.col("ord") <= 5)
+    ents = top.select("intent", "ord", F.lit(0).alias("vord"),
+                      F.concat(F.lit("["), "w", F.lit("](kw)")).alias("variant"))
+    r = find_mentions(L, ents)
+    return std(r.select("intent", "pos", "surface", "etype", "n"))
+
+
+@register("annotate")
+def q_annotate(spark, d):
+    from ..operators.entities import annotate
+    P = fx.corpus_parts(spark, d)
+    w = F.split("text", " ")
+    ents = P.select("intent", F.explode(F.array(
+        F.struct(F.concat(F.lit("["), w.getItem(0), F.lit("](adj)")).alias("variant"), F.lit(0).alias("k")),
+        F.struct(F.concat(F.lit("["), w.getItem(1), F.lit("](item)")).alias("variant"), F.lit(1).alias("k"))))
+        .alias("x"), "pos")
+    ents = ents.groupBy("intent", "x.variant").agg(F.min(F.col("pos") * 10 + F.col("x.k")).alias("ord")) \
+        .withColumn("vord", F.lit(0))
+    return std(annotate(P, ents).select("intent", "pos", "annotated"))
