@@ -113,10 +113,12 @@ def min_distance_fewshot(candidates: DataFrame, picks: DataFrame, sizes, cand_co
 def farthest_per_intent(df: DataFrame, k: int = config.KEEP_BY_DISTANCE, keys=(),
                         dist: str = "dist", tie: str = "pos") -> DataFrame:
     """DST-3: per (keys, intent) the k rows with the largest distance;
-    ties keep input order (``tie``); null distances rank last. A top-k
-    window, so Spark applies the group limit before the shuffle."""
+    ties keep input order (``tie``, then the text); null distances rank
+    last. A top-k window, so Spark applies the group limit before the
+    shuffle."""
     kk = _k(keys)
-    w = Window.partitionBy(*kk, "intent").orderBy(F.col(dist).desc_nulls_last(), F.col(tie).asc())
+    order = [F.col(dist).desc_nulls_last(), F.col(tie).asc()] + ([F.col("text")] if "text" in df.columns else [])
+    w = Window.partitionBy(*kk, "intent").orderBy(*order)
     return df.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 

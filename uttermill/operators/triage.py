@@ -94,16 +94,16 @@ def score_nb(model: dict, candidates: DataFrame, ids, text: str = "text") -> Dat
     k = model["keys"]
     ids = list(ids)
     classes, weights = model["classes"], model["weights"]
-    # vocabulary marker rows (intent null, w 0) count the in-vocabulary tokens
+    # vocabulary marker rows (class null, w 0) count the in-vocabulary tokens
     vocab = weights.select(*k, "token").distinct().select(
-        *k, "token", F.lit(None).cast("string").alias("intent"), F.lit(0.0).alias("w"))
-    table = broadcast_if_small(weights.select(*k, "token", "intent", "w").unionByName(vocab))
+        *k, "token", F.lit(None).cast("string").alias("_c"), F.lit(0.0).alias("w"))
+    table = broadcast_if_small(weights.select(*k, "token", F.col("intent").alias("_c"), "w").unionByName(vocab))
     toks = candidates.select(*k, *ids, F.explode(tokens_lower(F.col(text))).alias("token"))
     per = (toks.join(table, k + ["token"])
-           .groupBy(*k, *ids, "intent")
+           .groupBy(*k, *ids, "_c")
            .agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("n"))
            .groupBy(*k, *ids)
-           .agg(F.collect_list(F.struct("intent", "s", "n")).alias("_parts")))
+           .agg(F.collect_list(F.struct(F.col("_c").alias("intent"), "s", "n")).alias("_parts")))
     cls = broadcast_if_small(classes.groupBy(*k).agg(
         F.collect_list(F.struct("intent", "logprior", "dlog")).alias("_cls")))
     c = _join_keys(candidates.join(per, k + ids, "left"), cls, k)

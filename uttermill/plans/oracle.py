@@ -87,7 +87,7 @@ Q["min_distance"] = w(L, fewshot(), GRID, CAND, DIST) + (
 
 Q["farthest"] = w(L, fewshot(), GRID, CAND, DIST) + f"""
 SELECT train_n, run, intent, text, CAST(dist AS BIGINT) AS dist, CAST(rk AS BIGINT) AS rk FROM (
-  SELECT *, row_number() OVER (PARTITION BY train_n, run, intent ORDER BY dist DESC NULLS LAST, pos) AS rk FROM D) x
+  SELECT *, row_number() OVER (PARTITION BY train_n, run, intent ORDER BY dist DESC NULLS LAST, pos, text) AS rk FROM D) x
 WHERE rk <= {K}"""
 
 Q["lemmatise"] = w(L) + f"""
@@ -294,7 +294,7 @@ UNION ALL SELECT train_n, run, intent, text, pos, true AS picked FROM (
 
 Q["avg_growth"] = w(L, fewshot(), GRID, CAND, DIST) + f"""
 , FAR AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY train_n, run, intent
-    ORDER BY dist DESC NULLS LAST, pos) AS rk FROM D) x WHERE rk <= {K})
+    ORDER BY dist DESC NULLS LAST, pos, text) AS rk FROM D) x WHERE rk <= {K})
 , GR AS (SELECT train_n, run, count(*) AS sz FROM (SELECT DISTINCT train_n, run, intent, text FROM (
     SELECT train_n, run, intent, text FROM FS UNION ALL SELECT train_n, run, intent, text FROM FAR) u) x
   GROUP BY train_n, run)
@@ -482,3 +482,125 @@ SELECT * FROM (SELECT L.intent, L.pos, t.w AS surface, '(kw)' AS etype,
 
 Q["annotate"] = w(P) + """SELECT intent, pos,
   '[' || split_part(text, ' ', 1) || '](adj) [' || split_part(text, ' ', 2) || '](item)' AS annotated FROM P"""
+
+# --- experiment modes on P --------------------------------------------------------------------
+
+PL = "L AS (SELECT intent, text, pos FROM P)"
+
+
+def lemma_text(src: str, name: str) -> str:
+    """Rule-lemmatised text per (train_n, run, intent, text) of ``src``."""
+    return f"""{name} AS (SELECT train_n, run, intent, text, string_agg(lem, ' ' ORDER BY i) AS lemma FROM (
+  SELECT train_n, run, intent, text, i, {lemma_sql('tok')} AS lem FROM (
+    SELECT train_n, run, intent, text, unnest(string_split(text, ' ')) AS tok,
+           unnest(range(0, len(string_split(text, ' ')))) AS i FROM (SELECT DISTINCT train_n, run, intent, text FROM {src}) a) b) c
+  GROUP BY train_n, run, intent, text)"""
+
+
+def nb_chain(train: str, cand: str, p: str) -> list[str]:
+    """Naive Bayes trained on ``train`` (train_n, run, intent, text) scoring
+    ``cand`` (train_n, run, intent, text, pos; distinct texts); result
+    {p}NBP(train_n, run, intent, text, pos, pred, conf)."""
+    tk = TOKS.format(t="text")
+    return [
+        f"{p}TK AS (SELECT train_n, run, intent, unnest({tk}) AS token FROM {train})",
+        f"{p}CNT AS (SELECT train_n, run, intent, token, count(*) AS n FROM {p}TK GROUP BY train_n, run, intent, token)",
+        f"{p}VOC AS (SELECT train_n, run, count(DISTINCT token) AS v FROM {p}CNT GROUP BY train_n, run)",
+        f"{p}NC AS (SELECT train_n, run, intent, sum(n) AS nc FROM {p}CNT GROUP BY train_n, run, intent)",
+        f"{p}DC AS (SELECT train_n, run, intent, count(*) AS d FROM {train} GROUP BY train_n, run, intent)",
+        f"""{p}CLS AS (SELECT DC.train_n, DC.run, DC.intent,
+  ln(DC.d / sum(DC.d) OVER (PARTITION BY DC.train_n, DC.run)) AS logprior,
+  ln(coalesce(NC.nc, 0) + coalesce(VOC.v, 0)) AS dlog
+  FROM {p}DC DC LEFT JOIN {p}NC NC ON NC.train_n = DC.train_n AND NC.run = DC.run AND NC.intent = DC.intent
+  LEFT JOIN {p}VOC VOC ON VOC.train_n = DC.train_n AND VOC.run = DC.run)""",
+        f"{p}CT AS (SELECT train_n, run, intent, text, unnest({tk}) AS token FROM {cand})",
+        f"""{p}CTV AS (SELECT CT.* FROM {p}CT CT WHERE EXISTS (SELECT 1 FROM {p}CNT CNT WHERE CNT.train_n = CT.train_n
+  AND CNT.run = CT.run AND CNT.token = CT.token))""",
+        f"{p}TT AS (SELECT train_n, run, intent, text, count(*) AS t FROM {p}CTV GROUP BY train_n, run, intent, text)",
+        f"""{p}SS AS (SELECT CTV.train_n, CTV.run, CTV.intent, CTV.text, CNT.intent AS cls, sum(ln(CNT.n + 1)) AS s
+  FROM {p}CTV CTV JOIN {p}CNT CNT ON CNT.train_n = CTV.train_n AND CNT.run = CTV.run AND CNT.token = CTV.token
+  GROUP BY CTV.train_n, CTV.run, CTV.intent, CTV.text, CNT.intent)""",
+        f"""{p}SC AS (SELECT C.train_n, C.run, C.intent, C.text, C.pos, CLS.intent AS cls,
+  CLS.logprior - coalesce(TT.t, 0) * CLS.dlog + coalesce(SS.s, 0) AS s
+  FROM {cand} C JOIN {p}CLS CLS ON CLS.train_n = C.train_n AND CLS.run = C.run
+  LEFT JOIN {p}TT TT ON TT.train_n = C.train_n AND TT.run = C.run AND TT.intent = C.intent AND TT.text = C.text
+  LEFT JOIN {p}SS SS ON SS.train_n = C.train_n AND SS.run = C.run AND SS.intent = C.intent AND SS.text = C.text
+       AND SS.cls = CLS.intent)""",
+        f"""{p}SM AS (SELECT train_n, run, intent, text, max(s) AS ms FROM {p}SC GROUP BY train_n, run, intent, text)""",
+        f"""{p}NBP AS (SELECT SC.train_n, SC.run, SC.intent, SC.text, SC.pos,
+  min(CASE WHEN SC.s = SM.ms THEN SC.cls END) AS pred, 1.0 / sum(exp(SC.s - SM.ms)) AS conf
+  FROM {p}SC SC JOIN {p}SM SM ON SM.train_n = SC.train_n AND SM.run = SC.run AND SM.intent = SC.intent AND SM.text = SC.text
+  GROUP BY SC.train_n, SC.run, SC.intent, SC.text, SC.pos)"""]
+
+
+def filter_chain(train: str, new: str, p: str) -> list[str]:
+    """RUN-2 without the merge: result {p}TOP(train_n, run, intent, text, pos)."""
+    return [f"""{p}CD AS (SELECT train_n, run, intent, text, min(origin_pos) AS pos FROM {new}
+  GROUP BY train_n, run, intent, text)""",
+            *nb_chain(train, f"{p}CD", p),
+            f"{p}KEPT AS (SELECT * FROM {p}NBP WHERE pred <> intent OR conf < {T})",
+            lemma_text(f"{p}KEPT", f"{p}LC"), lemma_text(train, f"{p}LO"),
+            f"""{p}DI AS (SELECT k.train_n, k.run, k.intent, k.text, k.pos, min(levenshtein(lc.lemma, lo.lemma)) AS dist
+  FROM {p}KEPT k JOIN {p}LC lc ON lc.train_n = k.train_n AND lc.run = k.run AND lc.intent = k.intent AND lc.text = k.text
+  LEFT JOIN {p}LO lo ON lo.train_n = k.train_n AND lo.run = k.run AND lo.intent = k.intent
+  GROUP BY k.train_n, k.run, k.intent, k.text, k.pos)""",
+            f"""{p}TOP AS (SELECT train_n, run, intent, text, pos FROM (SELECT *, row_number() OVER (
+  PARTITION BY train_n, run, intent ORDER BY dist DESC NULLS LAST, pos, text) AS rk FROM {p}DI) x WHERE rk <= {K})"""]
+
+
+MODE_BASE = [P, PL, fewshot(), GRID, TOKP, LEX, SYN, SL, PAIRS, PRC,
+             """STAGE AS (SELECT train_n, run, intent, text, pos AS origin_pos FROM FS
+  UNION ALL SELECT FS.train_n, FS.run, FS.intent, a.synonym || ' ' || split_part(FS.text, ' ', 2), FS.pos
+  FROM FS JOIN SL a ON a.word = split_part(FS.text, ' ', 1))""",
+             """INP AS (SELECT train_n, run, intent, text, min(origin_pos) AS origin_pos FROM STAGE
+  GROUP BY train_n, run, intent, text)""",
+             f"""NG2 AS (SELECT INP.*, string_split(text, ' ') AS t, s, n,
+    array_to_string(string_split(text, ' ')[s + 1:s + n], ' ') AS g FROM INP,
+  (SELECT unnest(range(0, 4)) AS s) a, (SELECT unnest(range(1, 5)) AS n) b WHERE s + n <= len(string_split(text, ' ')))""",
+             f"""PM2 AS (SELECT NG2.*, p.target_text, row_number() OVER (PARTITION BY train_n, run, intent, text
+    ORDER BY n DESC, s, p.target_text) AS k_i
+  FROM NG2 JOIN (SELECT DISTINCT input_text, target_text FROM PRC) p ON p.input_text = NG2.g)""",
+             f"""PP2 AS (SELECT train_n, run, intent, text, origin_pos, k_i,
+  concat_ws(' ', CASE WHEN s > 0 THEN array_to_string(t[1:s], ' ') END, target_text,
+            CASE WHEN s + n < len(t) THEN array_to_string(t[s + n + 1:], ' ') END) AS pred
+  FROM PM2 WHERE k_i <= {config.PARAPHRASES_PER_INPUT})""",
+             r"""PARA AS (SELECT train_n, run, intent, trim(regexp_replace(pred, '[^\x01-\x7F]', '', 'g')) AS text, origin_pos
+  FROM (SELECT train_n, run, intent, text, pred, min(k_i) AS k_i, min(origin_pos) AS origin_pos FROM PP2
+        GROUP BY train_n, run, intent, text, pred) x
+  WHERE pred <> text AND lower(replace(replace(replace(pred, '?', ''), '.', ''), ',', ''))
+                      <> lower(replace(replace(replace(text, '?', ''), '.', ''), ',', '')))""",
+             """CANDS AS (SELECT train_n, run, intent, text, pos AS origin_pos FROM FS
+  UNION ALL SELECT train_n, run, intent, text, origin_pos FROM PARA)""",
+             """HP AS (SELECT g.train_n, g.run, P.intent, P.text, P.pos FROM P, GRID g)"""]
+
+OUT = "SELECT DISTINCT train_n, run, intent, text FROM "
+
+Q["mode_baseline"] = w(P, fewshot("P")) + """SELECT train_n, run, intent, text,
+  split_part(text, ' ', 1) || ' [' || split_part(text, ' ', 2) || '](item)' AS annotated FROM FS"""
+
+Q["mode_human"] = w(P, fewshot("P"), GRID, MODE_BASE[-1]) + OUT + """(
+  SELECT train_n, run, intent, text FROM FS UNION ALL SELECT train_n, run, intent, text FROM HP) u"""
+
+Q["mode_augment"] = w(*MODE_BASE) + OUT + "CANDS"
+
+Q["filter_chain"] = w(*MODE_BASE, *filter_chain("FS", "CANDS", "F1")) + OUT + """(
+  SELECT train_n, run, intent, text FROM FS UNION ALL SELECT train_n, run, intent, text FROM F1TOP) u"""
+
+Q["mode_mixed"] = w(*MODE_BASE, *filter_chain("FS", "CANDS", "F1"),
+                    """FILT AS (SELECT DISTINCT train_n, run, intent, text FROM (
+  SELECT train_n, run, intent, text FROM FS UNION ALL SELECT train_n, run, intent, text FROM F1TOP) u)""",
+                    f"""ONE AS (SELECT train_n, run, intent, text FROM (SELECT h.*, row_number() OVER (
+    PARTITION BY train_n, run, intent ORDER BY md5(concat_ws('|', '{SEED}', text)), text) AS r
+  FROM HP h WHERE NOT EXISTS (SELECT 1 FROM FILT f WHERE f.train_n = h.train_n AND f.run = h.run
+                              AND f.intent = h.intent AND f.text = h.text)) x WHERE r = 1)""") + OUT + """(
+  SELECT * FROM FILT UNION ALL SELECT * FROM ONE) u"""
+
+Q["mode_inspired"] = w(*MODE_BASE,
+                       f"""INS AS (SELECT train_n, run, intent, text, pos FROM (SELECT h.*, row_number() OVER (
+    PARTITION BY train_n, run, intent ORDER BY md5(concat_ws('|', '{SEED}', text)), text) AS r
+  FROM HP h WHERE NOT EXISTS (SELECT 1 FROM FS f WHERE f.train_n = h.train_n AND f.run = h.run
+                              AND f.intent = h.intent AND f.text = h.text)) x WHERE r <= {config.LIMIT_PER_INTENT})""",
+                       """NEWC AS (SELECT c.* FROM CANDS c WHERE NOT EXISTS (SELECT 1 FROM FS f WHERE f.train_n = c.train_n
+  AND f.run = c.run AND f.intent = c.intent AND f.text = c.text))""",
+                       *filter_chain("INS", "NEWC", "F2")) + OUT + """(
+  SELECT train_n, run, intent, text FROM F2TOP UNION ALL SELECT train_n, run, intent, text FROM FS) u"""

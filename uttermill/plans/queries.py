@@ -615,3 +615,48 @@ def q_annotate(spark, d):
     ents = ents.groupBy("intent", "x.variant").agg(F.min(F.col("pos") * 10 + F.col("x.k")).alias("ord")) \
         .withColumn("vord", F.lit(0))
     return std(annotate(P, ents).select("intent", "pos", "annotated"))
+
+
+# --- experiment modes (RUN-2..7) on P ------------------------------------------------------------
+
+def _mode_inputs(spark, d):
+    from ..operators import pairs
+    from .experiments import Resources
+    P = fx.corpus_parts(spark, d)
+    fs = corpora.fewshot_splits(P)
+    tok = fx.part_tokens(spark, d)
+    res = Resources(lexicon=fx.part_lexicon(tok), synonyms=fx.part_synonyms(tok),
+                    pairs=pairs.clean_pairs(pairs.build_pairs(fx.pair_sources(spark, d))),
+                    part_of_speech="verb")
+    return fs, P, res
+
+
+@register("filter_chain")
+def q_filter_chain(spark, d):
+    from .experiments import candidates, filter_corpus
+    fs, _, res = _mode_inputs(spark, d)
+    r = filter_corpus(fs, candidates(fs, res), merge=True, lexicon=res.lexicon)
+    return std(r.select(*KEYS, "intent", "text"))
+
+
+def _mode(name):
+    def q(spark, d):
+        from .experiments import run_mode
+        fs, P, res = _mode_inputs(spark, d)
+        return std(run_mode(name, fs, P, res).select(*KEYS, "intent", "text"))
+    return q
+
+
+for _name, _key in (("augment", "mode_augment"), ("human", "mode_human"),
+                    ("augment_and_human", "mode_mixed"), ("human_inspired", "mode_inspired")):
+    register(_key)(_mode(_name))
+
+
+@register("mode_baseline")
+def q_mode_baseline(spark, d):
+    from .experiments import final_corpus, run_mode
+    fs, P, res = _mode_inputs(spark, d)
+    corpus = run_mode("baseline", fs, P, res)
+    ents = fs.select(*KEYS, "intent", F.concat(F.lit("["), F.split("text", " ").getItem(1), F.lit("](item)"))
+                     .alias("variant"), F.col("pos").alias("ord"), F.lit(0).alias("vord"))
+    return std(final_corpus(corpus, ents).select(*KEYS, "intent", "text", "annotated"))
