@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..operators import corpora, distance, entities, expand, lexical, triage
+from ..session import materialize
 
 KEYS = ["train_n", "run"]
 
@@ -61,9 +62,10 @@ def paraphrase_stage(stage: DataFrame, res: Resources) -> DataFrame:
 
 
 def candidates(originals: DataFrame, res: Resources) -> DataFrame:
-    """EXP-9: originals ++ paraphrases (of originals and their variants)."""
+    """EXP-9: originals ++ paraphrases (of originals and their variants).
+    Checkpointed: the candidate set feeds scoring, distances and merges."""
     para = paraphrase_stage(synonym_stage(originals, res), res)
-    return expand.assemble(originals, para, KEYS)
+    return materialize(expand.assemble(originals, para, KEYS))
 
 
 def _as_corpus(df: DataFrame) -> DataFrame:

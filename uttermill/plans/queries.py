@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from .. import config
 from ..functions import ascii_fold
+from ..session import materialize
 from ..operators import corpora, distance, lexical
 from . import fixtures as fx
 
@@ -278,7 +279,8 @@ def _triage_l(spark, d):
     L = fx.corpus_lines(spark, d)
     fs = corpora.fewshot_splits(L)
     model = triage.train_nb(fs, keys=KEYS)
-    near = distance.min_distance_fewshot(L, fs, config.TRAIN_SIZES, with_nearest=True)
+    # checkpointed: the distances feed both the scoring and the final rows
+    near = materialize(distance.min_distance_fewshot(L, fs, config.TRAIN_SIZES, with_nearest=True))
     scored = triage.score_nb(model, near, ids=["pos"])
     return triage.triage_table(scored, config.THRESHOLD), fs
 
