@@ -28,7 +28,8 @@ def _records(spark: SparkSession, path: str, base_path: str | None = None) -> Da
     if base_path:
         r = r.option("basePath", base_path)
     files = r.text(path, wholetext=True).withColumn("_file", F.col("_metadata.file_path"))
-    part = F.coalesce(F.regexp_extract("_file", r"part-(\d+)", 1).cast("long"), F.lit(0))
+    part_no = F.regexp_extract("_file", r"part-(\d+)", 1)
+    part = F.when(part_no != "", part_no.cast("long")).otherwise(F.lit(0).cast("long"))
     recs = files.select("*", part.alias("_part"),
                         F.posexplode(F.split("value", r"(?m)^- (?=(?:intent|regex): )")).alias("_rec", "_body"))
     recs = recs.where(F.col("_rec") > 0).drop("value")
