@@ -1,0 +1,3 @@
+"""No streaming operators: the workload has no stream, event time or
+incremental state. Experiment outputs are read as batch trees
+(``sources.logs``), which already pick up new runs on the next read."""
