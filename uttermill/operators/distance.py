@@ -27,7 +27,7 @@ KERNEL = "bitparallel"
 LONG_TEXT = 2000
 
 
-def _distances(text_col, origs_col: str, field: str, kernel: str):
+def _distances(text_col, origs_col: str, field: str, kernel: str, long_text: int | None = LONG_TEXT):
     """Array of edit distances from ``text_col`` to ``origs_col[*].field``:
     the bit-parallel pandas UDF (default) or Spark's built-in
     ``levenshtein`` inside ``transform``. Texts longer than ``LONG_TEXT``
@@ -35,7 +35,10 @@ def _distances(text_col, origs_col: str, field: str, kernel: str):
     wants many pairs of similar length per step."""
     builtin = F.transform(origs_col, lambda o: F.levenshtein(text_col, o[field]))
     if kernel == "bitparallel":
-        short = F.when(F.length(text_col) <= LONG_TEXT, F.transform(origs_col, lambda o: o[field]))
+        texts = F.transform(origs_col, lambda o: o[field])
+        if long_text is None:
+            return edit_distances(text_col, texts)
+        short = F.when(F.length(text_col) <= long_text, texts)
         return F.coalesce(edit_distances(text_col, short), builtin)
     return builtin
 
@@ -173,3 +176,45 @@ def jaccard_pairs(candidates: DataFrame, originals: DataFrame, keys=(), min_sim:
                                                     jaccard(F.col("_w"), o["w"]).alias("sim")))
     j = j.withColumn("_m", F.explode(F.filter(sims, lambda s: s["sim"] >= F.lit(min_sim))))
     return j.select(*candidates.columns, "_m.orig_pos", "_m.sim")
+
+
+def farthest_from_fewshot(candidates: DataFrame, picks: DataFrame, sizes, k: int = config.KEEP_BY_DISTANCE,
+                          kernel: str = KERNEL) -> DataFrame:
+    """DST-2 + DST-3 for nested few-shot splits with exact length pruning.
+
+    For each candidate and split, |len(c) - len(o)| <= lev(c, o) <=
+    max(len(c), len(o)) bound its minimum distance from below (``lb``) and
+    above (``ub``). Per (split, intent) let tau be the k-th largest ``lb``:
+    at least k candidates are at distance >= tau, so a candidate with
+    ``ub < tau`` can never be among the k farthest. Only the remaining ones
+    get exact distances; the result equals ``farthest_per_intent`` over
+    ``min_distance_fewshot``.
+    """
+    top = max(sizes)
+    p = picks.where(F.col("train_n") == top) if "train_n" in picks.columns else picks
+    arr = broadcast_if_small(p.groupBy("run", "intent").agg(F.array_sort(F.collect_list(
+        F.struct("rk", F.col("text").alias("o"), F.length("text").alias("n")))).alias("_ol")))
+    c = candidates.join(arr, "intent")
+    c = c.withColumn("train_n", F.explode(F.array(*[F.lit(int(n)) for n in sizes])))
+    c = c.where(~F.exists(F.slice("_ol", 1, F.col("train_n")), lambda o: o["o"] == F.col("text")))
+    first = F.slice("_ol", 1, F.col("train_n"))
+    ln = F.length("text")
+    c = c.select(*candidates.columns, "run", "train_n",
+                 F.array_min(F.transform(first, lambda o: F.abs(ln - o["n"]))).alias("_lb"),
+                 F.array_min(F.transform(first, lambda o: F.greatest(ln, o["n"]))).alias("_ub"))
+    keys = ["train_n", "run", "intent"]
+    w = Window.partitionBy(*keys).orderBy(F.col("_lb").desc())
+    tau = (c.select(*keys, "_lb").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+           .groupBy(*keys).agg(F.min("_lb").alias("_tau"), F.count(F.lit(1)).alias("_m"))
+           .select(*keys, F.when(F.col("_m") >= k, F.col("_tau")).otherwise(F.lit(-1)).alias("_tau")))
+    survivors = (c.join(broadcast_if_small(tau), keys).where(F.col("_ub") >= F.col("_tau"))
+                 .select(*candidates.columns, "run", "train_n"))
+    # exact distances for the survivors only (same kernel as DST-2)
+    arr2 = broadcast_if_small(p.groupBy("run", "intent").agg(F.array_sort(F.collect_list(
+        F.struct("rk", F.col("text").alias("t")))).alias("_origs")))
+    j = spread(survivors).join(arr2, ["run", "intent"])
+    # survivors are mostly the long lines: all of them go through the kernel
+    j = j.withColumn("_dd", _distances(F.col("text"), "_origs", "t", kernel, long_text=None))
+    j = j.withColumn("dist", F.array_min(F.slice("_dd", 1, F.col("train_n"))))
+    d = j.select("train_n", "run", *candidates.columns, "dist")
+    return farthest_per_intent(d, k, keys=["train_n", "run"])

@@ -107,8 +107,9 @@ def q_min_distance(spark, d):
 def q_farthest(spark, d):
     """Flagship: per split and intent the K lines farthest (edit distance)
     from the few-shot originals."""
-    r = distance.farthest_per_intent(_distances_l(spark, d), config.KEEP_BY_DISTANCE,
-                                     keys=["train_n", "run"])
+    L = fx.corpus_lines(spark, d)
+    r = distance.farthest_from_fewshot(L, corpora.fewshot_splits(L), config.TRAIN_SIZES,
+                                       config.KEEP_BY_DISTANCE)
     return std(r.select("train_n", "run", "intent", "text", "dist", "rk"))
 
 
@@ -304,8 +305,7 @@ def q_avg_growth(spark, d):
     from ..operators import evaluate
     L = fx.corpus_lines(spark, d)
     fs = corpora.fewshot_splits(L)
-    far = distance.farthest_per_intent(
-        distance.min_distance_fewshot(L, fs, config.TRAIN_SIZES), config.KEEP_BY_DISTANCE, keys=KEYS)
+    far = distance.farthest_from_fewshot(L, fs, config.TRAIN_SIZES, config.KEEP_BY_DISTANCE)
     grown = corpora.merge_corpora(fs, far, keys=KEYS)
     n_int = L.select(F.countDistinct("intent")).scalar()
     base = (spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in config.TRAIN_SIZES])).alias("train_n"))
