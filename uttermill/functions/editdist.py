@@ -2,11 +2,11 @@
 at once: the bit-parallel block algorithm (Myers 1999; Hyyro 2003),
 vectorised with numpy across pairs.
 
-Each pair puts its shorter string in 64-bit blocks of match masks and scans
-the longer one, so a pair costs O(len_long x ceil(len_short / 64)) word
-operations instead of the O(len_long x len_short) cells of the dynamic
-programme. Pairs are grouped by block count and sorted by scan length so
-that one numpy step advances thousands of pairs.
+The pattern (the string every text of a group is compared with) sits in
+64-bit blocks of match masks and each text is scanned once, so a pair costs
+O(len_text x ceil(len_pattern / 64)) word operations instead of the
+O(len_text x len_pattern) cells of the dynamic programme. Texts of a group
+are sorted by length so that one numpy step advances thousands of them.
 
 Used through ``edit_distances`` (a pandas UDF: text x array of texts ->
 array of distances), i.e. on Arrow batches inside Spark tasks.
@@ -41,64 +41,6 @@ def _codes(strings, lookup: np.ndarray, unk: int):
     return out
 
 
-def _bucket(pat: list[str], txt: list[str]) -> np.ndarray:
-    """Distances for pairs whose patterns all need the same block count."""
-    P = len(pat)
-    m = np.fromiter((len(s) for s in pat), dtype=np.int64, count=P)
-    n = np.fromiter((len(s) for s in txt), dtype=np.int64, count=P)
-    W = int(max(1, -(-int(m.max()) // 64)))
-    pcp = [_cps(x) for x in pat]
-    alphabet = np.unique(np.concatenate(pcp))
-    A = len(alphabet)
-    lookup = np.full(int(alphabet.max()) + 1, A, dtype=np.int32)
-    lookup[alphabet] = np.arange(A, dtype=np.int32)
-    peq = np.zeros((P, A + 1, W), dtype=np.uint64)
-    pc = [lookup[c] for c in pcp]
-    for p, codes in enumerate(pc):
-        if len(codes):
-            pos = np.arange(len(codes))
-            np.bitwise_or.at(peq[p], (codes, pos // 64), np.left_shift(ONE, (pos % 64).astype(np.uint64)))
-    L = int(n.max()) if P else 0
-    tc = np.full((P, max(L, 1)), A, dtype=np.int32)
-    for p, codes in enumerate(_codes(txt, lookup, A)):
-        tc[p, :len(codes)] = codes
-    vp = np.full((P, W), ALL, dtype=np.uint64)
-    vn = np.zeros((P, W), dtype=np.uint64)
-    score = m.copy()
-    last = np.maximum((m - 1) // 64, 0)                      # block holding the last pattern row
-    lastbit = np.left_shift(ONE, ((m - 1) % 64).astype(np.uint64))
-    hibit = np.left_shift(ONE, np.uint64(63))
-    rows = np.arange(P)
-    hib = np.full(P, hibit, dtype=np.uint64)
-    for j in range(L):
-        act = (j < n).astype(np.int64)
-        eq_all = peq[rows, tc[:, j], :]
-        neg = np.zeros(P, dtype=np.uint64)                   # hin < 0, as a 0/1 word
-        pos_ = np.ones(P, dtype=np.uint64)                   # hin > 0: row 0 grows by one per column
-        for b in range(W):
-            pv, mv = vp[:, b], vn[:, b]
-            eq = eq_all[:, b] | neg
-            xv = eq | mv
-            xh = (((eq & pv) + pv) ^ pv) | eq
-            ph = mv | ~(xh | pv)
-            mh = pv & xh
-            is_last = last == b
-            hb = np.where(is_last, lastbit, hib) if W > 1 else lastbit
-            up = (ph & hb) != 0
-            down = (mh & hb) != 0
-            ph = (ph << ONE) | pos_
-            mh = (mh << ONE) | neg
-            vp[:, b] = mh | ~(xv | ph)
-            vn[:, b] = ph & xv
-            if W == 1:
-                score += (up.astype(np.int64) - down) * act
-            else:
-                score += (up.astype(np.int64) - down) * (act * is_last)
-            pos_ = up.astype(np.uint64)
-            neg = down.astype(np.uint64)
-    return score
-
-
 MIN_VECTOR = 64          # smaller groups run pair by pair on Python integers
 
 
@@ -129,44 +71,118 @@ def _myers_int(pat: str, txt: str) -> int:
     return score
 
 
+def _shared_tables(pats: list[str], W: int):
+    """Match-mask tables of several patterns over one common alphabet:
+    shape (patterns, alphabet + 1, W); the last row is 'no match'."""
+    cps = [_cps(p) for p in pats]
+    alphabet = np.unique(np.concatenate(cps))
+    A = len(alphabet)
+    lookup = np.full(int(alphabet.max()) + 1, A, dtype=np.int32)
+    lookup[alphabet] = np.arange(A, dtype=np.int32)
+    peq = np.zeros((len(pats), A + 1, W), dtype=np.uint64)
+    for i, c in enumerate(cps):
+        pos = np.arange(len(c))
+        np.bitwise_or.at(peq[i], (lookup[c], pos // 64), np.left_shift(ONE, (pos % 64).astype(np.uint64)))
+    return peq, lookup, A
+
+
+def _group(pats: list[str], pid: np.ndarray, txts: list[str]) -> np.ndarray:
+    """Distances of texts to patterns that all need W blocks; ``pid``
+    names each text's pattern. One table per pattern, one numpy step per
+    text position for the whole group."""
+    m_p = np.asarray([len(x) for x in pats], dtype=np.int64)
+    W = int(-(-m_p.max() // 64))
+    peq, lookup, A = _shared_tables(pats, W)
+    m = m_p[pid]
+    last = (m - 1) // 64
+    lastbit = np.left_shift(ONE, ((m - 1) % 64).astype(np.uint64))
+    hib = np.full(len(txts), np.left_shift(ONE, np.uint64(63)), dtype=np.uint64)
+    n_all = np.asarray([len(t) for t in txts], dtype=np.int64)
+    order = np.argsort(n_all, kind="stable")
+    out = np.empty(len(txts), dtype=np.int64)
+    start = 0
+    while start < len(order):
+        end = start + 1
+        while end < len(order) and end - start < SUB_BATCH and (end - start + 1) * n_all[order[end]] <= BUDGET:
+            end += 1
+        part = order[start:end]
+        start = end
+        P = len(part)
+        if P < MIN_VECTOR:
+            out[part] = [_myers_int(pats[pid[k]], txts[k]) for k in part]
+            continue
+        n = n_all[part]
+        L = int(n.max())
+        tc = np.full((P, max(L, 1)), A, dtype=np.int32)
+        for r, k in enumerate(part):
+            codes = _codes([txts[k]], lookup, A)[0]
+            tc[r, :len(codes)] = codes
+        pp = pid[part]
+        lp, lb, hb_ = last[part], lastbit[part], hib[:P]
+        vp = np.full((P, W), ALL, dtype=np.uint64)
+        vn = np.zeros((P, W), dtype=np.uint64)
+        score = m[part].copy()
+        for j in range(L):
+            act = (j < n).astype(np.int64)
+            eq_all = peq[pp, tc[:, j]]
+            neg = np.zeros(P, dtype=np.uint64)
+            pos_ = np.ones(P, dtype=np.uint64)
+            for b in range(W):
+                pv, mv = vp[:, b], vn[:, b]
+                eq = eq_all[:, b] | neg
+                xv = eq | mv
+                xh = (((eq & pv) + pv) ^ pv) | eq
+                ph = mv | ~(xh | pv)
+                mh = pv & xh
+                is_last = lp == b
+                hb = np.where(is_last, lb, hb_) if W > 1 else lb
+                up = (ph & hb) != 0
+                down = (mh & hb) != 0
+                ph = (ph << ONE) | pos_
+                mh = (mh << ONE) | neg
+                vp[:, b] = mh | ~(xv | ph)
+                vn[:, b] = ph & xv
+                score += (up.astype(np.int64) - down) * (act if W == 1 else act * is_last)
+                pos_ = up.astype(np.uint64)
+                neg = down.astype(np.uint64)
+        out[part] = score
+    return out
+
+
 def levenshtein_batch(a, b) -> np.ndarray:
-    """Exact edit distances of the pairs (a[i], b[i]); None -> -1."""
+    """Exact edit distances of the pairs (a[i], b[i]); None -> -1.
+
+    Pairs are grouped by their ``b`` string (in this engine: the few
+    originals every candidate is compared with), so one match-mask table
+    serves all texts of a group; single pairs run on Python integers."""
     a = list(a)
     b = list(b)
     out = np.full(len(a), -1, dtype=np.int64)
-    pat, txt, idx = [], [], []
+    groups: dict[str, list[int]] = {}
     for i, (x, y) in enumerate(zip(a, b)):
         if x is None or y is None:
             continue
-        if len(x) > len(y):
-            x, y = y, x
-        if len(x) == 0:
+        if len(y) == 0:
+            out[i] = len(x)
+        elif len(x) == 0:
             out[i] = len(y)
         elif x == y:
             out[i] = 0
         else:
-            pat.append(x); txt.append(y); idx.append(i)
-    if not idx:
-        return out
-    idx = np.asarray(idx)
-    blocks = np.asarray([(len(x) + 63) // 64 for x in pat])
-    tl = np.asarray([len(y) for y in txt])
-    for w in np.unique(blocks):
-        sel = np.nonzero(blocks == w)[0]
-        sel = sel[np.argsort(tl[sel], kind="stable")]
-        # consecutive length-sorted pairs, cut where pairs x longest scan
-        # would exceed the budget (long texts travel in small batches)
-        start = 0
-        while start < len(sel):
-            end = start + 1
-            while end < len(sel) and end - start < SUB_BATCH and (end - start + 1) * tl[sel[end]] <= BUDGET:
-                end += 1
-            part = sel[start:end]
-            if len(part) < MIN_VECTOR:
-                out[idx[part]] = [_myers_int(pat[k], txt[k]) for k in part]
-            else:
-                out[idx[part]] = _bucket([pat[k] for k in part], [txt[k] for k in part])
-            start = end
+            groups.setdefault(y, []).append(i)
+    # patterns with the same block count form one vectorised group
+    by_w: dict[int, list[str]] = {}
+    for pat in groups:
+        by_w.setdefault(-(-len(pat) // 64), []).append(pat)
+    for pats in by_w.values():
+        idx, pid = [], []
+        for k, pat in enumerate(pats):
+            idx += groups[pat]
+            pid += [k] * len(groups[pat])
+        if len(idx) < MIN_VECTOR:
+            out[idx] = [_myers_int(pats[q], a[i]) for q, i in zip(pid, idx)]
+        else:
+            out[idx] = _group(pats, np.asarray(pid), [a[i] for i in idx])
     return out
 
 
