@@ -10,23 +10,23 @@ Q: dict[str, str] = {}
 
 Q["op2_url_filter"] = r"""
 WITH captures AS (
-  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(page_id * 7919 % 43200) AS at,
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(page_id * 7919 % 43200) AS tm,
          nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '') AS host
   FROM pages),
 edits AS (
-  SELECT event_type AS list, e.ts AS at, user_id % 3 <> 0 AS active, host,
+  SELECT event_type AS list, e.ts AS tm, user_id % 3 <> 0 AS active, host,
          CASE WHEN user_id % 2 = 1 AND len(string_split(host, '.')) > 3
               THEN array_to_string(list_slice(string_split(host, '.'), 2, 99), '.') ELSE host END AS domain
   FROM events e JOIN captures c ON c.page_id = e.event_id % (SELECT count(*) FROM pages)),
-merged AS (SELECT list, domain, at, bool_or(active) AS active FROM edits WHERE domain IS NOT NULL GROUP BY ALL),
-held AS (SELECT list, domain, at AS a, lead(at) OVER (PARTITION BY list, domain ORDER BY at) AS b, active FROM merged),
+merged AS (SELECT list, domain, tm, bool_or(active) AS active FROM edits WHERE domain IS NOT NULL GROUP BY ALL),
+held AS (SELECT list, domain, tm AS a, lead(tm) OVER (PARTITION BY list, domain ORDER BY tm) AS b, active FROM merged),
 asked AS (
-  SELECT page_id, at, unnest(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1),
-                       i -> array_to_string(list_slice(string_split(host, '.'), i, 99), '.'))) AS domain
+  SELECT page_id, tm, unnest(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1),
+                       lambda i: array_to_string(list_slice(string_split(host, '.'), i, 99), '.'))) AS domain
   FROM captures WHERE host IS NOT NULL),
 hits AS (
   SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists
-  FROM asked JOIN held USING (domain) WHERE active AND a <= asked.at AND (b IS NULL OR asked.at < b) GROUP BY page_id)
+  FROM asked JOIN held USING (domain) WHERE active AND a <= asked.tm AND (b IS NULL OR asked.tm < b) GROUP BY page_id)
 SELECT page_id, url, coalesce(lists, '') AS lists, lists IS NULL AS allowed FROM captures LEFT JOIN hits USING (page_id)
 """
 
@@ -34,7 +34,7 @@ Q["op7_warc"] = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h, min(page_id) OVER (PARTITION BY sha1(html)) AS first FROM p)
 SELECT page_id, n AS payload_bytes,
-       array_to_string(list_transform(range(8), i -> array_to_string(list_transform(range(4), j ->
+       array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform(range(4), lambda j:
            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                   ((('0x' || substr(h, 5 * i + 1, 5))::INTEGER >> (15 - 5 * j)) & 31)::INTEGER + 1, 1)), '')), '')
          AS payload_digest,
@@ -64,9 +64,9 @@ _PRIOR = ", ".join(
 
 Q["op10_host_quality"] = rf"""
 WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text,
-                  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+                  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
            FROM documents),
-win AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2])) AS t,
+win AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2])) AS t,
                unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2),
 twice AS (SELECT doc_id, t FROM win GROUP BY doc_id, t HAVING count(*) > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM
