@@ -22,8 +22,8 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
-LANES = 1024
+BLOCK = 1024
+LANES = 4096
 CLASS_BITS, ID_BITS = 12, 20
 _U = np.uint64
 _WORD = _U(2**32 - 1)
@@ -51,39 +51,52 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
 class _Lanes:
     """State of all blocks of a segment, and the mixture of their next ids."""
 
+    #: What a weight moves to (of 2^16) when its order is right or wrong, so
+    #: that every share of 2^CLASS_BITS stays above zero.
+    RIGHT, WRONG = 63_900, 48
+
     def __init__(self, lanes: int, block: int):
-        self.bits = max(4, int(block - 1).bit_length())
-        size = 1 << self.bits
-        self.base = np.arange(lanes, dtype=np.int64) << self.bits
-        self.seen1 = np.zeros(lanes * size, np.int32)  # id + 1, 0 for none
-        self.seen2 = np.zeros(lanes * size, np.int32)  # and above bit 17 how often it held in a row
+        bits = max(4, int(block - 1).bit_length())
+        self.base = np.arange(lanes, dtype=np.int64) << bits
+        self.mask = (1 << bits) - 1
+        self.seen1 = np.zeros(lanes << bits, np.int32)  # id + 1, 0 for none
+        self.seen2 = np.zeros(lanes << bits, np.int32)  # and above bit 17 how often it held in a row
         self.contexts = np.arange(lanes, dtype=np.int64) * 8
-        self.hold2 = np.full(lanes * 8, 1 << 14, np.int32)
-        self.hold1 = np.full(lanes * 8, 1 << 13, np.int32)
+        self.hold2 = np.full(lanes * 8, 1 << 14, np.int64)
+        self.hold1 = np.full(lanes * 8, 1 << 13, np.int64)
         self.id1 = np.zeros(lanes, np.int64)
         self.id2 = np.zeros(lanes, np.int64)
-        self.mask = size - 1
 
     def predict(self):
         """Predictions (id + 1) of order 2 and 1, and the shares of 2^CLASS_BITS
-        that go to order 2 and order 1; order 0 has the rest."""
-        self.at1 = self.base + ((self.id1 * 40503 >> 4) & self.mask)
-        self.at2 = self.base + ((self.id1 * 60493 + self.id2 * 33391 >> 3) & self.mask)
-        p1, e2 = self.seen1[self.at1], self.seen2[self.at2]
+        that go to order 2, to order 1 and to order 0."""
+        self.at1 = self.base + (self.id1 * 40503 >> 4 & self.mask)
+        self.at2 = self.base + (self.id1 * 60493 + self.id2 * 33391 >> 3 & self.mask)
+        p1, e2 = self.seen1.take(self.at1), self.seen2.take(self.at2)
         p2 = e2 & 0x1FFFF
         self.held = e2 >> 17
-        self.ctx = self.contexts + (self.held << 1) + (p1 == p2)
-        self.w2, self.w1 = self.hold2[self.ctx], self.hold1[self.ctx]
-        a = np.clip(self.w2 >> 4, 1, 4000)
-        b = np.maximum((4096 - a) * (self.w1 >> 4) >> 12, 1)
-        return p1, p2, a.astype(np.uint64), b.astype(np.uint64)
-
-    def update(self, ids, hit1, hit2):
-        self.hold2[self.ctx] = self.w2 + ((hit2 * 65535 - self.w2) >> 5)
-        self.hold1[self.ctx] = np.where(hit2, self.w1, self.w1 + ((hit1 * 65535 - self.w1) >> 5))
-        value = (ids + 1).astype(np.int32)
-        self.seen1[self.at1] = value
-        self.seen2[self.at2] = value + (np.where(hit2, np.minimum(self.held + 1, 3), 0) << 17)
+        self.ctx = self.contexts + (self.held * 2 + (p1 == p2))
+        self.w2, self.w1 = self.hold2.take(self.ctx), self.hold1.take(self.ctx)
+        a = self.w2 >> 4
+        left = 4096 - a
+        b = (left * self.w1 >> 16) + 1
+        return p1, p2, a.view(np.uint64), b.view(np.uint64), (left - b).view(np.uint64)
+
+    def update(self, ids, next_ids, hit1, at_hit2):
+        """``ids`` and ids + 1 (as stored), the lanes' order-1 hits, and the
+        numbers of the lanes with order-2 hits."""
+        new2 = self.w2 + (self.WRONG - self.w2 >> 5)
+        new1 = self.w1 + (hit1 * (self.RIGHT - self.WRONG) + self.WRONG - self.w1 >> 5)
+        if len(at_hit2):
+            w = self.w2[at_hit2]
+            new2[at_hit2] = w + (self.RIGHT - w >> 5)
+            new1[at_hit2] = self.w1[at_hit2]
+        self.hold2[self.ctx] = new2
+        self.hold1[self.ctx] = new1
+        self.seen1[self.at1] = next_ids
+        self.seen2[self.at2] = next_ids
+        if len(at_hit2):
+            self.seen2[self.at2[at_hit2]] += np.minimum(self.held[at_hit2] + 1, 3) << 17
         self.id2, self.id1 = self.id1, ids
 
 
@@ -91,39 +104,58 @@ def _intervals(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return f.astype(np.uint64), (np.cumsum(f) - f).astype(np.uint64)
 
 
+class _Range:
+    """Intervals of the range coder: a 64-bit low end and a range, of which a
+    32-bit word leaves whenever the range is below 2^32 (if the interval then
+    straddles a word boundary it is cut there, so no carry can occur)."""
+
+    def __init__(self, lanes: int):
+        self.low = np.zeros(lanes, np.uint64)
+        self.size = np.full(lanes, 2**64 - 1, np.uint64)
+
+    def narrow(self, unit, start, size):
+        """Takes the interval; the lanes whose top word is settled, and those words."""
+        self.low += start * unit
+        self.size = size * unit
+        go = np.flatnonzero(self.size <= _WORD)
+        low, rng = self.low[go], self.size[go]
+        cut = (low ^ (low + rng)) > _WORD
+        rng = np.where(cut, (~low + _U(1)) & _WORD, rng)
+        self.low[go] = low << _U(32)
+        self.size[go] = rng << _U(32)
+        return go, low >> _U(32)
+
+
 def encode_blocks(ids: np.ndarray, f: np.ndarray) -> list[bytes]:
     """The code of each row of ``ids`` (lanes, block); ``f``: frequencies()."""
     lanes, block = ids.shape
     freq, cum = _intervals(f)
-    state = _Lanes(lanes, block)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
+    state, coder = _Lanes(lanes, block), _Range(lanes)
     out, at = np.zeros((lanes, block + 2), np.uint32), np.zeros(lanes, np.int64)
     flat, rows = out.reshape(-1), np.arange(lanes, dtype=np.int64) * (block + 2)
-    columns = np.ascontiguousarray(ids.T).astype(np.int64)
     shift = _U(ID_BITS)
+    columns = np.ascontiguousarray(ids.T)
     with np.errstate(over="ignore"):
-        for x in columns:
-            p1, p2, a, b = state.predict()
-            hit2 = p2 == x + 1
-            hit1 = (p1 == x + 1) & ~hit2
-            rest = _U(1 << CLASS_BITS) - a - b
-            start = np.where(hit2, _U(0), np.where(hit1, a << shift, ((a + b) << shift) + rest * cum[x]))
-            size = np.where(hit2, a << shift, np.where(hit1, b << shift, rest * freq[x]))
-            r = rng >> _U(32)
-            low += start * r
-            rng = size * r
-            same = (low ^ (low + rng)) <= _WORD
-            go = np.flatnonzero(same | (rng <= _WORD))
-            if len(go):
-                straddle = go[~same[go]]
-                rng[straddle] = (~low[straddle] + _U(1)) & _WORD
-                flat[rows[go] + at[go]] = low[go] >> _U(32)
-                at[go] += 1
-                low[go] <<= _U(32)
-                rng[go] <<= _U(32)
-            state.update(x, hit1, hit2)
+        for column in columns:
+            x, stored = column.astype(np.int64), column.astype(np.int32) + np.int32(1)
+            p1, p2, a, b, rest = state.predict()
+            hit2 = np.flatnonzero(p2 == stored)
+            hit1 = p1 == stored
+            hit1[hit2] = False
+            start, size = ((a + b) << shift) + rest * cum.take(x), rest * freq.take(x)
+            if len(hit2):
+                start[hit2] = 0
+                size[hit2] = a[hit2] << shift
+            one = np.flatnonzero(hit1)
+            if len(one):
+                start[one] = a[one] << shift
+                size[one] = b[one] << shift
+            go, word = coder.narrow(coder.size >> _U(32), start, size)
+            flat[rows[go] + at[go]] = word
+            at[go] += 1
+            state.update(x, stored, hit1, hit2)
     every = np.arange(lanes)
-    for part in (low >> _U(32), low & _WORD):
+    for part in (coder.low >> _U(32), coder.low & _WORD):
         out[every, at] = part
         at += 1
     return [out[i, :at[i]].astype("<u4").tobytes() for i in range(lanes)]
@@ -141,35 +173,35 @@ def decode_blocks(codes: list[bytes], block: int, f: np.ndarray) -> np.ndarray:
     flat, rows = words.reshape(-1), np.arange(lanes, dtype=np.int64) * width
     code = (words[:, 0] << _U(32)) | words[:, 1]
     at = np.full(lanes, 2, np.int64)
-    state = _Lanes(lanes, block)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
+    state, coder = _Lanes(lanes, block), _Range(lanes)
     out = np.zeros((block, lanes), np.uint16)
-    shift, top = _U(ID_BITS), _U((1 << ID_BITS) - 1)
+    shift, top = _U(ID_BITS), (1 << ID_BITS) - 1
     with np.errstate(over="ignore"):
         for t in range(block):
-            p1, p2, a, b = state.predict()
-            r = rng >> _U(32)
-            v = np.minimum((code - low) // r, _WORD)
-            ends2, ends1 = a << shift, (a + b) << shift
-            hit2 = v < ends2
-            hit1 = (v < ends1) & ~hit2
-            rest = _U(1 << CLASS_BITS) - a - b
-            other = slots[np.where(v >= ends1, np.minimum((v - ends1) // rest, top), _U(0)).astype(np.int64)]
-            x = np.where(hit2, p2 - 1, np.where(hit1, p1 - 1, other)).astype(np.int64)
-            start = np.where(hit2, _U(0), np.where(hit1, ends2, ends1 + rest * cum[x]))
-            size = np.where(hit2, ends2, np.where(hit1, b << shift, rest * freq[x]))
-            low += start * r
-            rng = size * r
-            same = (low ^ (low + rng)) <= _WORD
-            go = np.flatnonzero(same | (rng <= _WORD))
-            if len(go):
-                straddle = go[~same[go]]
-                rng[straddle] = (~low[straddle] + _U(1)) & _WORD
-                code[go] = (code[go] << _U(32)) | flat[rows[go] + np.minimum(at[go], width - 1)]
-                at[go] += 1
-                low[go] <<= _U(32)
-                rng[go] <<= _U(32)
-            state.update(x, hit1, hit2)
+            p1, p2, a, b, rest = state.predict()
+            unit = coder.size >> _U(32)
+            v = np.minimum((code - coder.low) // unit, _WORD)
+            from0 = (a + b) << shift
+            other = v >= from0
+            slot = ((v - from0) * other).astype(np.float64) / rest  # exact: 32 bits over 12
+            x = slots.take(np.minimum(slot.astype(np.int64), top)).astype(np.int64)
+            known = np.flatnonzero(~other)
+            second = v[known] < a[known] << shift
+            hit2, one = known[second], known[~second]
+            hit1 = np.zeros(lanes, bool)
+            hit1[one] = True
+            x[hit2] = p2[hit2] - 1
+            x[one] = p1[one] - 1
+            start, size = from0 + rest * cum.take(x), rest * freq.take(x)
+            if len(known):
+                start[hit2] = 0
+                size[hit2] = a[hit2] << shift
+                start[one] = a[one] << shift
+                size[one] = b[one] << shift
+            go, _ = coder.narrow(unit, start, size)
+            code[go] = (code[go] << _U(32)) | flat[rows[go] + np.minimum(at[go], width - 1)]
+            at[go] += 1
+            state.update(x, (x + 1).astype(np.int32), hit1, hit2)
             out[t] = x
     return np.ascontiguousarray(out.T)
 

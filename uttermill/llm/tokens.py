@@ -9,10 +9,12 @@ encoded whole.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
 #: Pieces that a worker remembers; beyond that it starts afresh.
-MEMORY = 600_000
+MEMORY = 1_000_000
 
 #: The characters that stand for bytes in byte-level vocabularies: printable
 #: Latin-1 bytes for themselves, the others for U+0100 and up, in order.
@@ -66,6 +68,8 @@ class WordCoder:
         with a full stop or comma behind it; None for any other piece."""
         if isinstance(piece, tuple):
             return None
+        if piece.isascii() and piece.isalpha():
+            return "\u0120" + piece if self.spaces_count else piece.lower()
         first = "\u0120"
         word = piece
         if self.spaces_count and word[:1] == "\n":
@@ -100,14 +104,17 @@ class WordCoder:
         self.new_sizes.append(sizes)
         self.new_ids.append(ids)
 
-    def _learn(self, pieces: list) -> None:
+    def _learn(self, pieces: list) -> set:
         """Encode distinct pieces, hundreds in one text whose ids are cut at
-        piece starts (a token that begins with a blank) or at separators."""
+        piece starts (a token that begins with a blank) or at separators. The
+        pieces that have no ids of their own are returned."""
         pre = [self._plain(p) for p in pieces]
         plain = [(p, x) for p, x in zip(pieces, pre) if x is not None]
         for i in range(0, len(plain), 512):
             self._learn_plain(*map(list, zip(*plain[i:i + 512])))
         pieces = [p for p, x in zip(pieces, pre) if x is None]
+        bad = {p for p in pieces if self._unsafe(p)}
+        pieces = [p for p in pieces if p not in bad]
         for i in range(0, len(pieces), 512):
             some = pieces[i:i + 512]
             if self.spaces_count:  # a text's first piece has no blank before it: give it a newline, drop that id
@@ -128,6 +135,7 @@ class WordCoder:
         self.sizes = np.concatenate([self.sizes, *self.new_sizes])
         self.ids = np.concatenate([self.ids, *self.new_ids])
         self.new_starts, self.new_sizes, self.new_ids = [], [], []
+        return bad
 
     def _pieces(self, text: str) -> list:
         if not self.spaces_count:
@@ -148,18 +156,17 @@ class WordCoder:
         if len(self.at) > MEMORY:
             self._forget()
         pieces = [self._pieces(t) for t in texts]
-        new = {p for ps in pieces for p in set(ps) if p not in self.at}
-        bad = {p for p in new if self._unsafe(p)}
-        if new - bad:
-            self._learn(list(new - bad))
-        out = []
-        for text, ps in zip(texts, pieces):
-            if bad and not bad.isdisjoint(ps):
-                out.append(self.encode_whole(text) if text else np.zeros(0, np.uint16))
-                continue
-            idx = np.fromiter(map(self.at.__getitem__, ps), np.int64, len(ps))
-            size = self.sizes[idx]
-            ends = np.cumsum(size)
-            n = int(ends[-1]) if len(ends) else 0
-            out.append(self.ids[np.arange(n) + np.repeat(self.starts[idx] - ends + size, size)])
-        return out
+        bad = self._learn(list(set().union(*pieces).difference(self.at)))
+        whole = {}
+        if bad:
+            whole = {i: self.encode_whole(texts[i]) if texts[i] else np.zeros(0, np.uint16)
+                     for i, ps in enumerate(pieces) if not bad.isdisjoint(ps)}
+            pieces = [[] if i in whole else ps for i, ps in enumerate(pieces)]
+        counts = list(map(len, pieces))
+        idx = np.fromiter(map(self.at.__getitem__, chain.from_iterable(pieces)), np.int64, sum(counts))
+        size = self.sizes[idx]
+        ends = np.cumsum(size)
+        n = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.arange(n) + np.repeat(self.starts[idx] - ends + size, size)]
+        cuts = np.append(0, ends)[np.cumsum(counts)[:-1]] if counts else []
+        return [whole.get(i, x) for i, x in enumerate(np.split(ids, cuts))]
