@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, fresh
+from .common import bound, fresh, written
 
 WINDOW = 5
 MIN_SHARE = 0.8
@@ -37,7 +37,7 @@ UNITS = ["km", "m", "cm", "mm", "mile", "miles", "kg", "g", "mg", "pound", "poun
          "liters", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week",
          "weeks", "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "cent",
          "cents", "percent", "degrees", "kmh", "mph"]
-TOKEN = r"[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*"
+TOKEN = r"[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*"
 
 
 def tokens(text: Column) -> Column:
@@ -47,35 +47,34 @@ def tokens(text: Column) -> Column:
 def canonical(toks: Column) -> Column:
     """The tokens with typed placeholders; words in lower case."""
     def number(t):
-        return t.substr(1, 1).rlike(r"\p{N}")
+        return t.substr(1, 1).between("0", "9")
 
     def one(t, i):
         low = F.lower(t)
-        unit = (i > 0) & low.isin(UNITS) & number(F.get(toks, i - 1))
-        return F.when(number(t), "<num>").when(unit, "<unit>").when(
-            F.lower(t.substr(1, 1)) != t.substr(1, 1), "<name>").otherwise(low)
+        unit = low.isin(UNITS) & (i > 0) & number(F.get(toks, i - 1))
+        return F.when(number(t), "<num>").when(low.substr(1, 1) != t.substr(1, 1), "<name>").when(
+            unit, "<unit>").otherwise(low)
 
     return F.transform(toks, one)
 
 
-def _hashes(can: Column) -> Column:
-    """Hash of each window (null where it has too few words), from token hashes."""
-    def windows(h):
-        def one(i):
-            part = F.slice(h, i + 1, WINDOW)
-            words = F.size(F.filter(part, lambda x: x["word"]))
-            return F.when(words >= MIN_WORDS, F.xxhash64(F.transform(part, lambda x: x["h"])))
-        return F.when(F.size(h) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), one))
-
-    return bound(F.transform(can, lambda t: F.struct(
-        F.xxhash64(t).alias("h"), (t.substr(1, 1) != "<").alias("word"))), windows)
+def token_hashes(can: Column) -> Column:
+    """A hash of each canonical token, whose lowest bit says whether it is a word."""
+    return F.transform(can, lambda t: F.when(t.startswith("<"), F.shiftleft(F.xxhash64(t), 1)).otherwise(
+        F.shiftleft(F.xxhash64(t), 1).bitwiseOR(F.lit(1))))
 
 
 def windows(rows: DataFrame, id_col: str, text: str) -> DataFrame:
-    """id, pos, h and (through ``toks``) the values of every usable window."""
+    """id, pos, h and (through ``toks``) the values of every window with enough
+    words. The windows are built after the explode, by element access that
+    Spark compiles, not in a lambda."""
     toks = rows.select(F.col(f"`{id_col}`").alias("id"), tokens(F.col(f"`{text}`")).alias("toks"))
-    hashed = toks.select("id", "toks", bound(F.col("toks"), lambda t: _hashes(canonical(t))).alias("hs"))
-    return hashed.select("id", "toks", F.posexplode("hs").alias("pos", "h")).where("h IS NOT NULL")
+    hashed = toks.select("id", "toks", bound(F.col("toks"), lambda t: token_hashes(canonical(t))).alias("hs"))
+    each = hashed.select("id", "toks", "hs", F.posexplode("hs").alias("pos", "h0")).where(
+        F.col("pos") <= F.size("hs") - WINDOW)
+    part = [F.col("h0"), *[F.get("hs", F.col("pos") + k) for k in range(1, WINDOW)]]
+    words = sum((p.bitwiseAND(F.lit(1)) for p in part[1:]), part[0].bitwiseAND(F.lit(1)))
+    return each.where(words >= MIN_WORDS).select("id", "toks", "pos", F.xxhash64(*part).alias("h"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
@@ -93,6 +92,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     small = items.count() <= BROADCAST_WINDOWS
     hits = windows(docs, id_col, text).join(F.broadcast(items) if small else items, "h").select(
         "id", "item", "pos", "item_pos", "item_size", "n_windows", value.alias("words"), "item_words")
+    hits = written(hits, "leak-windows")  # both branches below read them
     # regions: two families of diagonals, so that any shift below half an item falls into one
     shift = F.col("pos") - F.col("item_pos")
     regions = hits.withColumn("region", F.explode(F.array(
@@ -104,7 +104,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     # values in the slots of the matched windows: item value -> document value
     slots = regions.select(*group, F.explode(F.arrays_zip("words", "item_words")).alias("s")).select(
         *group, F.lower("s.words").alias("doc_value"), F.col("s.item_words").alias("item_value"))
-    slots = slots.where(F.col("item_value").rlike(r"^[\p{N}\p{Lu}]") | F.lower("item_value").isin(UNITS))
+    slots = slots.where(F.col("item_value").rlike(r"^[0-9\p{Lu}]") | F.lower("item_value").isin(UNITS))
     votes = slots.groupBy(*group, F.lower("item_value").alias("item_value"), "doc_value").count()
     votes = votes.groupBy(*group, "item_value").agg(F.max("count").alias("best"), F.sum("count").alias("n"))
     slot = votes.groupBy(*group).agg((F.sum("best") / F.sum("n")).alias("consistency"))
