@@ -1,14 +1,11 @@
-"""Edit-distance kernel, reference-layout readers, entities, combinations."""
+"""Edit distances, run-tree readers, entities, combinations."""
 
 import json
 import os
 import random
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from uttermill.functions.editdist import levenshtein_batch
 from uttermill.operators import entities, expand
 from uttermill.session import scratch_path
 from uttermill.sources import logs
@@ -25,28 +22,49 @@ def _lev(a, b):
     return prev[-1]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.text("abcé ", max_size=140), st.text("abcé ", max_size=140)), min_size=1, max_size=80))
-def test_kernel_matches_dynamic_programme(pairs):
-    got = levenshtein_batch([a for a, _ in pairs], [b for _, b in pairs])
-    assert list(got) == [_lev(a, b) for a, b in pairs]
-
-
-def test_kernel_vector_path_and_blocks():
-    random.seed(3)
-    a = ["".join(random.choice("xyz ") for _ in range(random.choice([63, 64, 65, 129, 300]))) for _ in range(200)]
-    b = ["".join(random.choice("xyz ") for _ in range(random.randint(1, 400))) for _ in range(200)]
-    assert list(levenshtein_batch(a, b)) == [_lev(x, y) for x, y in zip(a, b)]
-
-
-def test_kernel_in_spark_equals_builtin(spark):
+def test_min_distance_matches_dynamic_programme(spark):
     from uttermill.operators.distance import min_distance
-    o = spark.createDataFrame([("i", "the quick brown fox", 1), ("i", "lorem ipsum dolor", 2)], ["intent", "text", "pos"])
-    c = spark.createDataFrame([("i", t, k) for k, t in enumerate(["the quick brown dog", "lorem", "", "xyz" * 50])],
-                              ["intent", "text", "pos"])
-    a = {r.pos: r.dist for r in min_distance(c, o, kernel="bitparallel").collect()}
-    b = {r.pos: r.dist for r in min_distance(c, o, kernel="builtin").collect()}
-    assert a == b
+    rng = random.Random(3)
+
+    def word(n):
+        return "".join(rng.choice("abcé ") for _ in range(n))
+    originals = [("i", word(rng.randint(0, 90)), k) for k in range(12)] + [("j", "x", 0)]
+    cands = [("i", word(rng.randint(0, 90)), k) for k in range(60)] + [("none", "x", 99)]
+    cols = ["intent", "text", "pos"]
+    got = min_distance(spark.createDataFrame(cands, cols), spark.createDataFrame(originals, cols),
+                       with_nearest=True).collect()
+    for r in got:
+        want = min([(_lev(r.text, t), p) for i, t, p in originals if i == r.intent], default=(None, None))
+        assert (r.dist, r.origin_pos) == want
+
+
+def test_annotate_quotes_and_folds(spark):
+    ex = spark.createDataFrame([("a", "price $x(1) and \u00c9T\u00c9 \\\\E end", 1)], ["intent", "text", "pos"])
+    va = spark.createDataFrame([("a", 1, 0, "[\u00e9t\u00e9]($m\\\\1)"), ("a", 2, 0, "[$x](c)")],
+                               ["intent", "ord", "vord", "variant"])
+    out = entities.annotate(ex, va).first().annotated
+    assert "[\u00c9T\u00c9]($m\\\\1)" in out and "[$x](c)" in out
+
+
+def test_paraphrase_uses_runs_of_any_length(spark):
+    u = spark.createDataFrame([(1, "please how do i fix this today")], ["id", "text"])
+    p = spark.createDataFrame([("how do i fix this", "how to fix it"), ("fix this", "mend")],
+                              ["input_text", "target_text"])
+    assert [r.pred for r in expand.paraphrase_with_pairs(u, p, ["id"], k=1).collect()] == [
+        "please how to fix it today"]
+
+
+def test_combinations_do_not_overflow(spark):
+    lists = spark.createDataFrame([(1, [["a", "b", "c", "d"]] * 40)], "id int, lists array<array<string>>")
+    rows = expand.expand_combinations(lists, ["id"], max_per_example=5).orderBy("idx").collect()
+    assert [r.text.split()[-2:] for r in rows] == [["a", x] for x in "abcd"] + [["b", "a"]]
+
+
+def test_human_mode_keeps_every_run(spark):
+    from uttermill.operators import corpora
+    o = spark.createDataFrame([(10, 7, "a", "x", 1)], ["train_n", "run", "intent", "text", "pos"])
+    h = spark.createDataFrame([("a", "y", 2)], ["intent", "text", "pos"])
+    assert [(r.train_n, r.run, r.text) for r in corpora.for_each_split(h, o).collect()] == [(10, 7, "y")]
 
 
 def test_reference_layout_readers(spark, tmp_path):

@@ -56,4 +56,5 @@ LIMIT_PER_INTENT = 5
 
 # Size guards for broadcasting derived tables (rows).
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 ARRAY_MAX_PER_GROUP = 10_000

@@ -42,6 +42,14 @@ def for_each_run(df: DataFrame, sizes: Sequence[int] = config.TRAIN_SIZES,
     return df.select(F.explode(grid).alias("_g"), "*").select("_g.train_n", "_g.run", *df.columns)
 
 
+def for_each_split(df: DataFrame, originals: DataFrame, keys=("train_n", "run")) -> DataFrame:
+    """Replicate rows once per split that occurs in ``originals`` (its distinct
+    run keys, one small array)."""
+    k = list(keys)
+    grid = originals.select(F.array_sort(F.collect_set(F.struct(*k)))).scalar()
+    return df.select(F.explode(grid).alias("_g"), "*").select(*[F.col(f"_g.{c}") for c in k], *df.columns)
+
+
 def merge_corpora(a: DataFrame, b: DataFrame, keys=()) -> DataFrame:
     """SET-1: per intent the set union of both corpora (intents of either
     side kept). ``pos`` is the smallest position seen for the text."""

@@ -8,9 +8,8 @@ run keys and intent; each candidate row computes its distances in-row with
 original rows are materialised. Larger original sets get more chunks and a
 partial-then-final ``min`` aggregation.
 
-Distances come from an exact bit-parallel kernel run on Arrow batches
-(``functions.editdist``), about six times cheaper per pair than the
-cell-by-cell built-in; ``kernel="builtin"`` selects Spark's ``levenshtein``.
+Distances are Spark's ``levenshtein`` with the smallest distance so far as
+its bound, so that an original that cannot be nearer is given up early.
 """
 
 from __future__ import annotations
@@ -20,27 +19,30 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import words_ws
-from ..functions.editdist import edit_distances
 from ..session import broadcast_if_small, spread
 
-KERNEL = "bitparallel"
-LONG_TEXT = 2000
+_BEST = "array<struct<d:int,p:bigint,o:string>>"
 
 
-def _distances(text_col, origs_col: str, field: str, kernel: str, long_text: int | None = LONG_TEXT):
-    """Array of edit distances from ``text_col`` to ``origs_col[*].field``:
-    the bit-parallel pandas UDF (default) or Spark's built-in
-    ``levenshtein`` inside ``transform``. Texts longer than ``LONG_TEXT``
-    characters (a thin tail) take the built-in path: the vectorised kernel
-    wants many pairs of similar length per step."""
-    builtin = F.transform(origs_col, lambda o: F.levenshtein(text_col, o[field]))
-    if kernel == "bitparallel":
-        texts = F.transform(origs_col, lambda o: o[field])
-        if long_text is None:
-            return edit_distances(text_col, texts)
-        short = F.when(F.length(text_col) <= long_text, texts)
-        return F.coalesce(edit_distances(text_col, short), builtin)
-    return builtin
+def _running_best(text, origs: str):
+    """After each original of the array ``origs`` (fields t, p, o) the nearest
+    one so far: distance d, position p (ties: the smallest), text o."""
+    def step(acc, o):
+        best = F.get(acc, F.size(acc) - 1)
+        bound = F.coalesce(best["d"], F.greatest(F.length(text), F.length(o["t"])))
+        mine = F.transform(F.array(F.call_function("levenshtein", text, o["t"], bound)),
+                           lambda d: F.struct(d.alias("d"), o["p"].alias("p"), o["o"].alias("o")))
+        return F.concat(acc, F.transform(mine, lambda m: F.when(
+            best.isNull() | ((m["d"] >= 0) & ((m["d"] < best["d"]) | ((m["d"] == best["d"]) & (m["p"] < best["p"])))),
+            m).otherwise(best)))
+
+    return F.aggregate(origs, F.array().cast(_BEST), step)
+
+
+def _best_of(running: str, n=None):
+    """The nearest among the first ``n`` originals (all without n); null if none."""
+    size = F.size(running)
+    return F.get(F.col(running), (size if n is None else F.least(size, n)) - 1)
 
 
 def _k(keys) -> list[str]:
@@ -70,8 +72,7 @@ def originals_chunks(originals: DataFrame, keys, fields: dict,
 
 
 def min_distance(candidates: DataFrame, originals: DataFrame, keys=(), cand_col: str = "text",
-                 orig_col: str = "text", out: str = "dist", with_nearest: bool = False,
-                 kernel: str = KERNEL) -> DataFrame:
+                 orig_col: str = "text", out: str = "dist", with_nearest: bool = False) -> DataFrame:
     """DST-2: minimum unit-cost edit distance from each candidate to the
     originals of the same run keys and intent. No originals -> null.
 
@@ -80,33 +81,32 @@ def min_distance(candidates: DataFrame, originals: DataFrame, keys=(), cand_col:
     """
     k = _k(keys)
     has_pos = "pos" in originals.columns
-    fields = {"t": F.col(orig_col), "p": (F.col("pos") if has_pos else F.lit(None)).cast("long")}
+    fields = {"t": F.col(orig_col), "p": (F.col("pos") if has_pos else F.lit(None)).cast("long"),
+              "o": F.col(orig_col)}
     arr, most = originals_chunks(originals, k, fields)
     arr = broadcast_if_small(arr)
     c = spread(candidates)
     if most > 1:
         c = c.withColumn("_rid", F.monotonically_increasing_id())
     j = c.join(arr, k + ["intent"], "left")
-    j = j.withColumn("_dd", _distances(F.col(cand_col), "_origs", "t", kernel))
-    scored = F.zip_with("_origs", "_dd", lambda o, dd: F.struct(dd.alias("d"), o["p"].alias("p"), o["t"].alias("t")))
-    j = j.withColumn("_best", F.array_min(scored)).drop("_dd")
+    j = j.withColumn("_near", _running_best(F.col(cand_col), "_origs"))
+    j = j.withColumn("_best", _best_of("_near")).drop("_near")
     if most == 1:
         res = j.withColumn(out, F.col("_best.d"))
         if with_nearest:
-            res = res.withColumn("origin_text", F.col("_best.t")).withColumn("origin_pos", F.col("_best.p"))
+            res = res.withColumn("origin_text", F.col("_best.o")).withColumn("origin_pos", F.col("_best.p"))
         return res.drop("_origs", "_chunk", "_best")
     agg = [F.min("_best").alias("_best")]
     keep = [c_ for c_ in c.columns if c_ != "_rid"]
     res = (j.groupBy("_rid").agg(*agg, *[F.first(x).alias(x) for x in keep])
            .withColumn(out, F.col("_best.d")))
     if with_nearest:
-        res = res.withColumn("origin_text", F.col("_best.t")).withColumn("origin_pos", F.col("_best.p"))
+        res = res.withColumn("origin_text", F.col("_best.o")).withColumn("origin_pos", F.col("_best.p"))
     return res.select(*keep, out, *(["origin_text", "origin_pos"] if with_nearest else []))
 
 
 def min_distance_fewshot(candidates: DataFrame, picks: DataFrame, sizes, cand_col: str = "text",
-                         orig_col: str = "text", out: str = "dist", with_nearest: bool = False,
-                         kernel: str = KERNEL) -> DataFrame:
+                         orig_col: str = "text", out: str = "dist", with_nearest: bool = False) -> DataFrame:
     """DST-2 specialised to nested few-shot splits (SET-5): the originals
     of split (n, run) are the picks of ``run`` with rank <= n. Distances to
     the largest split are computed once per (candidate, run); every split
@@ -126,25 +126,24 @@ def min_distance_fewshot(candidates: DataFrame, picks: DataFrame, sizes, cand_co
                                                      F.col(orig_col).alias("t")))).alias("_origs")))
     arr = broadcast_if_small(arr)
     j = spread(candidates).join(arr, "intent", "left")
-    j = j.withColumn("_dd", _distances(F.col(cand_col), "_origs", "t", kernel))
-    j = j.withColumn("_d", F.zip_with("_origs", "_dd", lambda o, dd: F.struct(
-        dd.alias("d"), o["p"].alias("p"), o["o"].alias("o")))).drop("_dd")
+    j = j.withColumn("_d", _running_best(F.col(cand_col), "_origs"))
     j = j.withColumn("train_n", F.explode(F.array(*[F.lit(int(n)) for n in sizes])))
     j = j.where(~F.coalesce(F.exists(F.slice("_origs", 1, F.col("train_n")),
                                      lambda o: o["o"] == F.col("text")), F.lit(False)))
-    j = j.withColumn("_b", F.array_min(F.slice("_d", 1, F.col("train_n")))).withColumn(out, F.col("_b.d"))
+    j = j.withColumn("_b", _best_of("_d", F.col("train_n"))).withColumn(out, F.col("_b.d"))
     extra = [F.col("_b.p").alias("origin_pos"), F.col("_b.o").alias("origin_text")] if with_nearest else []
     return j.select("train_n", "run", *candidates.columns, out, *extra)
 
 
 def farthest_per_intent(df: DataFrame, k: int = config.KEEP_BY_DISTANCE, keys=(),
-                        dist: str = "dist", tie: str = "pos") -> DataFrame:
+                        dist: str = "dist", tie: str = "pos", first: str | None = None) -> DataFrame:
     """DST-3: per (keys, intent) the k rows with the largest distance;
-    ties keep input order (``tie``, then the text); null distances rank
+    ties keep input order (rows with ``first`` true, if given, then ``tie``,
+    then the text); null distances rank
     last. A top-k window, so Spark applies the group limit before the
     shuffle."""
     kk = _k(keys)
-    order = [F.col(dist).desc_nulls_last(), F.col(tie).asc()] + ([F.col("text")] if "text" in df.columns else [])
+    order = [F.col(dist).desc_nulls_last(), *([F.col(first).desc()] if first else []), F.col(tie).asc()] + ([F.col("text")] if "text" in df.columns else [])
     w = Window.partitionBy(*kk, "intent").orderBy(*order)
     return df.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
@@ -178,8 +177,7 @@ def jaccard_pairs(candidates: DataFrame, originals: DataFrame, keys=(), min_sim:
     return j.select(*candidates.columns, "_m.orig_pos", "_m.sim")
 
 
-def farthest_from_fewshot(candidates: DataFrame, picks: DataFrame, sizes, k: int = config.KEEP_BY_DISTANCE,
-                          kernel: str = KERNEL) -> DataFrame:
+def farthest_from_fewshot(candidates: DataFrame, picks: DataFrame, sizes, k: int = config.KEEP_BY_DISTANCE) -> DataFrame:
     """DST-2 + DST-3 for nested few-shot splits with exact length pruning.
 
     For each candidate and split, |len(c) - len(o)| <= lev(c, o) <=
@@ -209,12 +207,11 @@ def farthest_from_fewshot(candidates: DataFrame, picks: DataFrame, sizes, k: int
            .select(*keys, F.when(F.col("_m") >= k, F.col("_tau")).otherwise(F.lit(-1)).alias("_tau")))
     survivors = (c.join(broadcast_if_small(tau), keys).where(F.col("_ub") >= F.col("_tau"))
                  .select(*candidates.columns, "run", "train_n"))
-    # exact distances for the survivors only (same kernel as DST-2)
+    # exact distances for the survivors only
     arr2 = broadcast_if_small(p.groupBy("run", "intent").agg(F.array_sort(F.collect_list(
-        F.struct("rk", F.col("text").alias("t")))).alias("_origs")))
+        F.struct("rk", F.col("text").alias("t"), F.col("pos").alias("p"), F.col("text").alias("o")))).alias("_origs")))
     j = spread(survivors).join(arr2, ["run", "intent"])
-    # survivors are mostly the long lines: all of them go through the kernel
-    j = j.withColumn("_dd", _distances(F.col("text"), "_origs", "t", kernel, long_text=None))
-    j = j.withColumn("dist", F.array_min(F.slice("_dd", 1, F.col("train_n"))))
+    j = j.withColumn("_near", _running_best(F.col("text"), "_origs"))
+    j = j.withColumn("dist", _best_of("_near", F.col("train_n"))["d"])
     d = j.select("train_n", "run", *candidates.columns, "dist")
     return farthest_per_intent(d, k, keys=["train_n", "run"])

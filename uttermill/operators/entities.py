@@ -89,8 +89,9 @@ def annotate(examples: DataFrame, variants: DataFrame, keys=(), text: str = "tex
 
     def mark(acc, x):
         # literal, case-insensitive, and not inside a span opened by \u0001
-        pat = F.concat(F.lit("(?i)"), F.lit("\\Q"), x["s"], F.lit("\\E"), F.lit(f"(?![^{s1}]*{s3})"))
-        rep = F.concat(F.lit(s1), F.lit("$0"), F.lit(s2), x["t"], F.lit(s3))
+        literal = F.regexp_replace(x["s"], r"([^\p{L}\p{N}\s])", r"\\$1")
+        pat = F.concat(F.lit("(?iu)"), literal, F.lit(f"(?![^{s1}]*{s3})"))
+        rep = F.concat(F.lit(s1), F.lit("$0"), F.lit(s2), F.regexp_replace(x["t"], r"([\\$])", r"\\$1"), F.lit(s3))
         return F.regexp_replace(acc, pat, rep)
 
     marked = F.aggregate(F.coalesce("_ents", F.array().cast("array<struct<s:string,t:string>>")),

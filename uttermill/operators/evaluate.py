@@ -147,14 +147,11 @@ def new_example_counts(kept: DataFrame, report: DataFrame, size: str = "train_n"
     return per_run.groupBy(size, "intent").agg(F.avg("new_examples").alias("new_examples"))
 
 
-def pivot_intents(summary: DataFrame, value: str, size: str = "train_n",
-                  intents: Sequence[str] | None = None) -> DataFrame:
-    """EVA-9: one row per training size, one column per intent (sorted),
-    cell = the intent's ``value``. The intent list is computed with a small
-    distinct job when not given."""
-    if intents is None:
-        intents = [r[0] for r in summary.select("intent").distinct().orderBy("intent").collect()]
-    return summary.groupBy(size).pivot("intent", sorted(intents)).agg(F.first(value))
+def pivot_intents(summary: DataFrame, intents: Sequence[str], values: Sequence[str] = ("precision", "recall", "f1"),
+                  size: str = "train_n") -> DataFrame:
+    """EVA-9: one row per training size and for each of the given intents a
+    column ``<intent>_<value>`` per metric."""
+    return summary.groupBy(size).pivot("intent", sorted(intents)).agg(*[F.first(v).alias(v) for v in values])
 
 
 def avg_growth(examples: DataFrame, baseline: DataFrame, keys=("train_n", "run"),

@@ -39,13 +39,20 @@ def expand_combinations(lists: DataFrame, id_cols, chunk: int = CHUNK,
     ``max_per_example`` is given (then the first ones in product order)."""
     n = F.size("lists")
     sizes = F.transform("lists", lambda l: F.size(l).cast("long"))
-    total = F.aggregate(sizes, F.lit(1).cast("long"), lambda acc, s: acc * s)
+    # products are capped at the largest index that the chunks can count to
+    top = F.lit(2**62 if max_per_example is None else int(max_per_example)).cast("long")
+
+    def times(acc, s):
+        room = F.call_function("div", top, F.greatest(acc, F.lit(1).cast("long")))
+        return F.when(s > room, top).otherwise(acc * s)
+
+    total = F.aggregate(sizes, F.lit(1).cast("long"), times)
     x = lists.select(*id_cols, "lists", sizes.alias("_sz"), total.alias("_total"))
     if max_per_example is not None:
-        x = x.withColumn("_total", F.least("_total", F.lit(int(max_per_example)).cast("long")))
+        x = x.withColumn("_total", F.least("_total", top))
     # suffix products: weight of position i = product of the sizes after i
     x = x.withColumn("_w", F.transform(F.sequence(F.lit(1), n), lambda i: F.aggregate(
-        F.slice("_sz", i + 1, F.greatest(n - i, F.lit(0))), F.lit(1).cast("long"), lambda a, s: a * s)))
+        F.slice("_sz", i + 1, F.greatest(n - i, F.lit(0))), F.lit(1).cast("long"), times)))
     # index ranges of bounded length, spread over tasks before generating rows
     nchunks = F.greatest(F.ceil(F.col("_total") / chunk), F.lit(1)).cast("long")
     x = x.select("*", F.explode(F.sequence(F.lit(0).cast("long"), nchunks - 1)).alias("_c"))
@@ -55,7 +62,7 @@ def expand_combinations(lists: DataFrame, id_cols, chunk: int = CHUNK,
     x = x.select("*", F.explode(F.sequence(lo, hi)).alias("idx"))
     pick = F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(
         F.element_at("lists", i),
-        (F.floor(F.col("idx") / F.element_at("_w", i)) % F.element_at("_sz", i) + 1).cast("int")))
+        (F.call_function("div", F.col("idx"), F.element_at("_w", i)) % F.element_at("_sz", i) + 1).cast("int")))
     return x.select(*id_cols, "idx", F.array_join(pick, " ").alias("text"))
 
 
@@ -138,15 +145,17 @@ def vector_synonyms(words: DataFrame, vectors: DataFrame, n: int = 10, word: str
 # --- EXP-7 / EXP-8 / EXP-9 --------------------------------------------------------------------
 
 def paraphrase_with_pairs(utts: DataFrame, pairs: DataFrame, id_cols, k: int = config.PARAPHRASES_PER_INPUT,
-                          max_ngram: int = 4, text: str = "text") -> DataFrame:
-    """EXP-7, built-in pair-table model: every token n-gram (n <= max_ngram)
-    of an utterance that equals a pair's ``input_text`` is replaced by the
-    pair's ``target_text``; per utterance the ``k`` longest matches (then
+                          text: str = "text") -> DataFrame:
+    """EXP-7, built-in pair-table model: every run of tokens of an utterance
+    that equals a pair's ``input_text`` (runs of all the lengths that occur
+    in the pair table are tried) is replaced by the pair's ``target_text``; per utterance the ``k`` longest matches (then
     earliest start, then target text) are kept. Output: id columns, ``k_i``
     (1..k), ``pred``."""
+    lengths = F.coalesce(pairs.select(F.collect_set(F.size(F.split("input_text", " ")))).scalar(),
+                         F.array().cast("array<int>"))
     toks = utts.select(*id_cols, tokens_space(F.col(text)).alias("_t"))
     grams = toks.select("*", F.posexplode("_t").alias("_s", "_x")).select(
-        *id_cols, "_t", "_s", F.explode(F.sequence(F.lit(1), F.lit(max_ngram))).alias("_n"))
+        *id_cols, "_t", "_s", F.explode(lengths).alias("_n"))
     grams = grams.where(F.col("_s") + F.col("_n") <= F.size("_t")).withColumn(
         "_g", F.array_join(F.slice("_t", F.col("_s") + 1, F.col("_n")), " "))
     p = broadcast_if_small(pairs.select(F.col("input_text").alias("_g"), "target_text").distinct())

@@ -94,7 +94,8 @@ def filter_corpus(initial: DataFrame, new: DataFrame, k: int = config.KEEP_BY_DI
         dist = distance.min_distance(kept, init, keys=KEYS, cand_col="_lc", orig_col="_lo")
     else:
         dist = distance.min_distance(kept, initial, keys=KEYS)
-    top = distance.farthest_per_intent(dist, k, keys=KEYS).select(*KEYS, "intent", "text", "pos")
+    dist = dist.withColumn("is_error", F.col("pred") != F.col("intent"))
+    top = distance.farthest_per_intent(dist, k, keys=KEYS, first="is_error").select(*KEYS, "intent", "text", "pos")
     return corpora.merge_corpora(_as_corpus(initial), top, KEYS) if merge else top
 
 
@@ -108,15 +109,13 @@ def run_mode(mode: str, originals: DataFrame, human: DataFrame, res: Resources,
     if mode == "baseline":
         return o
     if mode == "human":
-        h = corpora.for_each_run(human.select("intent", "text", "pos")).join(
-            o.select(*KEYS).distinct(), KEYS, "left_semi")
+        h = corpora.for_each_split(human.select("intent", "text", "pos"), o, KEYS)
         return corpora.merge_corpora(o, h, KEYS)
     cand = candidates(originals, res)
     if mode == "augment":
         return corpora.merge_corpora(o, _as_corpus(cand), KEYS)
     lex = res.lexicon
-    grid = o.select(*KEYS).distinct()
-    h = corpora.for_each_run(human.select("intent", "text", "pos")).join(grid, KEYS, "left_semi")
+    h = corpora.for_each_split(human.select("intent", "text", "pos"), o, KEYS)
     if mode == "augment_and_human":
         filtered = filter_corpus(o, cand, k, threshold, merge=True, lexicon=lex)
         # the merged originals already hold the kept paraphrases (in-place merge)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import ascii_fold
 
 LINE_FACTOR = 1_000_000
+#: Classes of the evaluation log (the event types).
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,9 +30,7 @@ def corpus_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
     x = lines.select(F.col("lang").alias("intent"), ascii_fold("line").alias("text"),
                      (F.col("doc_id") * LINE_FACTOR + F.col("ln")).alias("pos"))
-    # read by several branches of a plan (few-shot picks, candidates): kept
-    # after the first computation instead of re-running scan + split + distinct
-    return x.where(F.col("text") != "").groupBy("intent", "text").agg(F.min("pos").alias("pos")).persist()
+    return x.where(F.col("text") != "").groupBy("intent", "text").agg(F.min("pos").alias("pos"))
 
 
 def corpus_parts(spark: SparkSession, d: str) -> DataFrame:

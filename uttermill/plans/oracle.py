@@ -239,7 +239,10 @@ Q["new_counts"] = w(*VREP) + f"""SELECT train_n, intent, round(avg(new_examples)
              GROUP BY train_n, run, intent) c
     ON c.train_n = i.train_n AND c.run = i.run AND c.intent = i.intent) a GROUP BY train_n, intent"""
 
-Q["pivot_intents"] = w(*ISUM) + "SELECT * FROM (PIVOT (SELECT train_n, intent, round(f1, 6) AS f1 FROM ISUM) ON intent USING first(f1) GROUP BY train_n) p"
+Q["pivot_intents"] = w(*ISUM) + "SELECT train_n, " + ", ".join(
+    f"round(max({m}) FILTER (WHERE intent = '{i}'), 6) AS {i}_{m}"
+    for i in ("click", "error", "purchase", "signup", "view") for m in ("precision", "recall", "f1")
+) + " FROM ISUM GROUP BY train_n"
 
 # --- naive Bayes on L, triage ------------------------------------------------------------
 
@@ -423,8 +426,9 @@ Q["pairs_split"] = w(P, PAIRS, PRC) + f"""SELECT source, input_text, target_text
        THEN 'test' ELSE 'train' END AS split FROM PRC"""
 
 PARA = f"""G AS (SELECT intent, pos, text, string_split(text, ' ') AS t FROM P),
-NG AS (SELECT intent, pos, t, s, n, array_to_string(t[s + 1:s + n], ' ') AS g FROM G,
-  (SELECT unnest(range(0, 4)) AS s) a, (SELECT unnest(range(1, 5)) AS n) b WHERE s + n <= len(t)),
+NL AS (SELECT DISTINCT len(string_split(input_text, ' ')) AS n FROM PRC),
+NG AS (SELECT intent, pos, t, s, n, array_to_string(t[s + 1:s + n], ' ') AS g FROM (
+  SELECT G.*, n, unnest(range(0, greatest(len(t) - n + 1, 0))) AS s FROM G, NL) z),
 PM AS (SELECT NG.*, p.target_text, row_number() OVER (PARTITION BY intent, pos ORDER BY n DESC, s, p.target_text) AS k_i
   FROM NG JOIN (SELECT DISTINCT input_text, target_text FROM PRC) p ON p.input_text = NG.g),
 PP AS (SELECT intent, pos, CAST(k_i AS BIGINT) AS k_i,
@@ -540,12 +544,13 @@ def filter_chain(train: str, new: str, p: str) -> list[str]:
             *nb_chain(train, f"{p}CD", p),
             f"{p}KEPT AS (SELECT * FROM {p}NBP WHERE pred <> intent OR conf < {T})",
             lemma_text(f"{p}KEPT", f"{p}LC"), lemma_text(train, f"{p}LO"),
-            f"""{p}DI AS (SELECT k.train_n, k.run, k.intent, k.text, k.pos, min(levenshtein(lc.lemma, lo.lemma)) AS dist
+            f"""{p}DI AS (SELECT k.train_n, k.run, k.intent, k.text, k.pos, k.pred <> k.intent AS is_error,
+    min(levenshtein(lc.lemma, lo.lemma)) AS dist
   FROM {p}KEPT k JOIN {p}LC lc ON lc.train_n = k.train_n AND lc.run = k.run AND lc.intent = k.intent AND lc.text = k.text
   LEFT JOIN {p}LO lo ON lo.train_n = k.train_n AND lo.run = k.run AND lo.intent = k.intent
-  GROUP BY k.train_n, k.run, k.intent, k.text, k.pos)""",
+  GROUP BY k.train_n, k.run, k.intent, k.text, k.pos, k.pred)""",
             f"""{p}TOP AS (SELECT train_n, run, intent, text, pos FROM (SELECT *, row_number() OVER (
-  PARTITION BY train_n, run, intent ORDER BY dist DESC NULLS LAST, pos, text) AS rk FROM {p}DI) x WHERE rk <= {K})"""]
+  PARTITION BY train_n, run, intent ORDER BY dist DESC NULLS LAST, is_error DESC, pos, text) AS rk FROM {p}DI) x WHERE rk <= {K})"""]
 
 
 MODE_BASE = [P, PL, fewshot(), GRID, TOKP, LEX, SYN, SL, PAIRS, PRC,
@@ -554,9 +559,10 @@ MODE_BASE = [P, PL, fewshot(), GRID, TOKP, LEX, SYN, SL, PAIRS, PRC,
   FROM FS JOIN SL a ON a.word = split_part(FS.text, ' ', 1))""",
              """INP AS (SELECT train_n, run, intent, text, min(origin_pos) AS origin_pos FROM STAGE
   GROUP BY train_n, run, intent, text)""",
-             f"""NG2 AS (SELECT INP.*, string_split(text, ' ') AS t, s, n,
-    array_to_string(string_split(text, ' ')[s + 1:s + n], ' ') AS g FROM INP,
-  (SELECT unnest(range(0, 4)) AS s) a, (SELECT unnest(range(1, 5)) AS n) b WHERE s + n <= len(string_split(text, ' ')))""",
+             """NL AS (SELECT DISTINCT len(string_split(input_text, ' ')) AS n FROM PRC)""",
+             """NG2 AS (SELECT *, array_to_string(t[s + 1:s + n], ' ') AS g FROM (
+  SELECT INP.*, n, string_split(text, ' ') AS t,
+    unnest(range(0, greatest(len(string_split(text, ' ')) - n + 1, 0))) AS s FROM INP, NL) z)""",
              f"""PM2 AS (SELECT NG2.*, p.target_text, row_number() OVER (PARTITION BY train_n, run, intent, text
     ORDER BY n DESC, s, p.target_text) AS k_i
   FROM NG2 JOIN (SELECT DISTINCT input_text, target_text FROM PRC) p ON p.input_text = NG2.g)""",

@@ -255,7 +255,7 @@ def q_new_counts(spark, d):
 @register("pivot_intents")
 def q_pivot_intents(spark, d):
     from ..operators import evaluate
-    return std(evaluate.pivot_intents(_intent_summary(spark, d), "f1"))
+    return std(evaluate.pivot_intents(_intent_summary(spark, d), fx.EVENT_TYPES))
 
 
 # --- naive Bayes on L, triage ----------------------------------------------------------

@@ -73,11 +73,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is only read here. Only when it is unset (local tests) a folder is
     created and registered.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="uttermill-ckpt-")
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
         spark.conf.set("spark.checkpoint.dir", d)
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
@@ -89,20 +92,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = config.BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
-
-    The count stops early (``limit``). Beyond the bound the plain DataFrame
-    is returned and Spark plans a shuffle join (AQE splits skewed keys).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def max_group_size(df: DataFrame, keys: list[str]) -> int:
-    """Largest group size of ``df`` by ``keys`` (one aggregate job)."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0)
+def broadcast_if_small(df: DataFrame, max_rows: int = config.BROADCAST_MAX_ROWS,
+                       max_bytes: int = config.BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if it is within both bounds, found by one
+    aggregate (rows, and bytes of their JSON form). Beyond them the plain
+    DataFrame is returned and Spark plans a shuffle join (AQE splits skewed
+    keys)."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, total = df.agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
+    return F.broadcast(df) if n <= max_rows and (total or 0) <= max_bytes else df
 
 
 def spread(df: DataFrame) -> DataFrame:
