@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces that a worker remembers; beyond that it starts afresh.
-MEMORY = 1_000_000
+MEMORY = 500_000
 
 #: The characters that stand for bytes in byte-level vocabularies: printable
 #: Latin-1 bytes for themselves, the others for U+0100 and up, in order.
