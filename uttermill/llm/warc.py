@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..session import scratch_path
+from ..session import broadcast_if_small, scratch_path
 from .common import AtomicFile, open_input, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -81,6 +81,7 @@ def write_pages(pages: DataFrame, id_col: str = "page_id", url: str = "url", pay
     first = narrow.groupBy("sha1").agg(F.min(key).alias("first"))  # map-side first: a hot payload is a row a task
     again = (narrow.join(first, "sha1").where(key != F.col("first"))
              .select(key.alias("key"), "sha1", "first").distinct())
+    again = broadcast_if_small(written(again, "warc-revisits"))  # then payloads move once, not twice
     joined = (rows.withColumn("key", key).withColumn("sha1", F.sha1(F.encode("payload", "UTF-8")))
               .join(again, ["key", "sha1"], "left"))
     revisit = F.col("first").isNotNull()
