@@ -39,6 +39,19 @@ def bound(expr: Column, use) -> Column:
     return F.transform(F.array(expr), use)[0]
 
 
+def release_memory() -> None:
+    """Gives memory that this Python worker has freed back to the system.
+    Workers outlive their tasks and stages; what the allocators of Arrow and C
+    keep would count against the executor in all later ones."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(""))
 

@@ -15,6 +15,7 @@ get names that ``docs`` does not use.
 from __future__ import annotations
 
 from collections import Counter
+from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import fresh, text_or_empty
+from .common import fresh, release_memory, text_or_empty
 
 #: Characters that count as symbols, and white space between words.
 SYMBOLS = "#*$%&|<>"
@@ -65,8 +66,12 @@ def signals(text: str | None) -> tuple[int, ...]:
 
 
 @pandas_udf(SIGNALS)
-def _signals(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([signals(t) for t in text], columns=COUNTS, dtype="int64")
+def _signals(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for text in texts:
+        found = pd.DataFrame([signals(t) for t in text], columns=COUNTS, dtype="int64")
+        del text
+        yield found
+        release_memory()
 
 
 def _broken(s) -> dict:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import release_memory, text_or_empty
 from .tokens import coder
 
 CAPACITY = 4096
@@ -149,8 +149,12 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
                     if total >= group_tokens:
                         yield flush()
                         ids, names, total = [], [], 0
+            pdf = some = found = None
+            release_memory()
         if ids:
             yield flush()
+            ids, names = [], []
+            release_memory()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text).alias("text"))
     return rows.mapInPandas(task, PIECES)

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from itertools import combinations
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import fresh, text_or_empty, written
+from .common import fresh, release_memory, text_or_empty, written
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -63,8 +64,12 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 def fingerprint_column(text, words: int = SHINGLE_WORDS):
     """Signed 64-bit value of the fingerprint (bit pattern unchanged)."""
     @pandas_udf("long")
-    def f(t: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(x, words) for x in t], dtype=np.uint64).view(np.int64))
+    def f(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            found = pd.Series(np.array([fingerprint(x, words) for x in t], dtype=np.uint64).view(np.int64))
+            del t
+            yield found
+            release_memory()
     return f(text)
 
 
@@ -193,6 +198,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_variants: int = BUCKE
         bucket, part, part_bits = (int(x) for x in key)
         fp, root = links_of_bucket(pdf["fp"].to_numpy(np.int64).view(np.uint64), bucket, prefix, radius,
                                    part, part_bits)
+        release_memory()
         return pd.DataFrame({"fp": fp.view(np.int64), "root": root.view(np.int64)})
 
     found = dealt.groupBy("bucket", "part", "part_bits").applyInPandas(find, "fp long, root long")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import AtomicFile, open_input, text_or_empty, written
+from .common import AtomicFile, open_input, release_memory, text_or_empty, written
 from .rangecoder import pack_segment, read_segment
 from .tokens import coder
 
@@ -76,6 +76,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
                     encode()
                     if in_segment >= segment_ids:
                         flush()
+            pdf = row = None
+            release_memory()
         flush()
         if out:
             out.close()
