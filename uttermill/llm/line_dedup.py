@@ -25,6 +25,9 @@ MIN_SITES = 10
 #: log2 of the sketch's registers, and standard errors that count as near.
 SKETCH_BITS = 12
 NEAR_ERRORS = 3.0
+#: Parts that the occurrences of one line are dealt to before any join on the
+#: line, so that a line in very many documents is spread over as many tasks.
+SALTS = 32
 
 BLANKS = " \t\x0b\x0c\r"
 
@@ -35,8 +38,8 @@ def _lines(text: Column) -> Column:
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", site: str = "source",
                 text: str = "text") -> DataFrame:
-    """key (id, md5 of the text), site, pos and h (16-byte hash) of every line
-    that has a word."""
+    """key (id, md5 of the text), site, pos, h (16-byte hash) and salt of every
+    line that has a word; a document has one salt."""
     t = F.col(f"`{text}`")
     lines = docs.select(
         F.struct(F.col(f"`{id_col}`").alias("id"), F.md5(t).alias("md5")).alias("key"),
@@ -44,7 +47,13 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", site: str = "source",
         F.posexplode(_lines(t)).alias("pos", "line"))
     trimmed = F.btrim(F.col("line"), F.lit(BLANKS))
     return lines.select("key", "site", "pos", trimmed.alias("line")).where("line <> ''").select(
-        "key", "site", "pos", F.unhex(F.md5(F.col("line"))).alias("h"))
+        "key", "site", "pos", F.unhex(F.md5(F.col("line"))).alias("h"),
+        F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
+
+
+def _every_salt(rows: DataFrame) -> DataFrame:
+    """``rows`` (a row a line) once for each part of its occurrences."""
+    return rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, sketch_bits: int = SKETCH_BITS,
@@ -56,7 +65,8 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, sketch_bits: int =
     spread = spread.where(F.col("sites") >= min_sites - margin)
     near = F.col("sites") < min_sites + margin
     # (line, site) pairs are made distinct map-side first, so a hot line costs a row a task and site
-    exact = (lines.join(spread.where(near).select("h"), "h", "left_semi").select("h", "site").distinct()
+    exact = (lines.join(_every_salt(spread.where(near).select("h")), ["h", "salt"], "left_semi")
+             .select("h", "site").distinct()
              .groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h"))
     return spread.where(~near).select("h").union(exact)
 
@@ -64,9 +74,11 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, sketch_bits: int =
 def removals(lines: DataFrame, lines_out: DataFrame) -> DataFrame:
     """key and ``drops`` (sorted line positions to remove): the occurrences of
     the lines ``lines_out.h`` but the first one."""
-    hits = lines.join(lines_out, "h").select("h", "key", "pos").distinct()
-    first = hits.groupBy("h").agg(F.min(F.struct("key", "pos")).alias("first"))
-    return (hits.join(first, "h").where(F.struct("key", "pos") != F.col("first"))
+    hits = lines.join(_every_salt(lines_out), ["h", "salt"]).select("h", "salt", "key", "pos").distinct()
+    # the first of each part, then of the parts
+    first = (hits.groupBy("h", "salt").agg(F.min(F.struct("key", "pos")).alias("first"))
+             .groupBy("h").agg(F.min("first").alias("first")))
+    return (hits.join(_every_salt(first), ["h", "salt"]).where(F.struct("key", "pos") != F.col("first"))
             .groupBy("key").agg(F.array_sort(F.collect_list("pos")).alias("drops")))
 
 
