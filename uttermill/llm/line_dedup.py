@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, written
 
 MIN_SITES = 10
 #: log2 of the sketch's registers, and standard errors that count as near.
@@ -56,30 +56,31 @@ def _every_salt(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, sketch_bits: int = SKETCH_BITS,
-                near_errors: float = NEAR_ERRORS) -> DataFrame:
-    """h of the lines that occur on at least ``min_sites`` sites."""
+def candidates(lines: DataFrame, min_sites: int = MIN_SITES, sketch_bits: int = SKETCH_BITS,
+               near_errors: float = NEAR_ERRORS) -> DataFrame:
+    """h of the lines whose estimate may reach ``min_sites`` sites, and whether
+    it is so near that an exact count decides."""
     spread = lines.groupBy("h").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(sketch_bits))).alias("sites"))
     margin = max(1.0, near_errors * 1.04 / 2 ** (sketch_bits / 2) * min_sites)
-    spread = spread.where(F.col("sites") >= min_sites - margin)
-    near = F.col("sites") < min_sites + margin
-    # (line, site) pairs are made distinct map-side first, so a hot line costs a row a task and site
-    exact = (lines.join(_every_salt(spread.where(near).select("h")), ["h", "salt"], "left_semi")
-             .select("h", "site").distinct()
-             .groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h"))
-    return spread.where(~near).select("h").union(exact)
+    return spread.where(F.col("sites") >= min_sites - margin).select(
+        "h", (F.col("sites") < min_sites + margin).alias("near"))
 
 
-def removals(lines: DataFrame, lines_out: DataFrame) -> DataFrame:
-    """key and ``drops`` (sorted line positions to remove): the occurrences of
-    the lines ``lines_out.h`` but the first one."""
-    hits = lines.join(_every_salt(lines_out), ["h", "salt"]).select("h", "salt", "key", "pos").distinct()
+def removals(hits: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """key and ``drops`` (sorted line positions to remove) from the occurrences
+    of the candidates: all but the first one of each line on at least
+    ``min_sites`` sites."""
+    # (line, site) pairs are made distinct map-side first, so a hot line costs a row a task and site
+    exact = (hits.where("near").select("h", "site").distinct()
+             .groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h"))
+    wide = hits.where("NOT near").unionByName(
+        hits.where("near").join(_every_salt(exact), ["h", "salt"], "left_semi"))
     # the first of each part, then of the parts
-    first = (hits.groupBy("h", "salt").agg(F.min(F.struct("key", "pos")).alias("first"))
+    first = (wide.groupBy("h", "salt").agg(F.min(F.struct("key", "pos")).alias("first"))
              .groupBy("h").agg(F.min("first").alias("first")))
-    return (hits.join(_every_salt(first), ["h", "salt"]).where(F.struct("key", "pos") != F.col("first"))
-            .groupBy("key").agg(F.array_sort(F.collect_list("pos")).alias("drops")))
+    return (wide.join(_every_salt(first), ["h", "salt"]).where(F.struct("key", "pos") != F.col("first"))
+            .groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("drops")))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", site: str = "source", text: str = "text",
@@ -87,7 +88,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", site: str = "source", text: s
     """``docs`` with boilerplate lines removed from ``text``; with ``counts``
     the columns n_lines (parts between newlines) and n_removed follow."""
     lines = occurrences(docs, id_col, site, text)
-    drops = removals(lines, boilerplate(lines, min_sites, **sketch))
+    found = _every_salt(candidates(lines, min_sites, **sketch))
+    hits = written(lines.join(found, ["h", "salt"]), "line-hits")  # three branches read them
+    drops = removals(hits, min_sites)
     key, out = fresh("line_key", docs.columns), fresh("line_drops", docs.columns)
     t = F.col(f"`{text}`")
     keyed = docs.withColumn(key, F.struct(F.col(f"`{id_col}`").alias("id"), F.md5(t).alias("md5")))
