@@ -144,6 +144,20 @@ def test_leaks_reparameterised(spark):
     assert {r.doc_id for r in got} == {1, 3} and all(r.consistency == 1.0 for r in got)
 
 
+def test_leaks_in_another_case(spark):
+    prepare(spark)
+    items = [(9, "Alice bought 12 apples for 30 dollars and gave Bob half of what she had left in the basket."),
+             (10, "In Germany die Straße nach Berlin war 30 km lang, and Tom Baker drove Her Royal Highness home.")]
+    rows = [(10 * i + k, f"Some words before it. {t}\nAnd others AFTER it.") for i, x in items
+            for k, t in enumerate([x, x.upper(), x.lower(), x.title(), x.swapcase()])]
+    rows += [(1, items[0][1].upper().replace("12", "17").replace("30", "45")), (2, "ALICE BOUGHT 12 APPLES FOR HERSELF")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
+    assert got == {(d, d // 10) for d, _ in rows[:-2]} | {(1, 9)}
+    assert [r.doc_id for r in decontam.keep_clean(docs, bench).collect()] == [2]
+
+
 def test_lines_sketch_agrees_with_plain(spark):
     prepare(spark)
     rng = random.Random(2)

@@ -1,13 +1,16 @@
 """Benchmark decontamination by template canonicalisation (DataFrame functions only).
 
-Tokens are letter runs and numbers. Capitalised words become a name
-placeholder, numbers a number placeholder, and units after a number a unit
-placeholder; windows of five canonical tokens (at least two of them words) are
-hashed and joined with the benchmark's. A document hits an item where, in one
-region of the document, at least ``min_share`` of the item's windows match and
-the values in the placeholders are consistent: each value of the item stands
-for one value of the document (equal for a verbatim leak, other values for a
-re-parameterised question).
+Tokens are letter runs and numbers, in two views. In the template view
+capitalised words become a name placeholder, numbers a number placeholder, and
+units after a number a unit placeholder; the plain view has words without case
+(names too) and the placeholders of numbers and units, so that a passage whose
+case was changed still matches. Windows of five tokens (at least two of them
+words) are hashed and joined with the benchmark's. A document hits an item
+where, in one region of the document, at least ``min_share`` of the item's
+windows of one view match and the values in the placeholders are consistent:
+each value of the item stands for one value of the document (equal for a
+verbatim leak, other values for a re-parameterised question). Other names in
+another case match in neither view.
 
 Documents stream past the benchmark's windows, which are broadcast only if
 they are at most ``BROADCAST_WINDOWS`` rows (counted first; a row has two
@@ -44,20 +47,29 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def canonical(toks: Column) -> Column:
-    """The tokens with typed placeholders; words in lower case."""
+def fold(t: Column) -> Column:
+    """Without case: in upper case, in which "ß" and "SS" agree."""
+    return F.upper(t)
+
+
+def caseless(toks: Column) -> Column:
+    """The tokens without case, with placeholders for numbers and units."""
     def number(t):
         return t.substr(1, 1).between("0", "9")
 
     def one(t, i):
-        low = F.lower(t)
-        unit = low.isin(UNITS) & (i > 0) & number(F.get(toks, i - 1))
-        return F.when(number(t), "<num>").when(low.substr(1, 1) != t.substr(1, 1), "<name>").when(
-            unit, "<unit>").otherwise(low)
+        unit = F.lower(t).isin(UNITS) & (i > 0) & number(F.get(toks, i - 1))
+        return F.when(number(t), "<num>").when(unit, "<unit>").otherwise(fold(t))
 
     return F.transform(toks, one)
 
 
+def canonical(toks: Column, plain: Column) -> Column:
+    """The tokens of ``caseless``, capitalised ones as a name placeholder."""
+    return F.zip_with(toks, plain, lambda t, p: F.when(
+        F.lower(t).substr(1, 1) != t.substr(1, 1), "<name>").otherwise(p))
+
+
 def token_hashes(can: Column) -> Column:
     """A hash of each canonical token, whose lowest bit says whether it is a word."""
     return F.transform(can, lambda t: F.when(t.startswith("<"), F.shiftleft(F.xxhash64(t), 1)).otherwise(
@@ -65,57 +77,74 @@ def token_hashes(can: Column) -> Column:
 
 
 def windows(rows: DataFrame, id_col: str, text: str) -> DataFrame:
-    """id, pos, h and (through ``toks``) the values of every window with enough
+    """id, pos and (through ``toks``) the values of every window, with its hash
+    in both views: ``template`` and ``plain``, null for a view without enough
     words. The windows are built after the explode, by element access that
     Spark compiles, not in a lambda."""
     toks = rows.select(F.col(f"`{id_col}`").alias("id"), tokens(F.col(f"`{text}`")).alias("toks"))
-    hashed = toks.select("id", "toks", bound(F.col("toks"), lambda t: token_hashes(canonical(t))).alias("hs"))
-    each = hashed.select("id", "toks", "hs", F.posexplode("hs").alias("pos", "h0")).where(
-        F.col("pos") <= F.size("hs") - WINDOW)
-    part = [F.col("h0"), *[F.get("hs", F.col("pos") + k) for k in range(1, WINDOW)]]
-    words = sum((p.bitwiseAND(F.lit(1)) for p in part[1:]), part[0].bitwiseAND(F.lit(1)))
-    return each.where(words >= MIN_WORDS).select("id", "toks", "pos", F.xxhash64(*part).alias("h"))
+    views = toks.select("id", "toks", bound(F.col("toks"), lambda t: bound(caseless(t), lambda p: F.struct(
+        token_hashes(canonical(t, p)).alias("t"), token_hashes(p).alias("p")))).alias("hs"))
+    hashed = views.select("id", "toks", F.col("hs.t").alias("ts"), F.col("hs.p").alias("ps"))
+    each = hashed.select("id", "toks", "ts", "ps", F.posexplode("ts").alias("pos", "t0")).where(
+        F.col("pos") <= F.size("ts") - WINDOW)
+
+    def window(hs):
+        part = [F.get(hs, F.col("pos") + k) for k in range(WINDOW)]
+        words = sum((p.bitwiseAND(F.lit(1)) for p in part[1:]), part[0].bitwiseAND(F.lit(1)))
+        return F.when(words >= MIN_WORDS, F.xxhash64(*part))
+
+    return each.select("id", "toks", "pos", window("ts").alias("template"), window("ps").alias("plain"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
           item_col: str = "item_id", item_text: str = "text", min_share: float = MIN_SHARE,
           min_consistent: float = MIN_CONSISTENT) -> DataFrame:
     """One row for each document and item that it holds: the ids, n_matched
-    and n_windows (windows of the item), and consistency (share of slot values
-    that the chosen mapping explains; 1 without slots)."""
+    and n_windows (windows of the item, of the template view if that matches),
+    and consistency (share of slot values that the chosen mapping explains; 1
+    without slots)."""
     value = F.slice("toks", F.col("pos") + 1, WINDOW)
+    views = F.array(*[F.struct(F.lit(v).alias("view"), F.col(c).alias("h"))
+                      for v, c in enumerate(("template", "plain"))])
     items = windows(benchmark, item_col, item_text).select(
-        F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h", value.alias("item_words"),
-        F.size("toks").alias("item_size")).distinct()
-    sizes = items.groupBy("item").agg(F.countDistinct("item_pos").alias("n_windows"))
-    items = items.join(sizes, "item")
+        F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.inline(views), value.alias("item_words"),
+        F.size("toks").alias("item_size")).where(F.col("h").isNotNull()).distinct()
+    sizes = items.groupBy("item", "view").agg(F.countDistinct("item_pos").alias("n_windows"))
+    keys = [F.col(f"i.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("item", "view")]
+    items = items.alias("i").join(sizes.alias("n"), keys).select("i.*", "n.n_windows")
     small = items.count() <= BROADCAST_WINDOWS
-    hits = windows(docs, id_col, text).join(F.broadcast(items) if small else items, "h").select(
-        "id", "item", "pos", "item_pos", "item_size", "n_windows", value.alias("words"), "item_words")
+    # a window without capitals has one hash in both views, looked up once
+    either = F.array("template", F.when(~F.col("plain").eqNullSafe(F.col("template")), F.col("plain")))
+    seen = windows(docs, id_col, text).select("id", "toks", "pos", F.explode(either).alias("h")).where(
+        F.col("h").isNotNull())
+    hits = seen.join(F.broadcast(items) if small else items, "h").select(
+        "id", "item", "view", "pos", "item_pos", "item_size", "n_windows", value.alias("words"), "item_words")
     hits = written(hits, "leak-windows")  # both branches below read them
     # regions: two families of diagonals, so that any shift below half an item falls into one
     shift = F.col("pos") - F.col("item_pos")
     regions = hits.withColumn("region", F.explode(F.array(
         F.struct(F.lit(0).alias("family"), F.floor(shift / F.col("item_size")).alias("at")),
         F.struct(F.lit(1).alias("family"), F.floor(shift / F.col("item_size") + 0.5).alias("at")))))
-    group = ["id", "item", "region"]
+    group = ["id", "item", "view", "region"]
     full = (regions.groupBy(*group, "n_windows").agg(F.countDistinct("item_pos").alias("n_matched"))
             .where(F.col("n_matched") >= min_share * F.col("n_windows")))
     # values in the slots of the matched windows: item value -> document value
     slots = regions.select(*group, F.explode(F.arrays_zip("words", "item_words")).alias("s")).select(
-        *group, F.lower("s.words").alias("doc_value"), F.col("s.item_words").alias("item_value"))
+        *group, fold(F.col("s.words")).alias("doc_value"), F.col("s.item_words").alias("item_value"))
     slots = slots.where(F.col("item_value").rlike(r"^[0-9\p{Lu}]") | F.lower("item_value").isin(UNITS))
-    votes = slots.groupBy(*group, F.lower("item_value").alias("item_value"), "doc_value").count()
+    votes = slots.groupBy(*group, fold(F.col("item_value")).alias("item_value"), "doc_value").count()
     votes = votes.groupBy(*group, "item_value").agg(F.max("count").alias("best"), F.sum("count").alias("n"))
     slot = votes.groupBy(*group).agg((F.sum("best") / F.sum("n")).alias("consistency"))
     keys = [F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")) for c in group]
     judged = (full.alias("f").join(slot.alias("s"), keys, "left")
               .select("f.*", F.coalesce("s.consistency", F.lit(1.0)).alias("consistency"))
               .where(F.col("consistency") >= min_consistent))
-    return judged.groupBy("id", "item").agg(
+    found = judged.groupBy("id", "item", "view").agg(
         F.max("n_matched").cast("long").alias("n_matched"),
         F.max("n_windows").cast("long").alias("n_windows"),
-        F.max("consistency").alias("consistency")).select(
+        F.max("consistency").alias("consistency"))
+    first = F.min_by(F.struct("n_matched", "n_windows", "consistency"), "view")  # the template's, if it matches
+    return found.groupBy("id", "item").agg(first.alias("kept")).select("id", "item", "kept.*").select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), "n_matched", "n_windows", "consistency")
 
 
