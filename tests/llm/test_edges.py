@@ -158,6 +158,23 @@ def test_leaks_in_another_case(spark):
     assert [r.doc_id for r in decontam.keep_clean(docs, bench).collect()] == [2]
 
 
+def test_leaks_of_repeated_templates(spark):
+    prepare(spark)
+    item = "Tom has 3 apples and Ann has 5 apples and Bob has 7 apples and Sue has 9 apples in the basket"
+    other = "Max has 4 apples and Eva has 8 apples and Ian has 6 apples and Liz has 2 apples in the basket"
+    mixed = "Max has 4 apples and Eva has 8 apples and Max has 8 apples and Max has 8 apples in the basket"
+    repeats = "Tom has 3 apples and Ann has 5 apples and Tom has 3 apples and Ann has 5 apples in the basket"
+    docs = spark.createDataFrame(
+        [(1, item), (2, f"some words first. {other}. and some more"), (3, item.replace("and Bob", "and also Bob")),
+         (4, item.upper()), (5, other)], "doc_id long, text string")
+    bench = spark.createDataFrame([(8, repeats), (9, item)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
+    assert got == {(d, 9) for d in (1, 2, 3, 4, 5)}
+    odd = spark.createDataFrame([(1, mixed), (2, repeats)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(odd, bench).collect()}
+    assert (2, 8) in got and (1, 8) not in got
+
+
 def test_lines_sketch_agrees_with_plain(spark):
     prepare(spark)
     rng = random.Random(2)

@@ -9,8 +9,10 @@ words) are hashed and joined with the benchmark's. A document hits an item
 where, in one region of the document, at least ``min_share`` of the item's
 windows of one view match and the values in the placeholders are consistent:
 each value of the item stands for one value of the document (equal for a
-verbatim leak, other values for a re-parameterised question). Other names in
-another case match in neither view.
+verbatim leak, other values for a re-parameterised question). Of an item window
+that hits several places the one on the region's commonest diagonal counts; a
+region in which ``min_share`` of the windows have the item's own values is
+verbatim and needs no vote. Other names in another case match in neither view.
 
 Documents stream past the benchmark's windows, which are broadcast only if
 they are at most ``BROADCAST_WINDOWS`` rows (counted first; a row has two
@@ -24,7 +26,7 @@ kept by ``keep_clean``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound, fresh, written
@@ -102,7 +104,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     """One row for each document and item that it holds: the ids, n_matched
     and n_windows (windows of the item, of the template view if that matches),
     and consistency (share of slot values that the chosen mapping explains; 1
-    without slots)."""
+    without slots and for verbatim copies)."""
     value = F.slice("toks", F.col("pos") + 1, WINDOW)
     views = F.array(*[F.struct(F.lit(v).alias("view"), F.col(c).alias("h"))
                       for v, c in enumerate(("template", "plain"))])
@@ -126,10 +128,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
         F.struct(F.lit(0).alias("family"), F.floor(shift / F.col("item_size")).alias("at")),
         F.struct(F.lit(1).alias("family"), F.floor(shift / F.col("item_size") + 0.5).alias("at")))))
     group = ["id", "item", "view", "region"]
-    full = (regions.groupBy(*group, "n_windows").agg(F.countDistinct("item_pos").alias("n_matched"))
-            .where(F.col("n_matched") >= min_share * F.col("n_windows")))
-    # values in the slots of the matched windows: item value -> document value
-    slots = regions.select(*group, F.explode(F.arrays_zip("words", "item_words")).alias("s")).select(
+    same = F.transform("words", fold) == F.transform("item_words", fold)
+    each = regions.groupBy(*group, "n_windows", "item_pos").agg(F.max(same).cast("int").alias("same"))
+    full = each.groupBy(*group, "n_windows").agg(F.count("*").alias("n_matched"), F.sum("same").alias("n_same")).where(
+        F.col("n_matched") >= min_share * F.col("n_windows"))
+    # one hit of each item window: that on the diagonal with most hits of the region
+    # (of equal ones, with most equal values), so that repetitions do not vote on each other's values
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in group]
+    diagonal = Window.partitionBy(*group, "shift")
+    best = Window.partitionBy(*group, "item_pos").orderBy(F.desc("hits"), F.desc("equal"), "shift", "words", "item_words")
+    aligned = (regions.alias("r").join(full.alias("f"), on, "left_semi")
+               .select(*group, "item_pos", "words", "item_words", shift.alias("shift"), same.cast("int").alias("same"))
+               .withColumn("hits", F.count("*").over(diagonal)).withColumn("equal", F.sum("same").over(diagonal))
+               .withColumn("nth", F.row_number().over(best)).where(F.col("nth") == 1))
+    # values in the slots of the aligned windows: item value -> document value
+    slots = aligned.select(*group, F.explode(F.arrays_zip("words", "item_words")).alias("s")).select(
         *group, fold(F.col("s.words")).alias("doc_value"), F.col("s.item_words").alias("item_value"))
     slots = slots.where(F.col("item_value").rlike(r"^[0-9\p{Lu}]") | F.lower("item_value").isin(UNITS))
     votes = slots.groupBy(*group, fold(F.col("item_value")).alias("item_value"), "doc_value").count()
@@ -137,7 +150,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     slot = votes.groupBy(*group).agg((F.sum("best") / F.sum("n")).alias("consistency"))
     keys = [F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")) for c in group]
     judged = (full.alias("f").join(slot.alias("s"), keys, "left")
-              .select("f.*", F.coalesce("s.consistency", F.lit(1.0)).alias("consistency"))
+              .select("f.*", F.when(F.col("n_same") >= min_share * F.col("n_windows"), 1.0).otherwise(
+                  F.coalesce("s.consistency", F.lit(1.0))).alias("consistency"))
               .where(F.col("consistency") >= min_consistent))
     found = judged.groupBy("id", "item", "view").agg(
         F.max("n_matched").cast("long").alias("n_matched"),
