@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from pyspark.sql import functions as F
 from uttermill.llm import (decontam, host_quality, line_dedup, packing, pii, rangecoder, simhash, suffix_dedup,
-                           token_store, url_filter, warc)
+                           token_store, tokens, url_filter, warc)
 from uttermill.llm.queries import tokenizer
 from uttermill.session import prepare
 
@@ -225,6 +225,17 @@ def test_url_odd_rows(spark):
     assert url_filter.allowed(caps, entries.limit(0)).count() == 7
 
 
+@pytest.mark.parametrize("name,spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_literals_of_added_tokens(name, spaces):
+    from tokenizers import Tokenizer
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "<|startoftext|>a b", "a\n<|endoftext|>b<|endoftext|>\nc",
+             "x <| endoftext|> <|EndOfText|> y", "plain words, one <|endof text|>", "one <|endoftext|> two"]
+    plain = Tokenizer.from_file(tokenizer(name))
+    assert plain.token_to_id("<|endoftext|>") in plain.encode(texts[0], add_special_tokens=False).ids
+    got = tokens.coder(tokenizer(name), spaces).encode(texts)
+    assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_rangecoder_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 300, 70_000):

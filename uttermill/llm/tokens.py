@@ -3,8 +3,9 @@
 Both public vocabularies split a text at white space before any merge, so the
 ids of a text are those of its pieces in a row. Each distinct piece is encoded
 once a batch and kept in a bounded memory of the worker; texts in which a
-split could change the result (white space next to a space or newline) are
-encoded whole.
+split could change the result (white space next to a space or newline, or the
+literal of an added token such as "<|endoftext|>", which has an id of its own)
+are encoded whole.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ class WordCoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaces_count = spaces_count
         self.new_starts, self.new_sizes, self.new_ids = [], [], []
         from tokenizers.pre_tokenizers import CharDelimiterSplit
@@ -146,9 +147,11 @@ class WordCoder:
 
     def _unsafe(self, piece) -> bool:
         """A piece whose neighbourhood the tokenizer would see differently."""
-        if not self.spaces_count:
-            return "\0" in piece
         p = piece[0] if isinstance(piece, tuple) else piece
+        if any(a in p for a in self.added):
+            return True
+        if not self.spaces_count:
+            return "\0" in p
         return not p or p[0] == " " or p[-1].isspace()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
