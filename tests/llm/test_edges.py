@@ -79,6 +79,33 @@ def test_suffix_random_against_plain(spark):
     assert sorted(tuple(r) for r in got) == sorted(ref.substring_dedup(rows))
 
 
+def test_hot_anchor_is_spread(spark):
+    prepare(spark)
+    rng = random.Random(8)
+
+    def words(n):
+        return "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+
+    passage = words(60)
+    rows = [(i, words(60) + passage + words(60)) for i in range(300)] + [(400, passage), (401, words(200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot_bytes in (500, 10_000, suffix_dedup.HOT_BYTES):
+        got = suffix_dedup.mark(df, hot_bytes=hot_bytes).collect()
+        assert sorted(tuple(r) for r in got) == sorted(ref.substring_dedup(rows))
+    texts = [t.encode() for _, t in rows]
+    unit = suffix_dedup.Unit([i for i, _ in rows], list(map(len, texts)), b"".join(texts), 50)
+    windows = int(unit.count.sum())
+    hot = np.isin(unit.hash, [h for h in np.unique(unit.hash) if unit.count[unit.hash == h].sum() > 1000])
+    most = max(np.unique(unit.hash[hot], return_counts=True)[1])
+    runs = unit.deal(np.arange(len(unit.hash)), hot, 50)
+    segments, owner = unit.segments(runs, 50)
+    assert hot.any() and most >= 300 and int(unit.count[runs].sum()) == windows
+    spread = {}
+    for r, o in list(zip(runs, owner))[int((~hot).sum()):]:  # distinct segments behind one hash of the cut runs
+        spread.setdefault(int(unit.hash[r]), set()).add(int(o))
+    assert max(map(len, spread.values())) == 1
+
+
 def test_two_stage_order():
     rng = np.random.default_rng(3)
     for _ in range(100):
