@@ -160,6 +160,13 @@ def test_pii_added_kinds():
     assert [s for s in pii.find_spans("an account of the ibank, password= none") if s] == []
 
 
+def test_iban_before_an_upper_case_word():
+    iban = "DE89 3704 0044 0532 0130 00"
+    for t in (f"IBAN: {iban} BIC COBADEFFXXX", f"IBAN: {iban} A B", f"IBAN: {iban}", f"IBAN {iban.replace(' ', '')} BIC X"):
+        assert [t[a:b].replace(" ", "") for k, a, b in pii.find_spans(t) if k == "iban"] == [iban.replace(" ", "")]
+    assert not [s for s in pii.find_spans("IBAN: DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX") if s[0] == "iban"]
+
+
 def test_leaks_reparameterised(spark):
     prepare(spark)
     item = "Alice bought 12 apples for 30 dollars and gave Bob half of what she had left in the basket."

@@ -77,6 +77,16 @@ def valid_iban(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def match_iban(text: str, at: int) -> re.Match | None:
+    """The longest run of groups after the cue whose check digits hold; groups
+    of an upper-case word behind it are left off."""
+    m = IBAN.match(text, at)
+    while m and not valid_iban(m[1]):
+        cut = m[1].rfind(" ")
+        m = IBAN.match(text, at, m.start(1) + cut) if cut > 0 else None
+    return m
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in the order of KINDS, then by start."""
     text = text or ""
@@ -116,8 +126,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
             if kind == "url":
                 m, group = USERINFO.match(text, at), 1
             elif kind == "iban":
-                m, group = IBAN.match(text, at + size), 1
-                m = m if m and valid_iban(m[1]) else None
+                m, group = match_iban(text, at + size), 1
             elif kind == "account":
                 m, group = ACCOUNT.match(text, at + size), 1
             elif size == 9:
