@@ -93,3 +93,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, shor
        NOT (short OR repeats) AND NOT (v.bad AND (symbols OR dup_lines OR word_length)) AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
+
+
+def _crc32(column: str) -> str:
+    """Unsigned CRC-32 of a number's decimal digits."""
+    step = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))"
+    digits = f"string_split({column}::VARCHAR, '')"
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform({digits}, lambda x: "
+            f"ascii(x)::BIGINT)), lambda a, b: {step}))")
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen(({column})::VARCHAR) || ':' || ({column})::VARCHAR, '-')"
+
+
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_ALTERED = _LEAF.replace("n_chars", f"n_chars + CASE WHEN {_crc32('doc_id')} % 7 = 0 THEN 1 ELSE 0 END")
+
+Q["op12_merkle_manifest"] = rf"""
+WITH RECURSIVE leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+                                 count(*) OVER (PARTITION BY lang) AS n
+                          FROM (SELECT doc_id, lang, sha256({_LEAF}) AS leaf, sha256({_ALTERED}) AS altered
+                                FROM documents)),
+tree AS (SELECT lang, 0 AS h, i, leaf AS x, n FROM leaves
+         UNION ALL
+         SELECT lang, h + 1, i // 2, sha256(string_agg(x, '' ORDER BY i)), (any_value(n) + 1) // 2
+         FROM tree WHERE n > 1 GROUP BY lang, h, i // 2),
+subroots AS (SELECT lang, x, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+             FROM tree WHERE n = 1),
+crown AS (SELECT 0 AS h, i, x, n FROM subroots
+          UNION ALL
+          SELECT h + 1, i // 2, sha256(string_agg(x, '' ORDER BY i)), (any_value(n) + 1) // 2
+          FROM crown WHERE n > 1 GROUP BY h, i // 2),
+walk AS (SELECT doc_id, leaf, lang, 0 AS h, i, n, altered AS acc, '' AS proof FROM leaves
+         UNION ALL
+         SELECT w.doc_id, w.leaf, w.lang, w.h + 1, w.i // 2, (w.n + 1) // 2,
+                sha256(CASE WHEN w.i % 2 = 0 THEN w.acc || coalesce(t.x, '') ELSE t.x || w.acc END),
+                w.proof || coalesce(t.x, '')
+         FROM walk w LEFT JOIN tree t ON t.lang IS NOT DISTINCT FROM w.lang AND t.h = w.h AND t.i = xor(w.i, 1)
+         WHERE w.n > 1),
+climb AS (SELECT doc_id, leaf, s.x AS subroot, 0 AS h, s.i, s.n, acc, proof
+          FROM walk w JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+          UNION ALL
+          SELECT w.doc_id, w.leaf, w.subroot, w.h + 1, w.i // 2, (w.n + 1) // 2,
+                 sha256(CASE WHEN w.i % 2 = 0 THEN w.acc || coalesce(t.x, '') ELSE t.x || w.acc END),
+                 w.proof || coalesce(t.x, '')
+          FROM climb w LEFT JOIN crown t ON t.h = w.h AND t.i = xor(w.i, 1) WHERE w.n > 1)
+SELECT doc_id, leaf, subroot, x AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = x AS verified
+FROM climb JOIN (SELECT x FROM crown WHERE n = 1) ON true WHERE climb.n = 1
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontam, host_quality, line_dedup, packing, pii, simhash, suffix_dedup, token_store,
+from . import (decontam, host_quality, line_dedup, merkle, packing, pii, simhash, suffix_dedup, token_store,
                url_filter, warc)
 from .common import table, text_or_empty
 
@@ -113,3 +113,21 @@ def op10_host_quality(spark, sf_dir):
     q = judged.columns[-1]
     return judged.select("doc_id", *[f"{q}.{c}" for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
+#: The columns of a document that its leaf covers, in this order.
+LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@register
+def op12_merkle_manifest(spark, sf_dir):
+    """Merkle proof of each document; where 7 divides the id's crc32, n_chars
+    is tampered with (one more), and the root folded from the tampered leaf."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    altered = merkle.leaf(*[F.col("n_chars") + F.when(tampered, 1).otherwise(0) if c == "n_chars" else F.col(c)
+                            for c in LEAF_COLUMNS])
+    proven = merkle.manifest(table(spark, sf_dir, "documents"), LEAF_COLUMNS, carry={"altered": altered})
+    return proven.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        merkle.folded(F.col("altered"), F.col("proof")).alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
