@@ -142,3 +142,23 @@ climb AS (SELECT doc_id, leaf, s.x AS subroot, 0 AS h, s.i, s.n, acc, proof
 SELECT doc_id, leaf, subroot, x AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = x AS verified
 FROM climb JOIN (SELECT x FROM crown WHERE n = 1) ON true WHERE climb.n = 1
 """
+
+Q["op11_prefix_trie"] = rf"""
+WITH own AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS ts
+             FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+c AS (SELECT o.conv_id, list_concat(list_slice(coalesce(f.ts, []), 1, h), list_slice(o.ts, h + 1, len(o.ts))) AS ts
+      FROM (SELECT *, ({_crc32('conv_id')} % 9)::BIGINT AS h FROM own) o
+      LEFT JOIN own f ON f.conv_id = o.conv_id - o.conv_id % 5),
+p AS (SELECT conv_id, unnest(range(0, len(ts) + 1)) AS d, ts FROM c),
+n AS (SELECT list_slice(ts, 1, d) AS path, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+             any_value(CASE WHEN d = 0 THEN 0 ELSE strlen(ts[d].t) END) AS bytes,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(ts) = d), '')) AS ends_sha256
+      FROM p GROUP BY ALL),
+k AS (SELECT list_slice(path, 1, d - 1) AS path, count(*) AS n FROM n WHERE d > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+up AS (SELECT list_slice(path, 1, unnest(range(0, d + 1))) AS top, (n_convs - 1) * bytes AS saved,
+              (n_children = 0)::BIGINT AS leaf FROM m),
+sums AS (SELECT top AS path, sum(saved)::BIGINT AS saved_tokens, sum(leaf)::BIGINT AS n_leaves FROM up GROUP BY top)
+SELECT m.conv_id, m.d AS depth, a.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+FROM m JOIN sums USING (path) LEFT JOIN m a ON m.d > 0 AND a.d = m.d - 1 AND a.path = list_slice(m.path, 1, m.d - 1)
+"""

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontam, host_quality, line_dedup, merkle, packing, pii, simhash, suffix_dedup, token_store,
-               url_filter, warc)
+from . import (decontam, host_quality, line_dedup, merkle, packing, pii, prefix_trie, simhash, suffix_dedup,
+               token_store, url_filter, warc)
 from .common import table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,14 @@ def op10_host_quality(spark, sf_dir):
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+@register
+def op11_prefix_trie(spark, sf_dir):
+    """Nodes of the trie of the conversations, rebuilt with shared starts."""
+    seqs = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.with_shared_starts(seqs)).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 #: The columns of a document that its leaf covers, in this order.
 LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 
