@@ -162,3 +162,16 @@ sums AS (SELECT top AS path, sum(saved)::BIGINT AS saved_tokens, sum(leaf)::BIGI
 SELECT m.conv_id, m.d AS depth, a.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
 FROM m JOIN sums USING (path) LEFT JOIN m a ON m.d > 0 AND a.d = m.d - 1 AND a.path = list_slice(m.path, 1, m.d - 1)
 """
+
+Q["op13_vector_dedup"] = r"""
+WITH RECURSIVE v AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm
+           FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+good AS (SELECT * FROM v WHERE norm > 0 AND isfinite(norm) AND len(list_filter(e, lambda x: x IS NULL)) = 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+reach AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT links.b, c FROM reach JOIN links ON links.a = reach.vec_id),
+comp AS (SELECT vec_id, min(c) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM comp LEFT JOIN n USING (vec_id)
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (decontam, host_quality, line_dedup, merkle, packing, pii, prefix_trie, simhash, suffix_dedup,
-               token_store, url_filter, warc)
+               token_store, url_filter, vector_dedup, warc)
 from .common import table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,3 +139,9 @@ def op12_merkle_manifest(spark, sf_dir):
         "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
         merkle.folded(F.col("altered"), F.col("proof")).alias("folded_root")).withColumn(
         "verified", F.col("folded_root") == F.col("root"))
+
+
+@register
+def op13_vector_dedup(spark, sf_dir):
+    """Number of links and component of each vector."""
+    return vector_dedup.near_groups(table(spark, sf_dir, "embeddings"))
