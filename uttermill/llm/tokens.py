@@ -3,9 +3,9 @@
 Both public vocabularies split a text at white space before any merge, so the
 ids of a text are those of its pieces in a row. Each distinct piece is encoded
 once a batch and kept in a bounded memory of the worker; texts in which a
-split could change the result (white space next to a space or newline, or the
-literal of an added token such as "<|endoftext|>", which has an id of its own)
-are encoded whole.
+split could change the result (white space next to a space or newline or at
+the start, or the literal of an added token such as "<|endoftext|>", which has
+an id of its own) are encoded whole.
 """
 
 from __future__ import annotations
@@ -152,7 +152,8 @@ class WordCoder:
             return True
         if not self.spaces_count:
             return "\0" in p
-        return not p or p[0] == " " or p[-1].isspace()
+        # behind the newline that stands before a first piece, white space would join it
+        return not p or p[0] == " " or p[-1].isspace() or (isinstance(piece, tuple) and p[0].isspace())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (16 bits: both vocabularies are below 65 536) of each text."""
