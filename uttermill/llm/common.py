@@ -52,6 +52,12 @@ def release_memory() -> None:
         trim(0)
 
 
+def row_key(id_col: str, text: str) -> Column:
+    """A string that tells rows apart by id (null has its own) and text."""
+    return F.concat(F.coalesce(F.concat(F.lit("i"), F.col(f"`{id_col}`").cast("string")), F.lit("n")), F.lit(":"),
+                    F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")))
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(""))
 

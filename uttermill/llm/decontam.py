@@ -15,8 +15,10 @@ region in which ``min_share`` of the windows have the item's own values is
 verbatim and needs no vote. Other names in another case match in neither view.
 
 Documents stream past the benchmark's windows, which are broadcast only if
-they are at most ``BROADCAST_WINDOWS`` rows (counted first; a row has two
-hashes, an id and five tokens); a larger benchmark is joined by a shuffle.
+they are at most ``BROADCAST_WINDOWS`` rows and ``BROADCAST_BYTES`` bytes of
+tokens (counted first). A larger benchmark is joined by a shuffle of (id, pos,
+hash) alone; the tokens of the windows that met are then taken from the texts
+that have any. Both ways give the same rows.
 
 Null texts have no tokens. Items of fewer than five tokens, or without a
 window of two words, never match. Rows with one id are one document or item;
@@ -29,13 +31,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound, fresh, written
+from .common import bound, fresh, row_key, written
 
 WINDOW = 5
 MIN_SHARE = 0.8
 MIN_CONSISTENT = 0.8
 MIN_WORDS = 2
 BROADCAST_WINDOWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 #: Units that count after a number (fixed values, lower case).
 UNITS = ["km", "m", "cm", "mm", "mile", "miles", "kg", "g", "mg", "pound", "pounds", "l", "ml", "liter",
@@ -66,16 +69,19 @@ def caseless(toks: Column) -> Column:
     return F.transform(toks, one)
 
 
-def canonical(toks: Column, plain: Column) -> Column:
-    """The tokens of ``caseless``, capitalised ones as a name placeholder."""
-    return F.zip_with(toks, plain, lambda t, p: F.when(
-        F.lower(t).substr(1, 1) != t.substr(1, 1), "<name>").otherwise(p))
+def token_hashes(toks: Column) -> Column:
+    """(t, p): a hash of each token in the template and in the plain view; the
+    lowest bit says whether it is a word there."""
+    def plain(t):
+        return F.when(t.startswith("<"), F.shiftleft(F.xxhash64(t), 1)).otherwise(
+            F.shiftleft(F.xxhash64(t), 1).bitwiseOR(F.lit(1)))
 
+    def template(t, p):
+        capital = F.lower(t).substr(1, 1) != t.substr(1, 1)
+        return F.when(capital, F.shiftleft(F.xxhash64(F.lit("<name>")), 1)).otherwise(p)
 
-def token_hashes(can: Column) -> Column:
-    """A hash of each canonical token, whose lowest bit says whether it is a word."""
-    return F.transform(can, lambda t: F.when(t.startswith("<"), F.shiftleft(F.xxhash64(t), 1)).otherwise(
-        F.shiftleft(F.xxhash64(t), 1).bitwiseOR(F.lit(1))))
+    return bound(toks, lambda t: bound(F.transform(caseless(t), plain), lambda p: F.struct(
+        F.zip_with(t, p, template).alias("t"), p.alias("p"))))
 
 
 def windows(rows: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -84,8 +90,7 @@ def windows(rows: DataFrame, id_col: str, text: str) -> DataFrame:
     words. The windows are built after the explode, by element access that
     Spark compiles, not in a lambda."""
     toks = rows.select(F.col(f"`{id_col}`").alias("id"), tokens(F.col(f"`{text}`")).alias("toks"))
-    views = toks.select("id", "toks", bound(F.col("toks"), lambda t: bound(caseless(t), lambda p: F.struct(
-        token_hashes(canonical(t, p)).alias("t"), token_hashes(p).alias("p")))).alias("hs"))
+    views = toks.select("id", "toks", token_hashes(F.col("toks")).alias("hs"))
     hashed = views.select("id", "toks", F.col("hs.t").alias("ts"), F.col("hs.p").alias("ps"))
     each = hashed.select("id", "toks", "ts", "ps", F.posexplode("ts").alias("pos", "t0")).where(
         F.col("pos") <= F.size("ts") - WINDOW)
@@ -98,9 +103,34 @@ def windows(rows: DataFrame, id_col: str, text: str) -> DataFrame:
     return each.select("id", "toks", "pos", window("ts").alias("template"), window("ps").alias("plain"))
 
 
+def met_by_shuffle(seen: DataFrame, items: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The hits of a benchmark that is too large to broadcast. Only (id, pos,
+    hash) of a document's windows are shuffled; a text that has hits gives
+    their tokens afterwards (its list of positions is no longer than the text)."""
+    met = written(seen.select("id", "pos", "h").distinct().join(items, "h")
+                  .select("id", "pos", "h", "item", "view", "item_pos", "item_size", "n_windows", "item_words"),
+                  "leak-positions")
+    places = met.groupBy("id").agg(F.collect_set("pos").alias("places")).withColumnRenamed("id", "place_id")
+    toks = docs.select(F.col(f"`{id_col}`").alias("id"), tokens(F.col(f"`{text}`")).alias("toks"))
+    held = toks.join(places, F.col("id").eqNullSafe(F.col("place_id")))
+
+    def at_places(hs):
+        def hash_at(view, p):
+            return F.xxhash64(*[F.get(hs[view], p + k) for k in range(WINDOW)])
+        return F.transform(F.filter("places", lambda p: p <= F.size("toks") - WINDOW), lambda p: F.struct(
+            p.alias("pos"), F.slice("toks", p + 1, WINDOW).alias("words"),
+            F.array_distinct(F.array(hash_at("t", p), hash_at("p", p))).alias("hs")))
+
+    # rows that share an id have their own tokens at a place: those with the hash count
+    keyed = (held.select("id", F.explode(bound(token_hashes(F.col("toks")), at_places)).alias("w"))
+             .select("id", "w.pos", "w.words", F.explode("w.hs").alias("h")))
+    on = [F.col(f"m.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("id", "pos", "h")]
+    return met.alias("m").join(keyed.alias("k"), on).select("m.*", "k.words")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
           item_col: str = "item_id", item_text: str = "text", min_share: float = MIN_SHARE,
-          min_consistent: float = MIN_CONSISTENT) -> DataFrame:
+          min_consistent: float = MIN_CONSISTENT, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row for each document and item that it holds: the ids, n_matched
     and n_windows (windows of the item, of the template view if that matches),
     and consistency (share of slot values that the chosen mapping explains; 1
@@ -114,13 +144,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     sizes = items.groupBy("item", "view").agg(F.countDistinct("item_pos").alias("n_windows"))
     keys = [F.col(f"i.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("item", "view")]
     items = items.alias("i").join(sizes.alias("n"), keys).select("i.*", "n.n_windows")
-    small = items.count() <= BROADCAST_WINDOWS
+    n, size = items.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.array_join("item_words", "")))).first()
     # a window without capitals has one hash in both views, looked up once
     either = F.array("template", F.when(~F.col("plain").eqNullSafe(F.col("template")), F.col("plain")))
     seen = windows(docs, id_col, text).select("id", "toks", "pos", F.explode(either).alias("h")).where(
         F.col("h").isNotNull())
-    hits = seen.join(F.broadcast(items) if small else items, "h").select(
-        "id", "item", "view", "pos", "item_pos", "item_size", "n_windows", value.alias("words"), "item_words")
+    cols = ["id", "item", "view", "pos", "item_pos", "item_size", "n_windows", "words", "item_words"]
+    if n <= broadcast_windows and (size or 0) <= BROADCAST_BYTES:
+        hits = seen.join(F.broadcast(items), "h").withColumn("words", value).select(cols)
+    else:
+        hits = met_by_shuffle(seen, items, docs, id_col, text).select(cols)
     hits = written(hits, "leak-windows")  # both branches below read them
     # regions: two families of diagonals, so that any shift below half an item falls into one
     shift = F.col("pos") - F.col("item_pos")
@@ -162,8 +195,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
         F.col("id").alias(id_col), F.col("item").alias(item_col), "n_matched", "n_windows", "consistency")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id holds no benchmark item."""
-    hit = fresh("leak_id", docs.columns)
-    found = leaks(docs, benchmark, id_col, **options).select(F.col(id_col).alias(hit)).distinct()
-    return docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(hit)), "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
+               **options) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item. Rows are told apart by
+    id and text, so a leak in one row says nothing about others with its id."""
+    key = fresh("leak_key", docs.columns)
+    keyed = docs.withColumn(key, row_key(id_col, text))
+    found = leaks(keyed.select(key, F.col(f"`{text}`").alias("text")), benchmark, key, **options)
+    return keyed.join(found.select(key).distinct(), key, "left_anti").drop(key)
