@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import fresh, release_memory, text_or_empty, written
+from .common import fresh, release_memory, row_key, text_or_empty, written
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -227,27 +227,35 @@ def connected(edges: DataFrame, a: str = "fp", b: str = "root") -> DataFrame:
         state = now
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-                words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``id_col``, ``fp`` (signed fingerprint) and ``component_id`` (smallest
-    id reachable over links of at most ``max_bits`` bits) of every row."""
-    own = written(docs.select(F.col(f"`{id_col}`").alias("id"),
+def grouped(docs: DataFrame, id_col: str, text: str, words: int, max_bits: int, *more) -> DataFrame:
+    """id, fp, root (the smallest fingerprint of the group), component_id, and
+    the ``more`` columns, of every row."""
+    own = written(docs.select(F.col(f"`{id_col}`").alias("id"), *more,
                               fingerprint_column(text_or_empty(text), words).alias("fp")), "fingerprints")
     reps = written(own.groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
     comp = connected(links(reps.select("fp"), max_bits))
     rooted = (reps.join(comp, reps.fp == comp.node, "left")
               .select("fp", "rep", F.coalesce("component", "fp").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = rooted.join(smallest, "root").select("fp", "component_id")
-    return own.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each group: the one with the smallest id (of repeated
-    rows with that id, one; all-null ids count as one id)."""
-    groups = near_groups(docs, id_col, **options)
-    key = fresh("id_key", docs.columns)
-    first = (groups.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-             .select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias(key)).distinct())
-    keyed = docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
+    return own.join(rooted.join(smallest, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
+                words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """``id_col``, ``fp`` (signed fingerprint) and ``component_id`` (smallest
+    id reachable over links of at most ``max_bits`` bits) of every row."""
+    return grouped(docs, id_col, text, words, max_bits).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS,
+               max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each group: the one with the smallest id (null after all
+    others; of several rows with that id the one with the smallest text digest,
+    of rows equal in both, one). Rows are told apart by id and text, so rows
+    that share an id, null included, stay if their texts are in different groups."""
+    key = fresh("row_key", docs.columns)
+    keyed = docs.withColumn(key, row_key(id_col, text))
+    groups = grouped(keyed, id_col, text, words, max_bits, F.col(key).alias("key"))
+    first = groups.groupBy("root").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))["key"].alias(key)).select(key)
     return keyed.join(first, key, "left_semi").dropDuplicates([key]).drop(key)
