@@ -7,7 +7,9 @@ whole texts; positions are code points, end exclusive.
 
 Base kinds are email, ip, card and phone. The method adds url (credentials in
 a URL), iban (check digits after the cue), account (digits after the cue) and
-secret (password= values, access key ids).
+secret: values assigned to a name that ends in token, secret, key, password or
+the like (quoted, or unquoted with a digit), bearer tokens, keys with a known
+prefix and private key blocks.
 
 A null text has no spans; repeated rows are handled one by one; an empty table
 gives an empty table; other columns pass through untouched.
@@ -26,8 +28,12 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("url", "iban", "account", "secret")
 KINDS = BASE_KINDS + EXTRA_KINDS
 #: Cues (compared in lower case) that open an identifier.
-CUES = {"://": "url", "iban": "iban", "account": "account", "acct": "account",
-        "password=": "secret", "akia": "secret"}
+CUES = {"://": "url", "iban": "iban", "account": "account", "acct": "account"}
+#: Names to which a secret is assigned, and known openings of secrets (fixed values, lower case).
+SECRET_NAMES = ("token", "secret", "api_key", "api-key", "apikey", "access_key", "private_key", "client_key",
+                "password", "passwd", "pwd")
+SECRET_OPENINGS = ("akia", "asia", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk-", "aiza",
+                   "eyj", "bearer ", "-----begin ")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,8 +44,14 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 USERINFO = re.compile(r"://([^\s/@:]+:[^\s/@]+)@[A-Za-z0-9.-]+")
 IBAN = re.compile(r"[:\s]{0,3}([A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 ACCOUNT = re.compile(r"(?:\s?(?:no|number|nr)\.?)?[:#\s]{1,3}([0-9]{8,17})(?![0-9A-Za-z])", re.I)
-PASSWORD = re.compile(r"password=([^\s,;&]{6,})", re.I)
-ACCESS_KEY = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
+PASSWORD = re.compile(r"=([^\s,;&\"']{6,})")
+ASSIGNED = re.compile(r"""["']?\s{0,3}(?::=|=>|[:=])\s{0,3}(?:"(?P<a>[^"\s]{8,})"|'(?P<b>[^'\s]{8,})'"""
+                      r"""|(?P<c>(?=[^\s"',;&]*[0-9])[^\s"',;&]{12,}))""")
+OPENED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?:gh[pos]_|github_pat_)[A-Za-z0-9_]{20,}"
+                    r"|glpat-[A-Za-z0-9_-]{20,}|xox[bp]-[A-Za-z0-9-]{20,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}"
+                    r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*")
+BEARER = re.compile(r"[Bb]earer ([A-Za-z0-9._~+/-]{16,}=*)")
+KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]+-----END [A-Z ]*PRIVATE KEY-----)?")
 
 _AUTOMATON = None
 
@@ -52,6 +64,8 @@ def automaton():
         a = ahocorasick.Automaton()
         for cue, kind in CUES.items():
             a.add_word(cue, (kind, len(cue)))
+        for cue in SECRET_NAMES + SECRET_OPENINGS:
+            a.add_word(cue, ("secret", len(cue)))
         a.add_word("@", ("email", 1))
         a.add_word("+", ("phone", 1))
         for d in "0123456789":
@@ -87,6 +101,24 @@ def match_iban(text: str, at: int) -> re.Match | None:
     return m
 
 
+def match_secret(text: str, at: int, size: int) -> tuple[int, int] | None:
+    """The secret behind a name, or the one that opens here."""
+    cue = text[at:at + size].lower()
+    if cue in SECRET_NAMES:
+        m = ASSIGNED.match(text, at + size)
+        if m:
+            return m.span(m.lastgroup)
+        m = PASSWORD.match(text, at + size) if cue == "password" else None
+        return m.span(1) if m else None
+    if at and text[at - 1].isalnum() and text[at - 1].isascii():
+        return None  # inside a word
+    if cue == "bearer ":
+        m = BEARER.match(text, at)
+        return m.span(1) if m else None
+    m = (KEY_BLOCK if cue[0] == "-" else OPENED).match(text, at)
+    return m.span() if m else None
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in the order of KINDS, then by start."""
     text = text or ""
@@ -122,17 +154,17 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                 done["phone"] = m.end()
                 if 8 <= sum(map(str.isdigit, m[0])) <= 15:
                     found["phone"].append(m.span())
+        elif kind == "secret":
+            if at >= done["secret"] and (span := match_secret(text, at, size)):
+                found["secret"].append(span)
+                done["secret"] = span[1]
         elif at >= done[kind]:
             if kind == "url":
                 m, group = USERINFO.match(text, at), 1
             elif kind == "iban":
                 m, group = match_iban(text, at + size), 1
-            elif kind == "account":
-                m, group = ACCOUNT.match(text, at + size), 1
-            elif size == 9:
-                m, group = PASSWORD.match(text, at), 1
             else:
-                m, group = ACCESS_KEY.match(text, at), 0
+                m, group = ACCOUNT.match(text, at + size), 1
             if m:
                 found[kind].append(m.span(group))
                 done[kind] = m.end()
