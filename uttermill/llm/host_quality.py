@@ -1,10 +1,12 @@
 """Host-level quality rules.
 
-Every document gets counts (one pass over its text) and the rules it breaks.
-Rule failures are summed by host, each host's failure rates are shrunk with a
-beta prior fitted to the hosts themselves, and the host verdicts are joined
-back: on a host whose shrunk rate of any rule exceeds ``max_host_rate`` a
-document must meet every rule, elsewhere only the base rules.
+Every document gets counts (one pass over its text, written beside it) and the
+rules it breaks. Rule failures are summed by host, each host's failure rates
+are shrunk with a beta prior fitted to the hosts themselves, and the host
+verdicts are joined back: the base rules hold everywhere; a soft rule holds on
+the hosts that break it habitually, those whose shrunk rate less its standard
+deviation (of the beta posterior) reaches ``habit``. A single break on a host
+that otherwise keeps the rule is taken as chance, and the document stays.
 
 Nulls and odd rows: a null text has no words and breaks the base rules; a null
 host is one host of its own; repeated rows are judged one by one; an empty
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import fresh, release_memory, text_or_empty
+from ..session import broadcast_if_small
+from .common import fresh, release_memory, text_or_empty, written
 
 #: Characters that count as symbols, and white space between words.
 SYMBOLS = "#*$%&|<>"
@@ -34,7 +37,8 @@ MAX_REPEAT_PERCENT = 50
 MAX_SYMBOLS_PER_WORD = 0.1
 MAX_DUP_LINE_SHARE = 0.3
 WORD_LENGTH = (3.0, 10.0)
-MAX_HOST_RATE = 0.5
+#: Failure rate from which a host breaks a rule habitually: one document in twenty.
+HABIT = 0.05
 
 BASE_RULES = ("short", "repeats")
 SOFT_RULES = ("symbols", "dup_lines", "word_length")
@@ -91,7 +95,8 @@ def host_rates(judged: DataFrame, host: str, rules: dict) -> DataFrame:
     """host, n, fail_<rule> and rate_<rule>, the failure rate shrunk by the
     empirical beta prior: alpha = m * k, beta = (1 - m) * k with m the mean of
     the hosts' rates and k = m (1 - m) / variance - 1 (between 1 and 1000), so
-    that (failures + alpha) / (n + k). The moments are one row."""
+    that (failures + alpha) / (n + k); and least_<rule>, that rate less the
+    posterior's standard deviation. The moments are one row."""
     hosts = judged.groupBy(F.col(f"`{host}`").alias("host")).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(c.cast("long")).alias(f"fail_{r}") for r, c in rules.items()])
@@ -101,31 +106,42 @@ def host_rates(judged: DataFrame, host: str, rules: dict) -> DataFrame:
     for r in rules:
         m, v = moments[f"m_{r}"] or 0.0, moments[f"v_{r}"] or 0.0
         k = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v > 0 else 1000.0
-        hosts = hosts.withColumn(f"rate_{r}", (F.col(f"fail_{r}") + m * k) / (F.col("n") + k))
+        rate = (F.col(f"fail_{r}") + m * k) / (F.col("n") + k)
+        hosts = hosts.withColumn(f"rate_{r}", rate).withColumn(
+            f"least_{r}", rate - F.sqrt(rate * (1 - rate) / (F.col("n") + k + 1)))
     return hosts
 
 
-def judge(docs: DataFrame, host: str = "source", text: str = "text",
-          max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """``docs`` and last a struct column ``quality`` (underscores in front if
-    ``docs`` has that name): the counts, a boolean for
-    each rule that the document breaks, ``base_failed``, ``host_failed`` and
-    ``kept``. The hosts table is aggregated map-side first, so a hot host
-    costs one row a task; only failing hosts are joined back."""
-    s, bad = fresh("q_signals", docs.columns), fresh("q_host", docs.columns)
-    judged = docs.withColumn(s, _signals(text_or_empty(text)))
+def judge(docs: DataFrame, host: str = "source", text: str = "text", habit: float = HABIT,
+          columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all without) and last a struct column
+    ``quality`` (underscores in front if ``docs`` has that name): the counts,
+    a boolean for each rule that the document breaks (``breaks_``) and for each
+    soft rule that its host breaks habitually (``host_``), ``base_failed`` and
+    ``kept``.
+
+    The counts are written with the columns, so texts are read once. Hosts are
+    aggregated map-side, so a hot host costs one row a task. Only the verdicts
+    of failing hosts are joined back, broadcast behind a check of their size."""
+    columns = docs.columns if columns is None else columns
+    s, h = fresh("q_signals", docs.columns), fresh("q_host", docs.columns)
+    judged = written(docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{host}`").alias(h),
+                                 _signals(text_or_empty(text)).alias(s)), "signals")
     rules = _broken(F.col(s))
-    hosts = host_rates(judged, host, rules)
-    strict = hosts.where(F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > max_host_rate).select(
-        F.col("host").alias(bad), F.lit(True).alias(f"{bad}_failed"))
-    joined = judged.join(strict, F.col(f"`{host}`").eqNullSafe(F.col(bad)), "left")
-    failed = F.coalesce(F.col(f"{bad}_failed"), F.lit(False))
+    verdict = F.struct(*[(F.col(f"least_{r}") >= habit).alias(r) for r in SOFT_RULES])
+    strict = (host_rates(judged, h, {r: rules[r] for r in SOFT_RULES})
+              .select(F.col("host").alias(f"{h}_name"), verdict.alias(f"{h}_bad"))
+              .where(" OR ".join(f"{h}_bad.{r}" for r in SOFT_RULES)))
+    joined = judged.join(broadcast_if_small(strict), F.col(h).eqNullSafe(F.col(f"{h}_name")), "left")
+    bad = {r: F.coalesce(F.col(f"{h}_bad.{r}"), F.lit(False)) for r in SOFT_RULES}
     base = rules["short"] | rules["repeats"]
-    soft = rules["symbols"] | rules["dup_lines"] | rules["word_length"]
+    soft = rules["symbols"] & bad["symbols"]
+    for r in SOFT_RULES[1:]:
+        soft = soft | (rules[r] & bad[r])
     quality = F.struct(F.col(f"{s}.*"), *[c.alias(f"breaks_{r}") for r, c in rules.items()],
-                       base.alias("base_failed"), failed.alias("host_failed"),
-                       (~base & ~(failed & soft)).alias("kept"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], quality.alias(fresh("quality", docs.columns)))
+                       *[c.alias(f"host_{r}") for r, c in bad.items()], base.alias("base_failed"),
+                       (~base & ~soft).alias("kept"))
+    return joined.select(*[F.col(f"`{c}`") for c in columns], quality.alias(fresh("quality", docs.columns)))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .host_quality import (MAX_DUP_LINE_SHARE, MAX_HOST_RATE, MAX_REPEAT_PERCENT, MAX_SYMBOLS_PER_WORD, MIN_WORDS,
-                           RULES, WORD_LENGTH)
+from .host_quality import (HABIT, MAX_DUP_LINE_SHARE, MAX_REPEAT_PERCENT, MAX_SYMBOLS_PER_WORD, MIN_WORDS,
+                           SOFT_RULES, WORD_LENGTH)
 from .line_dedup import MIN_SITES
 
 Q: dict[str, str] = {}
@@ -57,10 +57,10 @@ FROM marked GROUP BY doc_id
 """
 
 _RATES = ", ".join(
-    f"(f_{r} + m_{r} * k_{r}) / (n + k_{r}) AS r_{r}" for r in RULES)
+    f"(f_{r} + m_{r} * k_{r}) / (n + k_{r}) AS r_{r}, n + k_{r} + 1 AS w_{r}" for r in SOFT_RULES)
 _PRIOR = ", ".join(
     f"avg(f_{r} / n) AS m_{r}, CASE WHEN var_pop(f_{r} / n) > 0 THEN least(1000, greatest(1, avg(f_{r} / n) * "
-    f"(1 - avg(f_{r} / n)) / var_pop(f_{r} / n) - 1)) ELSE 1000 END AS k_{r}" for r in RULES)
+    f"(1 - avg(f_{r} / n)) / var_pop(f_{r} / n) - 1)) ELSE 1000 END AS k_{r}" for r in SOFT_RULES)
 
 Q["op10_host_quality"] = rf"""
 WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text,
@@ -85,12 +85,12 @@ b AS (SELECT *, n_words < {MIN_WORDS} AS short, 100 * n_repeat_words > {MAX_REPE
              n_dup_lines > {MAX_DUP_LINE_SHARE} * n_lines AS dup_lines,
              word_chars / greatest(n_words, 1) < {WORD_LENGTH[0]}
                OR word_chars / greatest(n_words, 1) > {WORD_LENGTH[1]} AS word_length FROM c),
-h AS (SELECT source, count(*) AS n, {", ".join(f"sum({r}::INT)::DOUBLE AS f_{r}" for r in RULES)} FROM b GROUP BY source),
+h AS (SELECT source, count(*) AS n, {", ".join(f"sum({r}::INT)::DOUBLE AS f_{r}" for r in SOFT_RULES)} FROM b GROUP BY source),
 m AS (SELECT {_PRIOR} FROM h),
-v AS (SELECT source, greatest({", ".join(f"r_{r}" for r in RULES)}) > {MAX_HOST_RATE} AS bad
+v AS (SELECT source, {", ".join(f"r_{r} - sqrt(r_{r} * (1 - r_{r}) / w_{r}) >= {HABIT} AS bad_{r}" for r in SOFT_RULES)}
       FROM (SELECT source, {_RATES} FROM h, m))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
-       NOT (short OR repeats) AND NOT (v.bad AND (symbols OR dup_lines OR word_length)) AS kept
+       NOT (short OR repeats) AND NOT ({" OR ".join(f"({r} AND bad_{r})" for r in SOFT_RULES)}) AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
 

@@ -96,7 +96,8 @@ def op8_pii(spark, sf_dir):
     """Spans of personal data in each document."""
     found = table(spark, sf_dir, "documents").select("doc_id", pii.pii(text_or_empty()).alias("p"))
     return found.select("doc_id", "p.n_email", "p.n_ip", "p.n_card", "p.n_phone",
-                        F.sha2(F.col("p.base"), 256).alias("base_sha256"), "p.spans")
+                        F.sha2(F.col("p.base"), 256).alias("base_sha256"), "p.spans",
+                        *[f"p.n_{k}" for k in pii.EXTRA_KINDS])
 
 
 @register
@@ -109,7 +110,7 @@ def op9_line_dedup(spark, sf_dir):
 @register
 def op10_host_quality(spark, sf_dir):
     """Counts and verdict of each document."""
-    judged = host_quality.judge(table(spark, sf_dir, "documents"))
+    judged = host_quality.judge(table(spark, sf_dir, "documents"), columns=["doc_id"])
     q = judged.columns[-1]
     return judged.select("doc_id", *[f"{q}.{c}" for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
