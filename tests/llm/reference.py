@@ -98,6 +98,29 @@ def quality_counts(t):
     return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(rep)
 
 
+def host_verdicts(rows, habit=0.05):
+    """rows: (doc_id, host, text) -> ids of the documents that stay."""
+    counts = {i: quality_counts(t) for i, _, t in rows}
+    lines = {i: sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (t or "").split("\n")) for i, _, t in rows}
+    breaks = {i: {"symbols": c[2] > 0.1 * c[0], "dup_lines": c[3] > 0.3 * lines[i],
+                  "word_length": not 3 <= c[1] / max(c[0], 1) <= 10} for i, c in counts.items()}
+    hosts = defaultdict(list)
+    for i, h, _ in rows:
+        hosts[h].append(i)
+    bad = set()
+    for r in ("symbols", "dup_lines", "word_length"):
+        rates = {h: sum(breaks[i][r] for i in ids) / len(ids) for h, ids in hosts.items()}
+        m = sum(rates.values()) / len(rates)
+        v = sum((x - m) ** 2 for x in rates.values()) / len(rates)
+        k = min(1000, max(1, m * (1 - m) / v - 1)) if v > 0 else 1000
+        for h, ids in hosts.items():
+            p = (rates[h] * len(ids) + m * k) / (len(ids) + k)
+            if p - (p * (1 - p) / (len(ids) + k + 1)) ** 0.5 >= habit:
+                bad.add((h, r))
+    return {i for i, h, _ in rows if counts[i][0] >= 50 and 100 * counts[i][4] <= 50 * counts[i][0]
+            and not any(breaks[i][r] and (h, r) in bad for r in breaks[i])}
+
+
 def line_dedup(rows, min_sites=10):
     """rows: (doc_id, source, text), distinct ids -> {doc_id: text}."""
     blanks = " \t\x0b\x0c\r"
