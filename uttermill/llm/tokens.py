@@ -10,9 +10,12 @@ an id of its own) are encoded whole.
 
 from __future__ import annotations
 
-from itertools import chain
+import re
+from codecs import charmap_decode
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; beyond that it starts afresh.
 MEMORY = 500_000
@@ -34,90 +37,116 @@ def coder(path: str, spaces_count: bool) -> "WordCoder":
     return _LOADED[path]
 
 
+#: One Latin word, perhaps behind a newline or before a full stop or comma. These letters (below U+0250, without
+#: U+0130) are in NFC and have one lower case each.
+LETTERS = "[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+"
+#: What the library's pre-tokenizer makes of each byte; 0 separates words here.
+BYTE_TABLE = "\0" + "".join(BYTE_CHARS[b] for b in range(1, 256))
+
+
+def byte_words(words: list[str]) -> list[str]:
+    """The words in the characters that stand for their bytes."""
+    return charmap_decode("\0".join(words).encode(), "strict", BYTE_TABLE)[0].split("\0")
+
+
+class Places(dict):
+    """Piece -> place; a piece that is new gets the next place and is noted."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, piece):
+        place = self[piece] = len(self)
+        self.new.append(piece)
+        return place
+
+
 class WordCoder:
     def __init__(self, path: str, spaces_count: bool):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaces_count = spaces_count
-        self.new_starts, self.new_sizes, self.new_ids = [], [], []
-        from tokenizers.pre_tokenizers import CharDelimiterSplit
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = CharDelimiterSplit(" ")
+        self.plain = re.compile(f"(\n?)({LETTERS})([.,]?)" if spaces_count else f"()({LETTERS})([.,]?)").fullmatch
+        vocabulary = self.tokenizer.get_vocab().items()
         self.closes = np.zeros(1 << 16, bool)
-        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.closes[[i for t, i in vocabulary if t.endswith("</w>")]] = True
         if spaces_count:
             self.opens = np.zeros(1 << 16, bool)
-            self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t[0] in "\u0120\u010a"]] = True
+            self.opens[[i for t, i in vocabulary if t[0] in "\u0120\u010a"]] = True
         else:
             self.separator = self.encode_whole("\0")[0]
         self._forget()
 
     def _forget(self) -> None:
-        self.at: dict = {}
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint16)
+        self.at = Places()
+        # by place: where a piece's ids stand and how many there are (-1: none of its own); rooms double as they fill
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.sizes = np.zeros(1 << 16, np.int64)
+        self.ids = np.zeros(1 << 18, np.uint16)
+        self.n_ids = 0
 
     def encode_whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint16)
 
-    def _plain(self, piece) -> str | None:
-        """The library's pre-tokens of a piece that is one Latin word, perhaps
-        with a full stop or comma behind it; None for any other piece."""
-        if isinstance(piece, tuple):
-            return None
-        if piece.isascii() and piece.isalpha():
-            return "\u0120" + piece if self.spaces_count else piece.lower()
-        first = "\u0120"
-        word = piece
-        if self.spaces_count and word[:1] == "\n":
-            first, word = "\u010a", word[1:]
-        mark = word[-1:] if word[-1:] in (".", ",") else ""
-        word = word[:-1] if mark else word
-        # below U+0250 letters are in NFC and have one lower case each, but for U+0130
-        if not word.isalpha() or max(word) >= "\u0250" or "\u0130" in word:
-            return None
-        if not self.spaces_count:
-            first, word = "", word.lower()
-        if not word.isascii():
-            word = "".join(map(BYTE_CHARS.__getitem__, word.encode()))
-        return f"{first}{word} {mark}" if mark else first + word
-
-    def _learn_plain(self, pieces: list, pre: list[str]) -> None:
-        """Pre-tokens straight to the library's merges; ids are cut where a
-        token opens a piece or closes a word."""
-        ids = np.array(self.merges.encode_batch_fast([" ".join(pre)], add_special_tokens=False)[0].ids, np.uint16)
+    def _add(self, places: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        assert len(starts) == len(places)
+        end = self.n_ids + len(ids)
+        if end > len(self.ids):
+            self.ids = np.resize(self.ids, max(end, 2 * len(self.ids)))
+        self.ids[self.n_ids:end] = ids
+        self.starts[places], self.sizes[places] = starts + self.n_ids, sizes
+        self.n_ids = end
+
+    def _learn_plain(self, places: list, found: list) -> None:
+        """Plain pieces as the library's pre-tokens straight to its merges; ids
+        are cut where a token opens a piece or closes a word."""
         if self.spaces_count:
-            starts = np.flatnonzero(self.opens[ids])
+            words = byte_words([m[2] for m in found])
+            pre = [f"{'\u010a' if m[1] else '\u0120'}{w} {m[3]}" if m[3] else f"{'\u010a' if m[1] else '\u0120'}{w}"
+                   for m, w in zip(found, words)]
         else:
-            words = np.fromiter((1 + (" " in p) for p in pre), np.int64, len(pre))
-            starts = np.append(0, np.flatnonzero(self.closes[ids])[np.cumsum(words) - 1][:-1] + 1)
-        self._add(pieces, starts, np.diff(np.append(starts, len(ids))), ids)
-
-    def _add(self, pieces: list, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        assert len(starts) == len(pieces)
-        first = len(self.at)
-        self.at.update(zip(pieces, range(first, first + len(pieces))))
-        self.new_starts.append(starts + sum(map(len, self.new_ids)))
-        self.new_sizes.append(sizes)
-        self.new_ids.append(ids)
-
-    def _learn(self, pieces: list) -> set:
-        """Encode distinct pieces, hundreds in one text whose ids are cut at
-        piece starts (a token that begins with a blank) or at separators. The
-        pieces that have no ids of their own are returned."""
-        pre = [self._plain(p) for p in pieces]
-        plain = [(p, x) for p, x in zip(pieces, pre) if x is not None]
-        for i in range(0, len(plain), 512):
-            self._learn_plain(*map(list, zip(*plain[i:i + 512])))
-        pieces = [p for p, x in zip(pieces, pre) if x is None]
-        bad = {p for p in pieces if self._unsafe(p)}
-        pieces = [p for p in pieces if p not in bad]
-        for i in range(0, len(pieces), 512):
-            some = pieces[i:i + 512]
+            words = byte_words([m[2].lower() for m in found])
+            pre = [f"{w} {m[3]}" if m[3] else w for m, w in zip(found, words)]
+        for i in range(0, len(pre), 2048):
+            ids = np.array(self.merges.encode_batch_fast([" ".join(pre[i:i + 2048])], add_special_tokens=False)[0].ids,
+                           np.uint16)
+            if self.spaces_count:
+                starts = np.flatnonzero(self.opens[ids])
+            else:
+                words = np.fromiter((1 + (m[3] != "") for m in found[i:i + 2048]), np.int64)
+                starts = np.append(0, np.flatnonzero(self.closes[ids])[np.cumsum(words) - 1][:-1] + 1)
+            self._add(np.array(places[i:i + 2048]), starts, np.diff(np.append(starts, len(ids))), ids)
+
+    def _learn(self) -> None:
+        """Encode the new pieces, hundreds in one text whose ids are cut at
+        piece starts (a token that begins with a blank) or at separators."""
+        new, self.at.new = self.at.new, []
+        first, n = len(self.at) - len(new), len(self.at)
+        if n > len(self.starts):
+            self.starts, self.sizes = (np.resize(x, max(n, 2 * len(x))) for x in (self.starts, self.sizes))
+        plain, rest = [], []
+        found = []
+        for place, piece in enumerate(new, first):
+            m = None if isinstance(piece, tuple) else self.plain(piece)
+            if m:
+                plain.append(place)
+                found.append(m)
+            elif self._unsafe(piece):
+                self.sizes[place] = -1
+            elif not piece:  # between blanks that no token holds
+                self.sizes[place] = 0
+            else:
+                rest.append((place, piece))
+        if plain:
+            self._learn_plain(plain, found)
+        for i in range(0, len(rest), 512):
+            places, some = zip(*rest[i:i + 512])
             if self.spaces_count:  # a text's first piece has no blank before it: give it a newline, drop that id
                 ids = self.encode_whole("".join("\n" + p[0] if isinstance(p, tuple) else p if p[0] == "\n"
                                                 else " " + p for p in some))
@@ -130,20 +159,7 @@ class WordCoder:
                 ends = np.append(np.flatnonzero(ids == self.separator), len(ids))
                 starts = np.append(0, ends[:-1] + 1)
                 sizes = ends - starts
-            self._add(some, starts, sizes, ids)
-        size = len(self.ids)
-        self.starts = np.concatenate([self.starts, *[x + size for x in self.new_starts]])
-        self.sizes = np.concatenate([self.sizes, *self.new_sizes])
-        self.ids = np.concatenate([self.ids, *self.new_ids])
-        self.new_starts, self.new_sizes, self.new_ids = [], [], []
-        return bad
-
-    def _pieces(self, text: str) -> list:
-        if not self.spaces_count:
-            return [p for p in text.replace("\n", " ").split(" ") if p]
-        parts = text.replace("\n", " \n").split(" ")
-        parts[0] = (parts[0],)
-        return parts
+            self._add(np.array(places), starts, sizes, ids)
 
     def _unsafe(self, piece) -> bool:
         """A piece whose neighbourhood the tokenizer would see differently."""
@@ -159,18 +175,29 @@ class WordCoder:
         """Ids (16 bits: both vocabularies are below 65 536) of each text."""
         if len(self.at) > MEMORY:
             self._forget()
-        pieces = [self._pieces(t) for t in texts]
-        bad = self._learn(list(set().union(*pieces).difference(self.at)))
-        whole = {}
-        if bad:
-            whole = {i: self.encode_whole(texts[i]) if texts[i] else np.zeros(0, np.uint16)
-                     for i, ps in enumerate(pieces) if not bad.isdisjoint(ps)}
-            pieces = [[] if i in whole else ps for i, ps in enumerate(pieces)]
-        counts = list(map(len, pieces))
-        idx = np.fromiter(map(self.at.__getitem__, chain.from_iterable(pieces)), np.int64, sum(counts))
+        if not texts:
+            return []
+        # Arrow splits the texts and finds their distinct pieces; only those become Python strings
+        lines = pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n" if self.spaces_count else " ")
+        pieces = pc.split_pattern(lines, " ")
+        offsets, flat = pieces.offsets.to_numpy(), pieces.values
+        coded = flat.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        idx = np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        if self.spaces_count:  # a text's first piece has no blank before it
+            heads = [(p,) for p in flat.take(pa.array(offsets[:-1])).to_pylist()]
+            idx[offsets[:-1]] = np.fromiter(map(self.at.__getitem__, heads), np.int64, len(heads))
+        counts = np.diff(offsets)
+        del lines, pieces, flat, coded, distinct
+        self._learn()
         size = self.sizes[idx]
+        bad = np.unique(np.repeat(np.arange(len(texts)), counts)[size < 0]).tolist()
+        size = np.maximum(size, 0)
         ends = np.cumsum(size)
         n = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.arange(n) + np.repeat(self.starts[idx] - ends + size, size)]
-        cuts = np.append(0, ends)[np.cumsum(counts)[:-1]] if counts else []
-        return [whole.get(i, x) for i, x in enumerate(np.split(ids, cuts))]
+        cuts = np.append(0, ends)[np.cumsum(counts)[:-1]] if len(counts) else []
+        out = np.split(ids, cuts)
+        for i in bad:
+            out[i] = self.encode_whole(texts[i]) if texts[i] else np.zeros(0, np.uint16)
+        return out
