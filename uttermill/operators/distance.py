@@ -1,109 +1,174 @@
 """Edit distance and similarity (DST-2..5).
 
-Originals are the small side (few-shot sets). They are shipped to the
-candidates as per-intent arrays in chunks of bounded length, joined on the
-run keys and intent; each candidate row computes its distances in-row with
-``levenshtein`` inside a higher-order function. With one chunk per intent
-(the usual case) the candidates are never shuffled and no candidate x
-original rows are materialised. Larger original sets get more chunks and a
-partial-then-final ``min`` aggregation.
-
-Distances are Spark's ``levenshtein`` with the smallest distance so far as
-its bound, so that an original that cannot be nearer is given up early.
+Originals are the small side (few-shot sets): within a checked size they are a
+broadcast variable, and the candidates stream past them in Arrow batches. A
+batch is measured by the bit-parallel kernel of ``functions.edit`` (5 times as
+fast as ``levenshtein`` on whole lines), which visits originals from the
+candidate's own length outwards and keeps one running best a candidate. The
+candidates are never shuffled on a key and no candidate x original rows exist.
+
+Beyond that size, a q-gram index first finds all originals within a share of
+the candidate's length (``near_originals``); candidates without one meet
+bounded blocks of the originals.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import words_ws
-from ..session import broadcast_if_small, spread
+from ..functions.edit import Originals, Prefixes
+from ..session import broadcast_if_small, collect_if_small, materialize, spread
 
-_BEST = "array<struct<d:int,p:bigint,o:string>>"
-
-
-def _running_best(text, origs: str):
-    """After each original of the array ``origs`` (fields t, p, o) the nearest
-    one so far: distance d, position p (ties: the smallest), text o."""
-    def step(acc, o):
-        best = F.get(acc, F.size(acc) - 1)
-        bound = F.coalesce(best["d"], F.greatest(F.length(text), F.length(o["t"])))
-        mine = F.transform(F.array(F.call_function("levenshtein", text, o["t"], bound)),
-                           lambda d: F.struct(d.alias("d"), o["p"].alias("p"), o["o"].alias("o")))
-        return F.concat(acc, F.transform(mine, lambda m: F.when(
-            best.isNull() | ((m["d"] >= 0) & ((m["d"] < best["d"]) | ((m["d"] == best["d"]) & (m["p"] < best["p"])))),
-            m).otherwise(best)))
-
-    return F.aggregate(origs, F.array().cast(_BEST), step)
-
-
-def _best_of(running: str, n=None):
-    """The nearest among the first ``n`` originals (all without n); null if none."""
-    size = F.size(running)
-    return F.get(F.col(running), (size if n is None else F.least(size, n)) - 1)
+#: q-gram index: gram length, and the share of a candidate's length up to which it finds originals.
+GRAM, NEAR_SHARE = 4, 0.1
+#: Most texts that a block holds of either side.
+BLOCK = 4096
 
 
 def _k(keys) -> list[str]:
     return list(keys or ())
 
 
-def originals_chunks(originals: DataFrame, keys, fields: dict,
-                     by=("intent",), max_len: int = config.ARRAY_MAX_PER_GROUP) -> tuple[DataFrame, int]:
-    """Group ``originals`` into arrays of structs per (keys, by, chunk).
+def _schema(df: DataFrame, more: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + more
 
-    ``fields`` maps struct field name -> column. Chunks are hash buckets of
-    the row, their number per group is ceil(size / max_len), so no array is
-    longer than about ``max_len``. Returns (table, max chunks per group).
-    """
-    k = _k(keys) + list(by)
-    sizes = originals.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
-    nchunks = sizes.select(*k, F.greatest(F.lit(1), F.ceil(F.col("_n") / max_len)).cast("int").alias("_c"))
-    most = nchunks.agg(F.max("_c")).first()[0] or 1
-    o = originals.select(*k, F.struct(*[c.alias(n) for n, c in fields.items()]).alias("_o"))
-    if most > 1:
-        o = (o.join(nchunks, k)
-             .withColumn("_chunk", F.pmod(F.xxhash64("_o"), F.col("_c"))).drop("_c"))
-    else:
-        o = o.withColumn("_chunk", F.lit(0).cast("long"))
-    arr = o.groupBy(*k, "_chunk").agg(F.collect_list("_o").alias("_origs"))
-    return arr, int(most)
+
+def _nearest_rows(batch: pa.Table, groups: dict, keys: list[str], text: str):
+    """(distance, position, text) lists of the nearest originals of a batch's rows."""
+    rows: dict = {}
+    for i, (key, t) in enumerate(zip(zip(*[batch.column(c).to_pylist() for c in keys]), batch.column(text).to_pylist())):
+        if t is not None and key in groups:
+            rows.setdefault(key, []).append((i, t))
+    dist, pos, near = ([None] * batch.num_rows for _ in range(3))
+    for key, own in rows.items():
+        d, at = groups[key].nearest([t for _, t in own])
+        for (i, _), x, j in zip(own, d.tolist(), at.tolist()):
+            dist[i], pos[i], near[i] = x, groups[key].pos[j], groups[key].texts[j]
+    return pa.array(dist, pa.int32()), pa.array(pos, pa.int64()), pa.array(near, pa.string())
 
 
 def min_distance(candidates: DataFrame, originals: DataFrame, keys=(), cand_col: str = "text",
-                 orig_col: str = "text", out: str = "dist", with_nearest: bool = False) -> DataFrame:
+                 orig_col: str = "text", out: str = "dist", with_nearest: bool = False,
+                 max_rows: int = config.BROADCAST_MAX_ROWS) -> DataFrame:
     """DST-2: minimum unit-cost edit distance from each candidate to the
-    originals of the same run keys and intent. No originals -> null.
+    originals of the same run keys and intent. No originals, or a null text
+    -> null.
 
     With ``with_nearest`` also the nearest original (``origin_text``,
-    ``origin_pos``; ties -> smallest original position).
-    """
-    k = _k(keys)
-    has_pos = "pos" in originals.columns
-    fields = {"t": F.col(orig_col), "p": (F.col("pos") if has_pos else F.lit(None)).cast("long"),
-              "o": F.col(orig_col)}
-    arr, most = originals_chunks(originals, k, fields)
-    arr = broadcast_if_small(arr)
-    c = spread(candidates)
-    if most > 1:
-        c = c.withColumn("_rid", F.monotonically_increasing_id())
-    j = c.join(arr, k + ["intent"], "left")
-    j = j.withColumn("_near", _running_best(F.col(cand_col), "_origs"))
-    j = j.withColumn("_best", _best_of("_near")).drop("_near")
-    if most == 1:
-        res = j.withColumn(out, F.col("_best.d"))
-        if with_nearest:
-            res = res.withColumn("origin_text", F.col("_best.o")).withColumn("origin_pos", F.col("_best.p"))
-        return res.drop("_origs", "_chunk", "_best")
-    agg = [F.min("_best").alias("_best")]
-    keep = [c_ for c_ in c.columns if c_ != "_rid"]
-    res = (j.groupBy("_rid").agg(*agg, *[F.first(x).alias(x) for x in keep])
-           .withColumn(out, F.col("_best.d")))
-    if with_nearest:
-        res = res.withColumn("origin_text", F.col("_best.o")).withColumn("origin_pos", F.col("_best.p"))
-    return res.select(*keep, out, *(["origin_text", "origin_pos"] if with_nearest else []))
-
+    ``origin_pos``; ties -> smallest original position, then text).
+    Originals of more than ``max_rows`` rows, or too many bytes, are not
+    broadcast but indexed."""
+    k = _k(keys) + ["intent"]
+    pos = F.col("pos") if "pos" in originals.columns else F.lit(None)
+    o = originals.select(*k, F.col(orig_col).alias("_t"), pos.cast("long").alias("_p")).where(
+        " AND ".join(f"{c} IS NOT NULL" for c in [*k, "_t"]))
+    rows = collect_if_small(o, max_rows)
+    if rows is None:
+        return _min_distance_indexed(candidates, o, k, cand_col, out, with_nearest)
+    groups: dict = {}
+    for *key, t, p in rows:
+        groups.setdefault(tuple(key), []).append((t, p))
+    shared = candidates.sparkSession.sparkContext.broadcast(
+        {key: Originals(*map(list, zip(*ts))) for key, ts in groups.items()})
+
+    def run(batches):
+        for b in batches:
+            d, p, t = _nearest_rows(b, shared.value, k, cand_col)
+            more = [d, p, t] if with_nearest else [d]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, out, "origin_pos", "origin_text"]
+                                             [:len(b.schema.names) + len(more)])
+
+    extra = f", {out} int" + (", origin_pos long, origin_text string" if with_nearest else "")
+    res = spread(candidates).mapInArrow(run, _schema(candidates, extra))
+    return res.select(*candidates.columns, out, *(["origin_text", "origin_pos"] if with_nearest else []))
+
+
+# --- many originals ---------------------------------------------------------------
+
+def _grams(text, q: int):
+    """Distinct hashes of the text's q-grams (the whole text if shorter)."""
+    n = F.greatest(F.length(text) - q + 1, F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.substr(text, i, F.lit(q)))))
+
+
+def near_originals(candidates: DataFrame, originals: DataFrame, k: list[str], text: str = "_t",
+                   q: int = GRAM, share: float = NEAR_SHARE) -> DataFrame:
+    """(_rid, _d, _p, _o): for every candidate with an original within r =
+    ``share`` of its length, the nearest one. Exact for those candidates.
+
+    r edits change at most q r of a text's q-grams, so of each side's grams in
+    the order of their rarity the first q r + 1 have one in common: these
+    prefixes are joined, lengths may differ by r, at least all but q r grams of
+    the larger side must be shared (count filter), and what is left is verified
+    by ``levenshtein`` with the bound r."""
+    c = candidates.select("_rid", *k, F.col(text).alias("_c"), _grams(F.col(text), q).alias("_g"))
+    # an original may be r longer than the candidate, so its own radius is a share of the shorter length
+    radius = F.floor(F.length("_c") * share).cast("int")
+    wide = F.floor(F.length("_o") * share / (1 - share)).cast("int")
+    o = materialize(originals.select(*k, F.col("_t").alias("_o"), "_p", F.monotonically_increasing_id().alias("_oid"))
+                    .withColumn("_g", _grams(F.col("_o"), q)))
+    often = o.select(F.explode("_g").alias("_x")).groupBy("_x").agg(F.count(F.lit(1)).alias("_n"))
+
+    def prefix(df: DataFrame, key: str, r) -> DataFrame:
+        grams = (df.select(*k, key, (q * r + 1).alias("_most"), F.explode("_g").alias("_x"))
+                 .join(broadcast_if_small(often), "_x", "left"))  # a gram of no original is the rarest
+        w = Window.partitionBy(key).orderBy(F.coalesce("_n", F.lit(0)), "_x")
+        return (grams.withColumn("_r", F.row_number().over(w))
+                .where((F.col("_r") <= F.col("_most")) & F.col("_n").isNotNull()).select(*k, key, "_x"))
+
+    met = prefix(c, "_rid", radius).join(prefix(o, "_oid", wide), [*k, "_x"]).select("_rid", "_oid").distinct()
+    both = met.join(c.select("_rid", "_c", "_g"), "_rid").join(
+        o.select("_oid", "_o", "_p", F.col("_g").alias("_h")), "_oid")
+    most = F.greatest(F.size("_g"), F.size("_h"))
+    both = both.where((F.abs(F.length("_c") - F.length("_o")) <= radius)
+                      & (F.size(F.array_intersect("_g", "_h")) >= most - q * radius))
+    both = both.withColumn("_d", F.call_function("levenshtein", F.col("_c"), F.col("_o"), radius)).where("_d >= 0")
+    return both.groupBy("_rid").agg(F.min(F.struct("_d", "_p", "_o")).alias("_b")).select("_rid", "_b.*")
+
+
+def _min_distance_indexed(candidates: DataFrame, originals: DataFrame, k: list[str], cand_col: str, out: str,
+                          with_nearest: bool) -> DataFrame:
+    c = materialize(candidates.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_t", F.col(cand_col)))
+    asked = c.where(" AND ".join(f"{x} IS NOT NULL" for x in [*k, "_t"])).select("_rid", *k, "_t")
+    near = materialize(near_originals(asked, originals, k))
+    far = asked.join(near.select("_rid"), "_rid", "left_anti")
+    # the others meet blocks of the originals: both sides of a block are bounded
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
+    parts = originals.groupBy(*k).agg(F.count(F.lit(1)).alias("n")).select(*k, blocks.alias("_no")).join(
+        far.groupBy(*k).agg(F.count(F.lit(1)).alias("n")).select(*k, blocks.alias("_nc")), k)
+    parts = broadcast_if_small(parts)
+
+    def dealt(df: DataFrame, key, own: str, other: str) -> DataFrame:
+        mine, theirs = ("_bo", "_bc") if own == "_no" else ("_bc", "_bo")
+        return (df.join(parts, k).withColumn(mine, F.pmod(F.xxhash64(*key), F.col(own)).cast("int"))
+                .withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_no", "_nc"))
+
+    by = [*k, "_bo", "_bc"]
+
+    def measure(cands, origs):
+        group = Originals(origs["_t"].to_pylist(), origs["_p"].to_pylist()) if origs.num_rows else None
+        if group is None or not cands.num_rows:
+            return pa.table({"_rid": pa.array([], pa.int64()), "_d": pa.array([], pa.int32()),
+                             "_p": pa.array([], pa.int64()), "_o": pa.array([], pa.string())})
+        d, at = group.nearest(cands["_t"].to_pylist())
+        return pa.table({"_rid": cands["_rid"], "_d": pa.array(d, pa.int32()),
+                         "_p": pa.array([group.pos[j] for j in at.tolist()], pa.int64()),
+                         "_o": pa.array([group.texts[j] for j in at.tolist()], pa.string())})
+
+    found = (dealt(far, ["_rid"], "_nc", "_no").groupBy(*by)
+             .cogroup(dealt(originals, ["_t", "_p"], "_no", "_nc").groupBy(*by))
+             .applyInArrow(measure, "_rid long, _d int, _p long, _o string"))
+    best = found.unionByName(near).groupBy("_rid").agg(F.min(F.struct("_d", "_p", "_o")).alias("_b"))
+    res = c.join(best, "_rid", "left")
+    more = [F.col("_b._o").alias("origin_text"), F.col("_b._p").alias("origin_pos")] if with_nearest else []
+    return res.select(*candidates.columns, F.col("_b._d").alias(out), *more)
+
+
+# --- nested few-shot splits ---------------------------------------------------------
 
 def min_distance_fewshot(candidates: DataFrame, picks: DataFrame, sizes, cand_col: str = "text",
                          orig_col: str = "text", out: str = "dist", with_nearest: bool = False) -> DataFrame:
@@ -117,22 +182,72 @@ def min_distance_fewshot(candidates: DataFrame, picks: DataFrame, sizes, cand_co
     intent, rk, pos and ``orig_col`` (only the largest split's rows are
     used). Output: train_n, run, candidate columns, ``out`` (and
     ``origin_pos`` / ``origin_text`` of the nearest original, ties ->
-    smallest position, with ``with_nearest``).
-    """
+    smallest position, with ``with_nearest``). A candidate whose intent has
+    no picks gets one row a size with null run and distance."""
     top = max(sizes)
     p = picks.where(F.col("train_n") == top) if "train_n" in picks.columns else picks
-    arr = (p.groupBy("run", "intent")
-           .agg(F.array_sort(F.collect_list(F.struct("rk", F.col("text").alias("o"), F.col("pos").alias("p"),
-                                                     F.col(orig_col).alias("t")))).alias("_origs")))
-    arr = broadcast_if_small(arr)
-    j = spread(candidates).join(arr, "intent", "left")
-    j = j.withColumn("_d", _running_best(F.col(cand_col), "_origs"))
-    j = j.withColumn("train_n", F.explode(F.array(*[F.lit(int(n)) for n in sizes])))
-    j = j.where(~F.coalesce(F.exists(F.slice("_origs", 1, F.col("train_n")),
-                                     lambda o: o["o"] == F.col("text")), F.lit(False)))
-    j = j.withColumn("_b", _best_of("_d", F.col("train_n"))).withColumn(out, F.col("_b.d"))
-    extra = [F.col("_b.p").alias("origin_pos"), F.col("_b.o").alias("origin_text")] if with_nearest else []
-    return j.select("train_n", "run", *candidates.columns, out, *extra)
+    p = p.select("run", "intent", "rk", F.col(orig_col).alias("_t"), F.col("pos").alias("_p"), F.col("text").alias("_o"))
+    rows = collect_if_small(p)
+    if rows is None:  # as many few-shot picks as candidates: every split is an original set of its own
+        splits = p.withColumn("train_n", F.explode(F.array(*[F.lit(int(n)) for n in sizes]))).where("rk <= train_n")
+        keys = ["train_n", "run"]
+        grid = splits.select(*keys, "intent").distinct()
+        own = splits.select(*keys, "intent", F.col("_o").alias("text"))
+        each = candidates.join(grid, "intent", "left").join(own, [*keys, "intent", "text"], "left_anti")
+        return min_distance(each, splits.select(*keys, "intent", "_t", F.col("_p").alias("pos")), keys, cand_col, "_t",
+                            out, with_nearest).select(*keys, *candidates.columns, out,
+                                                      *(["origin_pos", "origin_text"] if with_nearest else []))
+    groups: dict = {}
+    for run, intent, rk, t, pos, o in rows:
+        groups.setdefault(intent, []).append((run, rk, t, pos, o))
+    shared = candidates.sparkSession.sparkContext.broadcast({i: Prefixes(r) for i, r in groups.items()})
+    sizes = [int(n) for n in sizes]
+
+    def measure(batches):
+        for b in batches:
+            intents, texts, names = (b.column(c).to_pylist() for c in ("intent", cand_col, "text"))
+            row, train_n, of_run, dist, pos, near = ([] for _ in range(6))
+            members: dict = {}
+            for i, (intent, t) in enumerate(zip(intents, texts)):
+                if intent in shared.value:
+                    members.setdefault(intent, []).append(i)
+                else:
+                    for n in sizes:
+                        for col, v in zip((row, train_n, of_run, dist, pos, near), (i, n, None, None, None, None)):
+                            col.append(v)
+            for intent, mine in members.items():
+                group = shared.value[intent]
+                known = [i for i in mine if texts[i] is not None]
+                at = {i: j for j, i in enumerate(known)}
+                found = group.nearest([texts[i] for i in known], sizes)
+                for run in group.runs:
+                    of = group.of[run]
+                    first = {}
+                    for rk, _, _, o in of:
+                        first.setdefault(o, rk)
+                    for n in sizes:
+                        d, which = (x.tolist() for x in found[run, n])
+                        for i in mine:
+                            if first.get(names[i], n + 1) <= n:
+                                continue
+                            row.append(i)
+                            train_n.append(n)
+                            of_run.append(run)
+                            j = at.get(i)
+                            dist.append(None if j is None else d[j])
+                            pos.append(None if j is None else of[which[j]][2])
+                            near.append(None if j is None else of[which[j]][3])
+            whole = b.take(pa.array(row, pa.int64()))
+            more = [pa.array(dist, pa.int32()), pa.array(pos, pa.int64()), pa.array(near, pa.string())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(train_n, pa.int32()), pa.array(of_run, run_type), *whole.columns, *more],
+                ["train_n", "run", *b.schema.names, out, "origin_pos", "origin_text"])
+
+    kind = dict(p.dtypes)["run"]
+    run_type = {"int": pa.int32(), "bigint": pa.int64()}.get(kind, pa.string())
+    res = spread(candidates).mapInArrow(
+        measure, f"train_n int, run {kind}, " + _schema(candidates, f", {out} int, origin_pos long, origin_text string"))
+    return res if with_nearest else res.drop("origin_pos", "origin_text")
 
 
 def farthest_per_intent(df: DataFrame, k: int = config.KEEP_BY_DISTANCE, keys=(),
@@ -160,21 +275,66 @@ def jaccard(a, b):
     return inter / (F.size(sa) + F.size(sb) - inter)
 
 
-def jaccard_pairs(candidates: DataFrame, originals: DataFrame, keys=(), min_sim: float = 0.0,
+def jaccard_pairs(candidates: DataFrame, originals: DataFrame, keys=(), min_sim: float = 0.25,
                   text: str = "text") -> DataFrame:
     """DST-5: (candidate, original) pairs of the same run keys and intent
     whose token-set Jaccard similarity (blank-separated, case-sensitive) is
-    at least ``min_sim``. Originals travel as bounded per-intent arrays, so
-    only qualifying pairs become rows."""
-    k = _k(keys)
-    arr, most = originals_chunks(
-        originals, k, {"p": F.col("pos").cast("long"), "w": words_ws(F.col(text))})
-    arr = broadcast_if_small(arr)
-    j = spread(candidates).withColumn("_w", words_ws(F.col(text))).join(arr, k + ["intent"])
-    sims = F.transform("_origs", lambda o: F.struct(o["p"].alias("orig_pos"),
-                                                    jaccard(F.col("_w"), o["w"]).alias("sim")))
-    j = j.withColumn("_m", F.explode(F.filter(sims, lambda s: s["sim"] >= F.lit(min_sim))))
-    return j.select(*candidates.columns, "_m.orig_pos", "_m.sim")
+    at least ``min_sim`` (above 0).
+
+    A prefix-filter join. Tokens are numbered by their frequency among the
+    originals, the rarest first; a set of n tokens has its partners only among
+    those that share one of its first n - ceil(min_sim n) + 1 tokens. Prefixes
+    are joined on the token; lengths and the positions of the common token
+    bound the overlap from above; what can reach ``min_sim`` is verified on the
+    whole sets. Equal texts of an intent are one set in all runs."""
+    if min_sim <= 0:
+        raise ValueError("min_sim must be above 0: pairs without a common token are not joined")
+    k, t = _k(keys), min_sim - 1e-9
+
+    def sets(df: DataFrame, name: str) -> DataFrame:
+        one = df.select("intent", F.col(text).alias("_text")).distinct()
+        return materialize(one.select("intent", "_text", F.monotonically_increasing_id().alias(name),
+                                      F.array_distinct(words_ws(F.col("_text"))).alias("_w")))
+
+    a, o = sets(candidates, "_a"), sets(originals, "_o")
+    often = o.select(F.explode("_w").alias("_x")).groupBy("_x").agg(F.count(F.lit(1)).alias("_f"))
+    number = broadcast_if_small(materialize(often.select(
+        "_x", F.xxhash64("_x").alias("_h"), "_f")))
+
+    def ordered(df: DataFrame, name: str) -> DataFrame:
+        """Size and, in order, the tokens that some original has."""
+        n = F.size("_w")
+        known = df.select(name, "intent", n.alias("_n"), F.explode("_w").alias("_x")).join(number, "_x")
+        return materialize(known.groupBy(name, "intent", "_n").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("_f", "_h", "_x"))), lambda x: x["_x"]).alias("_r")))
+
+    def prefix(df: DataFrame, name: str, n: str, at: str) -> DataFrame:
+        """Tokens of the prefix with their place; those that no original has stand in front."""
+        unknown = F.col("_n") - F.size("_r")
+        length = F.col("_n") - F.ceil(F.col("_n") * t).cast("int") + 1 - unknown
+        return df.where(length > 0).select(name, "intent", F.col("_n").alias(n), unknown.alias("_u"),
+                                           F.posexplode(F.slice("_r", F.lit(1), length))).select(
+            name, "intent", n, (F.col("pos") + F.col("_u")).alias(at), F.col("col").alias("_x"))
+
+    ra, ro = ordered(a, "_a"), ordered(o, "_o")
+    met = prefix(ra, "_a", "_na", "_ia").join(broadcast_if_small(prefix(ro, "_o", "_no", "_io")), ["intent", "_x"])
+    # the first common token counts; behind it at most the shorter rest is shared
+    met = met.groupBy("_a", "_o", "_na", "_no").agg(F.min("_ia").alias("_ia"), F.min("_io").alias("_io"))
+    most = F.least(F.col("_na") - F.col("_ia"), F.col("_no") - F.col("_io"))
+    met = met.where((F.least("_na", "_no") >= t * F.greatest("_na", "_no"))
+                    & (most >= t / (1 + t) * (F.col("_na") + F.col("_no"))))
+    both = (met.join(ra.select("_a", F.col("_r").alias("_ra")), "_a")
+            .join(broadcast_if_small(ro.select("_o", F.col("_r").alias("_ro"))), "_o"))
+    inter = F.size(F.array_intersect("_ra", "_ro"))
+    sims = (both.select("_a", "_o", (inter / (F.col("_na") + F.col("_no") - inter)).alias("sim"))
+            .where(F.col("sim") >= F.lit(min_sim)))
+    # back to the rows of every run
+    named = sims.join(o.select("_o", "intent", F.col("_text").alias("_ot")), "_o")
+    rows = named.join(broadcast_if_small(originals.select(
+        *k, "intent", F.col(text).alias("_ot"), F.col("pos").cast("long").alias("orig_pos"))), ["intent", "_ot"])
+    rows = rows.join(a.select("_a", F.col("_text").alias(text)), "_a")
+    return candidates.join(rows.select(*k, "intent", text, "orig_pos", "sim"), [*k, "intent", text]).select(
+        *candidates.columns, "orig_pos", "sim")
 
 
 def farthest_from_fewshot(candidates: DataFrame, picks: DataFrame, sizes, k: int = config.KEEP_BY_DISTANCE) -> DataFrame:
@@ -208,10 +368,7 @@ def farthest_from_fewshot(candidates: DataFrame, picks: DataFrame, sizes, k: int
     survivors = (c.join(broadcast_if_small(tau), keys).where(F.col("_ub") >= F.col("_tau"))
                  .select(*candidates.columns, "run", "train_n"))
     # exact distances for the survivors only
-    arr2 = broadcast_if_small(p.groupBy("run", "intent").agg(F.array_sort(F.collect_list(
-        F.struct("rk", F.col("text").alias("t"), F.col("pos").alias("p"), F.col("text").alias("o")))).alias("_origs")))
-    j = spread(survivors).join(arr2, ["run", "intent"])
-    j = j.withColumn("_near", _running_best(F.col("text"), "_origs"))
-    j = j.withColumn("dist", _best_of("_near", F.col("train_n"))["d"])
-    d = j.select("train_n", "run", *candidates.columns, "dist")
-    return farthest_per_intent(d, k, keys=["train_n", "run"])
+    every = F.explode(F.array(*[F.lit(int(n)) for n in sizes])).alias("train_n")
+    splits = p.select("run", "intent", "rk", "text", "pos", every).where(F.col("rk") <= F.col("train_n"))
+    return farthest_per_intent(min_distance(survivors, splits, keys).select("train_n", "run", *candidates.columns, "dist"),
+                               k, keys=keys)

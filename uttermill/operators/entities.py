@@ -1,16 +1,26 @@
 """Entities (ENT-1..3).
 
-Entity lists per intent are small (distinct marks); they travel to the
-utterances as one array per intent (size checked) and are applied in-row.
+Mentions are found by a hash join: every place of an utterance has its opening
+gram (one to three characters without case), every surface its own, and where
+they meet the whole surface is verified. So an intent may have any number of
+surfaces, none of them gathered in a row. Of overlapping mentions the longest
+stays (then the earlier entity, then the leftmost), which gives the spans that
+annotation marks.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialize
+
+#: Characters of an opening gram, at most.
+GRAM = 3
+_HIT = "struct<start:int,stop:int,rank:bigint,surface:string,etype:string>"
 
 
 def _is_date(col):
@@ -53,29 +63,85 @@ def _surface_type(variant_col: str = "variant"):
     return surface, etype
 
 
-def _entity_arrays(variants: DataFrame, keys) -> DataFrame:
+def _surfaces(variants: DataFrame, keys) -> DataFrame:
+    """Distinct surfaces of each intent: s, low, etype, gram, and rank (longest
+    first, then entity order). A surface of several entities is the first one's."""
     surface, etype = _surface_type()
-    # longest surface first, then entity order
-    e = variants.select(*keys, "intent", "ord", "vord", surface.alias("s"), etype.alias("t"))
-    return broadcast_if_small(e.where(F.col("s") != "").groupBy(*keys, "intent").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct((-F.length("s")).alias("l"), "ord", "vord", "s", "t"))),
-                    lambda x: F.struct(x["s"].alias("s"), x["t"].alias("t"))).alias("_ents")))
+    e = variants.select(*keys, "intent", "ord", "vord", surface.alias("s"), etype.alias("etype")).where(F.col("s") != "")
+    one = e.groupBy(*keys, "intent", "s").agg(F.min(F.struct("ord", "vord", "etype")).alias("_first"))
+    low = F.lower("s")
+    # a number that sorts by length (descending), then order, then variant
+    rank = ((F.lit(1 << 20) - F.least(F.length("s"), F.lit(1 << 20))).cast("long") * (1 << 42)
+            + F.col("_first.ord").cast("long") * 8 + F.col("_first.vord"))
+    return one.select(*keys, "intent", "s", low.alias("low"), "_first.etype", F.length("s").alias("n"),
+                      rank.alias("rank"), F.substr(low, F.lit(1), F.lit(GRAM)).alias("gram"))
+
+
+def find_hits(examples: DataFrame, variants: DataFrame, keys=(), text: str = "text") -> DataFrame:
+    """All places at which a surface of the utterance's intent occurs, without
+    case: utterance columns, start (from 0), stop, rank, surface, etype; also
+    those that overlap."""
+    k = list(keys)
+    surfaces = _surfaces(variants, k)
+    sizes = F.coalesce(surfaces.select(F.collect_set(F.length("gram"))).scalar(), F.array().cast("array<int>"))
+    chars = F.split(F.col(text), "")
+    with_chars = examples.withColumn("_ch", F.filter(chars, lambda c: c != ""))
+    places = with_chars.select(*examples.columns, "_ch", F.explode(sizes).alias("_g"))
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_ch") - F.col("_g"), F.lit(0))), lambda i: F.lower(
+        F.concat(*[F.when(F.lit(j) < F.col("_g"), F.coalesce(F.get("_ch", i + j), F.lit(""))).otherwise("")
+                   for j in range(GRAM)])))
+    each = places.select(*examples.columns, F.posexplode(grams).alias("start", "gram"))
+    met = each.join(broadcast_if_small(surfaces), [*k, "intent", "gram"])
+    same = F.lower(F.substr(F.col(text), F.col("start") + 1, F.col("n"))) == F.col("low")
+    return met.where(same).select(*examples.columns, "start", (F.col("start") + F.col("n")).alias("stop"), "rank",
+                                  F.col("s").alias("surface"), "etype")
+
+
+def _resolved(hits):
+    """Non-overlapping hits, best rank first (then leftmost), in the order of their starts."""
+    taken, out = [], []
+    for h in sorted(hits or [], key=lambda h: (h["rank"], h["start"], h["surface"])):
+        i = bisect_left(taken, (h["start"], h["stop"]))
+        if (i == len(taken) or taken[i][0] >= h["stop"]) and (i == 0 or taken[i - 1][1] <= h["start"]):
+            insort(taken, (h["start"], h["stop"]))
+            out.append(h)
+    return sorted(out, key=lambda h: h["start"])
+
+
+def _with_spans(examples: DataFrame, variants: DataFrame, keys, text: str) -> DataFrame:
+    """``examples`` with ``_spans``, the resolved hits (null without any).
+    An utterance's hits are no more than its places times the lengths of
+    surfaces that end in each other."""
+    own = materialize(examples.withColumn("_rid", F.monotonically_increasing_id()))
+    k = list(keys)
+    need = list(dict.fromkeys([*k, "intent", text, "_rid"]))
+    hits = find_hits(own.select(need), variants, keys, text)
+    resolve = F.udf(_resolved, f"array<{_HIT}>", useArrow=True)
+    spans = hits.groupBy("_rid").agg(resolve(F.collect_list(F.struct(
+        "start", "stop", "rank", "surface", "etype"))).alias("_spans"))
+    return own.join(spans, "_rid", "left").drop("_rid")
+
+
+def mention_spans(examples: DataFrame, variants: DataFrame, keys=(), text: str = "text") -> DataFrame:
+    """ENT-2: the mentions of each utterance after overlaps are resolved:
+    utterance columns, start (from 0), stop, mention (as written), surface, etype."""
+    found = _with_spans(examples, variants, keys, text).where(F.col("_spans").isNotNull())
+    m = found.select(*examples.columns, F.explode("_spans").alias("_m"))
+    return m.select(*examples.columns, "_m.start", "_m.stop",
+                    F.substr(F.col(text), F.col("_m.start") + 1, F.col("_m.stop") - F.col("_m.start")).alias("mention"),
+                    "_m.surface", "_m.etype")
 
 
 def find_mentions(examples: DataFrame, variants: DataFrame, keys=(), text: str = "text") -> DataFrame:
-    """ENT-2: per utterance and entity surface of its intent, the number of
-    case-insensitive (non-overlapping) occurrences; zero counts omitted.
+    """ENT-2, counts: per utterance and entity surface of its intent, the
+    number of case-insensitive (non-overlapping) occurrences of that surface,
+    whatever other surfaces overlap it; zero counts omitted.
     Output: utterance columns + surface, etype, n."""
-    k = list(keys)
-    j = examples.join(_entity_arrays(variants, k), k + ["intent"])
-    low = F.lower(F.col(text))
-    counts = F.transform("_ents", lambda x: F.struct(
-        x["s"].alias("surface"), x["t"].alias("etype"),
-        ((F.length(low) - F.length(F.replace(low, F.lower(x["s"]), F.lit("")))) / F.length(x["s"]))
-        .cast("long").alias("n")))
-    return (j.select(*examples.columns, F.explode(counts).alias("_m"))
-            .select(*examples.columns, "_m.surface", "_m.etype", "_m.n").where(F.col("n") > 0)
-            .dropDuplicates(examples.columns + ["surface"]))
+    surfaces = broadcast_if_small(_surfaces(variants, keys).select(*keys, "intent", "s", "etype"))
+    parts = F.size(F.split(F.lower(F.col(text)), F.concat(F.lit("\\Q"), F.lower("s"), F.lit("\\E")), -1))
+    return (examples.join(surfaces, [*keys, "intent"])
+            .select(*examples.columns, F.col("s").alias("surface"), "etype", (parts - 1).cast("long").alias("n"))
+            .where(F.col("n") > 0))
 
 
 def annotate(examples: DataFrame, variants: DataFrame, keys=(), text: str = "text") -> DataFrame:
@@ -83,20 +149,16 @@ def annotate(examples: DataFrame, variants: DataFrame, keys=(), text: str = "tex
     first, matched case-insensitively as literals, each occurrence once,
     never inside an earlier mark; a match equal to the type string is left
     as it is. Output: examples + ``annotated``."""
-    k = list(keys)
-    j = examples.join(_entity_arrays(variants, k), k + ["intent"], "left")
-    s1, s2, s3 = "\u0001", "\u0002", "\u0003"
-
-    def mark(acc, x):
-        # literal, case-insensitive, and not inside a span opened by \u0001
-        literal = F.regexp_replace(x["s"], r"([^\p{L}\p{N}\s])", r"\\$1")
-        pat = F.concat(F.lit("(?iu)"), literal, F.lit(f"(?![^{s1}]*{s3})"))
-        rep = F.concat(F.lit(s1), F.lit("$0"), F.lit(s2), F.regexp_replace(x["t"], r"([\\$])", r"\\$1"), F.lit(s3))
-        return F.regexp_replace(acc, pat, rep)
-
-    marked = F.aggregate(F.coalesce("_ents", F.array().cast("array<struct<s:string,t:string>>")),
-                         F.col(text), mark)
-    # spans whose text equals the type string stay plain
-    plain = F.regexp_replace(marked, f"{s1}([^{s2}]*){s2}\\1{s3}", "$1")
-    done = F.regexp_replace(plain, f"{s1}([^{s2}]*){s2}([^{s3}]*){s3}", "[$1]$2")
-    return j.select(*examples.columns, done.alias("annotated"))
+    spans = _with_spans(examples, variants, keys, text)
+    t = F.col(text)
+
+    def mark(acc, m):
+        said = F.substr(t, m["start"] + 1, m["stop"] - m["start"])
+        marked = F.when(said == m["etype"], said).otherwise(F.concat(F.lit("["), said, F.lit("]"), m["etype"]))
+        return F.struct(F.concat(acc["done"], F.substr(t, acc["at"] + 1, m["start"] - acc["at"]), marked).alias("done"),
+                        m["stop"].alias("at"))
+
+    done = F.aggregate(F.coalesce("_spans", F.array().cast(f"array<{_HIT}>")),
+                       F.struct(F.lit("").alias("done"), F.lit(0).alias("at")), mark,
+                       lambda acc: F.concat(acc["done"], F.substr(t, acc["at"] + 1, F.length(t))))
+    return spans.select(*examples.columns, done.alias("annotated"))

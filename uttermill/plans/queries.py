@@ -485,6 +485,18 @@ def q_vector_synonyms(spark, d):
     return std(r.select("token", "synonym", "rank", "sim"))
 
 
+@register("vector_recall")
+def q_vector_recall(spark, d):
+    """EXP-3 without the exact step: whether the nearest lists alone give at
+    least nine tenths of all neighbours."""
+    from ..operators.vector_index import VectorIndex, recall
+    E = fx.vectors(spark, d)
+    index = VectorIndex(E.select(F.col("text").alias("word"), "vec"))
+    words = index.members.select(F.col("_v").alias("_q"), "_vec")
+    share = recall(index.nearest(words, 3, exact=False), index.nearest(words, 3))
+    return spark.range(1).select(F.lit(share >= 0.9).alias("enough"), F.lit(index.members.count()).alias("words"))
+
+
 def _combinations(spark, d):
     from ..operators.expand import expand_combinations, synonym_lists
     t, tok = _tagged_parts(spark, d)
@@ -587,22 +599,37 @@ def q_entity_variants(spark, d):
     return std(expand_entities(_part_entities(spark, d)).select("intent", "ord", "vord", "variant"))
 
 
-@register("mentions")
-def q_mentions(spark, d):
-    """ENT-2 over every line of L; entities per intent: its 5 most frequent
-    words of at least 5 letters, typed 'kw'."""
+def _keywords(L):
+    """Entities per intent: its 5 most frequent words of at least 5 letters, typed 'kw'."""
     from pyspark.sql import Window
     from ..functions import tokens_lower
-    from ..operators.entities import find_mentions
-    L = fx.corpus_lines(spark, d)
     words = (L.select("intent", F.explode(tokens_lower("text")).alias("w")).where(F.length("w") >= 5)
              .groupBy("intent", "w").agg(F.count(F.lit(1)).alias("c")))
     top = words.withColumn("ord", F.row_number().over(
         Window.partitionBy("intent").orderBy(F.col("c").desc(), "w"))).where(F.col("ord") <= 5)
-    ents = top.select("intent", "ord", F.lit(0).alias("vord"),
+    return top.select("intent", "ord", F.lit(0).alias("vord"),
                       F.concat(F.lit("["), "w", F.lit("](kw)")).alias("variant"))
-    r = find_mentions(L, ents)
-    return std(r.select("intent", "pos", "surface", "etype", "n"))
+
+
+@register("mentions")
+def q_mentions(spark, d):
+    """ENT-2 over every line of L: occurrences of each keyword."""
+    from ..operators.entities import find_mentions
+    L = fx.corpus_lines(spark, d)
+    return std(find_mentions(L, _keywords(L)).select("intent", "pos", "surface", "etype", "n"))
+
+
+@register("mention_spans")
+def q_mention_spans(spark, d):
+    """ENT-2 over every line of L: offsets of the keywords and of their first
+    four letters (which overlap them), longest first."""
+    from ..operators.entities import mention_spans
+    L = fx.corpus_lines(spark, d)
+    whole = materialize(_keywords(L))
+    start = whole.select("intent", (F.col("ord") + 5).alias("ord"), "vord", F.concat(
+        F.lit("["), F.substr("variant", F.lit(2), F.lit(4)), F.lit("](start)")).alias("variant"))
+    r = mention_spans(L, whole.unionByName(start))
+    return std(r.select("intent", "pos", "start", "stop", "mention", "surface", "etype"))
 
 
 @register("annotate")

@@ -103,6 +103,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = config.BROADCAST_MAX_ROWS,
     return F.broadcast(df) if n <= max_rows and (total or 0) <= max_bytes else df
 
 
+def collect_if_small(df: DataFrame, max_rows: int = config.BROADCAST_MAX_ROWS,
+                     max_bytes: int = config.BROADCAST_MAX_BYTES) -> list | None:
+    """The rows of ``df`` if it is within both bounds (one aggregate finds
+    them), for a broadcast variable that Python tasks read; else None."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, total = df.agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
+    return df.collect() if n <= max_rows and (total or 0) <= max_bytes else None
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin repartition before a CPU-heavy, byte-light stage (edit
     distances, similarity). Byte-based partition coalescing would otherwise
