@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of a part file, about.
+PART_BYTES = 128 << 20
 HEADER = ['version: "2.0"', "nlu:"]
 
 
@@ -36,7 +38,10 @@ def render_lines(df: DataFrame, keys=(), regex_features=None, num_partitions: in
     """Corpus rows -> one row per output line: keys, ``_ln`` (line order
     within its partition), ``line``."""
     k = list(keys)
-    n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = num_partitions
+    if n is None:  # parts of a bounded size, at least one a core
+        size = df.agg(F.sum(F.octet_length("text").cast("long") + 8)).first()[0] or 0
+        n = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
     rows = (df.select(*k, "intent", F.coalesce(F.col("pos").cast("long"), F.lit(0)).alias("pos"), "text")
             .repartitionByRange(n, *k, "intent", "pos", "text")
             .sortWithinPartitions(*k, "intent", "pos", "text"))

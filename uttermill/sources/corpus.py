@@ -1,10 +1,13 @@
 """SRC-1..3: read block-format corpora.
 
-Each file is read whole (``wholetext``), split into ``intent`` / ``regex``
-records with one regex split, and every example line becomes a row. Within
-one file a repeated intent replaces the earlier record; part files of one
-folder add up. Position ``pos`` = part number x 1e9 + line number, so the
-order of a multi-part document is kept.
+Files are read line by line in splits of any size. A task passes once over its
+lines in order and notes for each the last block header (``- intent:`` or
+``- regex:``) above it; lines before a split's first header get the last one of
+the splits before it, from a table with a row a split. So a file may be larger
+than a task's memory, and no line is shuffled. Within one file a repeated
+intent replaces the earlier block; the files of a folder add up. Position
+``pos`` = file number x 2^40 + the line's byte offset (+ the piece's number),
+so positions are unique and keep the order of the files.
 
 Clean text (SRC-1), per example: ``(...)`` groups deleted (also ordinary
 parentheses), ``[`` and ``]`` deleted, ``" -"`` replaced by ``" "``, then
@@ -15,48 +18,96 @@ intent, distinct, in first-seen order.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config
-
-PART_FACTOR = 1_000_000_000
-
-
-def _records(spark: SparkSession, path: str, base_path: str | None = None) -> DataFrame:
-    r = spark.read
+from ..session import broadcast_if_small, materialize
+
+FILE_FACTOR = 1 << 40
+HEADER = r"^- (intent|regex): "
+
+
+def _carry(batches):
+    """Lines in order -> the same with their byte offset and the offset and
+    text of the header above them within the split (null before the first)."""
+    split, at, head_at, head = None, 0, None, None
+    for b in batches:
+        lines = b.column("value")
+        path, block = b.column("_file").to_pylist(), b.column("_block").to_pylist()
+        size = pc.binary_length(lines).to_numpy(zero_copy_only=False) + 1
+        is_head = pc.match_substring_regex(lines, HEADER).to_numpy(zero_copy_only=False)
+        # a batch may hold the ends and beginnings of several splits
+        key = list(zip(path, block))
+        cuts = [0] + [i for i in range(1, len(key)) if key[i] != key[i - 1]] + [len(key)]
+        offsets, heads_at, heads = [], [], []
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == hi:
+                continue
+            if key[lo] != split:
+                # a later split leaves out the line that its block begins in
+                split, at, head_at, head = key[lo], block[lo] + (block[lo] > 0), None, None
+            ends = at + np.cumsum(size[lo:hi])
+            own = ends - size[lo:hi]
+            which = np.maximum.accumulate(np.where(is_head[lo:hi], np.arange(hi - lo), -1))
+            text = lines.slice(lo, hi - lo)
+            offsets.append(pa.array(own))
+            found = text.take(pa.array(np.maximum(which, 0)))
+            heads_at.append(pa.array([head_at if w < 0 else int(own[w]) for w in which.tolist()], pa.int64()))
+            heads.append(pc.if_else(pa.array(which >= 0), found, pa.scalar(head, pa.string())))
+            at = int(ends[-1])
+            if which[-1] >= 0:
+                head_at, head = int(own[which[-1]]), text[int(which[-1])].as_py()
+        if offsets:
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.concat_arrays(offsets), pa.concat_arrays(heads_at), pa.concat_arrays(heads)],
+                [*b.schema.names, "_at", "_head_at", "_head"])
+
+
+def _block_lines(spark: SparkSession, path: str, base_path: str | None = None) -> DataFrame:
+    """Example lines with their block: partition columns, _file, _kind,
+    _name, _head_at, pos and _ex; of an intent repeated in a file only the
+    last block."""
+    r = spark.read.option("lineSep", "\n")
     if base_path:
         r = r.option("basePath", base_path)
-    files = r.text(path, wholetext=True).withColumn("_file", F.col("_metadata.file_path"))
-    part_no = F.regexp_extract("_file", r"part-(\d+)", 1)
-    part = F.when(part_no != "", part_no.cast("long")).otherwise(F.lit(0).cast("long"))
-    recs = files.select("*", part.alias("_part"),
-                        F.posexplode(F.split("value", r"(?m)^- (?=(?:intent|regex): )")).alias("_rec", "_body"))
-    recs = recs.where(F.col("_rec") > 0).drop("value")
-    kind = F.regexp_extract("_body", r"^(intent|regex): ", 1)
-    name = F.trim(F.regexp_extract("_body", r"^(?:intent|regex): ([^\n]*)", 1))
-    return recs.select("*", kind.alias("_kind"), name.alias("_name"))
-
-
-def _lines(recs: DataFrame) -> DataFrame:
-    lines = recs.select("*", F.posexplode(F.split("_body", "\n")).alias("_ln", "_line"))
-    ex = F.regexp_extract("_line", r"^\s+- (.*)$", 1)
-    return (lines.where(F.col("_line").rlike(r"^\s+- "))
-            .select("*", ex.alias("_ex")))
+    lines = r.text(path).select("*", F.col("_metadata.file_path").alias("_file"),
+                                F.col("_metadata.file_block_start").alias("_block"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields)
+    own = lines.mapInArrow(_carry, f"{fields}, _at long, _head_at long, _head string")
+    # headers alone: the last one of each split, for the splits behind it
+    blocks = materialize(own.groupBy("_file", "_block").agg(
+        F.max(F.when(F.col("_head_at").isNotNull(), F.struct("_head_at", "_head"))).alias("_last")))
+    w = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    number = Window.orderBy("_file")
+    files = blocks.select("_file").distinct().withColumn("_no", F.row_number().over(number) - 1)
+    before = (blocks.withColumn("_above", F.last("_last", ignorenulls=True).over(w)).drop("_last")
+              .join(files, "_file"))
+    # a row a split and file
+    named = own.join(broadcast_if_small(before), ["_file", "_block"])
+    head_at = F.coalesce("_head_at", "_above._head_at")
+    head = F.coalesce("_head", "_above._head")
+    x = named.withColumn("_head_at", head_at).withColumn("_head", head).where(F.col("_head").isNotNull())
+    x = x.select("*", F.regexp_extract("_head", HEADER, 1).alias("_kind"),
+                 F.trim(F.regexp_extract("_head", r"^- (?:intent|regex): (.*)$", 1)).alias("_name"))
+    heads = x.where(F.col("_at") == F.col("_head_at"))
+    last = broadcast_if_small(heads.where(F.col("_kind") == "intent").groupBy("_file", "_name").agg(
+        F.max("_head_at").alias("_keep_at")))
+    ex = F.regexp_extract("value", r"^\s+- (.*)$", 1)
+    x = x.where(F.col("value").rlike(r"^\s+- ")).join(last, ["_file", "_name"], "left")
+    x = x.where((F.col("_kind") != "intent") | (F.col("_head_at") == F.col("_keep_at")))
+    return x.withColumn("pos", F.col("_no") * FILE_FACTOR + F.col("_at")).withColumn("_ex", ex).drop(
+        "value", "_block", "_above", "_no", "_at", "_head", "_keep_at")
 
 
 def read_corpus_lines(spark: SparkSession, path: str, base_path: str | None = None) -> DataFrame:
-    """Example lines of every intent record: keys (partition columns),
-    _file, _part, _rec, intent, pos, example (annotations kept)."""
-    recs = _records(spark, path, base_path)
-    intents = recs.where(F.col("_kind") == "intent")
-    # a repeated intent within one file: the last record wins
-    last = intents.groupBy("_file", "_name").agg(F.max("_rec").alias("_rec"))
-    intents = intents.join(last, ["_file", "_name", "_rec"], "left_semi")
-    lines = _lines(intents)
-    pos = F.col("_part") * PART_FACTOR + F.col("_rec") * 100_000 + F.col("_ln")
-    drop = ["_body", "_kind", "_ln", "_line"]
-    return lines.withColumnRenamed("_name", "intent").withColumn("pos", pos).drop(*drop)
+    """Example lines of every intent block: keys (partition columns), _file,
+    intent, pos, _ex (annotations kept)."""
+    lines = _block_lines(spark, path, base_path).where(F.col("_kind") == "intent")
+    return lines.withColumnRenamed("_name", "intent").drop("_kind", "_head_at")
 
 
 def clean_examples(lines: DataFrame, src: str = "_ex") -> DataFrame:
@@ -66,26 +117,26 @@ def clean_examples(lines: DataFrame, src: str = "_ex") -> DataFrame:
     t = F.replace(t, F.lit(" -"), F.lit(" "))
     return (lines.select("*", F.posexplode(F.split(t, "- ")).alias("_piece", "text"))
             .where(F.col("text") != "")
-            .withColumn("pos", F.col("pos") * 100 + F.col("_piece")).drop("_piece"))
+            .withColumn("pos", F.col("pos") + F.col("_piece")).drop("_piece"))
 
 
 def raw_examples(lines: DataFrame, src: str = "_ex") -> DataFrame:
     """SRC-2: annotations kept, split on ``"- "`` only."""
     return (lines.select("*", F.posexplode(F.split(F.col(src), "- ")).alias("_piece", "raw"))
             .where(F.col("raw") != "")
-            .withColumn("pos", F.col("pos") * 100 + F.col("_piece")).drop("_piece"))
+            .withColumn("pos", F.col("pos") + F.col("_piece")).drop("_piece"))
 
 
 def read_corpus(spark: SparkSession, path: str, base_path: str | None = None) -> DataFrame:
     """SRC-1: rows (partition keys..., intent, pos, text)."""
     lines = read_corpus_lines(spark, path, base_path)
-    return clean_examples(lines).drop("_ex", "_file", "_part", "_rec")
+    return clean_examples(lines).drop("_ex", "_file")
 
 
 def read_raw(spark: SparkSession, path: str, base_path: str | None = None) -> DataFrame:
     """SRC-2: rows (partition keys..., intent, pos, raw)."""
     lines = read_corpus_lines(spark, path, base_path)
-    return raw_examples(lines).drop("_ex", "_file", "_part", "_rec")
+    return raw_examples(lines).drop("_ex", "_file")
 
 
 def extract_entities(raw: DataFrame, keys=(), raw_col: str = "raw") -> DataFrame:
@@ -105,6 +156,6 @@ def extract_entities(raw: DataFrame, keys=(), raw_col: str = "raw") -> DataFrame
 
 def read_regex_features(spark: SparkSession, path: str, base_path: str | None = None) -> DataFrame:
     """Regex feature blocks: (partition keys..., name, pattern)."""
-    recs = _records(spark, path, base_path).where(F.col("_kind") == "regex")
-    return (_lines(recs).select(*[c for c in recs.columns if not c.startswith("_")],
-                                F.col("_name").alias("name"), F.col("_ex").alias("pattern")))
+    lines = _block_lines(spark, path, base_path).where(F.col("_kind") == "regex")
+    return lines.select(*[c for c in lines.columns if not c.startswith("_") and c != "pos"],
+                        F.col("_name").alias("name"), F.col("_ex").alias("pattern"))
