@@ -279,6 +279,47 @@ NB = [L, fewshot(), GRID, CAND,
 
 Q["nb_predict"] = w(*NB) + f"SELECT train_n, run, intent, pos, pred, {r6(['conf'])} FROM NBP"
 
+def softmax_steps() -> list[str]:
+    """The iterations of the softmax model, one set of tables each (W0 is empty)."""
+    from ..operators.softmax import DECAY, ITERATIONS, RATE
+    grams = """GR AS (SELECT t, substr(p, i, n) AS g FROM (
+      SELECT t, p, n, unnest(range(1, length(p) - n + 2)) AS i FROM (
+        SELECT t, p, unnest(range(1, least(4, length(p)) + 1)) AS n FROM (
+          SELECT text AS t, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) || ' ' AS p
+          FROM (SELECT DISTINCT text FROM P) a) b) c) d)"""
+    feats = """FX AS (SELECT t, f, n / sqrt(sum(n * n) OVER (PARTITION BY t)) AS x FROM (
+      SELECT t, CAST('0x' || left(md5(g), 4) AS INTEGER) AS f, CAST(count(*) AS DOUBLE) AS n FROM GR GROUP BY t, 2) a
+      UNION ALL SELECT DISTINCT text, -1, 1.0 FROM P)"""
+    out = [grams, feats, "SX AS (SELECT FS.*, f, x FROM FS JOIN FX ON FX.t = FS.text)",
+           "SC AS (SELECT DISTINCT train_n, run, intent AS class FROM FS)",
+           "SN AS (SELECT train_n, run, count(*) AS n FROM FS GROUP BY ALL)",
+           "W0 AS (SELECT train_n, run, f, intent AS class, 0.0 AS w FROM SX WHERE false)"]
+    for i in range(ITERATIONS):
+        out += [f"""Z{i} AS (SELECT a.train_n, a.run, a.intent, a.pos, SC.class, coalesce(z, 0) AS z FROM FS a
+      JOIN SC ON SC.train_n = a.train_n AND SC.run = a.run LEFT JOIN (
+        SELECT s.train_n, s.run, s.intent, s.pos, class, sum(x * w) AS z FROM SX s JOIN W{i} v
+        ON v.train_n = s.train_n AND v.run = s.run AND v.f = s.f GROUP BY ALL) b
+      ON b.train_n = a.train_n AND b.run = a.run AND b.intent = a.intent AND b.pos = a.pos AND b.class = SC.class)""",
+                f"""R{i} AS (SELECT train_n, run, intent, pos, class, exp(z - max(z) OVER q) / sum(exp(z)) OVER q * exp(max(z) OVER q)
+      - CASE WHEN class = intent THEN 1 ELSE 0 END AS r FROM Z{i} WINDOW q AS (PARTITION BY train_n, run, intent, pos))""",
+                f"""W{i + 1} AS (SELECT train_n, run, f, class, sum(w) AS w FROM (
+        SELECT train_n, run, f, class, w * (1 - {RATE} * {DECAY}) AS w FROM W{i} UNION ALL
+        SELECT s.train_n, s.run, f, class, -{RATE} * sum(x * r) / any_value(n) FROM SX s
+        JOIN R{i} USING (train_n, run, intent, pos) JOIN SN USING (train_n, run) GROUP BY s.train_n, s.run, f, class) u GROUP BY ALL)"""]
+    return out
+
+
+Q["softmax_predict"] = (w(P, fewshot(src="P"), GRID, CAND.replace("L.", "P.").replace("FROM L,", "FROM P,"), *softmax_steps()) + """
+, ZC AS (SELECT C.train_n, C.run, C.intent, C.pos, SC.class, coalesce(z, 0) AS z FROM C
+   JOIN SC ON SC.train_n = C.train_n AND SC.run = C.run LEFT JOIN (
+     SELECT c.train_n, c.run, c.intent, c.pos, class, sum(x * w) AS z FROM C c JOIN FX ON FX.t = c.text
+     JOIN W4 v ON v.train_n = c.train_n AND v.run = c.run AND v.f = FX.f GROUP BY ALL) b
+   ON b.train_n = C.train_n AND b.run = C.run AND b.intent = C.intent AND b.pos = C.pos AND b.class = SC.class)
+, PC AS (SELECT *, exp(z) / sum(exp(z)) OVER (PARTITION BY train_n, run, intent, pos) AS p FROM ZC)
+SELECT train_n, run, intent, pos, class AS pred, round(p, 6) AS conf FROM (
+  SELECT *, row_number() OVER (PARTITION BY train_n, run, intent, pos ORDER BY round(z, 9) DESC, class) AS k FROM PC) x
+WHERE k = 1""")
+
 TRI = [*NB, """NEAR AS (SELECT * FROM (SELECT C.train_n, C.run, C.pos, f.pos AS origin_pos, levenshtein(C.text, f.text) AS dist,
     row_number() OVER (PARTITION BY C.train_n, C.run, C.pos ORDER BY levenshtein(C.text, f.text), f.pos) AS r
   FROM C JOIN FS f ON f.train_n = C.train_n AND f.run = C.run AND f.intent = C.intent) a WHERE r = 1)""",

@@ -275,6 +275,17 @@ def q_nb_predict(spark, d):
     return std(p.select(*KEYS, "intent", "pos", "pred", "conf"))
 
 
+@register("softmax_predict")
+def q_softmax_predict(spark, d):
+    """TRI-1 with character n-grams: the models of all splits of P score the other names."""
+    from ..operators import softmax
+    P = fx.corpus_parts(spark, d)
+    fs = corpora.fewshot_splits(P)
+    weights = softmax.train_softmax(fs, KEYS)
+    cands = corpora.subtract_corpus(fs, corpora.for_each_run(P), keys=KEYS)
+    return std(softmax.score_softmax(weights, cands, KEYS).select(*KEYS, "intent", "pos", "pred", "conf"))
+
+
 def _triage_l(spark, d):
     from ..operators import triage
     L = fx.corpus_lines(spark, d)
