@@ -147,11 +147,29 @@ def new_example_counts(kept: DataFrame, report: DataFrame, size: str = "train_n"
     return per_run.groupBy(size, "intent").agg(F.avg("new_examples").alias("new_examples"))
 
 
-def pivot_intents(summary: DataFrame, intents: Sequence[str], values: Sequence[str] = ("precision", "recall", "f1"),
-                  size: str = "train_n") -> DataFrame:
-    """EVA-9: one row per training size and for each of the given intents a
-    column ``<intent>_<value>`` per metric."""
-    return summary.groupBy(size).pivot("intent", sorted(intents)).agg(*[F.first(v).alias(v) for v in values])
+def pivot_intents(summary: DataFrame, intents: Sequence[str] | None = None,
+                  values: Sequence[str] = ("precision", "recall", "f1"), size: str = "train_n",
+                  max_intents: int = 1_000) -> DataFrame:
+    """EVA-9: one row per training size and for each intent a column
+    ``<intent>_<value>`` per metric.
+
+    Without ``intents`` they are discovered: the first ``max_intents`` names
+    in order get columns. Further ones, and with a list those outside it, are
+    cells of the map column ``others`` (intent -> values), so nothing is lost;
+    the column exists only if there are any."""
+    if intents is None:  # one row an intent, at most max_intents of them
+        named = summary.select("intent").where(F.col("intent").isNotNull()).distinct().orderBy("intent")
+        intents = [r[0] for r in named.limit(max_intents).collect()]
+    intents = sorted(intents)
+    wide = summary.where(F.col("intent").isin(intents)).groupBy(size).pivot("intent", intents).agg(
+        *[F.first(v).alias(v) for v in values])
+    rest = summary.where(~F.coalesce(F.col("intent").isin(intents), F.lit(False)))
+    if rest.isEmpty():
+        return wide
+    cells = rest.groupBy(size, F.coalesce("intent", F.lit("")).alias("_i")).agg(
+        F.struct(*[F.first(v).alias(v) for v in values]).alias("_v"))
+    others = cells.groupBy(size).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("others"))
+    return wide.join(others, size, "full_outer")
 
 
 def avg_growth(examples: DataFrame, baseline: DataFrame, keys=("train_n", "run"),

@@ -8,17 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
+from ..session import materialize
 
 
 def read_pairs(spark: SparkSession, path: str, fmt: str = "tsv", in_col: str = "sentence1",
                out_col: str = "sentence2", label_col: str | None = "label", keep=1,
                source: str | None = None) -> DataFrame:
-    """SRC-4: a TSV (malformed lines dropped) or CSV pair file with a
-    header; rows with ``label_col == keep`` (all rows without a label
-    column), renamed to input_text / target_text, prefix 'paraphrase'."""
-    r = spark.read.option("header", True).option("mode", "DROPMALFORMED")
-    df = r.option("sep", "\t").csv(path) if fmt == "tsv" else r.csv(path)
-    return select_pairs(df, in_col, out_col, label_col, keep, source or path)
+    """SRC-4: a TSV or CSV pair file with a header, malformed lines dropped
+    (those without the header's number of fields; ``scan_pairs`` returns
+    them); rows with ``label_col == keep`` (all rows without a label column),
+    renamed to input_text / target_text, prefix 'paraphrase'."""
+    return scan_pairs(spark, path, fmt, in_col, out_col, label_col, keep, source)[0]
+
+
+def scan_pairs(spark: SparkSession, path: str, fmt: str = "tsv", in_col: str = "sentence1",
+               out_col: str = "sentence2", label_col: str | None = "label", keep=1,
+               source: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """SRC-4 with both channels: the pairs (see ``read_pairs``), and (source,
+    line) of the lines that have not as many fields as the header. The file is
+    parsed once, into the checkpoint folder, so that both are of one scan."""
+    r = spark.read.option("header", True).option("sep", "\t" if fmt == "tsv" else ",")
+    names = r.csv(path).columns  # the header alone is read
+    bad = "_line"
+    while bad in names:
+        bad = "_" + bad
+    schema = ", ".join(f"`{c}` string" for c in [*names, bad])
+    rows = materialize(r.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).schema(schema).csv(path))
+    tag = source or path
+    good = rows.where(F.col(f"`{bad}`").isNull()).drop(bad)
+    return (select_pairs(good, in_col, out_col, label_col, keep, tag),
+            rows.where(F.col(f"`{bad}`").isNotNull()).select(F.lit(tag).alias("source"), F.col(f"`{bad}`").alias("line")))
 
 
 def select_pairs(df: DataFrame, in_col: str, out_col: str, label_col: str | None = None, keep=1,

@@ -169,14 +169,14 @@ def best_per_origin(triage: DataFrame, originals: DataFrame, keys=(), origin: st
                     dist: str = "dist", first_low_conf: bool = False) -> DataFrame:
     """TRI-4: one candidate per original: among its errors the largest
     distance, else among low-confidence ones the largest distance (or the
-    first one, ``first_low_conf``); ties by position. Result: the originals
+    first one, ``first_low_conf``); ties by position, then text. Result: the originals
     plus the picks (bag union, column ``picked`` marks the picks)."""
     k = _k(keys)
     cand = triage.where(F.col("category").isin("error", "low cs"))
     is_err = (F.col("category") == "error")
     d = F.when(is_err | F.lit(not first_low_conf), F.col(dist)).otherwise(F.lit(0))
-    w = Window.partitionBy(*k, origin).orderBy(is_err.desc(), d.desc_nulls_last(), F.col("pos"))
+    w = Window.partitionBy(*k, origin).orderBy(is_err.desc(), d.desc_nulls_last(), F.col("pos"), F.col("text"))
     picks = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-    cols = k + ["intent", "text", "pos"]
+    cols = list(dict.fromkeys(k + ["intent", "text", "pos"]))
     return (originals.select(*cols, F.lit(False).alias("picked"))
             .unionByName(picks.select(*cols, F.lit(True).alias("picked"))))

@@ -99,6 +99,27 @@ def filter_corpus(initial: DataFrame, new: DataFrame, k: int = config.KEEP_BY_DI
     return corpora.merge_corpora(_as_corpus(initial), top, KEYS) if merge else top
 
 
+def triage_by_origin(originals: DataFrame, new: DataFrame, lexicon: DataFrame,
+                     threshold: float = config.THRESHOLD) -> DataFrame:
+    """TRI-3 by provenance: the distinct generated texts, each with the
+    original it comes from (EXP-6: a paraphrase's input is a variant of the
+    original, whose position every step carries), scored by naive Bayes
+    trained on the originals. Output: keys, intent, text, pos and origin_pos
+    (the original's), origin_text, pred, conf, category, and dist, the edit
+    distance of the lemmatised text and original (DST-1, DST-4). Texts equal
+    to their original are left out."""
+    ids = KEYS + ["intent", "text"]
+    cand = expand.trace_origin(new, KEYS)
+    scored = triage.score_nb(triage.train_nb(originals, keys=KEYS), cand, ids=["intent", "text"])
+    o = originals.select(*KEYS, "intent", F.col("pos").alias("origin_pos"), F.col("text").alias("origin_text"))
+    t = triage.triage_table(scored.join(o, KEYS + ["intent", "origin_pos"]), threshold)
+    t = t.join(lexical.lemmatise(t, lexicon, ids, out="_lt"), ids)
+    lo = lexical.lemmatise(o.select(*KEYS, "intent", "origin_text").distinct(), lexicon,
+                           KEYS + ["intent", "origin_text"], text="origin_text", out="_lo")
+    t = distance.pair_distance(t.join(lo, KEYS + ["intent", "origin_text"]), "_lt", "_lo")
+    return t.drop("_lt", "_lo").withColumn("pos", F.col("origin_pos"))
+
+
 def run_mode(mode: str, originals: DataFrame, human: DataFrame, res: Resources,
              k: int = config.KEEP_BY_DISTANCE, threshold: float = config.THRESHOLD,
              seed=config.SEED) -> DataFrame:

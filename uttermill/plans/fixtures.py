@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from ..functions import ascii_fold
 
 LINE_FACTOR = 1_000_000
-#: Classes of the evaluation log (the event types).
-EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:

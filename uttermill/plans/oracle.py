@@ -671,3 +671,31 @@ Q["mode_inspired"] = w(*MODE_BASE,
   AND f.run = c.run AND f.intent = c.intent AND f.text = c.text))""",
                        *filter_chain("INS", "NEWC", "F2")) + OUT + """(
   SELECT train_n, run, intent, text FROM F2TOP UNION ALL SELECT train_n, run, intent, text FROM FS) u"""
+
+# --- triage by provenance, checked pair files ---------------------------------------------------
+
+LINEAGE = [*MODE_BASE, """GCD AS (SELECT train_n, run, intent, text, min(origin_pos) AS pos FROM CANDS
+  GROUP BY train_n, run, intent, text)""", *nb_chain("FS", "GCD", "G"), lemma_text("GCD", "GLC"), lemma_text("FS", "GLO"),
+           f"""GT AS (SELECT p.train_n, p.run, p.intent, p.text, p.pos AS origin_pos, levenshtein(lc.lemma, lo.lemma) AS dist,
+    p.pred, p.conf, CASE WHEN p.pred <> p.intent THEN 'error' WHEN p.conf < {T} THEN 'low cs' ELSE 'success' END AS category
+  FROM GNBP p JOIN FS o ON o.train_n = p.train_n AND o.run = p.run AND o.intent = p.intent AND o.pos = p.pos
+  JOIN GLC lc ON lc.train_n = p.train_n AND lc.run = p.run AND lc.intent = p.intent AND lc.text = p.text
+  JOIN GLO lo ON lo.train_n = o.train_n AND lo.run = o.run AND lo.intent = o.intent AND lo.text = o.text
+  WHERE p.text <> o.text)"""]
+
+Q["triage_lineage"] = w(*LINEAGE) + """SELECT train_n, run, intent, text, origin_pos, CAST(dist AS BIGINT) AS dist, pred,
+  round(conf, 6) AS conf, category FROM GT"""
+
+Q["best_lineage"] = w(*LINEAGE) + """SELECT train_n, run, intent, text, pos, false AS picked FROM FS
+UNION ALL SELECT train_n, run, intent, text, origin_pos, true FROM (
+  SELECT *, row_number() OVER (PARTITION BY train_n, run, intent, origin_pos
+    ORDER BY category = 'error' DESC, dist DESC, text) AS r FROM GT WHERE category <> 'success') x WHERE r = 1"""
+
+Q["pairs_scan"] = w(P, PAIRS) + r"""
+, S AS (SELECT translate(input_text, chr(10) || chr(9) || '"', '   ') AS a, translate(target_text, chr(10) || chr(9) || '"', '   ') AS b
+        FROM PR)
+, F AS (SELECT unnest(['tsv', 'csv']) AS source)
+SELECT source, 'kept' AS channel, count(*) AS n, CAST(sum(length(a) + length(b)) AS BIGINT) AS chars
+FROM S, F WHERE length(a) % 4 <> 0 GROUP BY source
+UNION ALL SELECT source, 'malformed', count(*), CAST(sum(length(CAST(length(a) AS VARCHAR)) + 20) AS BIGINT)
+FROM S, F WHERE length(b) % 5 = 0 GROUP BY source"""

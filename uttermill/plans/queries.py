@@ -255,7 +255,7 @@ def q_new_counts(spark, d):
 @register("pivot_intents")
 def q_pivot_intents(spark, d):
     from ..operators import evaluate
-    return std(evaluate.pivot_intents(_intent_summary(spark, d), fx.EVENT_TYPES))
+    return std(evaluate.pivot_intents(_intent_summary(spark, d)))
 
 
 # --- naive Bayes on L, triage ----------------------------------------------------------
@@ -679,6 +679,53 @@ def q_filter_chain(spark, d):
     return std(r.select(*KEYS, "intent", "text"))
 
 
+def _triage_lineage(spark, d):
+    from .experiments import candidates, triage_by_origin
+    fs, _, res = _mode_inputs(spark, d)
+    return triage_by_origin(fs, candidates(fs, res), res.lexicon), fs
+
+
+@register("triage_lineage")
+def q_triage_lineage(spark, d):
+    """TRI-3 on EXP-6's table: generated texts against the originals they come from."""
+    t, _ = _triage_lineage(spark, d)
+    return std(t.select(*KEYS, "intent", "text", "origin_pos", "dist", "pred", "conf", "category"))
+
+
+@register("best_lineage")
+def q_best_lineage(spark, d):
+    """TRI-4 on that: one generated text per original."""
+    from ..operators import triage
+    t, fs = _triage_lineage(spark, d)
+    return std(triage.best_per_origin(t, fs, keys=KEYS + ["intent"]).select(*KEYS, "intent", "text", "pos", "picked"))
+
+
+@register("pairs_scan")
+def q_pairs_scan(spark, d):
+    """SRC-4: the pair sources written as TSV and CSV with lines that do not
+    fit in between, read back by the checked scan; counts of both channels."""
+    from ..operators import pairs
+    from ..session import scratch_path
+    src = pairs.build_pairs(fx.pair_sources(spark, d)).select(
+        F.translate("input_text", '\n\t"', "   ").alias("sentence1"),
+        F.translate("target_text", '\n\t"', "   ").alias("sentence2"))
+    src = materialize(src.withColumn("label", F.when(F.length("sentence1") % 4 == 0, 0).otherwise(1)))
+    out = []
+    for fmt, sep in (("tsv", "\t"), ("csv", ",")):
+        path = scratch_path(spark, f"pairs-{fmt}")
+        src.write.option("header", True).option("sep", sep).csv(path)
+        odd = src.where(F.length("sentence2") % 5 == 0).select(F.concat(
+            F.length("sentence1").cast("string"), F.lit(f"{sep}two{sep}three{sep}four{sep}five")).alias("value"))
+        odd = spark.createDataFrame([(f"sentence1{sep}sentence2{sep}label",)], "value string").unionByName(odd)
+        odd.coalesce(1).write.mode("append").text(path)
+        good, bad = pairs.scan_pairs(spark, path, fmt, source=fmt)
+        out.append(good.groupBy("source", F.lit("kept").alias("channel")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.length("input_text") + F.length("target_text")).alias("chars")))
+        out.append(bad.groupBy("source", F.lit("malformed").alias("channel")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars")))
+    return std(out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]))
+
+
 def _mode(name):
     def q(spark, d):
         from .experiments import run_mode
