@@ -48,11 +48,16 @@ def domains(h: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """list, domain, valid_from, valid_to (exclusive, null: open) of the times
     in which an entry is active. ``entries``: list, domain, at, active."""
-    one = (entries.where("domain IS NOT NULL AND at IS NOT NULL")
-           .groupBy("list", F.lower("domain").alias("domain"), "at").agg(F.max("active").alias("active")))
-    after = Window.partitionBy("list", "domain").orderBy("at")
-    return (one.withColumn("valid_to", F.lead("at").over(after)).where("active")
-            .select("list", "domain", F.col("at").alias("valid_from"), "valid_to"))
+    one = (entries.withColumn("at", F.col("at").cast("timestamp")).where("domain IS NOT NULL AND at IS NOT NULL")
+           .groupBy(F.coalesce("list", F.lit("")).alias("list"), F.lower("domain").alias("domain"), "at")
+           .agg(F.max("active").alias("active")).withColumn("slice", cell_of(F.col("at"))))
+    # the next entry: in the same time slice, else the first of the next slice that has any
+    keys = ["list", "domain"]
+    within = Window.partitionBy(*keys, "slice").orderBy("at")
+    slices = one.groupBy(*keys, "slice").agg(F.min("at").alias("first"))
+    later = slices.select(*keys, "slice", F.lead("first").over(Window.partitionBy(*keys).orderBy("slice")).alias("later"))
+    return (one.withColumn("next", F.lead("at").over(within)).where("active").join(later, [*keys, "slice"])
+            .select(*keys, F.col("at").alias("valid_from"), F.coalesce("next", "later").alias("valid_to")))
 
 
 def cell_of(at: Column, level: int = 0) -> Column:
