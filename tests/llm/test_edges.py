@@ -317,6 +317,28 @@ def test_url_odd_rows(spark):
     assert url_filter.allowed(caps, entries.limit(0)).count() == 7
 
 
+def test_url_intervals_over_slices_and_null_names(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["l", None]), rng.choice(["a.org", "b.org"]), rng.choice([0, 50, 4000, 90_000, 10**6]) + rng.randrange(99),
+             rng.choice([True, False, None])) for _ in range(120)]
+    df = spark.createDataFrame(rows, "list string, domain string, s long, active boolean").select(
+        "list", "domain", F.timestamp_seconds("s").alias("at"), "active")
+    got = {(r.list, r.domain, r.a, r.b) for r in url_filter.intervals(df).select(
+        "list", "domain", F.unix_seconds("valid_from").alias("a"), F.unix_seconds("valid_to").alias("b")).collect()}
+    want, last = set(), {}
+    for key, s in sorted({((x[0] or "", x[1]), x[2]) for x in rows}, reverse=True):
+        if any(x[3] for x in rows if ((x[0] or "", x[1]), x[2]) == (key, s)):
+            want.add((*key, s, last.get(key)))
+        last[key] = s
+    assert got == want
+    caps = spark.createDataFrame([("https://a.org/x", 2 * 10**6, 1, "y")], "url string, s long, capture_key int, lists string").withColumn(
+        "fetched_at", F.timestamp_seconds("s"))
+    on = spark.createDataFrame([(None, "a.org", 5, True)], "list string, domain string, s long, active boolean").select(
+        "list", "domain", F.timestamp_seconds("s").alias("at"), "active")
+    out = url_filter.listed(caps, on)
+    assert out.columns[:5] == caps.columns and out.collect()[0][-1] == [""] and url_filter.allowed(caps, on).count() == 0
+
+
 @pytest.mark.parametrize("name,spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_literals_of_added_tokens(name, spaces):
     from tokenizers import Tokenizer
