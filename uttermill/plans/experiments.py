@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..operators import corpora, distance, entities, expand, lexical, triage
 from ..session import materialize
+from ..sinks.corpus import write_corpus
 
 KEYS = ["train_n", "run"]
 
@@ -150,6 +151,29 @@ def run_mode(mode: str, originals: DataFrame, human: DataFrame, res: Resources,
     return corpora.merge_corpora(kept, o, KEYS)
 
 
+#: Modes whose entities are those of the full train split instead of the run's.
+HUMAN_MODES = ("human", "augment_and_human", "human_inspired")
+
+
+def run_mode_with_entities(mode: str, originals: DataFrame, human: DataFrame, res: Resources, own: DataFrame,
+                           full: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """RUN-3..7 with both outputs: the corpus of every split, and the entity
+    variants (ENT-1) to annotate it with. ``own``: entities of the runs'
+    originals (keys, intent, entity, ord); ``full``: those of the full train
+    split (intent, entity, ord), which replace them in every run of a mode
+    that uses it."""
+    corpus = run_mode(mode, originals, human, res, **options)
+    chosen = corpora.for_each_split(full, originals, KEYS) if mode in HUMAN_MODES else own
+    return corpus, entities.expand_entities(chosen, keys=KEYS)
+
+
+def write_mode(corpus: DataFrame, variants: DataFrame, path: str, regex_features=None) -> None:
+    """The annotated corpus of every split in block text, a folder a run key
+    (SNK-1), with the regex blocks."""
+    annotated = final_corpus(corpus, variants).select(*KEYS, "intent", F.col("annotated").alias("text"), "pos")
+    write_corpus(annotated, path, keys=KEYS, regex_features=regex_features)
+
+
 def final_corpus(corpus: DataFrame, variants: DataFrame) -> DataFrame:
     """RUN-3 tail: annotate the corpus with the entity variants (ENT-3)."""
     return entities.annotate(corpus, variants, keys=KEYS)

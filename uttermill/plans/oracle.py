@@ -699,3 +699,21 @@ SELECT source, 'kept' AS channel, count(*) AS n, CAST(sum(length(a) + length(b))
 FROM S, F WHERE length(a) % 4 <> 0 GROUP BY source
 UNION ALL SELECT source, 'malformed', count(*), CAST(sum(length(CAST(length(a) AS VARCHAR)) + 20) AS BIGINT)
 FROM S, F WHERE length(b) % 5 = 0 GROUP BY source"""
+
+Q["paraphrase_model"] = w(P, PAIRS, PRC) + f"""
+, PT AS (SELECT input_text, target_text, ln(count(*) / sum(count(*)) OVER (PARTITION BY input_text)) AS lw
+         FROM PRC GROUP BY input_text, target_text)
+, T AS (SELECT intent, pos, text, string_split(text, ' ')[1] AS a, string_split(text, ' ')[2] AS b FROM P)
+, O AS (SELECT DISTINCT a AS tok, a AS target, ln(0.5) AS lw FROM T UNION ALL SELECT DISTINCT b, b, ln(0.5) FROM T
+        UNION ALL SELECT input_text, target_text, lw FROM PT)
+, PATHS AS (SELECT intent, pos, x.target || ' ' || y.target AS pred, x.lw + y.lw AS lw
+            FROM T JOIN (SELECT DISTINCT * FROM O) x ON x.tok = a JOIN (SELECT DISTINCT * FROM O) y ON y.tok = b
+            UNION ALL SELECT intent, pos, target_text, PT.lw FROM T JOIN PT ON input_text = text)
+, B AS (SELECT intent, pos, pred, max(lw) AS lw FROM PATHS GROUP BY ALL)
+SELECT intent, pos, k_i, pred FROM (SELECT *, row_number() OVER (PARTITION BY intent, pos ORDER BY round(lw, 9) DESC, pred) AS k_i
+  FROM B) x WHERE k_i <= {config.PARAPHRASES_PER_INPUT}"""
+
+Q["mode_entities"] = " UNION ALL ".join(
+    f"SELECT '{mode}' AS mode, train_n, run, intent, split_part(text, ' ', 1) || ' [' || split_part(text, ' ', 2) || '](item)' AS raw "
+    f"FROM ({Q[key]}) q_{key}" for mode, key in (
+        ("human", "mode_human"), ("augment_and_human", "mode_mixed"), ("human_inspired", "mode_inspired")))

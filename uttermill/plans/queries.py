@@ -679,6 +679,16 @@ def q_filter_chain(spark, d):
     return std(r.select(*KEYS, "intent", "text"))
 
 
+@register("paraphrase_model")
+def q_paraphrase_model(spark, d):
+    """EXP-7 through the plug-in host: the phrase-lattice model on every name of P."""
+    from ..operators import expand, pairs, phrase_model
+    prc = pairs.clean_pairs(pairs.build_pairs(fx.pair_sources(spark, d)))
+    P = fx.corpus_parts(spark, d)
+    r = expand.paraphrase_with_model(P, phrase_model.model_factory(prc), ["intent", "pos"])
+    return std(r.select("intent", "pos", "k_i", "pred"))
+
+
 def _triage_lineage(spark, d):
     from .experiments import candidates, triage_by_origin
     fs, _, res = _mode_inputs(spark, d)
@@ -747,3 +757,24 @@ def q_mode_baseline(spark, d):
     ents = fs.select(*KEYS, "intent", F.concat(F.lit("["), F.split("text", " ").getItem(1), F.lit("](item)"))
                      .alias("variant"), F.col("pos").alias("ord"), F.lit(0).alias("vord"))
     return std(final_corpus(corpus, ents).select(*KEYS, "intent", "text", "annotated"))
+
+
+@register("mode_entities")
+def q_mode_entities(spark, d):
+    """RUN-5..7 with the entities of the full split: annotated, written with
+    a regex block by run key, and read back raw."""
+    from ..session import scratch_path
+    from ..sources.corpus import read_raw
+    from .experiments import HUMAN_MODES, run_mode_with_entities, write_mode
+    fs, P, res = _mode_inputs(spark, d)
+    mark = F.concat(F.lit("["), F.split("text", " ").getItem(1), F.lit("](item)")).alias("entity")
+    full = P.select("intent", mark, "pos").groupBy("intent", "entity").agg(F.min("pos").alias("ord"))
+    own = fs.select(*KEYS, "intent", mark, F.col("pos").alias("ord"))
+    out = None
+    for mode in HUMAN_MODES:
+        corpus, variants = run_mode_with_entities(mode, fs, P, res, own, full)
+        path = scratch_path(spark, f"mode-{mode}")
+        write_mode(corpus, variants, path, regex_features=[("item", "[a-z]+")])
+        rows = read_raw(spark, path, path).select(F.lit(mode).alias("mode"), *KEYS, "intent", "raw")
+        out = rows if out is None else out.unionByName(rows)
+    return std(out)
