@@ -27,7 +27,7 @@ from .tokens import coder
 
 #: Ids in a segment, about (bounds the memory of a task), and characters encoded at a time.
 SEGMENT_IDS = 4_000_000
-ENCODE_CHARS = 1 << 20
+ENCODE_CHARS = 4 << 20
 NULL_NAME = -2**63
 
 MANIFEST = "file_no long, path string, n_docs long, n_ids long, n_bytes long"

@@ -10,7 +10,6 @@ an id of its own) are encoded whole.
 
 from __future__ import annotations
 
-import re
 from codecs import charmap_decode
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; beyond that it starts afresh.
-MEMORY = 500_000
+MEMORY = 1_000_000
 
 #: The characters that stand for bytes in byte-level vocabularies: printable
 #: Latin-1 bytes for themselves, the others for U+0100 and up, in order.
@@ -40,13 +39,8 @@ def coder(path: str, spaces_count: bool) -> "WordCoder":
 #: One Latin word, perhaps behind a newline or before a full stop or comma. These letters (below U+0250, without
 #: U+0130) are in NFC and have one lower case each.
 LETTERS = "[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+"
-#: What the library's pre-tokenizer makes of each byte; 0 separates words here.
-BYTE_TABLE = "\0" + "".join(BYTE_CHARS[b] for b in range(1, 256))
-
-
-def byte_words(words: list[str]) -> list[str]:
-    """The words in the characters that stand for their bytes."""
-    return charmap_decode("\0".join(words).encode(), "strict", BYTE_TABLE)[0].split("\0")
+#: What the library's pre-tokenizer makes of each byte; 0 becomes the blank that separates pre-tokens here.
+BYTE_TABLE = " " + "".join(BYTE_CHARS[b] for b in range(1, 256))
 
 
 class Places(dict):
@@ -72,7 +66,7 @@ class WordCoder:
         self.spaces_count = spaces_count
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = CharDelimiterSplit(" ")
-        self.plain = re.compile(f"(\n?)({LETTERS})([.,]?)" if spaces_count else f"()({LETTERS})([.,]?)").fullmatch
+        self.plain = f"^\\n?{LETTERS}[.,]?$" if spaces_count else f"^{LETTERS}[.,]?$"
         vocabulary = self.tokenizer.get_vocab().items()
         self.closes = np.zeros(1 << 16, bool)
         self.closes[[i for t, i in vocabulary if t.endswith("</w>")]] = True
@@ -103,25 +97,27 @@ class WordCoder:
         self.starts[places], self.sizes[places] = starts + self.n_ids, sizes
         self.n_ids = end
 
-    def _learn_plain(self, places: list, found: list) -> None:
+    def _learn_plain(self, places: np.ndarray, pieces: pa.Array) -> None:
         """Plain pieces as the library's pre-tokens straight to its merges; ids
         are cut where a token opens a piece or closes a word."""
-        if self.spaces_count:
-            words = byte_words([m[2] for m in found])
-            pre = [f"{'\u010a' if m[1] else '\u0120'}{w} {m[3]}" if m[3] else f"{'\u010a' if m[1] else '\u0120'}{w}"
-                   for m, w in zip(found, words)]
-        else:
-            words = byte_words([m[2].lower() for m in found])
-            pre = [f"{w} {m[3]}" if m[3] else w for m, w in zip(found, words)]
-        for i in range(0, len(pre), 2048):
-            ids = np.array(self.merges.encode_batch_fast([" ".join(pre[i:i + 2048])], add_special_tokens=False)[0].ids,
-                           np.uint16)
+        marked = pc.match_substring_regex(pieces, "[.,]$").to_numpy(zero_copy_only=False)
+        pieces = pieces.to_pylist()
+        for i in range(0, len(pieces), 2048):
+            some = pieces[i:i + 2048]
+            if self.spaces_count:  # a blank opens a piece unless its newline does
+                text = (" " + "\0 ".join(some)).replace("\0 \n", "\0\n")
+                text = text[1:] if text.startswith(" \n") else text
+            else:
+                text = "\0".join(some).lower()
+            text = text.replace(",", "\0,").replace(".", "\0.")
+            pre = charmap_decode(text.encode(), "strict", BYTE_TABLE)[0]
+            ids = np.array(self.merges.encode_batch_fast([pre], add_special_tokens=False)[0].ids, np.uint16)
             if self.spaces_count:
                 starts = np.flatnonzero(self.opens[ids])
             else:
-                words = np.fromiter((1 + (m[3] != "") for m in found[i:i + 2048]), np.int64)
+                words = 1 + marked[i:i + 2048].astype(np.int64)
                 starts = np.append(0, np.flatnonzero(self.closes[ids])[np.cumsum(words) - 1][:-1] + 1)
-            self._add(np.array(places[i:i + 2048]), starts, np.diff(np.append(starts, len(ids))), ids)
+            self._add(places[i:i + 2048], starts, np.diff(np.append(starts, len(ids))), ids)
 
     def _learn(self) -> None:
         """Encode the new pieces, hundreds in one text whose ids are cut at
@@ -130,21 +126,20 @@ class WordCoder:
         first, n = len(self.at) - len(new), len(self.at)
         if n > len(self.starts):
             self.starts, self.sizes = (np.resize(x, max(n, 2 * len(x))) for x in (self.starts, self.sizes))
-        plain, rest = [], []
-        found = []
-        for place, piece in enumerate(new, first):
-            m = None if isinstance(piece, tuple) else self.plain(piece)
-            if m:
-                plain.append(place)
-                found.append(m)
-            elif self._unsafe(piece):
+        rest = []
+        heads = [i for i, p in enumerate(new) if isinstance(p, tuple)]
+        texts = pa.array(["" if isinstance(p, tuple) else p for p in new] if heads else new, pa.string())
+        plain = pc.match_substring_regex(texts, self.plain).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(~plain).tolist():
+            place, piece = first + i, new[i]
+            if self._unsafe(piece):
                 self.sizes[place] = -1
             elif not piece:  # between blanks that no token holds
                 self.sizes[place] = 0
             else:
                 rest.append((place, piece))
-        if plain:
-            self._learn_plain(plain, found)
+        if plain.any():
+            self._learn_plain(first + np.flatnonzero(plain), texts.filter(pa.array(plain)))
         for i in range(0, len(rest), 512):
             places, some = zip(*rest[i:i + 512])
             if self.spaces_count:  # a text's first piece has no blank before it: give it a newline, drop that id
