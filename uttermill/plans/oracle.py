@@ -714,6 +714,8 @@ SELECT intent, pos, k_i, pred FROM (SELECT *, row_number() OVER (PARTITION BY in
   FROM B) x WHERE k_i <= {config.PARAPHRASES_PER_INPUT}"""
 
 Q["mode_entities"] = " UNION ALL ".join(
-    f"SELECT '{mode}' AS mode, train_n, run, intent, split_part(text, ' ', 1) || ' [' || split_part(text, ' ', 2) || '](item)' AS raw "
-    f"FROM ({Q[key]}) q_{key}" for mode, key in (
+    # marked where some name of the intent has the item
+    f"SELECT '{mode}' AS mode, train_n, run, intent, CASE WHEN EXISTS (SELECT 1 FROM part WHERE p_type = intent "
+    f"AND split_part(p_name, ' ', 2) = split_part(text, ' ', 2)) THEN split_part(text, ' ', 1) || ' [' || "
+    f"split_part(text, ' ', 2) || '](item)' ELSE text END AS raw FROM ({Q[key]}) q_{key}" for mode, key in (
         ("human", "mode_human"), ("augment_and_human", "mode_mixed"), ("human_inspired", "mode_inspired")))
