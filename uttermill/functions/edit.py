@@ -7,6 +7,10 @@ same column only, so the words of a pair work in a wavefront, each one column
 behind the one above, and the words of many pairs are the lanes of one array: a
 step advances all of them by 64 cells each. Distances are in code points, like
 Spark's ``levenshtein``.
+
+Many texts that meet the same few originals are ``Patterns``: all lanes of a
+step read the same letter, so a step needs no gathers, and the letter masks of
+the texts serve every original.
 """
 
 from __future__ import annotations
@@ -137,10 +141,149 @@ def pair_distances(a, b) -> np.ndarray:
     return distances([code_points(x) for x in a], [code_points(x) for x in b])
 
 
+# --- many texts against few ---------------------------------------------------------
+
+#: Texts side by side at least, words of a block, and words of letter masks held at once, at most.
+LANES, BLOCK, MASKS = 24, 4096, 1 << 24
+
+
+class Patterns:
+    """Texts of similar lengths, their rows of 64 characters below each other:
+    arrays (row, text). ``letters``: sorted code points; one more stands for all
+    others and has no bits."""
+
+    def __init__(self, points: list[np.ndarray], letters: np.ndarray):
+        self.letters, self.count, self.kinds = letters, len(points), len(letters) + 1
+        size = np.array([len(p) for p in points], dtype=np.int64)
+        self.rows = max(1, -(-int(size.max()) // 64))
+        flat = np.concatenate(points)
+        lane = np.repeat(np.arange(self.count), size)
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        place = ((at // 64) * self.kinds + self.codes(flat)) * self.count + lane
+        masks = np.zeros(self.rows * self.kinds * self.count, dtype=np.uint64)
+        by = np.argsort(at % 64, kind="stable")
+        place, bits = place[by], np.searchsorted((at % 64)[by], np.arange(65))
+        for bit in range(64):
+            masks[place[bits[bit]:bits[bit + 1]]] |= _ONE << np.uint64(bit)
+        self.masks = masks.reshape(self.rows * self.kinds, self.count)
+        self.masks[self.kinds - 1::self.kinds] = 0
+        left = np.clip(size[None, :] - 64 * np.arange(self.rows)[:, None], 0, 64)
+        self.valid = np.where(left == 64, _ALL, (_ONE << (left % 64).astype(np.uint64)) - _ONE)
+
+    def codes(self, text: np.ndarray) -> np.ndarray:
+        code = np.searchsorted(self.letters, text)
+        known = code < len(self.letters)
+        known[known] = self.letters[code[known]] == text[known]
+        return np.where(known, code, len(self.letters))
+
+    def distances(self, text: np.ndarray) -> np.ndarray:
+        """Distances of all texts to ``text``; row r is r columns behind the first."""
+        deep, m = self.rows, len(text)
+        shape = (deep, self.count)
+        code = self.codes(text)[::-1].copy()
+        base = np.arange(deep) * self.kinds
+        vps, vms = np.full(shape, _ALL), np.zeros(shape, dtype=np.uint64)
+        eqs, hs, ps = (np.empty(shape, dtype=np.uint64) for _ in range(3))
+        # horizontal differences that enter each row, ``ups`` inverted; the first row grows by one a column
+        ups, downs = ([np.zeros((deep + 1, self.count), dtype=np.uint64) for _ in range(2)] for _ in range(2))
+        last = np.uint64(63)
+        for t in range(m + deep - 1):
+            low, high = max(0, t - m + 1), min(deep, t + 1)
+            vp, vm, eq, h, p = vps[low:high], vms[low:high], eqs[low:high], hs[low:high], ps[low:high]
+            down = downs[t % 2][low:high]
+            self.masks.take(base[low:high] + code[m - 1 - t + low:m - 1 - t + high], axis=0, out=eq, mode="clip")
+            np.bitwise_or(eq, down, out=eq)
+            np.bitwise_and(eq, vp, out=h)
+            np.add(h, vp, out=h)
+            np.bitwise_xor(h, vp, out=h)
+            np.bitwise_or(h, eq, out=h)
+            np.bitwise_or(h, vm, out=h)  # 1: the diagonal does not grow
+            np.bitwise_or(h, vp, out=p)
+            np.bitwise_xor(p, vm, out=p)  # 0: grows to the right
+            np.bitwise_and(h, vp, out=eq)  # 1: shrinks to the right
+            np.right_shift(p, last, out=ups[1 - t % 2][low + 1:high + 1])
+            np.right_shift(eq, last, out=downs[1 - t % 2][low + 1:high + 1])
+            np.left_shift(p, _ONE, out=p)
+            np.bitwise_or(p, ups[t % 2][low:high], out=p)
+            np.left_shift(eq, _ONE, out=eq)
+            np.bitwise_or(eq, down, out=eq)
+            np.bitwise_or(h, p, out=vp)
+            np.bitwise_xor(vp, p, out=vm)
+            np.bitwise_xor(vp, h, out=vp)
+            np.bitwise_or(vp, eq, out=vp)
+        plus, minus = (np.bitwise_count(v & self.valid).sum(axis=0, dtype=np.int64) for v in (vps, vms))
+        return m + plus - minus
+
+
+class Long:
+    """One text whose rows are the bits of whole numbers."""
+
+    def __init__(self, points: np.ndarray, letters: np.ndarray):
+        self.size = len(points)
+        self.masks = {c: int.from_bytes(np.packbits(points == c, bitorder="little").tobytes(), "little")
+                      for c in np.intersect1d(points, letters).tolist()}
+
+    def distance(self, text: np.ndarray) -> int:
+        full = (1 << self.size) - 1
+        vp, vm = full, 0
+        for c in text.tolist():
+            eq = self.masks.get(c, 0)
+            x = eq | vm
+            h = (((eq & vp) + vp) ^ vp) | eq
+            p = ((vm | (full ^ ((h | vp) & full))) << 1) | 1
+            m = (vp & h) << 1
+            vp = (m | (full ^ ((x | p) & full))) & full
+            vm = p & x & full
+        return len(text) + vp.bit_count() - vm.bit_count()
+
+
+class Many:
+    """Texts to be measured against some of the texts ``others`` (code points)."""
+
+    def __init__(self, points: list[np.ndarray], others: list[np.ndarray]):
+        self.points, self.long, self.blocks = points, {}, []
+        self.letters = np.unique(np.concatenate(others)) if others else np.zeros(0, dtype=np.uint32)
+        size = np.array([len(p) for p in points], dtype=np.int64)
+        order = np.argsort(-size, kind="stable")
+        rows = np.maximum(1, -(-size[order] // 64))
+        self.alone, i = np.zeros(len(points), dtype=bool), 0
+        while i < len(points):
+            similar = int(np.searchsorted(-rows, -(int(rows[i]) * 4 // 5), side="right"))
+            some = order[i:min(similar, i + max(LANES, BLOCK // int(rows[i])))]
+            if len(some) < LANES:
+                self.alone[some] = True
+            else:
+                self.blocks.append((some, Patterns([points[k] for k in some], self.letters)))
+            i += len(some)
+
+    def distances(self, text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Distances to ``text`` of the texts with the indices ``wanted``."""
+        ask = np.zeros(len(self.points), dtype=bool)
+        ask[wanted] = True
+        alone = ask & self.alone
+        out = np.zeros(len(self.points), dtype=np.int64)
+        for some, block in self.blocks:
+            if ask[some].sum() < LANES:
+                alone[some] |= ask[some]
+            else:
+                out[some] = block.distances(text)
+        for k in np.flatnonzero(alone).tolist():
+            if k not in self.long:
+                self.long[k] = Long(self.points[k], self.letters)
+            out[k] = self.long[k].distance(text)
+        return out[wanted]
+
+
+def pieces(size: np.ndarray, others: list[np.ndarray]) -> list[np.ndarray]:
+    """Indices of texts in pieces whose letter masks are held at once."""
+    letters = len(np.unique(np.concatenate(others))) + 1 if others else 1
+    return np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum((size // 64 + 1) * letters) // MASKS)) + 1)
+
+
 # --- nearest originals ------------------------------------------------------------
 
-#: Pairs measured in one call, about.
-PAIRS = 1 << 17
+#: Pairs measured in one call, about, and originals that each meet all texts at once, at most.
+PAIRS, FEW_ORIGINALS = 1 << 17, 64
 
 
 def _spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,6 +318,16 @@ class Originals:
         size = np.array([len(p) for p in points], dtype=np.int64)
         n, count = len(texts), len(self.texts)
         best, at = np.full(n, np.iinfo(np.int64).max // 4), np.full(n, -1)
+        if count <= FEW_ORIGINALS:
+            for some in pieces(size, self.points):
+                many = Many([points[k] for k in some], self.points)
+                for w, text in enumerate(self.points):
+                    r = np.flatnonzero(np.abs(size[some] - len(text)) <= best[some])
+                    d = many.distances(text, r)
+                    r = some[r]
+                    better = (d < best[r]) | ((d == best[r]) & (self.rank[w] < self.rank[at[r]]))
+                    best[r[better]], at[r[better]] = d[better], w
+            return best, at
         middle = np.searchsorted(self.size, size)
         live, reach = np.arange(n), 0
         while len(live):
@@ -213,34 +366,28 @@ class Prefixes:
 
     def nearest(self, texts: list[str], sizes: list[int]) -> dict:
         """(run, size) -> (distance, index in the run) over the run's first
-        ``size`` originals. The first original is measured always, the others
-        unless their length alone rules them out."""
+        ``size`` originals. An original is measured unless its length alone
+        rules it out."""
         points = [code_points(t) for t in texts]
+        others = [p for of in self.points.values() for p in of]
+        found = [self._nearest([points[k] for k in some], others, sizes)
+                 for some in pieces(np.array([len(p) for p in points], dtype=np.int64), others)]
+        return {key: tuple(np.concatenate([f[key][i] for f in found]) for i in (0, 1)) for key in found[0]}
+
+    def _nearest(self, points: list[np.ndarray], others: list[np.ndarray], sizes: list[int]) -> dict:
         own = np.array([len(p) for p in points], dtype=np.int64)
-        n = len(texts)
-        best = {run: np.full(n, np.iinfo(np.int64).max // 4) for run in self.runs}
-        at = {run: np.full(n, -1) for run in self.runs}
-        out = {}
-        deepest = max(len(of) for of in self.of.values())
-        for ranks in (range(0, 1), range(1, deepest)):
-            jobs = []
-            for run in self.runs:
-                for k in ranks:
-                    if k < len(self.of[run]):
-                        gap = np.abs(own - len(self.points[run][k]))
-                        jobs.append((run, k, np.flatnonzero(gap <= best[run])))
-            rows = np.concatenate([r for *_, r in jobs] or [np.zeros(0, dtype=np.int64)])
-            side = [self.points[run][k] for run, k, r in jobs for _ in range(len(r))]
-            d = np.concatenate([distances([points[x] for x in rows[i:i + PAIRS]], side[i:i + PAIRS])
-                                for i in range(0, len(rows), PAIRS)] or [np.zeros(0, dtype=np.int64)])
-            for run, k, r in jobs:
-                mine, d = d[:len(r)], d[len(r):]
-                place = [(x[2] is not None, x[2] or 0) for x in self.of[run]]
-                tie = np.array([i >= 0 and place[k] < place[i] for i in at[run][r].tolist()], dtype=bool)
-                better = (mine < best[run][r]) | ((mine == best[run][r]) & tie)
-                best[run][r[better]], at[run][r[better]] = mine[better], k
-                last = k + 1 == len(self.of[run])
+        n, many, out = len(points), Many(points, others), {}
+        for run, of in self.of.items():
+            best, at = np.full(n, np.iinfo(np.int64).max // 4), np.full(n, -1)
+            place = [(x[2] is not None, x[2] or 0) for x in of]
+            for k, text in enumerate(self.points[run]):
+                r = np.flatnonzero(np.abs(own - len(text)) <= best)
+                mine = many.distances(text, r)
+                tie = np.array([*(place[k] < x for x in place), False])[at[r]]
+                better = (mine < best[r]) | ((mine == best[r]) & tie)
+                best[r[better]], at[r[better]] = mine[better], k
+                last = k + 1 == len(of)
                 for size in sizes:
                     if size == k + 1 or (last and size > k):
-                        out[run, size] = best[run].copy(), at[run].copy()
+                        out[run, size] = best.copy(), at.copy()
         return out

@@ -213,8 +213,11 @@ def min_distance_fewshot(candidates: DataFrame, picks: DataFrame, sizes, cand_co
                     members.setdefault(intent, []).append(i)
                 else:
                     for n in sizes:
-                        for col, v in zip((row, train_n, of_run, dist, pos, near), (i, n, None, None, None, None)):
+                        for col, v in zip((row, train_n, of_run, dist), (i, n, None, None)):
                             col.append(v)
+                        if with_nearest:
+                            pos.append(None)
+                            near.append(None)
             for intent, mine in members.items():
                 group = shared.value[intent]
                 known = [i for i in mine if texts[i] is not None]
@@ -235,19 +238,21 @@ def min_distance_fewshot(candidates: DataFrame, picks: DataFrame, sizes, cand_co
                             of_run.append(run)
                             j = at.get(i)
                             dist.append(None if j is None else d[j])
-                            pos.append(None if j is None else of[which[j]][2])
-                            near.append(None if j is None else of[which[j]][3])
+                            if with_nearest:
+                                pos.append(None if j is None else of[which[j]][2])
+                                near.append(None if j is None else of[which[j]][3])
             whole = b.take(pa.array(row, pa.int64()))
-            more = [pa.array(dist, pa.int32()), pa.array(pos, pa.int64()), pa.array(near, pa.string())]
+            more = [pa.array(dist, pa.int32())]
+            if with_nearest:
+                more += [pa.array(pos, pa.int64()), pa.array(near, pa.string())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(train_n, pa.int32()), pa.array(of_run, run_type), *whole.columns, *more],
-                ["train_n", "run", *b.schema.names, out, "origin_pos", "origin_text"])
+                ["train_n", "run", *b.schema.names, out, "origin_pos", "origin_text"][:2 + whole.num_columns + len(more)])
 
     kind = dict(p.dtypes)["run"]
     run_type = {"int": pa.int32(), "bigint": pa.int64()}.get(kind, pa.string())
-    res = spread(candidates).mapInArrow(
-        measure, f"train_n int, run {kind}, " + _schema(candidates, f", {out} int, origin_pos long, origin_text string"))
-    return res if with_nearest else res.drop("origin_pos", "origin_text")
+    extra = f", {out} int" + (", origin_pos long, origin_text string" if with_nearest else "")
+    return spread(candidates).mapInArrow(measure, f"train_n int, run {kind}, " + _schema(candidates, extra))
 
 
 def farthest_per_intent(df: DataFrame, k: int = config.KEEP_BY_DISTANCE, keys=(),
