@@ -7,20 +7,32 @@ candidates, all splits in one job. Two model kinds:
   smoothing, tokens outside the split's vocabulary ignored;
 - nearest centroid over vectors, confidence = softmax(scale x cosine).
 
-Naive Bayes scores candidates through a hash join of their tokens with the
-model's weight table and one aggregation per candidate. The centroid model
+Naive Bayes scores candidates in Arrow batches: the weights of all splits are
+one broadcast matrix (token x split and class), and a batch's distinct texts are
+tokenised once for all splits, so no rows of tokens exist and nothing is
+shuffled. A model too large for that is joined with the candidates' tokens,
+with one aggregation per candidate. The centroid model
 is one small row per split (classes x dimension), joined to the candidates
 and applied in-row with higher-order functions.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import tokens_lower
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, collect_if_small, materialize
+
+#: Cells of a weight matrix, at most, and tokens summed at once.
+MATRIX, TOKENS = 1 << 23, 1 << 15
+
 
 def _k(keys) -> list[str]:
     return list(keys or ())
@@ -82,15 +94,97 @@ def _join_keys(a: DataFrame, b: DataFrame, k: list[str]) -> DataFrame:
     return a.select("*", *[b.select(F.first(c)).scalar().alias(c) for c in row_cols])
 
 
-def score_nb(model: dict, candidates: DataFrame, ids, text: str = "text") -> DataFrame:
-    """TRI-1 (score): ``pred`` and ``conf`` for every candidate of a split.
-
-    ``candidates`` carry the run keys and unique ``ids`` within a split.
-    The candidate tokens meet the model's weight table in a hash join (the
-    table is broadcast when its size allows), the weights of one candidate
-    are summed per class in one aggregation, and the scores are joined back
-    to the candidates; a candidate without known tokens scores its priors.
-    """
+class _Scores:
+    """The weights of every split: a row per token; per split the columns of
+    its classes (in the order of ties) and one that counts its tokens."""
+
+    def __init__(self, classes: list, weights: list):
+        """Rows (*keys, intent, logprior, dlog) and (*keys, token, intent, w)."""
+        splits: dict = {}
+        for *key, intent, prior, dlog in classes:
+            splits.setdefault(tuple(key), []).append((intent is None, intent or "", intent, prior, dlog))
+        self.splits, column, width = {}, {}, 0
+        for key, own in splits.items():
+            own.sort()
+            column.update({(key, x[2]): width + i for i, x in enumerate(own)})
+            column[key] = width + len(own)
+            self.splits[key] = (width, [x[2] for x in own], np.array([x[3] for x in own]), np.array([x[4] for x in own]))
+            width += len(own) + 1
+        self.rows = {t: i for i, t in enumerate(sorted({w[-3] for w in weights}))}
+        self.matrix = np.zeros((len(self.rows), width))
+        for *key, token, intent, w in weights:
+            at = self.rows[token]
+            self.matrix[at, column[tuple(key), intent]] = w
+            self.matrix[at, column[tuple(key)]] = 1
+
+    def sums(self, texts: list) -> np.ndarray:
+        """Per text the sum of its tokens' rows."""
+        out = np.zeros((len(texts), self.matrix.shape[1]))
+        token = re.compile("[a-z0-9]+")
+        known, of, first = [], [], 0
+        for i, text in enumerate(texts):
+            mine = [self.rows[t] for t in token.findall((text or "").lower()) if t in self.rows]
+            if mine:
+                of.append((i, len(known)))
+                known.extend(mine)
+            if known and (len(known) >= TOKENS or i + 1 == len(texts)):
+                out[[x for x, _ in of]] = np.add.reduceat(self.matrix[known], [at for _, at in of], axis=0)
+                known, of = [], []
+        return out
+
+    def score(self, keys: list[tuple], texts: list, which: np.ndarray) -> tuple[list, list]:
+        """(pred, conf) of rows: their run keys, and their texts by index."""
+        sums = self.sums(texts)
+        pred, conf = [None] * len(keys), [None] * len(keys)
+        rows: dict = {}
+        for i, key in enumerate(keys):
+            rows.setdefault(key, []).append(i)
+        for key, mine in rows.items():
+            if key not in self.splits:
+                continue
+            at, names, prior, dlog = self.splits[key]
+            own = sums[which[mine]]
+            s = prior - own[:, at + len(names), None] * dlog + own[:, at:at + len(names)]
+            best = s.argmax(axis=1)
+            share = 1 / np.exp(s - s.max(axis=1)[:, None]).sum(axis=1)
+            for i, j, c in zip(mine, best.tolist(), share.tolist()):
+                pred[i], conf[i] = names[j], c
+        return pred, conf
+
+
+def score_nb(model: dict, candidates: DataFrame, ids, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """TRI-1 (score): ``pred`` and ``conf`` for every candidate of a split, with
+    the candidates' columns (those in ``keep``, if given).
+
+    ``candidates`` carry the run keys and unique ``ids`` within a split. A
+    candidate without known tokens scores its priors."""
+    k, keep = model["keys"], list(keep or candidates.columns)
+    classes, weights = materialize(model["classes"]), materialize(model["weights"])
+    held = collect_if_small(classes.select(*k, "intent", "logprior", "dlog"))
+    table = None if held is None else collect_if_small(weights.select(*k, "token", "intent", "w"))
+    if table is None or len({w[-3] for w in table}) * (2 * len(held) + 1) > MATRIX:
+        return _score_nb_joined({**model, "classes": classes, "weights": weights}, candidates, ids, text).select(
+            *keep, "pred", "conf")
+    shared = candidates.sparkSession.sparkContext.broadcast(_Scores(held, table))
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            whole = pc.dictionary_encode(b.column(text), null_encoding="encode")
+            keys = list(zip(*[b.column(c).to_pylist() for c in k])) if k else [()] * b.num_rows
+            pred, conf = shared.value.score(keys, whole.dictionary.to_pylist(), whole.indices.to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(pred, pa.string()),
+                                              pa.array(conf, pa.float64())], [*keep, "pred", "conf"])
+
+    fields = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
+    return candidates.mapInArrow(run, ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", pred string, conf double")
+
+
+def _score_nb_joined(model: dict, candidates: DataFrame, ids, text: str) -> DataFrame:
+    """The candidate tokens meet the model's weight table in a join, the weights
+    of one candidate are summed per class in one aggregation, and the scores are
+    joined back to the candidates."""
     k = model["keys"]
     ids = list(ids)
     classes, weights = model["classes"], model["weights"]
@@ -175,8 +269,28 @@ def best_per_origin(triage: DataFrame, originals: DataFrame, keys=(), origin: st
     cand = triage.where(F.col("category").isin("error", "low cs"))
     is_err = (F.col("category") == "error")
     d = F.when(is_err | F.lit(not first_low_conf), F.col(dist)).otherwise(F.lit(0))
-    w = Window.partitionBy(*k, origin).orderBy(is_err.desc(), d.desc_nulls_last(), F.col("pos"), F.col("text"))
-    picks = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
     cols = list(dict.fromkeys(k + ["intent", "text", "pos"]))
+    order = [(~is_err).alias("_o0"), d.isNull().alias("_o1"), (-d).alias("_o2"), F.col("pos").isNotNull().alias("_o3")]
+    cand = cand.select(*dict.fromkeys([*cols, origin]), *order)
+    group, by = [*k, origin], ["_o0", "_o1", "_o2", "_o3", "pos", "text"]
+    w = Window.partitionBy(*group).orderBy(*by)
+    picks = _first_of_batches(cand, group, by).withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
     return (originals.select(*cols, F.lit(False).alias("picked"))
             .unionByName(picks.select(*cols, F.lit(True).alias("picked"))))
+
+
+def _first_of_batches(df: DataFrame, group: list[str], by: list[str]) -> DataFrame:
+    """Of every Arrow batch the first row of each group in the order ``by``: a
+    group limit that sorts no more than a batch at once."""
+    def run(batches):
+        for b in batches:
+            seen, first = set(), []
+            order = pc.sort_indices(b, sort_keys=[(c, "ascending") for c in by]).to_pylist()
+            keys = list(zip(*[b.column(c).to_pylist() for c in group]))
+            for i in order:
+                if keys[i] not in seen:
+                    seen.add(keys[i])
+                    first.append(i)
+            yield b.take(pa.array(first, pa.int64()))
+
+    return df.mapInArrow(run, df.schema)

@@ -48,14 +48,15 @@ def _fewshot_l(spark, d, seed=config.SEED):
 
 
 def _candidates_l(spark, d):
-    """Every split's candidates: L minus the split's originals."""
-    L = fx.corpus_lines(spark, d)
+    """Every split's candidates: L minus the split's originals. L is written
+    once: the originals and the candidates read it."""
+    L = materialize(fx.corpus_lines(spark, d))
     fs = corpora.fewshot_splits(L)
     return corpora.subtract_corpus(fs, corpora.for_each_run(L), keys=["train_n", "run"]), fs
 
 
 def _distances_l(spark, d):
-    L = fx.corpus_lines(spark, d)
+    L = materialize(fx.corpus_lines(spark, d))
     fs = corpora.fewshot_splits(L)
     return distance.min_distance_fewshot(L, fs, config.TRAIN_SIZES)
 
@@ -82,7 +83,7 @@ def q_merge(spark, d):
 
 @register("limit_n")
 def q_limit_n(spark, d):
-    L = fx.corpus_lines(spark, d)
+    L = materialize(fx.corpus_lines(spark, d))
     fs = corpora.fewshot_splits(L)
     r = corpora.limit_per_intent(fs, corpora.for_each_run(L), n=config.LIMIT_PER_INTENT,
                                  keys=["train_n", "run"])
@@ -260,18 +261,11 @@ def q_pivot_intents(spark, d):
 
 # --- naive Bayes on L, triage ----------------------------------------------------------
 
-def _nb_l(spark, d, with_nearest=False):
-    from ..operators import triage
-    L = fx.corpus_lines(spark, d)
-    fs = corpora.fewshot_splits(L)
-    model = triage.train_nb(fs, keys=KEYS)
-    cands = corpora.subtract_corpus(fs, corpora.for_each_run(L), keys=KEYS)
-    return triage.score_nb(model, cands, ids=["pos"]), fs, L
-
-
 @register("nb_predict")
 def q_nb_predict(spark, d):
-    p, _, _ = _nb_l(spark, d)
+    from ..operators import triage
+    cands, fs = _candidates_l(spark, d)
+    p = triage.score_nb(triage.train_nb(fs, keys=KEYS), cands, ids=["pos"], keep=[*KEYS, "intent", "pos"])
     return std(p.select(*KEYS, "intent", "pos", "pred", "conf"))
 
 
@@ -288,11 +282,10 @@ def q_softmax_predict(spark, d):
 
 def _triage_l(spark, d):
     from ..operators import triage
-    L = fx.corpus_lines(spark, d)
+    L = materialize(fx.corpus_lines(spark, d))
     fs = corpora.fewshot_splits(L)
     model = triage.train_nb(fs, keys=KEYS)
-    # checkpointed: the distances feed both the scoring and the final rows
-    near = materialize(distance.min_distance_fewshot(L, fs, config.TRAIN_SIZES, with_nearest=True))
+    near = distance.min_distance_fewshot(L, fs, config.TRAIN_SIZES, with_nearest=True)
     scored = triage.score_nb(model, near, ids=["pos"])
     return triage.triage_table(scored, config.THRESHOLD), fs
 
