@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.test_distance import lev, words
 from uttermill.functions import edit
-from uttermill.operators import corpora, triage
+from uttermill.operators import corpora, expand, phrase_model, triage, vector_index
 
 
 def plan(df) -> str:
@@ -70,3 +70,53 @@ def test_picks_leave_most_rows_out_before_the_window(spark):
     best = {i: sorted(r._h for r in rows.where(F.col("intent").eqNullSafe(F.lit(i))).collect())[:5] for i in ("0", "1", None)}
     for i, want in best.items():
         assert sorted(r._h for r in few.where(F.col("intent").eqNullSafe(F.lit(i))).collect())[:5] == want
+
+
+def test_a_phrase_table_beyond_broadcast_size_is_joined(spark, monkeypatch):
+    rng = random.Random(13)
+
+    def said(most):
+        return " ".join(rng.choice("abcd") for _ in range(rng.randint(1, most)))
+
+    pairs = spark.createDataFrame([(said(3), said(2)) for _ in range(300)], "input_text string, target_text string")
+    utts = spark.createDataFrame([(i, said(7)) for i in range(60)] + [(99, "none of them"), (98, "")], "pos int, text string")
+
+    def predictions():
+        model = phrase_model.model_factory(pairs, k=3)
+        return sorted(map(tuple, expand.paraphrase_with_model(utts, model, ["pos"]).collect()))
+
+    want = predictions()
+    monkeypatch.setattr(phrase_model, "collect_if_small", lambda df: None)
+    assert isinstance(phrase_model.model_factory(pairs), phrase_model.JoinedModel)
+    assert predictions() == want and len(want) > 100
+
+
+def test_vectors_travel_once_per_block_and_ties_keep_the_smaller_words(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    vecs = rng.normal(size=(1300, 6)) + 4 * rng.normal(size=(8, 6))[rng.integers(0, 8, 1300)]
+    vecs[700:900] = vecs[5]  # copies
+    rows = [(f"w{i:04}", v.tolist()) for i, v in enumerate(vecs)]
+    df = spark.createDataFrame(rows, "word string, vec array<double>")
+    monkeypatch.setattr(vector_index, "BLOCK", 600)
+    index = vector_index.VectorIndex(df, lists=12)
+    words = index.members.select(F.col("_v").alias("_q"), "_vec")
+    got = {}
+    for r in index.nearest(words, 3, probes=2).collect():
+        got.setdefault(r._q, {})[r.rank] = (r.synonym, r.sim)
+    unit = vecs / np.linalg.norm(vecs, axis=1)[:, None]
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -np.inf)
+    for i, (w, _) in enumerate(rows):
+        best = np.sort(sims[i])[::-1][:3]
+        assert np.allclose([got[w][r][1] for r in (1, 2, 3)], best), w
+    copies = [f"w{i:04}" for i in (5, *range(700, 900))]
+    assert [got["w0800"][r][0] for r in (1, 2, 3)] == copies[:3]
+    q, blocks = index.dealt(index.members, "_v", index.size, 600, "_b")
+    assert 3 <= blocks <= 6 and q.count() == 1300  # a vector travels to few blocks, however many lists it visits
+    assert max(r["count"] for r in q.groupBy("_b").count().collect()) <= 700
+
+
+def test_top_of_rows():
+    sims = np.array([[1.0, 2, 2, 2, 0], [-np.inf, -np.inf, 3, -np.inf, 1], [5, 4, 3, 2, 1]])
+    r, c = vector_index._top(sims, np.array([-np.inf, -np.inf, 4.5]), 2)
+    assert list(zip(r.tolist(), c.tolist())) == [(0, 1), (0, 2), (1, 2), (1, 4), (2, 0)]

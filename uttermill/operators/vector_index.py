@@ -11,8 +11,9 @@ nearest centroid. Words ask in two steps:
    a cosine above cos(angle(word, centroid) - r).
 
 So the result with ``exact`` is that of comparing all words, and without it
-the first step's, whose recall ``recall`` measures. Both sides of a list are
-dealt to blocks of bounded size, and a block hands on at most n rows a word.
+the first step's, whose recall ``recall`` measures. Words and members are dealt
+to blocks of bounded size, list by list; every block of words meets every block
+of members, which hands on at most n rows a word.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from ..session import broadcast_if_small, materialize
 
 #: Vectors on which centroids are fitted, lists, and lists visited first, at most.
 SAMPLE, LISTS, PROBES = 16_384, 1_024, 32
-#: Vectors of either side in a block.
-BLOCK = 4_096
+#: Vectors of either side in a block, and words measured at once.
+BLOCK, ROWS = 32_768, 128
 
 
 def _matrix(column) -> np.ndarray:
@@ -50,6 +51,33 @@ def fit_centroids(sample: np.ndarray, lists: int, steps: int = 8) -> np.ndarray:
     return centres
 
 
+def _visits(near: np.ndarray, angle: np.ndarray, size: np.ndarray, probes: int, least: np.ndarray | None) -> np.ndarray:
+    """Which lists each word visits (word, list), by its cosines to the centroids."""
+    some = np.flatnonzero(size > 0)
+    order = some[np.argsort(-near[:, some], axis=1, kind="stable")]
+    visit = np.zeros(near.shape, dtype=bool)
+    visit[np.arange(len(near))[:, None], order[:, :probes]] = True
+    if least is not None:
+        limit = np.cos(np.maximum(0, np.arccos(np.clip(near, -1, 1)) - angle[None, :])) + 1e-9
+        visit = ~visit & (size > 0)[None, :] & ~(limit < least.astype(np.float64)[:, None])  # NaN: no bound
+    return visit
+
+
+def _top(sims: np.ndarray, least: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the n largest of each row (of equal ones the first
+    columns), none below ``least`` and only finite ones."""
+    many = np.flatnonzero((sims >= least[:, None]).sum(axis=1) > n)
+    if len(many) and sims.shape[1] > n:
+        at = sims.shape[1] - n
+        last = least.copy()
+        last[many] = np.maximum(least[many], np.partition(sims[many], at, axis=1)[:, at])
+        least = last
+    hit = (sims >= least[:, None]) & (sims > -np.inf)
+    for r in np.flatnonzero(hit.sum(axis=1) > n):  # equal ones at the end
+        hit[r, np.flatnonzero(hit[r] & (sims[r] == least[r]))[n - int((sims[r] > least[r]).sum()):]] = False
+    return np.nonzero(hit)
+
+
 class VectorIndex:
     """The lists of a vocabulary: ``members`` (_list, _v, _vec) and, per list,
     centroid and angle, arrays of at most ``LISTS`` rows."""
@@ -72,75 +100,94 @@ class VectorIndex:
                         [pa.array(near.argmax(axis=1).astype(np.int32)), pa.array(near.max(axis=1)), *b.columns],
                         ["_list", "_near", *b.schema.names])
 
+        self.place = place
         self.members = materialize(vocab.mapInArrow(place, "_list int, _near double, _v string, _vec array<double>"))
         self.angle, self.size = np.zeros(len(self.centres)), np.zeros(len(self.centres), dtype=np.int64)
         for which, least, count in self.members.groupBy("_list").agg(F.min("_near"), F.count(F.lit(1))).collect():
             self.angle[which], self.size[which] = np.arccos(np.clip(least, -1, 1)), count
 
-    def visits(self, words: DataFrame, probes: int, rest: bool = False) -> DataFrame:
-        """(_q, _vec, _list): each word with the ``probes`` lists of the nearest
-        centroids; with ``rest`` with all others whose members can have a
-        cosine of ``_least`` (null: any)."""
+    def dealt(self, df: DataFrame, key: str, size: np.ndarray, block: int, name: str) -> tuple[DataFrame, int]:
+        """``df`` (with ``_list``) with its block: whole lists of ``size`` rows
+        side by side up to ``block`` rows, larger ones dealt by hash; and the
+        number of blocks."""
+        rows, at, room = [], -1, 0
+        for i, n in enumerate(size.tolist()):
+            parts = -(-n // block)
+            if parts > 1 or n > room:
+                at, room = at + 1, block
+            rows.append((i, at, max(1, parts)))
+            if parts > 1:
+                at, room = at + parts - 1, 0
+            else:
+                room -= n
+        table = self.spark.createDataFrame(rows, "_list int, _first int, _parts int")
+        df = df.join(F.broadcast(table), "_list").withColumn(
+            name, F.col("_first") + F.pmod(F.xxhash64(key), "_parts").cast("int"))
+        return df.drop("_first", "_parts"), at + 1
+
+    def best(self, words: DataFrame, n: int, probes: int, rest: bool = False) -> DataFrame:
+        """(_q, synonym, sim): per block of members the n nearest of each word
+        (_list, _q, _vec), the word itself left out. A word visits the ``probes``
+        lists of the nearest centroids; with ``rest`` all others whose members can
+        have a cosine of its ``_least`` (null: any).
+
+        Blocks of words meet blocks of members, so a vector travels once per
+        block of the other side, not once per list that it visits."""
+        count = np.zeros(len(self.centres), dtype=np.int64)
+        for which, c in words.groupBy("_list").agg(F.count(F.lit(1))).collect():
+            count[which] = c
+        tasks = 2 * self.spark.sparkContext.defaultParallelism
+        block = int(min(BLOCK, max(512, -(-max(count.sum(), self.size.sum()) // int(np.ceil(np.sqrt(tasks)))))))
+        q, nq = self.dealt(words, "_q", count, block, "_bq")
+        v, nm = self.dealt(self.members, "_v", self.size, block, "_bm")
+        empty = "_q string, synonym string, sim double"
+        if not nq or not nm:
+            return self.spark.createDataFrame([], empty)
+        q = q.withColumn("_bm", F.explode(F.sequence(F.lit(0), F.lit(nm - 1))))
+        v = v.withColumn("_bq", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
         shared = self.spark.sparkContext.broadcast((self.centres, self.angle, self.size))
 
-        def ask(batches):
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                centres, angle, size = shared.value
-                near = _matrix(b.column("_vec")) @ centres.T
-                some = np.flatnonzero(size > 0)
-                order = some[np.argsort(-near[:, some], axis=1, kind="stable")]
-                visit = np.zeros(near.shape, dtype=bool)
-                visit[np.arange(len(near))[:, None], order[:, :probes]] = True
-                if rest:
-                    least = b.column("_least").to_numpy(zero_copy_only=False).astype(np.float64)
-                    limit = np.cos(np.maximum(0, np.arccos(np.clip(near, -1, 1)) - angle[None, :])) + 1e-9
-                    visit = ~visit & (size > 0)[None, :] & ~(limit < least[:, None])  # NaN: no bound
-                row, which = np.nonzero(visit)
-                whole = b.select(["_q", "_vec"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(which.astype(np.int32))],
-                                                 ["_q", "_vec", "_list"])
-
-        return materialize(words.mapInArrow(ask, "_q string, _vec array<double>, _list int"))
-
-    def best(self, asked: DataFrame, n: int) -> DataFrame:
-        """(_q, synonym, sim): per block the n nearest members, the word itself left out."""
-        sizes = asked.groupBy("_list").agg(F.count(F.lit(1)).alias("n"))
-
-        def blocks(c):
-            return F.greatest(F.lit(1), F.ceil(c / BLOCK)).cast("int")
-
-        parts = (self.members.groupBy("_list").agg(F.count(F.lit(1)).alias("m")).join(sizes, "_list")
-                 .select("_list", blocks(F.col("m")).alias("_nm"), blocks(F.col("n")).alias("_nq")))
-        parts = broadcast_if_small(parts)
-        q = (asked.select("_list", "_q", "_vec").join(parts, "_list")
-             .withColumn("_bq", F.pmod(F.xxhash64("_q"), "_nq").cast("int")).withColumn("_bm", F.explode(F.sequence(F.lit(0), F.col("_nm") - 1))))
-        v = (self.members.join(parts, "_list").withColumn("_bm", F.pmod(F.xxhash64("_v"), "_nm").cast("int"))
-             .withColumn("_bq", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))))
-        by = ["_list", "_bm", "_bq"]
-
         def measure(asked, held):
-            names, words = asked["_q"].to_pylist(), np.array(held["_v"].to_pylist(), dtype=object)
             out: tuple[list, list, list] = ([], [], [])
-            if names and len(words):
-                sims, order = _matrix(asked["_vec"]) @ _matrix(held["_vec"]).T, np.argsort(words, kind="stable")
-                sims, words = sims[:, order], words[order]  # in the order of ties
-                for name, s in zip(names, sims):
-                    s[words == name] = -np.inf
-                    k = min(n, len(s))
-                    least = np.partition(s, len(s) - k)[len(s) - k]
-                    top = np.flatnonzero(s >= least)
-                    top = top[np.argsort(-s[top], kind="stable")][:k]
-                    top = top[np.isfinite(s[top])]
-                    out[0].extend([name] * len(top))
-                    out[1].extend(words[top])
-                    out[2].extend(s[top].tolist())
+            if asked.num_rows and held.num_rows:
+                centres, angle, size = shared.value
+                words = np.array(held["_v"].to_pylist(), dtype=object)
+                order = np.argsort(words, kind="stable")  # of equal similarities the smaller word counts
+                vecs = _matrix(held["_vec"])
+                order = order[np.isfinite(vecs[order]).all(axis=1)]
+                words, of, vecs = words[order], held["_list"].to_numpy()[order], vecs[order]
+                own: dict = {}
+                for i, word in enumerate(words):
+                    own.setdefault(word, []).append(i)
+                near_first = np.argsort(asked["_list"].to_numpy(), kind="stable")  # neighbours visit the same lists
+                for i in range(0, len(near_first), ROWS):
+                    some = asked.take(pa.array(near_first[i:i + ROWS]))
+                    names, mine = some["_q"].to_pylist(), _matrix(some["_vec"])
+                    visit = _visits(mine @ centres.T, angle, size, probes, some["_least"].to_numpy() if rest else None)
+                    cols = np.flatnonzero(visit.any(axis=0)[of])
+                    if not len(cols):
+                        continue
+                    sims = mine @ (vecs if len(cols) == len(vecs) else vecs[cols]).T
+                    np.copyto(sims, -np.inf, where=~visit[:, of[cols]])
+                    for r, name in enumerate(names):
+                        for c in own.get(name, ()):
+                            j = np.searchsorted(cols, c)
+                            if j < len(cols) and cols[j] == c:
+                                sims[r, j] = -np.inf
+                    least = some["_least"].to_numpy().astype(np.float64) - 1e-9 if rest else np.full(len(names), -np.inf)
+                    r, c = _top(sims, np.where(np.isnan(least), -np.inf, least), n)
+                    out[0].extend([names[x] for x in r])
+                    out[1].extend(words[cols[c]])
+                    out[2].extend(sims[r, c].tolist())
             return pa.table({"_q": pa.array(out[0], pa.string()), "synonym": pa.array(out[1], pa.string()),
                              "sim": pa.array(out[2], pa.float64())})
 
-        return (q.select(*by, "_q", "_vec").groupBy(*by).cogroup(v.select(*by, "_v", "_vec").groupBy(*by))
-                .applyInArrow(measure, "_q string, synonym string, sim double"))
+        by, more = ["_bm", "_bq"], ["_least"] if rest else []
+        # as many partitions as pairs of blocks (to a bound), whatever their bytes
+        width = min(max(tasks, 2 * nq * nm), 4096)
+        q = q.select(*by, "_list", "_q", "_vec", *more).repartition(width, *by)
+        v = v.select(*by, "_list", "_v", "_vec").repartition(width, *by)
+        return q.groupBy(*by).cogroup(v.groupBy(*by)).applyInArrow(measure, empty)
 
     def nearest(self, words: DataFrame, n: int, probes: int = PROBES, exact: bool = True) -> DataFrame:
         """(_q, synonym, sim, rank) of the words (_q, _vec: unit vectors)."""
@@ -149,14 +196,16 @@ class VectorIndex:
         def top(found: DataFrame) -> DataFrame:
             return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
-        words = materialize(words)
-        first = materialize(top(self.best(self.visits(words, probes), n)).drop("rank"))
+        words = materialize(words.select(F.col("_q").alias("_v"), "_vec").mapInArrow(
+            self.place, "_list int, _near double, _v string, _vec array<double>").select(
+                "_list", F.col("_v").alias("_q"), "_vec"))
+        first = materialize(top(self.best(words, n, probes)).drop("rank"))
         if not exact:
             return top(first)
         # a word with n similarities needs only lists that can reach the last of them
         least = first.groupBy("_q").agg(F.when(F.count(F.lit(1)) == n, F.min("sim")).alias("_least"))
-        rest = self.visits(words.join(broadcast_if_small(least), "_q", "left"), probes, rest=True)
-        return top(first.unionByName(self.best(rest, n)))
+        rest = words.join(broadcast_if_small(least), "_q", "left")
+        return top(first.unionByName(self.best(rest, n, probes, rest=True)))
 
 
 def recall(found: DataFrame, truth: DataFrame) -> float:
