@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import ascii_fold, norm_paraphrase, tokens_space
 from ..session import broadcast_if_small, spread
+from .phrase_model import JoinedModel
 from .vector_index import PROBES, VectorIndex
 
 CHUNK = 100_000
@@ -123,20 +124,22 @@ def paraphrase_with_pairs(utts: DataFrame, pairs: DataFrame, id_cols, k: int = c
     return m.select(*id_cols, "k_i", pred.alias("pred"))
 
 
-def paraphrase_with_model(utts: DataFrame, model_factory: Callable, id_cols, text: str = "text",
+def paraphrase_with_model(utts: DataFrame, model_factory: Callable | JoinedModel, id_cols, text: str = "text",
                           batch_size: int = 64) -> DataFrame:
     """EXP-7, plug-in model: ``model_factory()`` is called once per Python
     worker and returns ``f(list[str]) -> list[list[str]]``; distinct inputs
-    are sent in Arrow batches of ``batch_size``."""
-    distinct = utts.select(F.col(text).alias("_in")).distinct()
+    are sent in Arrow batches of ``batch_size``. A ``JoinedModel`` first attaches
+    columns to the inputs, which its ``f`` takes behind the texts."""
+    distinct, factory, more = utts.select(F.col(text).alias("_in")).distinct(), model_factory, ()
+    if isinstance(model_factory, JoinedModel):
+        distinct, factory, more = model_factory.inputs(distinct, "_in"), model_factory.model(), model_factory.columns
 
     def run(it):
-        model = model_factory()
+        model = factory()
         for pdf in it:
-            ins = list(pdf["_in"])
-            for i in range(0, len(ins), batch_size):
-                chunk = ins[i:i + batch_size]
-                outs = model(chunk)
+            for i in range(0, len(pdf), batch_size):
+                chunk, *rest = (list(pdf[c].iloc[i:i + batch_size]) for c in ("_in", *more))
+                outs = model(chunk, *rest)
                 rows = [(a, j + 1, p) for a, ps in zip(chunk, outs) for j, p in enumerate(ps)]
                 yield pd.DataFrame(rows, columns=["_in", "k_i", "pred"])
 

@@ -10,6 +10,10 @@ predictions (the utterance itself included, equal weights by text).
 The decoder keeps the K best distinct texts at each place. A longer text comes
 from a place's text by the same addition whatever the text, so these are the K
 best of all paths, not an approximation.
+
+A phrase table within the size check is broadcast. A larger one is joined with
+the token runs of the utterances, and every utterance comes with its own part
+of it.
 """
 
 from __future__ import annotations
@@ -18,11 +22,12 @@ from collections.abc import Callable
 from heapq import nsmallest
 from math import log
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
-from ..session import collect_if_small
+from ..functions import tokens_space
+from ..session import broadcast_if_small, collect_if_small, materialize
 
 #: Share of a copied token.
 COPY = 0.5
@@ -67,13 +72,59 @@ class Decoder:
         return [[t for _, t in self.best(x)] for x in texts]
 
 
-def model_factory(pairs: DataFrame, k: int = config.PARAPHRASES_PER_INPUT) -> Callable:
-    """The factory that ``expand.paraphrase_with_model`` takes. The phrase
-    table is broadcast behind a check of its rows and bytes; a larger one is an
-    error (use ``expand.paraphrase_with_pairs``, which joins it)."""
-    rows = collect_if_small(phrase_table(pairs))
+class JoinedModel:
+    """A model whose utterances come with their phrases: ``inputs`` attaches
+    them, and ``model()`` takes the texts and the attached columns."""
+
+    columns = ("sources", "shares", "targets")
+
+    def __init__(self, table: DataFrame, k: int):
+        self.table, self.k = table, k
+
+    def inputs(self, texts: DataFrame, text: str) -> DataFrame:
+        """``texts`` (distinct) with arrays: the input texts that are token runs
+        of the text, and their shares and targets. Of an input text the K best
+        targets suffice: behind any start they give K heavier texts than the
+        others."""
+        lengths = F.coalesce(self.table.select(F.collect_set(F.size(tokens_space("input_text")))).scalar(),
+                             F.array().cast("array<int>"))
+        runs = texts.select(text, tokens_space(text).alias("_t"))
+        runs = runs.select("*", F.posexplode("_t").alias("_s", "_x")).select(text, "_t", "_s", F.explode(lengths).alias("_n"))
+        runs = runs.where(F.col("_s") + F.col("_n") <= F.size("_t")).select(
+            text, F.array_join(F.slice("_t", F.col("_s") + 1, F.col("_n")), " ").alias("input_text")).distinct()
+        runs = materialize(runs)
+        said = self.table.join(broadcast_if_small(runs.select("input_text").distinct()), "input_text", "left_semi")
+        w = Window.partitionBy("input_text").orderBy(F.col("share").desc(), "target_text")
+        best = said.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= self.k)
+        own = runs.join(best, "input_text").groupBy(text).agg(F.collect_list(F.struct(
+            "input_text", "share", "target_text")).alias("_p"))
+        whole = texts.join(own, text, "left")
+        return whole.select(text, *[F.coalesce(F.col(f"_p.{c}"), F.array().cast(f"array<{kind}>")).alias(name)
+                                    for name, c, kind in zip(self.columns, ("input_text", "share", "target_text"),
+                                                             ("string", "double", "string"))])
+
+    def model(self) -> Callable:
+        k = self.k
+
+        def predict(texts, sources, shares, targets):
+            out = []
+            for text, *own in zip(texts, sources, shares, targets):
+                phrases: dict = {}
+                for source, share, target in zip(*own):
+                    phrases.setdefault(tuple(source.split(" ")), []).append((log(share), target))
+                out.extend(Decoder(phrases, k)([text]))
+            return out
+
+        return lambda: predict
+
+
+def model_factory(pairs: DataFrame, k: int = config.PARAPHRASES_PER_INPUT) -> Callable | JoinedModel:
+    """What ``expand.paraphrase_with_model`` takes. The phrase table is
+    broadcast behind a check of its rows and bytes; a larger one is joined."""
+    table = phrase_table(pairs)
+    rows = collect_if_small(table)
     if rows is None:
-        raise ValueError("the phrase table is too large to broadcast; paraphrase_with_pairs joins it")
+        return JoinedModel(materialize(table), k)
     phrases: dict = {}
     for source, target, share in rows:
         phrases.setdefault(tuple(source.split(" ")), []).append((log(share), target))
