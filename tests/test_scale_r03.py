@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.test_distance import lev, words
 from uttermill.functions import edit
-from uttermill.operators import corpora, expand, phrase_model, triage, vector_index
+from uttermill.operators import corpora, entities, expand, phrase_model, triage, vector_index
 
 
 def plan(df) -> str:
@@ -120,3 +120,23 @@ def test_top_of_rows():
     sims = np.array([[1.0, 2, 2, 2, 0], [-np.inf, -np.inf, 3, -np.inf, 1], [5, 4, 3, 2, 1]])
     r, c = vector_index._top(sims, np.array([-np.inf, -np.inf, 4.5]), 2)
     assert list(zip(r.tolist(), c.tolist())) == [(0, 1), (0, 2), (1, 2), (1, 4), (2, 0)]
+
+
+def test_mentions_are_found_where_the_utterance_stands(spark, monkeypatch):
+    rng = random.Random(15)
+
+    def said(n):
+        return "".join(rng.choice("abAB cÉé") for _ in range(n))
+
+    texts = [(i, rng.choice(["x", "y", "z", None]), said(rng.randint(0, 30))) for i in range(120)] + [(500, "x", None), (501, "x", "İab ΑΣ ab")]
+    ex = spark.createDataFrame(texts, "pos int, intent string, text string")
+    for few in (1, 60):
+        surfaces = sorted({(i, said(rng.randint(1, 4)).strip() or "ab") for i in "xy" for _ in range(few)})
+        va = spark.createDataFrame([(i, n, 0, f"[{s}](t{n % 3})") for n, (i, s) in enumerate(surfaces)],
+                                   "intent string, ord int, vord int, variant string")
+        both = [sorted(map(tuple, entities.mention_spans(ex, va).collect()))]
+        assert "Generate" not in plan(entities._with_spans(ex, va, (), "text"))
+        with monkeypatch.context() as m:
+            m.setattr(entities, "collect_if_small", lambda df: None)
+            both.append(sorted(map(tuple, entities.mention_spans(ex, va).collect())))
+        assert both[0] == both[1] and both[0]

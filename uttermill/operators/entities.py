@@ -1,9 +1,11 @@
 """Entities (ENT-1..3).
 
-Mentions are found by a hash join: every place of an utterance has its opening
-gram (one to three characters without case), every surface its own, and where
-they meet the whole surface is verified. So an intent may have any number of
-surfaces, none of them gathered in a row. Of overlapping mentions the longest
+Mentions are found in Arrow batches: surfaces within the size check are a
+broadcast dictionary, and an utterance is searched and its overlaps resolved
+where it stands, without a row per place and without a shuffle. More surfaces
+are found by a hash join: every place of an utterance has its opening gram (one
+to three characters without case), every surface its own, and where they meet
+the whole surface is verified. Of overlapping mentions the longest
 stays (then the earlier entity, then the leftmost), which gives the spans that
 annotation marks.
 """
@@ -12,14 +14,15 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..session import broadcast_if_small, materialize
+from ..session import broadcast_if_small, collect_if_small, materialize, spread
 
-#: Characters of an opening gram, at most.
-GRAM = 3
+#: Characters of an opening gram, at most, and surfaces of an intent that are searched one by one, at most.
+GRAM, FEW = 3, 32
 _HIT = "struct<start:int,stop:int,rank:bigint,surface:string,etype:string>"
 
 
@@ -108,9 +111,68 @@ def _resolved(hits):
     return sorted(out, key=lambda h: h["start"])
 
 
+class _Finder:
+    """The surfaces of one intent: rows (s, low, etype, n, rank)."""
+
+    def __init__(self, rows: list[tuple]):
+        self.by: dict = {}
+        for s, low, etype, n, rank in rows:
+            self.by.setdefault((low, n), []).append((rank, s, etype))
+        self.sizes = sorted({n for _, n in self.by})
+        self.grams: dict = {}
+        for low, n in self.by:
+            self.grams.setdefault(low[:min(GRAM, self.sizes[0])], []).append((low, n))
+
+    def hits(self, text: str) -> list[dict]:
+        """All places of the surfaces in ``text`` without case, also overlapping ones."""
+        low, found = text.lower(), []
+        if len(low) != len(text) or "Σ" in text:  # lower case is not letter by letter
+            for n in self.sizes:
+                found.extend((i, key) for i in range(len(text) - n + 1) if (key := (text[i:i + n].lower(), n)) in self.by)
+        elif len(self.by) <= FEW:
+            for key in self.by:
+                if len(key[0]) == key[1]:
+                    i = low.find(key[0])
+                    while i >= 0:
+                        found.append((i, key))
+                        i = low.find(key[0], i + 1)
+        else:
+            g = min(GRAM, self.sizes[0])
+            found = [(i, key) for i in range(len(low) - g + 1) if low[i:i + g] in self.grams
+                     for key in self.grams[low[i:i + g]] if len(key[0]) == key[1] and low.startswith(key[0], i)]
+        return [{"start": i, "stop": i + key[1], "rank": rank, "surface": s, "etype": etype}
+                for i, key in found for rank, s, etype in self.by[key]]
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("rank", pa.int64()), ("surface", pa.string()),
+                             ("etype", pa.string())]))
+
+
 def _with_spans(examples: DataFrame, variants: DataFrame, keys, text: str) -> DataFrame:
-    """``examples`` with ``_spans``, the resolved hits (null without any).
-    An utterance's hits are no more than its places times the lengths of
+    """``examples`` with ``_spans``, the resolved hits (null without any)."""
+    k = [*keys, "intent"]
+    rows = collect_if_small(_surfaces(variants, keys).select(*k, "s", "low", "etype", "n", "rank"))
+    if rows is None:
+        return _with_joined_spans(examples, variants, keys, text)
+    groups: dict = {}
+    for row in rows:
+        groups.setdefault(tuple(row[:len(k)]), []).append(tuple(row[len(k):]))
+    shared = examples.sparkSession.sparkContext.broadcast(
+        {key: _Finder(own) for key, own in groups.items() if None not in key})
+
+    def run(batches):
+        for b in batches:
+            spans = [_resolved(shared.value[key].hits(t)) or None if t is not None and key in shared.value else None
+                     for t, *key_ in zip(b.column(text).to_pylist(), *[b.column(c).to_pylist() for c in k])
+                     for key in (tuple(key_),)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, _SPANS)], [*b.schema.names, "_spans"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in examples.schema.fields)
+    return spread(examples).mapInArrow(run, f"{fields}, _spans array<{_HIT}>")
+
+
+def _with_joined_spans(examples: DataFrame, variants: DataFrame, keys, text: str) -> DataFrame:
+    """An utterance's hits are no more than its places times the lengths of
     surfaces that end in each other."""
     own = materialize(examples.withColumn("_rid", F.monotonically_increasing_id()))
     k = list(keys)
