@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.test_distance import lev, words
 from uttermill.functions import edit
-from uttermill.operators import corpora, entities, expand, phrase_model, triage, vector_index
+from uttermill.operators import corpora, distance, entities, expand, lexical, phrase_model, triage, vector_index
 
 
 def plan(df) -> str:
@@ -140,3 +140,38 @@ def test_mentions_are_found_where_the_utterance_stands(spark, monkeypatch):
             m.setattr(entities, "collect_if_small", lambda df: None)
             both.append(sorted(map(tuple, entities.mention_spans(ex, va).collect())))
         assert both[0] == both[1] and both[0]
+
+
+def test_lemmas_replace_words_where_they_stand(spark, monkeypatch):
+    lex = spark.createDataFrame([("runs", "run"), ("run", "run"), ("odd", None), ("a", "b"), ("b", "c")], "word string, lemma string")
+    lex = lex.withColumn("upos", F.lit(None).cast("string"))
+    df = spark.createDataFrame([(1, "runs  a b odd "), (2, ""), (3, None), (4, "none here")], "pos int, text string")
+    got = lexical.lemmatise(df, lex, ["pos"])
+    assert "Generate" not in plan(got) and "Exchange" not in plan(got)
+    rows = [sorted(map(tuple, got.collect()))]
+    monkeypatch.setattr(lexical, "collect_if_small", lambda df: None)
+    rows.append(sorted(map(tuple, lexical.lemmatise(df, lex, ["pos"]).collect())))
+    assert rows[0] == rows[1] == [(1, "run  b c odd "), (2, ""), (4, "none here")]
+
+
+def test_farthest_by_counts_of_lengths(spark):
+    rng = random.Random(16)
+    rows = sorted({(rng.choice("xyz"), words(rng, rng.choice([1, 2, 5, 9, 30]))) for _ in range(150)} | {("few", "ab"), ("few", "c")})
+    lines = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "intent string, text string, pos long")
+    fs = corpora.fewshot_splits(lines)
+    cols = ["train_n", "run", "intent", "text", "dist", "rk"]
+    far = distance.farthest_from_fewshot(lines, fs, [1, 3, 5], 3)
+    want = distance.farthest_per_intent(distance.min_distance_fewshot(lines, fs, [1, 3, 5]), 3, ["train_n", "run"])
+    got = [sorted(map(tuple, x.select(cols).collect())) for x in (far, want)]
+    assert got[0] == got[1] and got[0]
+
+
+def test_similar_pairs_meet_the_rows_of_all_runs_by_broadcast(spark):
+    cands = spark.createDataFrame([(r, "x", f"a b c{i}", i) for r in (1, 2) for i in range(20)], "run int, intent string, text string, pos long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = distance.jaccard_pairs(cands, cands.where("pos = 3"), ["run"], 0.5)
+        assert "SortMergeJoin" not in plan(got) and got.count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -349,31 +349,33 @@ def farthest_from_fewshot(candidates: DataFrame, picks: DataFrame, sizes, k: int
     max(len(c), len(o)) bound its minimum distance from below (``lb``) and
     above (``ub``). Per (split, intent) let tau be the k-th largest ``lb``:
     at least k candidates are at distance >= tau, so a candidate with
-    ``ub < tau`` can never be among the k farthest. Only the remaining ones
-    get exact distances; the result equals ``farthest_per_intent`` over
+    ``ub < tau`` can never be among the k farthest. Both bounds follow from
+    the length, so tau comes from the counts of the candidates by length (the
+    originals among them have ``lb`` 0 and cannot raise it). Only the remaining
+    ones get exact distances; the result equals ``farthest_per_intent`` over
     ``min_distance_fewshot``.
     """
     top = max(sizes)
-    p = picks.where(F.col("train_n") == top) if "train_n" in picks.columns else picks
-    arr = broadcast_if_small(p.groupBy("run", "intent").agg(F.array_sort(F.collect_list(
-        F.struct("rk", F.col("text").alias("o"), F.length("text").alias("n")))).alias("_ol")))
-    c = candidates.join(arr, "intent")
-    c = c.withColumn("train_n", F.explode(F.array(*[F.lit(int(n)) for n in sizes])))
-    c = c.where(~F.exists(F.slice("_ol", 1, F.col("train_n")), lambda o: o["o"] == F.col("text")))
-    first = F.slice("_ol", 1, F.col("train_n"))
-    ln = F.length("text")
-    c = c.select(*candidates.columns, "run", "train_n",
-                 F.array_min(F.transform(first, lambda o: F.abs(ln - o["n"]))).alias("_lb"),
-                 F.array_min(F.transform(first, lambda o: F.greatest(ln, o["n"]))).alias("_ub"))
+    p = materialize(picks.where(F.col("train_n") == top) if "train_n" in picks.columns else picks)
+    arr = broadcast_if_small(p.groupBy("run", "intent").agg(F.transform(F.array_sort(F.collect_list(
+        F.struct("rk", F.length("text").alias("n")))), lambda x: x["n"]).alias("_ol")))
+    each = F.explode(F.array(*[F.lit(int(n)) for n in sizes])).alias("train_n")
+    known = candidates.where(F.col("text").isNotNull()).withColumn("_len", F.length("text"))
+    c = known.groupBy("intent", "_len").agg(F.count(F.lit(1)).alias("_c")).join(arr, "intent")
+    c = c.select("run", "intent", "_len", "_c", "_ol", each)
+    first = F.slice("_ol", F.lit(1), F.col("train_n"))
     keys = ["train_n", "run", "intent"]
-    w = Window.partitionBy(*keys).orderBy(F.col("_lb").desc())
-    tau = (c.select(*keys, "_lb").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-           .groupBy(*keys).agg(F.min("_lb").alias("_tau"), F.count(F.lit(1)).alias("_m"))
-           .select(*keys, F.when(F.col("_m") >= k, F.col("_tau")).otherwise(F.lit(-1)).alias("_tau")))
-    survivors = (c.join(broadcast_if_small(tau), keys).where(F.col("_ub") >= F.col("_tau"))
-                 .select(*candidates.columns, "run", "train_n"))
+    c = materialize(c.select(*keys, "_len", "_c",
+                             F.array_min(F.transform(first, lambda n: F.abs(F.col("_len") - n))).alias("_lb"),
+                             F.array_min(F.transform(first, lambda n: F.greatest(F.col("_len"), n))).alias("_ub")))
+    w = Window.partitionBy(*keys).orderBy(F.col("_lb").desc(), "_len").rowsBetween(Window.unboundedPreceding, 0)
+    tau = (c.withColumn("_m", F.sum("_c").over(w)).groupBy(*keys)
+           .agg(F.max(F.when(F.col("_m") >= k, F.col("_lb"))).alias("_tau")))
+    need = (c.join(broadcast_if_small(tau), keys).where(F.col("_ub") >= F.coalesce("_tau", F.lit(-1)))
+            .select(*keys, "_len"))
+    splits = p.select("run", "intent", "rk", "text", "pos", each).where(F.col("rk") <= F.col("train_n"))
+    survivors = known.join(broadcast_if_small(materialize(need)), ["intent", "_len"]).join(
+        broadcast_if_small(splits.select(*keys, "text").distinct()), [*keys, "text"], "left_anti")
     # exact distances for the survivors only
-    every = F.explode(F.array(*[F.lit(int(n)) for n in sizes])).alias("train_n")
-    splits = p.select("run", "intent", "rk", "text", "pos", every).where(F.col("rk") <= F.col("train_n"))
-    return farthest_per_intent(min_distance(survivors, splits, keys).select("train_n", "run", *candidates.columns, "dist"),
-                               k, keys=keys)
+    near = min_distance(survivors.select(*candidates.columns, "run", "train_n"), splits, keys)
+    return farthest_per_intent(near.select("train_n", "run", *candidates.columns, "dist"), k, keys=keys)
