@@ -8,12 +8,13 @@ tables (joins), so no per-row library runs inside Spark tasks.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import lemma_rule, tokens_space, unit
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, collect_if_small, materialize
 
 
 def tokenize(df: DataFrame, id_cols, text: str = "text") -> DataFrame:
@@ -51,13 +52,53 @@ def mark_replaceable(tagged: DataFrame, id_cols, part_of_speech: str = "verb") -
 
 def lemmatise(df: DataFrame, lexicon: DataFrame, id_cols, text: str = "text",
               out: str = "lemma") -> DataFrame:
-    """DST-1: every token replaced by its lemma, joined by blanks. The
-    tokens of one utterance are regrouped by its id (bounded by the text
-    length); unknown words stay as they are."""
-    t = tag_tokens(tokenize(df, id_cols, text), lexicon)
-    return (t.groupBy(*id_cols)
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_pos", "lemma"))),
-                                          lambda x: x["lemma"]), " ").alias(out)))
+    """DST-1: every token replaced by its lemma, joined by blanks; unknown
+    words stay as they are (of several lemmas of a word the smallest counts).
+    ``id_cols`` are unique.
+
+    Only words that change are held: within the size check they are a broadcast
+    dictionary and the texts stream past it; more of them meet the tokens in a
+    join, and only the changed tokens are regrouped."""
+    lemma = F.min(F.coalesce("lemma", "word")).alias("lemma")
+    changed = lexicon.groupBy("word").agg(lemma).where(F.col("lemma") != F.col("word"))
+    texts = df.select(*id_cols, F.col(text).alias("_t")).where(F.col("_t").isNotNull())
+    rows = collect_if_small(changed)
+    if rows is None:
+        return _lemmatise_joined(texts, changed, id_cols, out)
+    shared = df.sparkSession.sparkContext.broadcast(dict(map(tuple, rows)))
+
+    def run(batches):
+        for b in batches:
+            known = shared.value
+            done = [" ".join([known.get(t, t) for t in x.split(" ")]) for x in b.column("_t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(done, pa.string())], [*b.schema.names[:-1], out])
+
+    return texts.mapInArrow(run, _lemma_schema(texts, out))
+
+
+def _lemma_schema(texts: DataFrame, out: str) -> str:
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields
+                      if f.name not in ("_t", "_rid", "_at", "_new")] + [f"`{out}` string"])
+
+
+def _lemmatise_joined(texts: DataFrame, changed: DataFrame, id_cols, out: str) -> DataFrame:
+    own = materialize(texts.withColumn("_rid", F.monotonically_increasing_id()))
+    tokens = own.select("_rid", F.posexplode(tokens_space("_t")).alias("_i", "word"))
+    hit = tokens.join(changed.hint("shuffle_hash"), "word").groupBy("_rid").agg(
+        F.collect_list(F.struct("_i", "lemma")).alias("_l"))
+    both = own.join(hit, "_rid", "left").select(*id_cols, "_t", F.col("_l._i").alias("_at"), F.col("_l.lemma").alias("_new"))
+
+    def run(batches):
+        for b in batches:
+            done = []
+            for x, at, new in zip(*[b.column(c).to_pylist() for c in ("_t", "_at", "_new")]):
+                said = x.split(" ")
+                for i, lemma in zip(at or (), new or ()):
+                    said[i] = lemma
+                done.append(" ".join(said))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(done, pa.string())], [*b.schema.names[:-3], out])
+
+    return both.mapInArrow(run, _lemma_schema(both, out))
 
 
 def build_synonyms(df: DataFrame) -> DataFrame:
