@@ -298,20 +298,20 @@ def jaccard_pairs(candidates: DataFrame, originals: DataFrame, keys=(), min_sim:
 
     def sets(df: DataFrame, name: str) -> DataFrame:
         one = df.select("intent", F.col(text).alias("_text")).distinct()
-        return materialize(one.select("intent", "_text", F.monotonically_increasing_id().alias(name),
-                                      F.array_distinct(words_ws(F.col("_text"))).alias("_w")))
+        return materialize(one.select("intent", "_text", F.monotonically_increasing_id().alias(name)))
 
     a, o = sets(candidates, "_a"), sets(originals, "_o")
-    often = o.select(F.explode("_w").alias("_x")).groupBy("_x").agg(F.count(F.lit(1)).alias("_f"))
-    number = broadcast_if_small(materialize(often.select(
-        "_x", F.xxhash64("_x").alias("_h"), "_f")))
+    words = F.array_distinct(words_ws(F.col("_text")))
+    often = o.select(F.explode(words).alias("_x")).groupBy("_x").agg(F.count(F.lit(1)).alias("_f"))
+    # sorted, so the ids are the order: a token's number stands for it from here on
+    number = broadcast_if_small(materialize(often.orderBy("_f", F.xxhash64("_x"), "_x").select(
+        F.col("_x").alias("_word"), F.monotonically_increasing_id().alias("_x"))))
 
     def ordered(df: DataFrame, name: str) -> DataFrame:
-        """Size and, in order, the tokens that some original has."""
-        n = F.size("_w")
-        known = df.select(name, "intent", n.alias("_n"), F.explode("_w").alias("_x")).join(number, "_x")
-        return materialize(known.groupBy(name, "intent", "_n").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("_f", "_h", "_x"))), lambda x: x["_x"]).alias("_r")))
+        """Size and, in order, the numbers of the tokens that some original has."""
+        split = df.select(name, "intent", words.alias("_w"))
+        known = split.select(name, "intent", F.size("_w").alias("_n"), F.explode("_w").alias("_word")).join(number, "_word")
+        return materialize(known.groupBy(name, "intent", "_n").agg(F.array_sort(F.collect_list("_x")).alias("_r")))
 
     def prefix(df: DataFrame, name: str, n: str, at: str) -> DataFrame:
         """Tokens of the prefix with their place; those that no original has stand in front."""
@@ -337,9 +337,9 @@ def jaccard_pairs(candidates: DataFrame, originals: DataFrame, keys=(), min_sim:
     named = sims.join(o.select("_o", "intent", F.col("_text").alias("_ot")), "_o")
     rows = named.join(broadcast_if_small(originals.select(
         *k, "intent", F.col(text).alias("_ot"), F.col("pos").cast("long").alias("orig_pos"))), ["intent", "_ot"])
-    rows = rows.join(a.select("_a", F.col("_text").alias(text)), "_a")
-    return candidates.join(rows.select(*k, "intent", text, "orig_pos", "sim"), [*k, "intent", text]).select(
-        *candidates.columns, "orig_pos", "sim")
+    rows = a.select("_a", F.col("_text").alias(text)).join(broadcast_if_small(materialize(rows)), "_a")
+    rows = broadcast_if_small(materialize(rows.select(*k, "intent", text, "orig_pos", "sim")))
+    return candidates.join(rows, [*k, "intent", text]).select(*candidates.columns, "orig_pos", "sim")
 
 
 def farthest_from_fewshot(candidates: DataFrame, picks: DataFrame, sizes, k: int = config.KEEP_BY_DISTANCE) -> DataFrame:
