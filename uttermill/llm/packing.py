@@ -31,7 +31,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Tokens that a task packs together (bounds its memory).
 GROUP_TOKENS = 4_000_000
 #: Characters encoded at a time.
-ENCODE_CHARS = 1 << 20
+ENCODE_CHARS = 8 << 20
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")

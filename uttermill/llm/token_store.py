@@ -17,6 +17,8 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +27,27 @@ from .common import AtomicFile, open_input, release_memory, text_or_empty, writt
 from .rangecoder import pack_segment, read_segment
 from .tokens import coder
 
-#: Ids in a segment, about (bounds the memory of a task), and characters encoded at a time.
-SEGMENT_IDS = 4_000_000
-ENCODE_CHARS = 4 << 20
+#: Ids in a segment, about, and bytes encoded at a time (they bound the memory of a task).
+SEGMENT_IDS = 8_000_000
+ENCODE_BYTES = 20 << 20
 NULL_NAME = -2**63
 
 MANIFEST = "file_no long, path string, n_docs long, n_ids long, n_bytes long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+def _parts(batch: pa.RecordBatch):
+    """Ids and texts of about ENCODE_BYTES at a time."""
+    names = batch.column(0).fill_null(NULL_NAME).to_numpy(zero_copy_only=False)
+    texts = batch.column(1).cast(pa.string())
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first, before = 0, 0
+    while first < len(names):
+        last = 1 + int(np.searchsorted(ends, before + ENCODE_BYTES))
+        yield names[first:last], texts[first:last]
+        first, before = last, int(ends[min(last, len(ends)) - 1])
+
+
 def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text: str = "text",
           segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Writes the ids of all documents in ascending id order; the manifest."""
@@ -44,49 +58,44 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
         words = coder(tokenizer, spaces_count=True)
         number = TaskContext.get().partitionId()
         path = f"{folder}/ids-{number:08d}.bin"
-        out, names, parts, waiting = None, [], [], []
-        n_docs = n_ids = in_segment = n_chars = 0
-
-        def encode():
-            nonlocal in_segment, n_chars
-            for (name, _), ids in zip(waiting, words.encode([t for _, t in waiting])):
-                names.append(NULL_NAME if pd.isna(name) else int(name))
-                parts.append(np.append(ids, np.uint16(end_id)))
-                in_segment += len(ids) + 1
-            waiting.clear()
-            n_chars = 0
+        out, waiting = None, []
+        n_docs = n_ids = in_segment = 0
 
         def flush():
             nonlocal out, n_docs, n_ids, in_segment
-            encode()
-            if names:
+            if waiting:
                 out = out or AtomicFile(path)
-                out.write(pack_segment(np.array(names, np.int64), np.array([len(p) for p in parts], np.uint64),
-                                       np.concatenate(parts)))
-                n_docs, n_ids = n_docs + len(names), n_ids + in_segment
-                names.clear()
-                parts.clear()
+                out.write(pack_segment(*map(np.concatenate, zip(*waiting))))
+                n_docs, n_ids = n_docs + sum(len(x[0]) for x in waiting), n_ids + in_segment
+                waiting.clear()
                 in_segment = 0
 
-        for pdf in batches:
-            for row in zip(pdf["id"], pdf["text"]):
-                waiting.append(row)
-                n_chars += len(row[1])
-                if n_chars >= ENCODE_CHARS:
-                    encode()
+        for batch in batches:
+            for names, texts in _parts(batch):
+                ids, sizes = words.encode_flat(texts)
+                ids = np.insert(ids, np.cumsum(sizes), np.uint16(end_id))
+                ends = np.cumsum(sizes + 1)
+                first = begin = 0
+                while first < len(names):  # documents up to where the segment is full
+                    last = min(len(names), 1 + int(np.searchsorted(ends, begin + segment_ids - in_segment)))
+                    end = int(ends[last - 1])
+                    waiting.append((names[first:last], sizes[first:last].astype(np.uint64) + np.uint64(1),
+                                    ids[begin:end]))
+                    in_segment += end - begin
+                    first, begin = last, end
                     if in_segment >= segment_ids:
                         flush()
-            pdf = row = None
+            batch = names = texts = ids = None
             release_memory()
         flush()
         if out:
             out.close()
-            yield pd.DataFrame({"file_no": [number], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids],
-                                "n_bytes": [out.size]})
+            yield pa.RecordBatch.from_pydict({"file_no": [number], "path": [path], "n_docs": [n_docs],
+                                              "n_ids": [n_ids], "n_bytes": [out.size]})
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text).alias("text"))
     ranged = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    return written(ranged.mapInPandas(task, MANIFEST), "token-manifest")
+    return written(ranged.mapInArrow(task, MANIFEST), "token-manifest")
 
 
 def read_files(manifest: DataFrame):

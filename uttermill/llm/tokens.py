@@ -2,7 +2,8 @@
 
 Both public vocabularies split a text at white space before any merge, so the
 ids of a text are those of its pieces in a row. Each distinct piece is encoded
-once a batch and kept in a bounded memory of the worker; texts in which a
+once and kept, as an Arrow array with its ids, in a bounded memory of the
+worker, so that pieces never become Python strings one by one; texts in which a
 split could change the result (white space next to a space or newline or at
 the start, or the literal of an added token such as "<|endoftext|>", which has
 an id of its own) are encoded whole.
@@ -10,14 +11,16 @@ an id of its own) are encoded whole.
 
 from __future__ import annotations
 
+import re
 from codecs import charmap_decode
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker remembers; beyond that it starts afresh.
-MEMORY = 1_000_000
+#: Pieces that a worker remembers, and bytes of them and their ids; beyond that
+#: it keeps those found in two batches or more, if they are less than half of it.
+MEMORY, MEMORY_BYTES = 2_000_000, 128 << 20
 
 #: The characters that stand for bytes in byte-level vocabularies: printable
 #: Latin-1 bytes for themselves, the others for U+0100 and up, in order.
@@ -36,25 +39,14 @@ def coder(path: str, spaces_count: bool) -> "WordCoder":
     return _LOADED[path]
 
 
-#: One Latin word, perhaps behind a newline or before a full stop or comma. These letters (below U+0250, without
-#: U+0130) are in NFC and have one lower case each.
+#: One Latin word, perhaps behind a newline or before a run of symbols (one pre-token; not the apostrophe, which may
+#: open a contraction). These letters (below U+0250, without U+0130) are in NFC and have one lower case each.
 LETTERS = "[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+"
+SYMBOLS = r"[!-&(-/:-@\[-`{-~]+"
 #: What the library's pre-tokenizer makes of each byte; 0 becomes the blank that separates pre-tokens here.
 BYTE_TABLE = " " + "".join(BYTE_CHARS[b] for b in range(1, 256))
 
 
-class Places(dict):
-    """Piece -> place; a piece that is new gets the next place and is noted."""
-
-    def __init__(self):
-        self.new: list = []
-
-    def __missing__(self, piece):
-        place = self[piece] = len(self)
-        self.new.append(piece)
-        return place
-
-
 class WordCoder:
     def __init__(self, path: str, spaces_count: bool):
         import os
@@ -66,7 +58,7 @@ class WordCoder:
         self.spaces_count = spaces_count
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = CharDelimiterSplit(" ")
-        self.plain = f"^\\n?{LETTERS}[.,]?$" if spaces_count else f"^{LETTERS}[.,]?$"
+        self.plain = f"^{r'\n?' if spaces_count else ''}{LETTERS}({SYMBOLS})?$"
         vocabulary = self.tokenizer.get_vocab().items()
         self.closes = np.zeros(1 << 16, bool)
         self.closes[[i for t, i in vocabulary if t.endswith("</w>")]] = True
@@ -78,13 +70,37 @@ class WordCoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.at = Places()
-        # by place: where a piece's ids stand and how many there are (-1: none of its own); rooms double as they fill
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.sizes = np.zeros(1 << 16, np.int64)
+        # by place: a piece (a text's first one behind a blank), in how many batches it was found (up to two),
+        # where its ids stand and how many there are (-1: none of its own); rooms double as they fill
+        self.known = pa.array([], pa.string())
+        self.found = np.zeros(1 << 16, np.uint8)
+        self.starts = np.zeros(1 << 16, np.int32)
+        self.sizes = np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.uint16)
         self.n_ids = 0
 
+    def _beyond(self, share: int) -> bool:
+        return len(self.known) > MEMORY // share or self.known.nbytes + 2 * self.n_ids > MEMORY_BYTES // share
+
+    def _shrink(self) -> None:
+        """Forgets the pieces that only one batch had, or all."""
+        keep = np.flatnonzero(self.found[:len(self.known)] > 1)
+        self.known = self.known.take(pa.array(keep))
+        starts, self.sizes = self.starts[keep], self.sizes[keep]
+        own = np.maximum(self.sizes, 0)
+        self.ids = self._joined(starts, own)
+        self.starts, self.n_ids = (np.cumsum(own) - own).astype(np.int32), len(self.ids)
+        self.found = np.ones(len(keep), np.uint8)
+        if self._beyond(2):
+            self._forget()
+
+    def _joined(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The remembered ids of pieces, in a row."""
+        ends = np.cumsum(sizes, dtype=np.int32)
+        at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+        at += np.repeat(starts - ends + sizes, sizes)
+        return self.ids.take(at)
+
     def encode_whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint16)
 
@@ -100,16 +116,17 @@ class WordCoder:
     def _learn_plain(self, places: np.ndarray, pieces: pa.Array) -> None:
         """Plain pieces as the library's pre-tokens straight to its merges; ids
         are cut where a token opens a piece or closes a word."""
-        marked = pc.match_substring_regex(pieces, "[.,]$").to_numpy(zero_copy_only=False)
-        pieces = pieces.to_pylist()
-        for i in range(0, len(pieces), 2048):
-            some = pieces[i:i + 2048]
+        if not self.spaces_count:
+            marked = pc.match_substring_regex(pieces, f"{SYMBOLS}$").to_numpy(zero_copy_only=False)
+        cuts = np.append(np.arange(0, len(pieces), 2048, dtype=np.int32), np.int32(len(pieces)))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), pieces), "\0 " if self.spaces_count else "\0")
+        for i, text in zip(cuts.tolist(), joined.to_pylist()):
             if self.spaces_count:  # a blank opens a piece unless its newline does
-                text = (" " + "\0 ".join(some)).replace("\0 \n", "\0\n")
+                text = (" " + text).replace("\0 \n", "\0\n")
                 text = text[1:] if text.startswith(" \n") else text
             else:
-                text = "\0".join(some).lower()
-            text = text.replace(",", "\0,").replace(".", "\0.")
+                text = text.lower()
+            text = re.sub(SYMBOLS, "\0\\g<0>", text)
             pre = charmap_decode(text.encode(), "strict", BYTE_TABLE)[0]
             ids = np.array(self.merges.encode_batch_fast([pre], add_special_tokens=False)[0].ids, np.uint16)
             if self.spaces_count:
@@ -119,35 +136,37 @@ class WordCoder:
                 starts = np.append(0, np.flatnonzero(self.closes[ids])[np.cumsum(words) - 1][:-1] + 1)
             self._add(places[i:i + 2048], starts, np.diff(np.append(starts, len(ids))), ids)
 
-    def _learn(self) -> None:
+    def _learn(self, new: pa.Array) -> None:
         """Encode the new pieces, hundreds in one text whose ids are cut at
         piece starts (a token that begins with a blank) or at separators."""
-        new, self.at.new = self.at.new, []
-        first, n = len(self.at) - len(new), len(self.at)
+        first, n = len(self.known), len(self.known) + len(new)
         if n > len(self.starts):
-            self.starts, self.sizes = (np.resize(x, max(n, 2 * len(x))) for x in (self.starts, self.sizes))
+            self.starts, self.sizes, self.found = (np.resize(x, max(n, 2 * len(x)))
+                                                   for x in (self.starts, self.sizes, self.found))
+        self.found[first:n] = 0
+        self.known = pa.concat_arrays([self.known, new])
         rest = []
-        heads = [i for i, p in enumerate(new) if isinstance(p, tuple)]
-        texts = pa.array(["" if isinstance(p, tuple) else p for p in new] if heads else new, pa.string())
-        plain = pc.match_substring_regex(texts, self.plain).to_numpy(zero_copy_only=False)
-        for i in np.flatnonzero(~plain).tolist():
-            place, piece = first + i, new[i]
+        plain = pc.match_substring_regex(new, self.plain)
+        for i, piece in zip(np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist(),
+                            new.filter(pc.invert(plain)).to_pylist()):
+            place = first + i
             if self._unsafe(piece):
                 self.sizes[place] = -1
             elif not piece:  # between blanks that no token holds
                 self.sizes[place] = 0
             else:
                 rest.append((place, piece))
+        plain = plain.to_numpy(zero_copy_only=False)
         if plain.any():
-            self._learn_plain(first + np.flatnonzero(plain), texts.filter(pa.array(plain)))
+            self._learn_plain(first + np.flatnonzero(plain), new.filter(pa.array(plain)))
         for i in range(0, len(rest), 512):
             places, some = zip(*rest[i:i + 512])
             if self.spaces_count:  # a text's first piece has no blank before it: give it a newline, drop that id
-                ids = self.encode_whole("".join("\n" + p[0] if isinstance(p, tuple) else p if p[0] == "\n"
+                ids = self.encode_whole("".join("\n" + p[1:] if p[0] == " " else p if p[0] == "\n"
                                                 else " " + p for p in some))
                 starts = np.flatnonzero(self.opens[ids])
                 sizes = np.diff(np.append(starts, len(ids)))
-                head = np.fromiter((isinstance(p, tuple) for p in some), bool, len(some))
+                head = np.fromiter((p[0] == " " for p in some), bool, len(some))
                 starts, sizes = starts + head, sizes - head
             else:
                 ids = self.encode_whole(" \0 ".join(some))
@@ -156,43 +175,59 @@ class WordCoder:
                 sizes = ends - starts
             self._add(np.array(places), starts, sizes, ids)
 
-    def _unsafe(self, piece) -> bool:
+    def _unsafe(self, piece: str) -> bool:
         """A piece whose neighbourhood the tokenizer would see differently."""
-        p = piece[0] if isinstance(piece, tuple) else piece
-        if any(a in p for a in self.added):
+        if any(a in piece for a in self.added):
             return True
         if not self.spaces_count:
-            return "\0" in p
+            return "\0" in piece
         # behind the newline that stands before a first piece, white space would join it
-        return not p or p[0] == " " or p[-1].isspace() or (isinstance(piece, tuple) and p[0].isspace())
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids (16 bits: both vocabularies are below 65 536) of each text."""
-        if len(self.at) > MEMORY:
-            self._forget()
-        if not texts:
-            return []
-        # Arrow splits the texts and finds their distinct pieces; only those become Python strings
-        lines = pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n" if self.spaces_count else " ")
+        p = piece.removeprefix(" ")
+        return not p or p[-1].isspace() or (p is not piece and p[0].isspace())
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row (16 bits: both vocabularies are below
+        65 536), and how many each text has."""
+        if self._beyond(1):
+            self._shrink()
+        if not len(texts):
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        # Arrow splits the texts and finds their distinct pieces and which of them are new
+        lines = pc.replace_substring(texts, "\n", " \n" if self.spaces_count else " ")
         pieces = pc.split_pattern(lines, " ")
+        del lines
         offsets, flat = pieces.offsets.to_numpy(), pieces.values
         coded = flat.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        idx = np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        code, distinct = coded.indices.to_numpy(), coded.dictionary
         if self.spaces_count:  # a text's first piece has no blank before it
-            heads = [(p,) for p in flat.take(pa.array(offsets[:-1])).to_pylist()]
-            idx[offsets[:-1]] = np.fromiter(map(self.at.__getitem__, heads), np.int64, len(heads))
-        counts = np.diff(offsets)
-        del lines, pieces, flat, coded, distinct
-        self._learn()
-        size = self.sizes[idx]
-        bad = np.unique(np.repeat(np.arange(len(texts)), counts)[size < 0]).tolist()
-        size = np.maximum(size, 0)
-        ends = np.cumsum(size)
-        n = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(n) + np.repeat(self.starts[idx] - ends + size, size)]
-        cuts = np.append(0, ends)[np.cumsum(counts)[:-1]] if len(counts) else []
-        out = np.split(ids, cuts)
-        for i in bad:
-            out[i] = self.encode_whole(texts[i]) if texts[i] else np.zeros(0, np.uint16)
-        return out
+            heads = pc.binary_join_element_wise("", flat.take(pa.array(offsets[:-1])), " ").dictionary_encode()
+            code = code.copy()
+            code[offsets[:-1]] = heads.indices.to_numpy() + len(distinct)
+            distinct = pa.concat_arrays([distinct, heads.dictionary])
+        del pieces, flat, coded
+        place = pc.index_in(distinct, value_set=self.known)
+        fresh = pc.is_null(place)
+        place = pc.fill_null(place, 0).to_numpy().copy()
+        unknown = np.flatnonzero(fresh.to_numpy(zero_copy_only=False))
+        place[unknown] = len(self.known) + np.arange(len(unknown), dtype=np.int32)
+        if len(unknown):
+            self._learn(distinct.filter(fresh))
+        del distinct, fresh
+        self.found[place] = np.minimum(self.found[place], 1) + 1
+        sizes = self.sizes[place].take(code)
+        whole = np.unique(np.searchsorted(offsets, np.flatnonzero(sizes < 0), side="right") - 1)
+        np.maximum(sizes, 0, out=sizes)
+        ids = self._joined(self.starts[place].take(code), sizes)
+        sizes = np.add.reduceat(sizes, offsets[:-1], dtype=np.int64)
+        if len(whole):
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for i in whole.tolist():
+                parts[i] = self.encode_whole(texts[i].as_py()) if texts[i].as_py() else np.zeros(0, np.uint16)
+                sizes[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        return ids, sizes
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        ids, sizes = self.encode_flat(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
