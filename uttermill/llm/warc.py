@@ -73,20 +73,22 @@ def _record(page_id: pd.Series, url: pd.Series, payload: pd.Series, first: pd.Se
 def write_pages(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html",
                 min_bytes: int = 0) -> str:
     """Folder of whole-file compressed archives of all rows, in page order."""
-    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"),
-                        F.coalesce(F.col(f"`{payload}`"), F.lit("")).alias("payload"))
-    narrow = rows.select("page_id", F.sha1(F.encode("payload", "UTF-8")).alias("sha1"),
-                         F.octet_length("payload").alias("size")).where(F.col("size") >= min_bytes)
     key = F.coalesce("page_id", F.lit(2**63 - 1))
-    first = narrow.groupBy("sha1").agg(F.min(key).alias("first"))  # map-side first: a hot payload is a row a task
-    again = (narrow.join(first, "sha1").where(key != F.col("first"))
-             .select(key.alias("key"), "sha1", "first").distinct())
-    again = broadcast_if_small(written(again, "warc-revisits"))  # then payloads move once, not twice
-    joined = (rows.withColumn("key", key).withColumn("sha1", F.sha1(F.encode("payload", "UTF-8")))
-              .join(again, ["key", "sha1"], "left"))
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"),
+                        F.coalesce(F.col(f"`{payload}`"), F.lit("")).alias("payload")).withColumn("key", key)
+    sha1 = F.sha1(F.col("payload").cast("binary"))  # a string's bytes are its UTF-8
+    narrow = written(rows.where(F.octet_length("payload") >= min_bytes).select("key", sha1.alias("sha1")),
+                     "warc-digests")  # payloads are read once for both uses
+    first = narrow.groupBy("sha1").agg(F.min("key").alias("first"))  # map-side first: a hot payload is a row a task
+    again = written(narrow.join(first, "sha1").where(F.col("key") != F.col("first")).distinct(), "warc-revisits")
+    small = broadcast_if_small(again)  # then payloads move once, not twice
+    if small is not again:  # the sample for the ranges needs no digest
+        joined = rows.repartitionByRange("key").withColumn("sha1", sha1).join(small, ["key", "sha1"], "left")
+    else:
+        joined = rows.withColumn("sha1", sha1).join(again, ["key", "sha1"], "left").repartitionByRange("key")
     revisit = F.col("first").isNotNull()
     folder = scratch_path(pages.sparkSession, "warc-whole")
-    (joined.repartitionByRange("key").sortWithinPartitions("key", "sha1")
+    (joined.sortWithinPartitions("key", "sha1")
      .select(_record("page_id", "url", "payload", "first", revisit).alias("value"))
      .write.option("compression", "gzip").option("lineSep", "\n").text(folder))
     return folder
