@@ -21,8 +21,8 @@ def l2norm(a) -> Column:
 
 def unit(a) -> Column:
     """Scale to unit length (cosine becomes a dot product)."""
-    n = l2norm(a)
-    return F.transform(_c(a), lambda x: x.cast("double") / n)
+    # the length is bound once, not found again for each element
+    return F.element_at(F.transform(F.array(l2norm(a)), lambda n: F.transform(_c(a), lambda x: x.cast("double") / n)), 1)
 
 
 def cosine(a, b) -> Column:
